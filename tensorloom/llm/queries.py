@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tensorloom.llm import licenses, mixing, quality
+import corpus_pipeline
+
+from tensorloom.llm import licenses, lsm_dedup, mixing, packing, quality, simhash
 from tensorloom.llm.common import documents
 
 
@@ -20,5 +23,18 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality)}
-ORACLES = {"op1_mixing": mixing.ORACLE, "op2_licenses": licenses.ORACLE, "op3_quality": quality.ORACLE}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lsm_dedup.exact_dedup(documents(spark, sf_dir))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality, op8_packing, op9_exact_dedup, op10_simhash)} | {"pipeline": corpus_pipeline.run}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op2_licenses": licenses.ORACLE, "op3_quality": quality.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE}
