@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from tensorloom.llm import licenses, lsm_dedup, mixing, packing, quality, simhash
+from tensorloom.llm import langid, licenses, line_dedup, lsm_dedup, mixing, packing, pst, quality, simhash
 from tensorloom.llm.common import documents
 
 
@@ -23,6 +24,28 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _in_fold(n: int, fold: int) -> Column:
+    """Whether a document belongs to a fold by the checksum of its id; one without an id belongs to none."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == fold, F.lit(False))
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), _in_fold(4, 2)
+    vocabulary = str(public_tokenizers.path("piece_bpe_32k.model"))
+    langs, logs = langid.train(docs.where(~held_out), model=vocabulary)
+    return langid.predict(docs, langs, logs, model=vocabulary).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), _in_fold(10, 0)
+    scored = pst.score(docs, *pst.train(docs.where(~held_out)))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_deleted", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -36,5 +59,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality, op8_packing, op9_exact_dedup, op10_simhash)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op1_mixing": mixing.ORACLE, "op2_licenses": licenses.ORACLE, "op3_quality": quality.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality, op5_langid, op6_lm_score, op7_line_dedup, op8_packing, op9_exact_dedup, op10_simhash)} | {"pipeline": corpus_pipeline.run}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op2_licenses": licenses.ORACLE, "op3_quality": quality.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE}
