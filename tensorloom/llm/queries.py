@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from tensorloom.llm import langid, licenses, line_dedup, lsm_dedup, mixing, packing, pst, quality, simhash
+from tensorloom.llm import langid, licenses, line_dedup, lsm_dedup, mixing, packing, pst, quality, simhash, suffix_dedup
 from tensorloom.llm.common import documents
 
 
@@ -29,6 +29,10 @@ def _in_fold(n: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == fold, F.lit(False))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), _in_fold(4, 2)
     vocabulary = str(public_tokenizers.path("piece_bpe_32k.model"))
@@ -59,5 +63,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality, op5_langid, op6_lm_score, op7_line_dedup, op8_packing, op9_exact_dedup, op10_simhash)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality, op4_suffix_dedup, op5_langid, op6_lm_score, op7_line_dedup, op8_packing, op9_exact_dedup, op10_simhash)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op1_mixing": mixing.ORACLE, "op2_licenses": licenses.ORACLE, "op3_quality": quality.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE}
