@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -157,7 +158,7 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["digest", "variant", "keep_id", "keep_row", "group_size", "entries"]
     types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     found = index.items()
-    while part := [x for x, _ in zip(found, range(20_000), strict=False)]:
+    while part := list(islice(found, 20_000)):
         columns = zip(*[(k[:-4], int.from_bytes(k[-4:], "big"), None if v[0][1] else v[0][2], v[0][3], v[1], v[2]) for k, v in part], strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
