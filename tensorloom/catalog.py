@@ -1,9 +1,306 @@
-"""Registered tensor queries."""
+"""Registered tensor queries over the driver's tables, each with its SQL.
 
+Quantities are integer-valued doubles and embeddings are quantised to integers, so
+sums are exact in any order and both engines agree to the last bit.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tensorloom.functions.monoids import COUNT, MAX, MIN, PRODUCT
+from tensorloom.functions.semiring import BOOL_OR_AND, MAX_PLUS, MAX_TIMES, MIN_PLUS
+from tensorloom.operators import elementwise as ew
+from tensorloom.operators import reduce as rd
+from tensorloom.operators.contract import einsum2
+from tensorloom.operators.einsum import EinsumCode, einsum, einsum_into
+from tensorloom.operators.tiers import block_matmul, gram_rows
+from tensorloom.plans.planner import row_major_strides
+from tensorloom.sources import tensors as src
+from tensorloom.tensor import Tensor
+
+NATIONS = 25
+_FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+class Tables:
+    """The tables of a folder, as the tensors that queries contract."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.dir = spark, sf_dir
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def sales(self, key: str, value: str = "l_quantity") -> Tensor:
+        """Quantity by ``key`` and part."""
+        return src.from_table(self.table("lineitem"), [key, "l_partkey"], value)
+
+    def order_customer(self) -> Tensor:
+        return src.indicator(self.table("orders"), ["o_orderkey", "o_custkey"], unique=True)
+
+    def customer_nation(self) -> Tensor:
+        return src.indicator(self.table("customer"), ["c_custkey", "c_nationkey"], (None, NATIONS), unique=True)
+
+    def supplier_nation(self) -> Tensor:
+        return src.indicator(self.table("supplier"), ["s_suppkey", "s_nationkey"], (None, NATIONS), unique=True)
+
+    def nation_region(self) -> Tensor:
+        return src.indicator(self.table("nation"), ["n_nationkey", "n_regionkey"], (NATIONS, 5), unique=True)
+
+    def part_brand(self) -> Tensor:
+        """Brands numbered by their digits, ``Brand#23`` being 23."""
+        return src.indicator(self.table("part"), ["p_partkey", F.regexp_extract("p_brand", r"(\d+)", 1)], unique=True)
+
+    def trade(self, value: str = "l_quantity") -> Tensor:
+        """Customer nation x supplier nation."""
+        line = src.from_table(self.table("lineitem"), ["l_orderkey", "l_suppkey"], value)
+        return einsum("os,oc,ci,sj->ij", line, self.order_customer(), self.customer_nation(), self.supplier_nation())
+
+    def trade_complex(self) -> Tensor:
+        """Quantity and, as imaginary part, number of lines."""
+        lines = self.table("lineitem").withColumn("one", F.lit(1.0))
+        line = src.from_table(lines, ["l_orderkey", "l_suppkey"], "l_quantity", imag="one")
+        return einsum("os,oc,ci,sj->ij", line, self.order_customer(), self.customer_nation(), self.supplier_nation())
+
+    def embeddings(self, below: int | None = None) -> Tensor:
+        df = self.table("embeddings")
+        df = df if below is None else df.where(F.col("vec_id") < below)
+        return src.from_array_column(df, ["vec_id"], "embedding", cast=lambda x: F.floor(x.cast("double") * 10000).cast("long"))
+
+    def labelled_embeddings(self, below: int) -> Tensor:
+        df = self.table("embeddings").where(F.col("vec_id") < below)
+        return src.from_array_column(df, ["label", "vec_id"], "embedding", cast=lambda x: F.floor(x.cast("double") * 10000).cast("long"))
+
+    def events(self) -> Tensor:
+        """Number of events by user and type, a type going by its first letter's code."""
+        return src.from_table(self.table("events").withColumn("one", F.lit(1.0)), ["user_id", F.ascii("event_type")], "one")
+
+
+#: Tensors as SQL tables: t (i, j, v), z (i, j, re, im), e (i, k, v), sp (s, p, v), rv and nv (marginals).
+_CTE = {
+    "t": "t AS (SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, SUM(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)",
+    "z": "z AS (SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, SUM(l_quantity) AS re, CAST(COUNT(*) AS DOUBLE) AS im FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)",
+    "e": "e AS (SELECT vec_id AS i, label AS b, CAST(u.k - 1 AS BIGINT) AS k, CAST(FLOOR(CAST(embedding[u.k] AS DOUBLE) * 10000) AS BIGINT) AS v FROM embeddings, (SELECT UNNEST(RANGE(1, 65)) AS k) u)",
+    "sp": "sp AS (SELECT l_suppkey AS s, l_partkey AS p, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2)",
+    "pb": "pb AS (SELECT p_partkey AS p, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) AS b FROM part)",
+    "h": "h AS (SELECT user_id AS u, CAST(ascii(event_type) AS BIGINT) AS t, CAST(COUNT(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2)",
+    "n": "n AS (SELECT CAST(range AS BIGINT) AS x FROM range(25))",
+}
+
+
+def _sql(body: str, *uses: str) -> str:
+    return (f"WITH {', '.join(_CTE[u] for u in uses)} " if uses else "") + body
+
+
+def _query(name: str, f: Callable[[Tables], DataFrame], body: str | None, *uses: str) -> None:
+    _FOUND[name] = (lambda spark, sf_dir: f(Tables(spark, sf_dir)), None if body is None else _sql(body, *uses))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for name, (f, _) in _FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+
+
+def _out(t: Tensor, names: str) -> DataFrame:
+    return t.named(names.split())
+
+
+# contraction of two tensors
+
+_query("matmul", lambda x: _out(einsum("ij,jk->ik", x.trade(), x.trade()), "i k"), "SELECT a.i, b.j AS k, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+_query("matmul_gram", lambda x: _out(einsum("ik,jk->ij", x.embeddings(100), x.embeddings(100)), "i j"), "SELECT a.i, b.i AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS value FROM e a JOIN e b ON a.k = b.k WHERE a.i < 100 AND b.i < 100 GROUP BY 1, 2", "e")
+_query("matmul_rect", lambda x: _out(einsum("sp,pb->sb", x.sales("l_suppkey"), x.part_brand()), "s b"), "SELECT s, b, SUM(v) AS value FROM sp JOIN pb USING (p) GROUP BY 1, 2", "sp", "pb")
+_query("matmul_blocks", lambda x: _out(block_matmul(x.trade(), x.trade(), tile=8), "i k"), "SELECT a.i, b.j AS k, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+
+
+def _rows(x: Tables) -> DataFrame:
+    df = x.table("embeddings").where(F.col("vec_id") < 100)
+    df = df.select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 10000).cast("long")).alias("row"))
+    return _out(gram_rows(df, "vec_id", "row"), "i j")
+
+
+_query("matmul_row_arrays", _rows, "SELECT a.i, b.i AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS value FROM e a JOIN e b ON a.k = b.k WHERE a.i < 100 AND b.i < 100 GROUP BY 1, 2", "e")
+_query("matvec", lambda x: _out(einsum("ij,j->i", x.trade(), einsum("ij->j", x.trade())), "i"), "SELECT a.i, SUM(a.v * b.v) AS value FROM t a JOIN (SELECT j, SUM(v) AS v FROM t GROUP BY 1) b USING (j) GROUP BY 1", "t")
+_query("batch_matmul", lambda x: _out(einsum("bik,bjk->bij", x.labelled_embeddings(60), x.labelled_embeddings(60)), "b i j"), "SELECT CAST(a.b AS BIGINT) AS b, a.i, b.i AS j, CAST(SUM(a.v * b.v) AS BIGINT) AS value FROM e a JOIN e b ON a.b = b.b AND a.k = b.k WHERE a.i < 60 AND b.i < 60 GROUP BY 1, 2, 3", "e")
+_query("batch_matmul_last", lambda x: _out(einsum("ijk,jlk->ilk", _cube(x), _cube(x)), "i l k"), "SELECT a.i, b.j AS l, a.k, SUM(a.v * b.v) AS value FROM c a JOIN c b ON a.j = b.i AND a.k = b.k GROUP BY 1, 2, 3", "t")
+_query("outer_product", lambda x: _out(einsum("i,j->ij", einsum("ij->i", x.trade()), einsum("ij->j", x.trade())), "i j"), "SELECT a.i, b.j, a.v * b.v AS value FROM (SELECT i, SUM(v) AS v FROM t GROUP BY 1) a, (SELECT j, SUM(v) AS v FROM t GROUP BY 1) b", "t")
+_query("outer_4d", lambda x: _out(einsum("ij,kl->ijkl", _few(x), _few(x)), "i j k l"), "SELECT a.i, a.j, b.i AS k, b.j AS l, a.v * b.v AS value FROM t a, t b WHERE a.i < 5 AND a.j < 5 AND b.i < 5 AND b.j < 5", "t")
+_query("inner_product", lambda x: _out(einsum("ij,ij->", x.trade(), x.trade()), ""), "SELECT SUM(v * v) AS value FROM t", "t")
+_query("hadamard", lambda x: _out(einsum("ij,ij->ij", x.trade(), x.trade().transpose_2d()), "i j"), "SELECT a.i, a.j, a.v * b.v AS value FROM t a JOIN t b ON a.i = b.j AND a.j = b.i", "t")
+_query("tcontract", lambda x: _out(einsum("ijk,jlk->il", _cube(x), _cube(x)), "i l"), "SELECT a.i, b.j AS l, SUM(a.v * b.v) AS value FROM c a JOIN c b ON a.j = b.i AND a.k = b.k GROUP BY 1, 2", "t")
+_query("left_trace", lambda x: _out(einsum("ij,jk->k", x.trade(), x.trade()), "k"), "SELECT b.j AS k, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1", "t")
+_query("right_trace", lambda x: _out(einsum("ij,jk->i", x.trade(), x.trade()), "i"), "SELECT a.i, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1", "t")
+_query("both_trace", lambda x: _out(einsum("ij,k->k", x.trade(), einsum("ij->i", x.trade())), "k"), "SELECT i AS k, SUM(v) * (SELECT SUM(v) FROM t) AS value FROM t GROUP BY 1", "t")
+_query("transposed_output", lambda x: _out(einsum("ij,jk->ki", x.trade(), x.trade()), "k i"), "SELECT b.j AS k, a.i, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+_query("einsum2_any_labels", lambda x: _out(einsum2(x.trade(), x.trade(), [10, 20], [20, 30], [10, 30]), "i k"), "SELECT a.i, b.j AS k, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+_query("einsum2_alpha_beta", lambda x: _out(einsum2(x.trade(), x.trade(), "ij", "jk", "ik", out=x.trade(), alpha=2.0, beta=3.0), "i k"), "SELECT i, k, SUM(v) AS value FROM (SELECT a.i, b.j AS k, 2 * a.v * b.v AS v FROM t a JOIN t b ON a.j = b.i UNION ALL SELECT i, j, 3 * v FROM t) GROUP BY 1, 2", "t")
+_query("einsum2_mapped", lambda x: _out(einsum2(x.trade(), x.trade(), "ij", "jk", "ik", map_a=lambda v: v + 1, map_b=lambda v: -v), "i k"), "SELECT a.i, b.j AS k, SUM((a.v + 1) * -b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+_query("repeated_label_in_pair", lambda x: _out(einsum("ii,ij->j", x.trade(), x.trade()), "j"), "SELECT b.j, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.i = b.i WHERE a.i = a.j GROUP BY 1", "t")
+
+
+def _few(x: Tables) -> Tensor:
+    t = x.trade()
+    return Tensor(t.df.where("a0 < 5 and a1 < 5"), (5, 5))
+
+
+def _cube(x: Tables) -> Tensor:
+    """Trade by nation, nation and ship mode's rank among five quantity bands."""
+    lines = x.table("lineitem").withColumn("band", F.floor((F.col("l_quantity") - 1) / 10))
+    line = src.from_table(lines, ["l_orderkey", "l_suppkey", "band"], "l_quantity", (None, None, 5))
+    return einsum("osk,oc,ci,sj->ijk", line, x.order_customer(), x.customer_nation(), x.supplier_nation())
+
+
+_CUBE = "c AS (SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, CAST(FLOOR((l_quantity - 1) / 10) AS BIGINT) AS k, SUM(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)"
+for _name in ("tcontract", "batch_matmul_last"):
+    _FOUND[_name] = (_FOUND[_name][0], _FOUND[_name][1].replace(_CTE["t"], _CUBE))
+
+# many tensors
+
+_CHAIN = "SELECT CAST(n_regionkey AS BIGINT) AS r, b, SUM(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN pb ON l_partkey = p GROUP BY 1, 2"
+_query("flagship_region_brand", lambda x: _out(einsum("oc,cn,nr,op,pb->rb", x.order_customer(), x.customer_nation(), x.nation_region(), x.sales("l_orderkey"), x.part_brand()), "r b"), _CHAIN, "pb")
+_NESTED = "SELECT CAST(n_regionkey AS BIGINT) AS r, b, SUM(v) AS value FROM sp JOIN supplier ON s = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN pb USING (p) GROUP BY 1, 2"
+_query("nested_chain", lambda x: _out(einsum("((sn,nr),(sp,pb))->rb", x.supplier_nation(), x.nation_region(), x.sales("l_suppkey"), x.part_brand()), "r b"), _NESTED, "sp", "pb")
+_query("matrix_chain", lambda x: _out(einsum("ij,jk,kl->il", x.trade(), x.trade(), x.trade()), "i l"), "SELECT a.i, c.j AS l, SUM(a.v * b.v * c.v) AS value FROM t a JOIN t b ON a.j = b.i JOIN t c ON b.j = c.i GROUP BY 1, 2", "t")
+_query("matrix_chain_parsed_once", lambda x: _out(EinsumCode("(ij,jk),kl->il").evaluate([x.trade()] * 3), "i l"), "SELECT a.i, c.j AS l, SUM(a.v * b.v * c.v) AS value FROM t a JOIN t b ON a.j = b.i JOIN t c ON b.j = c.i GROUP BY 1, 2", "t")
+_query("star", lambda x: _out(einsum("ij,ik,il->jkl", _few(x), _few(x), _few(x)), "j k l"), "SELECT a.j, b.j AS k, c.j AS l, SUM(a.v * b.v * c.v) AS value FROM f a JOIN f b ON a.i = b.i JOIN f c ON a.i = c.i GROUP BY 1, 2, 3", "t")
+_FOUND["star"] = (_FOUND["star"][0], _FOUND["star"][1].replace("GROUP BY 1, 2) SELECT", "GROUP BY 1, 2), f AS (SELECT * FROM t WHERE i < 5 AND j < 5) SELECT"))
+_query("star_contract", lambda x: _out(einsum("ij,ik,ik->j", x.trade(), x.trade(), x.trade()), "j"), "SELECT a.j, SUM(a.v * b.w) AS value FROM t a JOIN (SELECT i, SUM(v * v) AS w FROM t GROUP BY 1) b USING (i) GROUP BY 1", "t")
+_query("scalar_times_vector", lambda x: _out(einsum(",k->k", rd.total(x.trade()), einsum("ij->i", x.trade())), "k"), "SELECT i AS k, SUM(v) * (SELECT SUM(v) FROM t) AS value FROM t GROUP BY 1", "t")
+_query("vector_times_scalar", lambda x: _out(einsum("i,->i", einsum("ij->i", x.trade()), rd.total(x.trade())), "i"), "SELECT i, SUM(v) * (SELECT SUM(v) FROM t) AS value FROM t GROUP BY 1", "t")
+_query("scalar_times_scalar", lambda x: _out(einsum(",->", rd.total(x.trade()), rd.total(x.trade())), ""), "SELECT SUM(v) * SUM(v) AS value FROM t", "t")
+_query("binary_generative", lambda x: _out(einsum("ab,bc->ace", x.trade(), x.trade(), sizes={"e": 3}), "a c e"), "SELECT a.i AS a, b.j AS c, e, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i, (SELECT CAST(range AS BIGINT) AS e FROM range(3)) GROUP BY 1, 2, 3", "t")
+_query("binary_duplicate", lambda x: _out(einsum("ab,bc->acc", x.trade(), x.trade()), "a c c_2"), "SELECT a.i AS a, b.j AS c, b.j AS c_2, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2, 3", "t")
+_query("hadamard_to_diagonal", lambda x: _out(einsum("c,c->cc", einsum("ij->i", x.trade()), einsum("ij->j", x.trade())), "c c_2"), "SELECT i AS c, i AS c_2, a.v * b.v AS value FROM (SELECT i, SUM(v) AS v FROM t GROUP BY 1) a JOIN (SELECT j AS i, SUM(v) AS v FROM t GROUP BY 1) b USING (i)", "t")
+_query("einsum_alpha_beta", lambda x: _out(einsum_into("ij,jk->ik", x.trade(), x.trade(), out=x.trade(), alpha=2.0, beta=3.0), "i k"), "SELECT i, k, SUM(v) AS value FROM (SELECT a.i, b.j AS k, 2 * a.v * b.v AS v FROM t a JOIN t b ON a.j = b.i UNION ALL SELECT i, j, 3 * v FROM t) GROUP BY 1, 2", "t")
+_query("accumulate_trace", lambda x: _out(einsum_into("ii->", x.trade(), out=rd.total(x.trade()), alpha=2.0, beta=5.0), ""), "SELECT 2 * SUM(v) FILTER (i = j) + 5 * SUM(v) AS value FROM t", "t")
+_query("accumulate_permuted", lambda x: _out(einsum_into("ij->ji", x.trade(), out=x.trade(), alpha=2.0, beta=3.0), "i j"), "SELECT i, j, SUM(v) AS value FROM (SELECT j AS i, i AS j, 2 * v AS v FROM t UNION ALL SELECT i, j, 3 * v FROM t) GROUP BY 1, 2", "t")
+_query("many_indices", lambda x: _out(einsum("abcdefghijkl,abcdefmnopqr->ghijklmnopqr", _bits(x), _bits(x)), "g h i j k l m n o p q r"), None)
+
+
+def _bits(x: Tables) -> Tensor:
+    """A binary tensor of rank 12 by the low bits of part and supplier keys."""
+    bit = lambda c, k: F.shiftright(F.col(c), k).bitwiseAND(1)
+    return src.from_table(x.table("lineitem"), [bit("l_partkey", k) for k in range(6)] + [bit("l_suppkey", k) for k in range(6)], "l_quantity", (2,) * 12)
+
+
+_BITS = ", ".join([f"CAST((l_partkey >> {k}) & 1 AS BIGINT) AS p{k}" for k in range(6)] + [f"CAST((l_suppkey >> {k}) & 1 AS BIGINT) AS s{k}" for k in range(6)])
+_BIT_AXES = ", ".join([f"a.s{k} AS {n}" for k, n in enumerate("ghijkl")] + [f"b.s{k} AS {n}" for k, n in enumerate("mnopqr")])
+_FOUND["many_indices"] = (_FOUND["many_indices"][0], f"WITH w AS (SELECT {_BITS}, SUM(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT {_BIT_AXES}, SUM(a.v * b.v) AS value FROM w a JOIN w b USING (p0, p1, p2, p3, p4, p5) GROUP BY ALL")
+
+# one tensor
+
+_query("trace", lambda x: _out(einsum("ii->", x.trade()), ""), "SELECT SUM(v) AS value FROM t WHERE i = j", "t")
+_query("partial_trace", lambda x: _out(einsum("iij->j", _outer3(x)), "j"), "SELECT b.j, SUM(a.v * b.v) AS value FROM t a, (SELECT j, SUM(v) AS v FROM t GROUP BY 1) b WHERE a.i = a.j GROUP BY 1", "t")
+_query("diag", lambda x: _out(einsum("ii->i", x.trade()), "i"), "SELECT i, v AS value FROM t WHERE i = j", "t")
+_query("diag_keep_first", lambda x: _out(einsum("ijj->ij", _cube_square(x)), "i j"), "SELECT b.j AS i, a.i AS j, a.v * b.v AS value FROM t a, (SELECT j, SUM(v) AS v FROM t GROUP BY 1) b WHERE a.i = a.j", "t")
+_query("multi_diag", lambda x: _out(einsum("iijj->ij", einsum("ij,kl->ijkl", x.trade(), x.trade())), "i j"), "SELECT a.i, b.i AS j, a.v * b.v AS value FROM t a, t b WHERE a.i = a.j AND b.i = b.j", "t")
+_query("axis_sum_i", lambda x: _out(einsum("ij->i", x.trade()), "i"), "SELECT i, SUM(v) AS value FROM t GROUP BY 1", "t")
+_query("axis_sum_j", lambda x: _out(einsum("ij->j", x.trade()), "j"), "SELECT j, SUM(v) AS value FROM t GROUP BY 1", "t")
+_query("axis_sum_middle", lambda x: _out(einsum("ijk->ik", _cube(x)), "i k"), "SELECT i, k, SUM(v) AS value FROM c GROUP BY 1, 2", "t")
+_FOUND["axis_sum_middle"] = (_FOUND["axis_sum_middle"][0], _FOUND["axis_sum_middle"][1].replace(_CTE["t"], _CUBE))
+_query("sum_all", lambda x: _out(einsum("ij->", x.trade()), ""), "SELECT SUM(v) AS value FROM t", "t")
+_query("permute", lambda x: _out(einsum("ij->ji", x.trade()), "j i"), "SELECT j, i, v AS value FROM t", "t")
+_query("permute_4d", lambda x: _out(einsum("ijkl->ljki", einsum("ij,kl->ijkl", _few(x), _few(x))), "l j k i"), "SELECT a.i, a.j, b.i AS k, b.j AS l, a.v * b.v AS value FROM t a, t b WHERE a.i < 5 AND a.j < 5 AND b.i < 5 AND b.j < 5", "t")
+_query("identity", lambda x: _out(einsum("ij->ij", x.trade()), "i j"), "SELECT i, j, v AS value FROM t", "t")
+_query("repeat_axis", lambda x: _out(einsum("i->ij", einsum("ij->i", x.trade()), sizes={"j": 4}), "i j"), "SELECT i, r AS j, SUM(v) AS value FROM t, (SELECT CAST(range AS BIGINT) AS r FROM range(4)) GROUP BY 1, 2", "t")
+_query("scalar_broadcast", lambda x: _out(einsum("->ij", rd.total(x.trade()), sizes={"i": 2, "j": 3}), "i j"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j, (SELECT SUM(v) FROM t) AS value FROM range(2) a, range(3) b", "t")
+_query("duplicate_diag", lambda x: _out(einsum("i->ii", einsum("ij->i", x.trade())), "i i_2"), "SELECT i, i AS i_2, SUM(v) AS value FROM t GROUP BY 1, 2", "t")
+_query("duplicate_diag_dense", lambda x: _out(Tensor(einsum("i->ii", einsum("ij->i", x.trade())).df, (NATIONS, NATIONS)).densify(), "i i_2"), "SELECT a.x AS i, b.x AS i_2, CASE WHEN a.x = b.x THEN COALESCE(w, 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS value FROM n a CROSS JOIN n b LEFT JOIN (SELECT i, SUM(v) AS w FROM t GROUP BY 1) s ON s.i = a.x", "t", "n")
+_query("identity_matrix", lambda x: _out(einsum("->ii", src.from_fn(x.spark, (), lambda: F.lit(1.0)), sizes={"i": 4}).densify(), "i i_2"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS i_2, CASE WHEN a.range = b.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM range(4) a, range(4) b")
+_query("duplicate_ijij", lambda x: _out(einsum("ij->ijij", x.trade()), "i j i_2 j_2"), "SELECT i, j, i AS i_2, j AS j_2, v AS value FROM t", "t")
+
+
+def _outer3(x: Tables) -> Tensor:
+    return einsum("ij,k->ijk", x.trade(), einsum("ij->j", x.trade()))
+
+
+def _cube_square(x: Tables) -> Tensor:
+    return einsum("i,jk->ijk", einsum("ij->j", x.trade()), x.trade())
+
+
+# element by element
+
+_query("map_scale", lambda x: _out(ew.map_cells(x.trade(), lambda v: v * 2 + 1), "i j"), "SELECT i, j, v * 2 + 1 AS value FROM t", "t")
+_query("map_dense", lambda x: _out(ew.map_cells(x.trade(), lambda v: v + 1, dense=True), "i j"), "SELECT a.x AS i, b.x AS j, COALESCE(v, 0.0::DOUBLE) + 1 AS value FROM n a CROSS JOIN n b LEFT JOIN t ON t.i = a.x AND t.j = b.x", "t", "n")
+_OUTER = "FROM t a FULL JOIN t b ON a.i = b.j AND a.j = b.i"
+_query("zip2", lambda x: _out(ew.zip_map(lambda a, b: a - b, x.trade(), x.trade().transpose_2d()), "i j"), f"SELECT COALESCE(a.i, b.j) AS i, COALESCE(a.j, b.i) AS j, COALESCE(a.v, 0.0::DOUBLE) - COALESCE(b.v, 0.0::DOUBLE) AS value {_OUTER}", "t")
+_query("zip3", lambda x: _out(ew.zip_map(lambda a, b, c: a + b * c, x.trade(), x.trade().transpose_2d(), x.trade()), "i j"), f"SELECT COALESCE(a.i, b.j) AS i, COALESCE(a.j, b.i) AS j, COALESCE(a.v, 0.0::DOUBLE) + COALESCE(b.v, 0.0::DOUBLE) * COALESCE(a.v, 0.0::DOUBLE) AS value {_OUTER}", "t")
+_query("zip4", lambda x: _out(ew.zip_map(lambda a, b, c, d: a + b + c - d, x.trade(), x.trade().transpose_2d(), x.trade(), x.trade()), "i j"), f"SELECT COALESCE(a.i, b.j) AS i, COALESCE(a.j, b.i) AS j, COALESCE(a.v, 0.0::DOUBLE) + COALESCE(b.v, 0.0::DOUBLE) AS value {_OUTER}", "t")
+
+
+def _same_source(x: Tables) -> DataFrame:
+    t = x.trade()
+    return _out(ew.zip_map(lambda a, b: a * b, t, t), "i j")
+
+
+_query("zip2_same_source", _same_source, "SELECT i, j, v * v AS value FROM t", "t")
+_query("copy", lambda x: _out(ew.copy(x.trade()), "i j"), "SELECT i, j, v AS value FROM t", "t")
+_query("add", lambda x: _out(ew.add(x.trade(), x.trade().transpose_2d()), "i j"), f"SELECT COALESCE(a.i, b.j) AS i, COALESCE(a.j, b.i) AS j, COALESCE(a.v, 0.0::DOUBLE) + COALESCE(b.v, 0.0::DOUBLE) AS value {_OUTER}", "t")
+_query("mul", lambda x: _out(ew.mul(x.trade(), x.trade().transpose_2d()), "i j"), "SELECT a.i, a.j, a.v * b.v AS value FROM t a JOIN t b ON a.i = b.j AND a.j = b.i", "t")
+_query("axpy", lambda x: _out(ew.axpy(x.trade(), x.trade().transpose_2d(), 3.0), "i j"), f"SELECT COALESCE(a.i, b.j) AS i, COALESCE(a.j, b.i) AS j, COALESCE(a.v, 0.0::DOUBLE) + 3 * COALESCE(b.v, 0.0::DOUBLE) AS value {_OUTER}", "t")
+_query("fma", lambda x: _out(ew.fma(x.trade(), x.trade(), x.trade()), "i j"), "SELECT i, j, v + v * v AS value FROM t", "t")
+_query("copy_scale", lambda x: _out(ew.copy_scale(x.trade(), 0.5), "i j"), "SELECT i, j, 0.5 * v AS value FROM t", "t")
+_query("copy_conj", lambda x: _out(ew.copy_conj(x.trade_complex()), "i j"), "SELECT i, j, re AS value_re, -im AS value_im FROM z", "z")
+_query("transpose_scale", lambda x: _out(ew.copy_transpose_scale(x.trade(), 0.25), "i j"), "SELECT j AS i, i AS j, 0.25 * v AS value FROM t", "t")
+_query("symmetrize", lambda x: _out(ew.symmetrize(x.trade()), "i j"), f"SELECT COALESCE(a.i, b.j) AS i, COALESCE(a.j, b.i) AS j, (COALESCE(a.v, 0.0::DOUBLE) + COALESCE(b.v, 0.0::DOUBLE)) * 0.5 AS value {_OUTER}", "t")
+_query("symmetrize_conj", lambda x: _out(ew.symmetrize_conj(x.trade_complex()), "i j"), "SELECT COALESCE(a.i, b.j) AS i, COALESCE(a.j, b.i) AS j, (COALESCE(a.re, 0.0::DOUBLE) + COALESCE(b.re, 0.0::DOUBLE)) * 0.5 AS value_re, (COALESCE(a.im, 0.0::DOUBLE) - COALESCE(b.im, 0.0::DOUBLE)) * 0.5 AS value_im FROM z a FULL JOIN z b ON a.i = b.j AND a.j = b.i", "z")
+_query("promote", lambda x: _out(x.trade().to_complex(), "i j"), "SELECT i, j, v AS value_re, 0.0::DOUBLE AS value_im FROM t", "t")
+_query("demote", lambda x: _out(x.trade().to_complex().try_to_real(), "i j"), "SELECT i, j, v AS value FROM t", "t")
+
+# reductions
+
+_query("reduce_sum", lambda x: _out(rd.reduce(x.trade()), ""), "SELECT SUM(v) AS value FROM t", "t")
+_query("reduce_product", lambda x: _out(rd.reduce(x.nation_region(), PRODUCT, lambda v: v + 1), ""), "SELECT CAST(POW(2, COUNT(*)) AS DOUBLE) AS value FROM nation")
+_query("reduce_sumsq", lambda x: _out(rd.reduce(x.trade(), f=lambda v: v * v), ""), "SELECT SUM(v * v) AS value FROM t", "t")
+_query("reduce_max", lambda x: _out(rd.reduce(x.trade(), MAX), ""), "SELECT MAX(v) AS value FROM t", "t")
+_query("reduce_min_dense", lambda x: _out(rd.reduce(x.trade().densify(), MIN), ""), "SELECT MIN(COALESCE(v, 0.0::DOUBLE)) AS value FROM n a CROSS JOIN n b LEFT JOIN t ON t.i = a.x AND t.j = b.x", "t", "n")
+_query("reduce_count", lambda x: _out(rd.reduce(x.trade(), COUNT), ""), "SELECT COUNT(*) AS value FROM t", "t")
+_query("reduce_axis_sum", lambda x: _out(rd.reduce_axis(x.trade(), 1), "i"), "SELECT i, SUM(v) AS value FROM t GROUP BY 1", "t")
+_query("reduce_axis_max", lambda x: _out(rd.reduce_axis(x.trade(), 0, MAX), "j"), "SELECT j, MAX(v) AS value FROM t GROUP BY 1", "t")
+_query("reduce_axis_mapped", lambda x: _out(rd.reduce_axis(x.trade(), 0, f=lambda v: v * v), "j"), "SELECT j, SUM(v * v) AS value FROM t GROUP BY 1", "t")
+_query("reduce_trace_axes", lambda x: _out(rd.reduce_axes(_cube(x), rd.trace_axes("ijk", "j", "j")), "j"), "SELECT j, SUM(v) AS value FROM t GROUP BY 1", "t")
+_query("dot", lambda x: _out(rd.dot(x.trade(), x.trade().transpose_2d()), ""), "SELECT COALESCE(SUM(a.v * b.v), 0.0::DOUBLE) AS value FROM t a JOIN t b ON a.i = b.j AND a.j = b.i", "t")
+
+# complex values and semirings
+
+_PRODUCT = "SELECT a.i, b.j AS k, SUM(a.re * b.re - a.im * b.im) AS value_re, SUM(a.re * b.im + a.im * b.re) AS value_im FROM z a JOIN z b ON a.j = b.i GROUP BY 1, 2"
+_query("complex_matmul", lambda x: _out(einsum("ij,jk->ik", x.trade_complex(), x.trade_complex()), "i k"), _PRODUCT, "z")
+_query("complex_conj_matmul", lambda x: _out(einsum2(x.trade_complex(), x.trade_complex(), "ij", "jk", "ik", conj_a=True), "i k"), _PRODUCT.replace("a.im", "(-a.im)"), "z")
+_query("complex_conj_hadamard", lambda x: _out(einsum("ij,ij->ij", x.trade_complex().conj(), x.trade_complex()), "i j"), "SELECT i, j, re * re + im * im AS value_re, re * im - im * re AS value_im FROM z", "z")
+_query("adjoint", lambda x: _out(x.trade_complex().adjoint_2d(), "i j"), "SELECT j AS i, i AS j, re AS value_re, -im AS value_im FROM z", "z")
+_query("mixed_matmul", lambda x: _out(einsum("ij,jk->ik", x.trade(), x.trade_complex()), "i k"), "SELECT a.i, b.j AS k, SUM(a.v * b.re) AS value_re, SUM(a.v * b.im) AS value_im FROM t a JOIN z b ON a.j = b.i GROUP BY 1, 2", "t", "z")
+_query("complex_trace", lambda x: _out(einsum("ii->", x.trade_complex()), ""), "SELECT SUM(re) AS value_re, SUM(im) AS value_im FROM z WHERE i = j", "z")
+_query("maxplus_matmul", lambda x: _out(einsum("ij,jk->ik", x.trade(), x.trade(), semiring=MAX_PLUS), "i k"), "SELECT a.i, b.j AS k, MAX(a.v + b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+_query("minplus_matmul", lambda x: _out(einsum("ij,jk->ik", x.trade(), x.trade(), semiring=MIN_PLUS), "i k"), "SELECT a.i, b.j AS k, MIN(a.v + b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+_query("maxtimes_matmul", lambda x: _out(einsum("ij,jk->ik", x.trade(), x.trade(), semiring=MAX_TIMES), "i k"), "SELECT a.i, b.j AS k, MAX(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+_query("bool_reach", lambda x: _out(_reach(x), "i k"), "SELECT a.i, b.j AS k, BOOL_OR(a.v > 5000 AND b.v > 5000) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+
+
+def _reach(x: Tables) -> Tensor:
+    edge = ew.map_cells(x.trade(), lambda v: v > 5000)
+    return einsum("ij,jk->ik", edge, edge, semiring=BOOL_OR_AND)
+
+
+# views, cells and sources
+
+_query("get_element", lambda x: _out(x.trade().get((3, 4)), ""), "SELECT COALESCE(SUM(v), 0.0::DOUBLE) AS value FROM t WHERE i = 3 AND j = 4", "t")
+_query("set_element", lambda x: _out(x.trade().set((3, 4), -1.0), "i j"), "SELECT i, j, v AS value FROM t WHERE NOT (i = 3 AND j = 4) UNION ALL SELECT 3, 4, -1.0::DOUBLE", "t")
+_query("broadcast_axis", lambda x: _out(einsum("i->iz", einsum("ij->i", x.trade()), sizes={"z": 1}).broadcast((NATIONS, 3)), "i j"), "SELECT i, r AS j, SUM(v) AS value FROM t, (SELECT CAST(range AS BIGINT) AS r FROM range(3)) GROUP BY 1, 2", "t")
+_query("diagonal_view", lambda x: _out(x.trade().diagonal([(0, 1)]), "i"), "SELECT i, v AS value FROM t WHERE i = j", "t")
+_query("permute_view", lambda x: _out(_cube(x).permute((2, 0, 1)), "k i j"), "SELECT i, j, k, v AS value FROM c", "t")
+_FOUND["permute_view"] = (_FOUND["permute_view"][0], _FOUND["permute_view"][1].replace(_CTE["t"], _CUBE))
+_query("from_fn_grid", lambda x: _out(src.from_fn(x.spark, (3, 4), lambda i, j: (i * 10 + j).cast("double")), "i j"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j, CAST(a.range * 10 + b.range AS DOUBLE) AS value FROM range(3) a, range(4) b")
+_query("strided_buffer_view", lambda x: _out(src.from_buffer(x.spark, list(range(24)), (3, 2), (-8, 2), 20), "i j"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j, CAST(20 - 8 * a.range + 2 * b.range AS DOUBLE) AS value FROM range(3) a, range(2) b")
+_query("row_major_buffer", lambda x: _out(src.from_buffer(x.spark, list(range(24)), (2, 3, 4), row_major_strides((2, 3, 4))), "i j k"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j, CAST(c.range AS BIGINT) AS k, CAST(a.range * 12 + b.range * 4 + c.range AS DOUBLE) AS value FROM range(2) a, range(3) b, range(4) c")
+_query("zeros_grid", lambda x: _out(src.zeros(x.spark, (2, 3)), "i j"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j, 0.0::DOUBLE AS value FROM range(2) a, range(3) b")
+_query("densify", lambda x: _out(x.trade().densify(), "i j"), "SELECT a.x AS i, b.x AS j, COALESCE(v, 0.0::DOUBLE) AS value FROM n a CROSS JOIN n b LEFT JOIN t ON t.i = a.x AND t.j = b.x", "t", "n")
+_query("table_to_tensor", lambda x: _out(x.sales("l_suppkey"), "s p"), "SELECT s, p, v AS value FROM sp", "sp")
+_query("array_column_to_tensor", lambda x: _out(x.embeddings(), "i k"), "SELECT i, k, v AS value FROM e", "e")
+_query("events_user_type_cooccurrence", lambda x: _out(einsum("ut,uv->tv", x.events(), x.events()), "t v"), "SELECT a.t, b.t AS v, SUM(a.n * b.n) AS value FROM h a JOIN h b USING (u) GROUP BY 1, 2", "h")
