@@ -49,7 +49,7 @@ def from_numpy(spark: SparkSession, array: np.ndarray) -> Tensor:
     array = np.asarray(array)
     if array.dtype.kind not in "fiucb":
         raise ScalarConversion(f"values of {array.dtype} are not numbers")
-    index = np.indices(array.shape).reshape(array.ndim, -1)
+    index = np.indices(array.shape).reshape(array.ndim, array.size)
     flat = array.reshape(-1)
     kind = "complex" if array.dtype.kind == "c" else "real"
     columns = {axis(k): index[k].astype(np.int64) for k in range(array.ndim)}
