@@ -126,7 +126,8 @@ def suffix_array(symbols: np.ndarray, reach: np.ndarray) -> np.ndarray:
 def _ranks(symbols: np.ndarray, reach: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Rank of each place's suffix, by sorting seven symbols at a time where earlier ones are equal.
 
-    Suffixes equal over their whole reach are sorted once, as one.
+    Suffixes equal over their whole reach are sorted once, as one. What all suffixes of
+    a tie have in common is skipped, by hashes of 256, 128, ... 8 symbols.
     """
     pad = np.concatenate((symbols, np.zeros(520, dtype=symbols.dtype)))
     hashes = _doubled(pad, 8)
@@ -135,7 +136,6 @@ def _ranks(symbols: np.ndarray, reach: np.ndarray, places: np.ndarray) -> np.nda
         take = (left >> k & 1).astype(bool)
         value[take] = value[take] * _power(1 << k) + hashes[k][at[take]]
         at = at + (take.astype(np.int64) << k)
-    del hashes
     _, chosen, same = np.unique(value, return_index=True, return_inverse=True)
     places = places[chosen]
     seven = np.zeros(len(symbols) + 513, dtype=np.uint64)
@@ -146,20 +146,25 @@ def _ranks(symbols: np.ndarray, reach: np.ndarray, places: np.ndarray) -> np.nda
     group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
     rank = np.empty(len(places), dtype=np.int64)
     rank[order] = np.searchsorted(group, group)  # place of the group's first
-    deep = 7
-    while deep < 512:
-        sizes = np.bincount(rank, minlength=len(rank) + 1)
-        tied = np.flatnonzero(sizes[rank] > 1)
-        if not len(tied):
-            break
+    tied = order[np.bincount(rank, minlength=len(rank))[rank[order]] > 1]
+    deep = np.full(len(tied), 7)
+    while len(tied):
+        r = rank[tied]
+        fresh = np.concatenate(([True], r[1:] != r[:-1]))
+        starts = np.flatnonzero(fresh)
+        sizes = np.diff(np.concatenate((starts, [len(r)])))
+        for k in range(8, 2, -1):
+            h = hashes[k][np.minimum(places[tied] + deep, len(pad) - 1)]
+            equal = np.minimum.reduceat(h, starts) == np.maximum.reduceat(h, starts)
+            deep = deep + (np.repeat(equal, sizes).astype(np.int64) << k)
         key = seven[np.minimum(places[tied] + deep, len(seven) - 1)]
-        by = np.lexsort((key, rank[tied]))
-        r, key = rank[tied][by], key[by]
-        new = np.concatenate(([True], (r[1:] != r[:-1]) | (key[1:] != key[:-1])))
-        start = np.maximum.accumulate(np.where(np.concatenate(([True], r[1:] != r[:-1])), np.arange(len(r)), 0))
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))
-        rank[tied[by]] = r + (lead - start)
-        deep += 7
+        by = np.lexsort((key, r))
+        tied, key = tied[by], key[by]  # ties stay where they were, so ``r`` and ``deep`` still hold
+        new = fresh | np.concatenate(([True], key[1:] != key[:-1]))
+        here = np.arange(len(r))
+        rank[tied] = r + (np.maximum.accumulate(np.where(new, here, 0)) - np.maximum.accumulate(np.where(fresh, here, 0)))
+        more = ~(new & np.concatenate((new[1:], [True]))) & (deep < 512)
+        tied, deep = tied[more], deep[more] + 7
     return rank[same]
 
 
@@ -219,6 +224,8 @@ def repeated_in_group(fragments: list[bytes], leads: list[int], counts: list[int
     A group larger than a block is first dealt into groups of one core each, whose
     equal parts are merged; after the last step a part is one string.
     """
+    if len(fragments) == 1:  # its strings have their anchor at different distances, so no two are equal
+        return [np.full(max(0, len(fragments[0]) - length + 1), counts[0] > 1)]
     if sum(map(len, fragments)) <= block or not steps:
         return repeated(fragments, counts, length)
     marks = [np.full(max(0, len(f) - length + 1), c > 1) for f, c in zip(fragments, counts, strict=True)]
@@ -347,7 +354,7 @@ def _mark(length: int, gram: int):
 
         def end_group() -> Iterator[pa.RecordBatch]:
             nonlocal block, held, group, size
-            if size > BLOCK:  # groups of their own are split until they fit
+            if size > BLOCK or len(group) == 1:  # large groups are split until they fit
                 yield rows(group, repeated_in_group([r[3] for r in group], [r[2] for r in group], [r[4] for r in group], length, gram))
             else:
                 block, held = block + group, held + size
