@@ -23,7 +23,9 @@ UNKNOWN = "und"
 #: Longest piece, and longest part of a word, that the forward algorithm takes; longer words are cut.
 PIECE, PART = 16, 32
 #: Words that a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Labelled rows of one language that are learned from at most, chosen by a hash of the text.
+TRAIN_ROWS = 5_000
 SMOOTHING = 0.1
 #: Languages learned at most: the model is languages x pieces numbers, sent to each worker.
 MAX_LANGUAGES = 500
@@ -36,9 +38,9 @@ def letters(word: str) -> str:
 
 
 def parts(word: str) -> list[str]:
-    """A word's letters, marked as a word's start, in parts of bounded length."""
-    marked = "▁" + letters(word)
-    return [marked[k : k + PART] for k in range(0, len(marked), PART)] if len(marked) > 1 else []
+    """A word of letters, marked as a word's start, in parts of bounded length."""
+    marked = "▁" + word
+    return [marked[k : k + PART] for k in range(0, len(marked), PART)]
 
 
 class Pieces:
@@ -53,40 +55,59 @@ class Pieces:
         self.ids = {p: k for k in range(n) if len(p := self.processor.id_to_piece(k)) <= PIECE and not self.processor.is_control(k) and not self.processor.is_unknown(k) and not self.processor.is_byte(k)}
         self.bytes = [self.processor.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
 
+        # a trie of the pieces: (node, letter) in one sorted number, the node there, and its piece or -1
+        nodes = {x: k for k, x in enumerate(dict.fromkeys(["", *(p[:k] for p in self.ids for k in range(1, len(p) + 1))]))}
+        steps = sorted((nodes[x[:-1]] << 21 | ord(x[-1]), k) for x, k in nodes.items() if x)
+        self.steps, self.to = (np.array(x, dtype=np.int64) for x in zip(*steps, strict=True))
+        self.piece = np.array([self.ids.get(x, -1) for x in nodes], dtype=np.int64)
+
     def cut(self, words: list[str]) -> list[list[int]]:
         """One segmentation of each word, to count pieces by."""
-        return self.processor.encode([letters(w) for w in words], num_threads=1)
+        return self.processor.encode(words, num_threads=1)
 
 
 def forward(words: list[str], pieces: Pieces, logs: np.ndarray) -> np.ndarray:
     """Log-probability of each part under each language (columns of ``logs``), over all segmentations."""
-    n, longest = len(words), max(map(len, words), default=0)
-    edges: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
-    spelled: dict[tuple[int, int], tuple[list[int], list[list[int]]]] = {}
-    ids = pieces.ids
-    for w, word in enumerate(words):
-        for j in range(1, len(word) + 1):
-            for i in range(max(0, j - PIECE), j):
-                piece = ids.get(word[i:j])
-                if piece is not None:
-                    at = edges.setdefault((j, i), ([], []))
-                    at[0].append(w)
-                    at[1].append(piece)
-                elif i == j - 1:
-                    at = spelled.setdefault((j, i), ([], []))
-                    at[0].append(w)
-                    at[1].append([pieces.bytes[b] for b in word[i:j].encode()])
-    alpha = np.full((longest + 1, n, logs.shape[1]), -np.inf)
+    n = len(words)
+    if not n:
+        return np.zeros((0, logs.shape[1]))
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    letter = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    word = np.repeat(np.arange(n), sizes)
+    ends = np.cumsum(sizes)
+    start = np.arange(len(letter)) - (ends - sizes)[word]
+    # from every letter at once, one step down the trie a round
+    at, node = np.arange(len(letter)), np.zeros(len(letter), dtype=np.int64)
+    single = np.zeros(len(letter), dtype=bool)
+    edges = []
+    for k in range(PIECE):
+        inside = at + k < ends[word[at]]
+        at, node = at[inside], node[inside]
+        if not len(at):
+            break
+        key = node << 21 | letter[at + k]
+        step = np.minimum(np.searchsorted(pieces.steps, key), len(pieces.steps) - 1)
+        found = pieces.steps[step] == key
+        at, node = at[found], pieces.to[step[found]]
+        full = pieces.piece[node] >= 0
+        edges.append((start[at[full]] + k + 1, start[at[full]], word[at[full]], pieces.piece[node[full]]))
+        if k == 0:
+            single[at[full]] = True
+    # letters outside the vocabulary are spelled by their bytes
+    odd = np.flatnonzero(~single)
+    letters_, which = np.unique(letter[odd], return_inverse=True)
+    table = np.vstack([logs, *[logs[[pieces.bytes[b] for b in chr(c).encode()]].sum(axis=0) for c in letters_.tolist()]])
+    edges.append((start[odd] + 1, start[odd], word[odd], len(logs) + which))
+    j, i, w, p = (np.concatenate([e[k] for e in edges]) for k in range(4))
+    order = np.argsort(j << 6 | i, kind="stable")
+    j, i, w, p = j[order], i[order], w[order], p[order]
+    alpha = np.full((int(sizes.max()) + 1, n, logs.shape[1]), -np.inf)
     alpha[0] = 0.0
-    for j in range(1, longest + 1):
-        for i in range(max(0, j - PIECE), j):
-            if (j, i) in edges:
-                w, p = (np.array(x) for x in edges[j, i])
-                alpha[j, w] = np.logaddexp(alpha[j, w], alpha[i, w] + logs[p])
-            if (j, i) in spelled:
-                w = np.array(spelled[j, i][0])
-                alpha[j, w] = np.logaddexp(alpha[j, w], alpha[i, w] + np.array([logs[b].sum(axis=0) for b in spelled[j, i][1]]))
-    return alpha[np.fromiter(map(len, words), int, n), np.arange(n)]
+    cuts = np.flatnonzero(np.concatenate(([True], (j[1:] != j[:-1]) | (i[1:] != i[:-1]))))
+    for a, b in zip(cuts, [*cuts[1:], len(j)], strict=True):  # a word has one edge from i to j
+        to, at = alpha[j[a]], w[a:b]
+        to[at] = np.logaddexp(to[at], alpha[i[a], at] + table[p[a:b]])
+    return alpha[sizes, np.arange(n)]
 
 
 def _count(model: str):
@@ -99,12 +120,15 @@ def _count(model: str):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words.setdefault(lang, Counter()).update((text.as_py() or "").split())
             for lang, found in words.items():
-                kept = [(w, n) for w, n in found.items() if letters(w)]
-                cuts = pieces.cut([w for w, _ in kept])
+                clean: Counter = Counter()
+                for w, n in found.items():
+                    clean[letters(w)] += n
+                del clean[""]
+                cuts = pieces.cut(list(clean))
                 sizes = np.fromiter(map(len, cuts), np.int64, len(cuts))
                 flat = np.fromiter((x for c in cuts for x in c), np.int64, int(sizes.sum()))
                 counts.setdefault(lang, np.zeros(pieces.size))
-                counts[lang] += np.bincount(flat, np.repeat(np.array([n for _, n in kept], dtype=float), sizes), pieces.size)
+                counts[lang] += np.bincount(flat, np.repeat(np.array(list(clean.values()), dtype=float), sizes), pieces.size)
         for lang, found in counts.items():
             at = np.flatnonzero(found)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(found[at].astype(np.int64), pa.int64())], ["lang", "piece", "n"])
@@ -112,13 +136,18 @@ def _count(model: str):
     return run
 
 
-def train(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", model: str) -> tuple[list[str], np.ndarray]:
+def train(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", model: str, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and the log-probability of each piece (row) in each (column).
 
-    Learned from all rows with a language. At most vocabulary x languages numbers
-    come to the driver.
+    Learned from about ``rows`` rows of each language, those whose text has the
+    smallest hashes; all rows of a language that has fewer. At most vocabulary x
+    languages numbers come to the driver.
     """
     src = pick(df, lang=lang_col, text_=text_col).where("lang is not null").select(F.col("lang").cast("string"), F.col("text_").cast("string"))
+    many = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > rows).limit(MAX_LANGUAGES + 1).collect()}
+    if many:
+        part = F.coalesce(F.element_at(F.create_map(*[x for lang, n in many.items() for x in (F.lit(lang), F.lit(rows / n))]), F.col("lang")), F.lit(1.0))
+        src = src.where(F.pmod(F.xxhash64("text_"), F.lit(1 << 20)) < part * (1 << 20))
     counts = src.mapInArrow(_count(model), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
@@ -137,30 +166,35 @@ def predict(df: DataFrame, langs: list[str], logs: np.ndarray, *, id_col: str =
     ``und`` with score 0 if the text is null or has no letter, or nothing was
     learned. Equal languages go to the first by name. An empty table gives no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(logs)
+    # what a worker has learned about words stays with its copy of the broadcast
+    shared = df.sparkSession.sparkContext.broadcast({"logs": logs})
     src = pick(df, doc_id=id_col, text_=text_col).select("doc_id", F.col("text_").cast("string"))
     kind = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, logs = Pieces(model), shared.value
-        known: dict[str, int] = {}
-        scores = np.zeros((0, logs.shape[1] + 1))
+        memory = shared.value
+        logs = memory["logs"]
+        if "pieces" not in memory:
+            memory |= {"pieces": Pieces(model), "known": {}, "clean": {}, "scores": np.zeros((1, logs.shape[1] + 1))}
+        pieces = memory["pieces"]
         for batch in batches:
             texts = [(t.as_py() or "").split() for t in batch.column(1)]
-            fresh = list({w for words in texts for w in words if w not in known})
-            if len(known) > REMEMBERED:
-                known, scores, fresh = {}, scores[:0], list({w for words in texts for w in words})
-            for at in range(0, len(fresh), 20_000):
-                some = fresh[at : at + 20_000]
-                cut = [parts(w) for w in some]
+            if len(memory["known"]) > REMEMBERED:
+                memory |= {"known": {}, "clean": {}, "scores": np.zeros((1, logs.shape[1] + 1))}
+            known, clean = memory["known"], memory["clean"]
+            fresh = {w: letters(w) for words in texts for w in words if w not in known}
+            new = list({c for c in fresh.values() if c and c not in clean})
+            for at in range(0, len(new), 20_000):
+                some = new[at : at + 20_000]
+                cut = [parts(c) for c in some]
                 flat = [p for c in cut for p in c]
                 value = np.zeros((len(some), logs.shape[1] + 1))
-                if flat:
-                    owner = np.repeat(np.arange(len(some)), [len(c) for c in cut])
-                    np.add.at(value[:, :-1], owner, forward(flat, pieces, logs))
-                    value[owner, -1] = 1.0  # it has a letter
-                known.update(zip(some, range(len(scores), len(scores) + len(some)), strict=True))
-                scores = np.concatenate([scores, value])
+                np.add.at(value[:, :-1], np.repeat(np.arange(len(some)), [len(c) for c in cut]), forward(flat, pieces, logs))
+                value[:, -1] = 1.0  # it has a letter
+                clean.update(zip(some, range(len(memory["scores"]), len(memory["scores"]) + len(some)), strict=True))
+                memory["scores"] = np.concatenate([memory["scores"], value])
+            known.update((w, clean.get(c, 0)) for w, c in fresh.items())  # row 0: no letter
+            scores = memory["scores"]
             out_lang, out_score = [], []
             for words in texts:
                 total = scores[[known[w] for w in words]].sum(axis=0) if words else np.zeros(logs.shape[1] + 1)
