@@ -61,6 +61,28 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def numbered(df: DataFrame, name: str = "row") -> DataFrame:
+    """``df`` with a number for each row that is the same however often rows are read.
+
+    A plain scan of files is dealt into tasks the same way each time, so its rows can
+    be numbered as they are read. Anything else, whose rows may come in another order
+    when they are computed again, is written to a table first.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    scan = all(line.lstrip(" :+-").startswith(("Project", "Filter", "Relation")) for line in plan if line.strip())
+    rows = df.withColumn(name, F.monotonically_increasing_id())
+    return rows if scan and df.inputFiles() else table(rows, "numbered")
+
+
+#: Rows of ids that may be broadcast; more are joined by a shuffle.
+FEW = 500_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """A stored one-column table of ids, to be broadcast if it is counted small enough."""
+    return F.broadcast(ids) if ids.count() <= FEW else ids
+
+
 def table(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet below the shared folder and read again.
 

@@ -1,12 +1,12 @@
 """Exact deduplication with a log-structured merge index.
 
 Map tasks collect their rows by digest in a memtable and flush it as a sorted run:
-one entry per digest with the best row, the members and the text's bytes. Runs are
-stored once. Their digests, without the bytes, are dealt out by digest to index
-partitions; there a memtable is flushed as sorted digest runs with a Bloom filter
+one entry per digest with the best row and the members. Runs are stored, and dealt
+out by digest to index partitions; there a memtable is flushed as sorted digest runs with a Bloom filter
 each, new digests are looked up only in runs whose filter may hold them, and
 compaction merges runs and keeps the smallest identifiers. Digests that occur in
-several runs are hits, and their bytes are compared before rows count as equal.
+several runs are hits, and the bytes of their entries, read again from the source, are
+compared before rows count as equal.
 
 However large a group of copies is, it is at most one entry a map memtable; what
 is kept of it is one identifier and counts.
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from tensorloom.llm.common import pick, stored, table
+from tensorloom.llm.common import few, numbered, pick, stored, table
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text, and members of one entry, after which a map memtable is flushed.
@@ -109,13 +109,13 @@ class LsmIndex:
             yield from zip(keys, values, strict=True)
 
 
-RUNS = "digest binary, entry long, body binary, rank long, id long, row long, size long, members array<struct<id:long,row:long>>"
+RUNS = "digest binary, entry long, rank long, id long, row long, size long, members array<struct<id:long,row:long>>"
 
 
 def _flush_runs(digest: Callable[[bytes], bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("id", pa.int64()), ("row", pa.int64())]))
-        names = [x.split()[0] for x in RUNS.split(", ")[:7]] + ["members"]
+        names = [x.split()[0] for x in RUNS.split(", ")[:6]] + ["members"]
         memory: dict[tuple[bytes, bytes], list] = {}  # the bytes in the key are compared on each hit
         held, entry = 0, TaskContext.get().partitionId() << 40
 
@@ -127,7 +127,7 @@ def _flush_runs(digest: Callable[[bytes], bytes]):
             memory, held = {}, 0
             best = [min(v) for _, _, v in rows]
             columns = [
-                pa.array([d for d, _, _ in rows], pa.binary()), pa.array(range(first, entry), pa.int64()), pa.array([b for _, b, _ in rows], pa.binary()),
+                pa.array([d for d, _, _ in rows], pa.binary()), pa.array(range(first, entry), pa.int64()),
                 pa.array([x[0] for x in best], pa.int64()), pa.array([x[2] for x in best], pa.int64()), pa.array([x[3] for x in best], pa.int64()),
                 pa.array([len(v) for _, _, v in rows], pa.int64()),
                 pa.array([[{"id": x[2], "row": x[3]} for x in v] for _, _, v in rows], kind),
@@ -168,8 +168,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, texts = None, []
     for b in batches:
         entries, variants = [], []
-        for digest, entry, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            body = body.as_py()
+        for digest, entry, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            body = text.as_py().encode().translate(None, SPACES)
             if digest != last:
                 last, texts = digest, [body]
             elif body != texts[0]:
@@ -194,13 +194,15 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     gives no rows; columns not named are not read.
     """
     src = pick(df, doc_id=id_col, text_=text_col, **({"row_": row_col} if row_col else {}))
-    src = src.select(F.col("row_").alias("row") if row_col else F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text_").cast("string"))
+    src = src if row_col else numbered(src, "row_")
+    src = src.select(F.col("row_").alias("row"), F.col("doc_id").cast("long"), F.col("text_").cast("string"))
     runs = table(src.mapInArrow(_flush_runs(digest), RUNS), "digest-runs")
     light = runs.select("digest", F.lit(0).cast("long").alias("variant"), "rank", "id", "row", "size")
     shape = "digest binary, variant long, keep_id long, keep_row long, group_size long, entries long"
     first = stored(light.repartition("digest").mapInArrow(_index, shape))
-    hits = first.where("entries > 1").select("digest")
-    checked = runs.select("digest", "entry", "body").join(hits, "digest", "left_semi").repartition("digest").sortWithinPartitions("digest", "entry")
+    hits = stored(runs.select("digest", "entry", "row").join(first.where("entries > 1").select("digest"), "digest", "left_semi"))
+    bodies = src.select("row", "text_").join(few(hits), "row").select("digest", "entry", F.coalesce("text_", F.lit("")).alias("text"))
+    checked = bodies.repartition("digest").sortWithinPartitions("digest", "entry")
     differing = stored(checked.mapInArrow(_verify, "entry long, variant long"))
     entries = runs.select("digest", "entry", "rank", "id", "row", "size", "members")
     if differing.isEmpty():

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import pick, stored, table
+from tensorloom.llm.common import few, pick, stored, table
 
 BITS, SEED = 64, 42
 #: Fingerprints in a bucket beyond which it is split.
@@ -314,14 +314,14 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     dealt = rows.join(shared, "key").select("key", "row", "fp").repartition("key").sortWithinPartitions("key", "row")
     links = stored(dealt.mapInArrow(_nearest_in_buckets(radius), "a long, b long").distinct())
-    linked = links.select(F.col("a").alias("row")).union(links.select("b")).distinct()
+    linked = stored(links.select(F.col("a").alias("row")).union(links.select("b")).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "set"])
 
-    shingles = src.join(linked, "row", "left_semi").mapInArrow(sets, "row long, set array<long>")
+    shingles = table(src.join(few(linked), "row", "left_semi").mapInArrow(sets, "row long, set array<long>"), "shingle-sets")
     one, two = shingles.select(F.col("row").alias("a"), F.col("set").alias("x")), shingles.select(F.col("row").alias("b"), F.col("set").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     near = links.join(one, "a").join(two, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
