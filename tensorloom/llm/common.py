@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType
 
 #: ASCII white space, as a Java / Python character class body.
 SPACE = r"\x20\x09-\x0D"
@@ -42,15 +43,20 @@ def let(value: Column, body) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Where none is set, a temporary folder serves a local master, whose threads all see
+    it; on a cluster, whose machines would not, that is an error.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="tensorloom-checkpoints-")
-        sc.setCheckpointDir(found)
-    elif not sc.getCheckpointDir():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
@@ -74,13 +80,18 @@ def numbered(df: DataFrame, name: str = "row") -> DataFrame:
     return rows if scan and df.inputFiles() else table(rows, "numbered")
 
 
-#: Rows of ids that may be broadcast; more are joined by a shuffle.
-FEW = 500_000
+#: Bytes of a table that may be broadcast; more is joined by a shuffle.
+FEW = 32 << 20
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """A stored one-column table of ids, to be broadcast if it is counted small enough."""
-    return F.broadcast(ids) if ids.count() <= FEW else ids
+def few(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if its values are measured small enough."""
+    fixed = [f.name for f in df.schema if not isinstance(f.dataType, StringType | BinaryType)]
+    varying = [F.octet_length(c) for c in df.columns if c not in fixed]
+    width = F.lit(8 * max(1, len(fixed))).cast("long")
+    for size in varying:
+        width = width + F.coalesce(size, F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= FEW else df
 
 
 def table(df: DataFrame, label: str) -> DataFrame:

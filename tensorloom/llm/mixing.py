@@ -3,7 +3,7 @@
 Every document has a 60-bit hash. Sizes are summed by source and leading hash
 bits; the running sum of such a histogram shows in which bucket a source's
 budget ends, and only the rows of that bucket are summed again by their next
-bits. After four levels the threshold is exact to one hash value, and documents
+bits. After five levels the threshold is exact to one hash value, and documents
 are taken by comparing their hash with their source's threshold: no sort, no
 rank, no row ever gathered by source.
 """
@@ -15,9 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import SPACE, pick, stored, whole_text
+from tensorloom.llm.common import SPACE, few, pick, stored, whole_text
 
-HASH_BITS, LEVEL_BITS = 60, 15
+HASH_BITS, LEVEL_BITS = 60, 12
 
 
 def n_words(text: Column) -> Column:
@@ -69,12 +69,12 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     for k in range(levels):
         shift = HASH_BITS - LEVEL_BITS * (k + 1)
         if k:  # only the rows of each source's boundary bucket are summed again
-            rows = rows.join(bounds.select("s_", "prefix"), F.col("source").eqNullSafe(F.col("s_")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")), "left_semi")
+            rows = rows.join(few(bounds.select("s_", "prefix")), F.col("source").eqNullSafe(F.col("s_")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")), "left_semi")
         sums = rows.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("here"))
         run = sums.withColumn("through", F.sum("here").over(Window.partitionBy("source").orderBy("bucket")))
         over = run.join(bounds.select("s_", "rest", "below"), F.col("source").eqNullSafe(F.col("s_"))).withColumn("through", F.col("through") + F.col("below"))
         first = F.min(F.when(F.col("through") > F.col("rest"), F.struct("bucket", "here", "through")))
-        bounds = over.groupBy("s_", "rest").agg(first.alias("b")).where("b is not null").select("s_", "rest", F.col("b.bucket").alias("prefix"), (F.col("b.through") - F.col("b.here")).alias("below"), F.col("b.through").alias("through"))
+        bounds = stored(over.groupBy("s_", "rest").agg(first.alias("b")).where("b is not null").select("s_", "rest", F.col("b.bucket").alias("prefix"), (F.col("b.through") - F.col("b.here")).alias("below"), F.col("b.through").alias("through")))
     cut = bounds.select("s_", F.col("prefix").alias("cut"), (F.col("below") + F.col("through") <= 2 * F.col("rest")).alias("at_cut"))
     return goal.join(cut, F.col("source").eqNullSafe(F.col("s_")), "left").drop("s_", "rest")
 
@@ -105,7 +105,7 @@ def mix_sources(
     extra = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("at_cut"))
     copies = F.col("rounds") + F.coalesce(extra, F.lit(False)).cast("long")
     rows = sized if keep else small
-    return rows.join(cuts, F.col("source").eqNullSafe(F.col("s_")), "left").select(
+    return rows.join(few(cuts), F.col("source").eqNullSafe(F.col("s_")), "left").select(
         "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *kept
     )
 

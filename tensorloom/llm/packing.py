@@ -1,16 +1,23 @@
 """Sum-of-squares online packing of token sequences into fixed windows.
 
-Each task packs the documents of its own partition as they come. Whole windows
-are cut off a long document; what remains goes to that fill level of the open
-windows for which the sum of squared window counts over all levels becomes
-smallest. An array has the count of open windows of each level. Open windows are
-bounded: at a limit, and at the end of the partition, they are closed by moving
-the emptiest ones' pieces into the fullest ones' gaps.
+Each task packs the documents of its own partition as they come. Whole windows are
+cut off a long document. What remains is placed into an open window of that fill
+level for which the sum of squared window counts over all levels becomes smallest,
+or opens a window. An array has the count of open windows of each level.
+
+A level is a step of 1/32 of a window, so that a few hundred documents already meet
+windows that they complete. A window whose last step is taken is filled up with the
+front of a donor, a document that is kept aside for that; so windows close full.
+Where more windows are open than ``OPEN``, the rule may also choose a level that the
+document overfills: that window is completed, and the rest is placed anew. At the
+end of a partition the few open windows are merged, and the last one is cut into
+powers of two.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -22,10 +29,12 @@ from pyspark.taskcontext import TaskContext
 from tensorloom.llm.common import pick
 
 WINDOW, END = 2048, 1
-#: Units of text whose ids a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 300_000
-#: Open windows of a task; beyond it they are closed and packing goes on.
-OPEN = 8192
+#: Steps of fill that the level array tells apart.
+LEVELS = 32
+#: Open windows of a task beyond which documents may be cut to complete one.
+OPEN = 256
+#: Units of text whose ids a worker remembers, and their length; the memory starts anew beyond it.
+REMEMBERED, UNIT = 100_000, 40
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -36,25 +45,34 @@ class Tokens:
     A text is cut before each single space. The tokenizer's pattern puts a space
     in front of what follows, so such units have ids of their own; a unit that is
     empty or starts with white space may share a run of white space with the unit
-    before it, and then the whole text is encoded at once. Units repeat, and their
-    ids are remembered.
+    before it, and then the whole text is encoded at once. Short units repeat, and
+    their ids are remembered.
     """
 
     def __init__(self, tokenizer: str, ranks: str | None) -> None:
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(tokenizer)
-        self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.path, self.whole_ = tokenizer, None
+        with open(tokenizer, encoding="utf-8") as f:
+            self.specials = [t["content"] for t in json.load(f).get("added_tokens") or ()]
         if ranks:  # the same vocabulary, encoded faster
             import public_tokenizers
             import tiktoken
 
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.encode = tiktoken.Encoding("units", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
         else:
             self.encode = lambda text: self.whole.encode(text, add_special_tokens=False).ids
         self.seen: dict[str, bytes | None] = {}
 
+    @property
+    def whole(self):
+        """The tokenizer itself, read when a text first needs it."""
+        if self.whole_ is None:
+            from tokenizers import Tokenizer
+
+            self.whole_ = Tokenizer.from_file(self.path)
+        return self.whole_
+
     def _bytes(self, text: str) -> bytes:
         return np.asarray(self.encode(text), dtype="<u4").tobytes()
 
@@ -68,106 +86,186 @@ class Tokens:
         try:
             return self._bytes(first) + b"".join([seen[u] for u in units])
         except KeyError:
-            if len(seen) > REMEMBERED:
-                seen.clear()
-            for u in units:
-                if u not in seen:
-                    seen[u] = None if not u or u[0].isspace() else self._bytes(" " + u)
+            pass
         except TypeError:
             return self._bytes(text)
-        if any(seen[u] is None for u in units):
-            return self._bytes(text)
-        return self._bytes(first) + b"".join([seen[u] for u in units])
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        out = [self._bytes(first)]
+        for u in units:
+            if u in seen:
+                ids = seen[u]
+            else:
+                ids = None if not u or u[0].isspace() else self._bytes(" " + u)
+                if len(u) <= UNIT:
+                    seen[u] = ids
+            if ids is None:
+                return self._bytes(text)
+            out.append(ids)
+        return b"".join(out)
 
 
-class SumOfSquares:
-    """Open windows by fill level. A piece is [doc_id, start, ids, doc_tokens]."""
+class Piece:
+    """``ids`` of a document from token ``start``; ``total`` tokens has the document."""
+
+    __slots__ = ("doc_id", "start", "ids", "total")
+
+    def __init__(self, doc_id, start: int, ids: bytes, total: int) -> None:
+        self.doc_id, self.start, self.ids, self.total = doc_id, start, ids, total
+
+    def __len__(self) -> int:
+        return len(self.ids) // 4
+
+    def front(self, n: int) -> Piece:
+        """Cut the first ``n`` tokens off."""
+        cut = Piece(self.doc_id, self.start, self.ids[: n * 4], self.total)
+        self.start, self.ids = self.start + n, self.ids[n * 4 :]
+        return cut
+
+
+class Window:
+    __slots__ = ("pieces", "fill")
 
-    def __init__(self, window: int = WINDOW, limit: int = OPEN) -> None:
-        self.window, self.limit = window, limit
-        self.counts = np.zeros(window + 1, dtype=np.int64)
-        self.levels: list[list[list]] = [[] for _ in range(window)]
+    def __init__(self) -> None:
+        self.pieces: list[Piece] = []
+        self.fill = 0
+
+    def put(self, piece: Piece) -> None:
+        self.pieces.append(piece)
+        self.fill += len(piece)
+
+
+class SumOfSquares:
+    """Open windows by level: the steps of ``window / steps`` tokens that their pieces, each rounded up, take."""
+
+    def __init__(self, window: int = WINDOW, steps: int = LEVELS, limit: int = OPEN) -> None:
+        self.window, self.steps, self.limit = window, min(steps, window), limit
+        self.step = -(-window // self.steps)
+        self.steps = window // self.step
+        self.counts = [0] * (self.steps + 1)
+        self.levels: list[list[Window]] = [[] for _ in range(self.steps)]
         self.n_open = 0
-        self.closed: list[list[list]] = []
+        self.donor: Piece | None = None
+        #: windows whose last step is taken, but that no donor has completed yet
+        self.waiting: list[Window] = []
+        #: windows closed so far by placement, and by merging at the end
+        self.placed = self.merged = 0
+        self.closed: list[list[tuple]] = []
 
     def add(self, doc_id, ids: bytes) -> None:
-        total, at = len(ids) // 4, 0
-        while total - at >= self.window:
-            self.closed.append([[doc_id, at, ids[at * 4 : (at + self.window) * 4], total]])
-            at += self.window
-        if at < total:
-            self.place([doc_id, at, ids[at * 4 :], total])
-        if self.n_open > self.limit:
-            self.close()
-
-    def place(self, piece: list) -> None:
-        n, counts = len(piece[2]) // 4, self.counts
-        here, there = counts[1 : self.window - n + 1], counts[n + 1 : self.window + 1]
-        # change of the sum of squares: a window leaves level h and enters level h + n; full ones count no more
-        change = np.where(here > 0, 2 * (there - here) + 2, np.iinfo(np.int64).max)
-        if len(change) and here[-1] > 0:
-            change[-1] = 1 - 2 * here[-1]
-        level, best = 0, 2 * counts[n] + 1
-        if len(change):
-            k = len(change) - 1 - int(np.argmin(change[::-1]))  # of equals, the fullest
-            if change[k] <= best:
-                level = k + 1
-        if level:
-            pieces = self.levels[level].pop()
-            counts[level] -= 1
-            self.n_open -= 1
-        else:
-            pieces = []
-        pieces.append(piece)
-        if level + n == self.window:
-            self.closed.append(pieces)
+        piece = Piece(doc_id, 0, ids, len(ids) // 4)
+        while len(piece) >= self.window:
+            whole = Window()
+            whole.put(piece.front(self.window))
+            self._close(whole)
+            self.placed += 1
+        if not len(piece):
+            return
+        if self.donor is not None:
+            self.place(piece)
+            return
+        self.donor, waiting, self.waiting = piece, self.waiting, []
+        for window in waiting:
+            self._fill(window)
+
+    def choose(self, units: int) -> int:
+        """The level with the smallest sum of squares after a piece of ``units`` steps went
+        there; of equals the fullest. 0 opens a window. A window leaves its level and enters
+        another; a full one counts no more."""
+        counts = self.counts
+        best, at = 2 * counts[units] + 1 if units < self.steps else 0, 0
+        for h in range(1, self.steps):
+            n = counts[h]
+            if not n:
+                continue
+            if h + units < self.steps:
+                change = 2 * (counts[h + units] - n) + 2
+            elif h + units == self.steps or self.n_open > self.limit:
+                change = 1 - 2 * n
+            else:
+                break
+            if change <= best:
+                best, at = change, h
+        return at
+
+    def place(self, piece: Piece | None) -> None:
+        while piece is not None:
+            units = -(-len(piece) // self.step)
+            level = self.choose(units)
+            if level:
+                window = self.levels[level].pop()
+                self.counts[level] -= 1
+                self.n_open -= 1
+            else:
+                window = Window()
+            room = self.window - window.fill
+            part, piece = (piece, None) if len(piece) <= room else (piece.front(room), piece)
+            window.put(part)
+            if level + units < self.steps:
+                self.levels[level + units].append(window)
+                self.counts[level + units] += 1
+                self.n_open += 1
+            else:
+                self._fill(window)
+
+    def _fill(self, window: Window) -> None:
+        """Complete a window from the donor, or let it wait for the next one."""
+        if window.fill < self.window and self.donor is not None:
+            gap = self.window - window.fill
+            if len(self.donor) > gap:
+                window.put(self.donor.front(gap))
+            else:
+                window.put(self.donor)
+                self.donor = None
+        if window.fill == self.window:
+            self._close(window)
+            self.placed += 1
         else:
-            self.levels[level + n].append(pieces)
-            counts[level + n] += 1
-            self.n_open += 1
+            self.waiting.append(window)
 
-    def close(self) -> None:
+    def finish(self) -> None:
         """Fill the fullest open windows from the emptiest; cut the last into powers of two."""
-        left = [(h, p) for h in range(self.window - 1, 0, -1) for p in self.levels[h]]
-        self.counts[:] = 0
-        self.levels, self.n_open = [[] for _ in range(self.window)], 0
+        left = [*self.waiting, *[w for level in self.levels for w in level]]
+        if self.donor is not None:
+            alone = Window()
+            alone.put(self.donor)
+            left.append(alone)
+        left.sort(key=lambda w: -w.fill)
+        self.counts, self.levels = [0] * (self.steps + 1), [[] for _ in range(self.steps)]
+        self.n_open, self.donor, self.waiting = 0, None, []
         lo, hi = 0, len(left) - 1
-        donor: list[list] = []
-        while lo <= hi or donor:
-            if lo <= hi:
-                fill, pieces = left[lo]
-                lo += 1
-            else:
-                fill, pieces = 0, []
-            while fill < self.window and (donor or lo <= hi):
-                if not donor:
-                    donor = left[hi][1]
+        while lo <= hi:
+            window = left[lo]
+            while window.fill < self.window and hi > lo:
+                gap, source = self.window - window.fill, left[hi]
+                piece = source.pieces[-1]
+                if len(piece) <= gap:
+                    window.put(source.pieces.pop())
+                    source.fill -= len(piece)
+                else:
+                    window.put(piece.front(gap))
+                    source.fill -= gap
+                if not source.fill:
                     hi -= 1
-                fill += self._move(donor, pieces, self.window - fill)
-            if fill == self.window:
-                self.closed.append(pieces)
+            lo += 1
+            if window.fill == self.window:
+                self._close(window)
+                self.merged += 1
                 continue
-            for bit in range(self.window.bit_length() - 1, -1, -1):
-                if fill >> bit & 1:
-                    part: list[list] = []
-                    room = 1 << bit
-                    while room:
-                        room -= self._move(pieces, part, room)
-                    self.closed.append(part)
-
-    @staticmethod
-    def _move(source: list[list], target: list[list], room: int) -> int:
-        """Move the source's last piece, or as much of its front as fits."""
-        doc_id, start, ids, total = piece = source[-1]
-        n = len(ids) // 4
-        if n <= room:
-            target.append(source.pop())
-            return n
-        target.append([doc_id, start, ids[: room * 4], total])
-        piece[1], piece[2] = start + room, ids[room * 4 :]
-        return room
-
-    def drain(self) -> list[list[list]]:
+            bits, rest = window.fill, window.pieces
+            for k in range(bits.bit_length() - 1, -1, -1):
+                if bits >> k & 1:
+                    part, room = Window(), 1 << k
+                    while part.fill < room:
+                        gap = room - part.fill
+                        part.put(rest.pop(0) if len(rest[0]) <= gap else rest[0].front(gap))
+                    self._close(part)
+
+    def _close(self, window: Window) -> None:
+        """Of a closed window only what is returned is kept."""
+        self.closed.append([(p.doc_id, p.start, len(p), zlib.crc32(p.ids), p.total) for p in window.pieces])
+
+    def drain(self) -> list[list[tuple]]:
         out, self.closed = self.closed, []
         return out
 
@@ -198,16 +296,15 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", token
         tokens, packer = Tokens(tokenizer, ranks), SumOfSquares(window)
         number = TaskContext.get().partitionId() << 40
 
-        def rows(windows: list[list[list]]) -> pa.RecordBatch:
+        def rows(windows: list[list[tuple]]) -> pa.RecordBatch:
             nonlocal number
             out: list[list] = [[] for _ in range(7)]
             for pieces in windows:
                 at = 0
-                for doc_id, start, ids, total in pieces:
-                    n = len(ids) // 4
-                    for column, x in zip(out, (doc_id, start, n, zlib.crc32(ids), total, number, at), strict=True):
+                for piece in pieces:
+                    for column, x in zip(out, (*piece, number, at), strict=True):
                         column.append(x)
-                    at += n
+                    at += piece[2]
                 number += 1
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], [x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -215,7 +312,7 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", token
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 packer.add(doc_id, tokens(text.as_py() or "") + end)
             yield rows(packer.drain())
-        packer.close()
+        packer.finish()
         yield rows(packer.drain())
 
     return src.mapInArrow(run, SCHEMA)

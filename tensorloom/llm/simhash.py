@@ -10,6 +10,9 @@ bits leave two of them whole, so near fingerprints share the values of one of si
 pairs of quarters. Buckets over a limit are split by the same argument on the bits
 left, whose 32 positions form three parts of which one stays whole; what then
 shares a bucket differs in 22 bits at most, a bound that no input can exceed.
+
+Near-duplicates by word shingles meet under MinHash keys instead, where a bucket over
+the limit is dealt out by pairs of its blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from tensorloom.llm.common import few, pick, stored, table
 
 BITS, SEED = 64, 42
-#: Fingerprints in a bucket beyond which it is split.
+#: Members of a bucket beyond which it is split.
 SPLIT = 4096
 #: Bands x rows of the MinHash keys under which word-shingle near-duplicates meet:
 #: a pair of similarity 0.8 misses all of them once in 3000 times.
@@ -264,34 +267,76 @@ def _sketch(shingle: int, bands: int, band_rows: int):
     return run
 
 
-def _nearest_in_buckets(radius: int):
-    """Rows ``key, row, fp`` sorted by key -> for each member its nearest earlier one within ``radius``."""
+DEALT = "key long, part long, row long, fp long, comp long, block int"
+#: Distances at which a nearest neighbour is sought, up to the radius.
+LADDER = (0, 2, 4, 8)
+
+
+def _deal(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members ``key, row, fp, comp`` of buckets of ``n`` -> the same, by bucket and part.
+
+    A bucket over ``SPLIT`` is cut into blocks, and each pair of blocks is a part: every
+    two members meet in one, and no task holds more than two blocks.
+    """
+    n_blocks = F.ceil(F.col("n") / F.lit(SPLIT)).cast("int")
+    held = rows.join(sizes, "key").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    other = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")
+    dealt = other.select("key", part.alias("part"), "row", "fp", "comp", "block")
+    return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "row")
+
+
+def _pairs_in_buckets(radius: int, every: bool):
+    """Sorted parts -> ``a, b, key, step``: pairs (b the earlier row) within ``radius`` that are
+    in different components; for each member one that is nearest, or ``every`` pair."""
+    ladder = [*[r for r in LADDER if r < radius], radius]
+
+    def pairs(members: list[tuple], single: bool) -> Iterator[tuple[int, int, int]]:
+        slices, own, of_block = BitSlices([m[1] & 0xFFFFFFFFFFFFFFFF for m in members]), {}, {}
+        for i, m in enumerate(members):
+            own[m[2]] = own.get(m[2], 0) | 1 << i
+            of_block[m[3]] = of_block.get(m[3], 0) | 1 << i
+        for i, (row, fp, comp, block) in enumerate(members):
+            among = ((1 << i) - 1) & ~own[comp]
+            if not single:  # members of one block meet in the part of that block alone
+                among &= ~of_block[block]
+            if not among:
+                continue
+            for step, r in enumerate([radius] if every else ladder):
+                if found := slices.near(fp & 0xFFFFFFFFFFFFFFFF, r, among):
+                    while found:
+                        j = found.bit_length() - 1
+                        yield row, members[j][0], step
+                        found = found ^ 1 << j if every else 0
+                    break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members = None, []
-
-        def pairs() -> pa.RecordBatch:
-            prints = [fp & 0xFFFFFFFFFFFFFFFF for _, fp in members]
-            slices, out = BitSlices(prints), []
-            for i in range(1, len(prints)):
-                among, found = (1 << i) - 1, 0
-                for r in (0, 2, 4, 8, radius):  # the closest are the likeliest to pass verification
-                    if found := slices.near(prints[i], min(r, radius), among):
-                        break
-                if found:
-                    j = found.bit_length() - 1
-                    out.append((members[i][0], members[j][0]))
-            return pa.RecordBatch.from_arrays([pa.array([max(p) for p in out], pa.int64()), pa.array([min(p) for p in out], pa.int64())], ["a", "b"])
+        out: list[list[int]] = [[], [], [], []]
+
+        def end_part() -> Iterator[pa.RecordBatch]:
+            if len(members) > 1:
+                single = len({m[3] for m in members}) == 1
+                for a, b, step in pairs(members, single):
+                    for column, x in zip(out, (a, b, now[0], step), strict=True):
+                        column.append(x)
+                    if len(out[0]) >= 50_000:
+                        yield flush()
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "key", "step"])
+            for column in out:
+                column.clear()
+            return batch
 
         for batch in batches:
-            for key, row, fp in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != now:
-                    if len(members) > 1:
-                        yield pairs()
-                    now, members = key, []
-                members.append((row, fp))
-        if len(members) > 1:
-            yield pairs()
+            for key, part, *member in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, part) != now:
+                    yield from end_part()
+                    now, members = (key, part), []
+                members.append(tuple(member))
+        yield from end_part()
+        yield flush()
 
     return run
 
@@ -300,29 +345,58 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
     """``row, root`` of every row that has a near-duplicate: word-shingle sets with a
     Jaccard similarity of at least ``similarity``, grouped over chains of links.
 
-    Rows meet under MinHash keys of their shingles; within a bucket, bit-sliced SimHash
-    comparison links each with its nearest earlier neighbour within ``radius`` bits
-    (a similarity of 0.8 moves 10 bits of 64 on average, three deviations are 19), and
-    every link is verified on the shingle sets. ``row_col`` must be a stable, unique long.
+    Rows meet under MinHash keys of their shingles. Within a bucket, bit-sliced SimHash
+    comparison finds candidates within ``radius`` bits (a similarity of 0.8 moves 10 bits
+    of 64 on average, three deviations are 19), and each is verified on the shingle sets.
+    A round verifies for each row only the nearest earlier one that is not in its
+    component yet; when a round connects nothing more, all pairs of a bucket that are
+    still in different components are verified. So no link of a bucket is lost, and the
+    groups do not depend on row numbers. ``row_col`` must be a stable, unique long.
 
     Null and empty texts have no near-duplicates; a text shorter than a shingle is one
-    shingle. Equal texts are near-duplicates. An empty table gives no rows.
+    shingle. Equal texts are near-duplicates. Columns not named are not read. An empty
+    table gives no rows.
     """
     src = pick(df, row=row_col, text_=text_col)
     sketched = table(src.mapInArrow(_sketch(shingle, BANDS, BAND_ROWS), SKETCH), "sketches")
-    rows = sketched.select("row", "fp", F.explode("keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    dealt = rows.join(shared, "key").select("key", "row", "fp").repartition("key").sortWithinPartitions("key", "row")
-    links = stored(dealt.mapInArrow(_nearest_in_buckets(radius), "a long, b long").distinct())
-    linked = stored(links.select(F.col("a").alias("row")).union(links.select("b")).distinct())
+    members = sketched.select("row", "fp", F.explode("keys").alias("key"))
+    shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = table(members.join(few(shared.select("key")), "key", "left_semi"), "buckets")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "set"])
 
-    shingles = table(src.join(few(linked), "row", "left_semi").mapInArrow(sets, "row long, set array<long>"), "shingle-sets")
-    one, two = shingles.select(F.col("row").alias("a"), F.col("set").alias("x")), shingles.select(F.col("row").alias("b"), F.col("set").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    near = links.join(one, "a").join(two, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
-    return components(near).withColumnRenamed("node", "row")
+    def verified(pairs: DataFrame) -> DataFrame:
+        some = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
+        shingles = table(src.join(few(some), "row", "left_semi").mapInArrow(sets, "row long, set array<long>"), "shingle-sets")
+        one, two = shingles.select(F.col("row").alias("a"), F.col("set").alias("x")), shingles.select(F.col("row").alias("b"), F.col("set").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return stored(pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"))
+
+    spark = df.sparkSession
+    links, tested = [], []
+    roots = spark.createDataFrame([], "node long, root long")
+    every = False
+    while True:
+        # buckets whose members are not all in one component
+        now = members.join(few(roots), members.row == roots.node, "left").select("key", "row", "fp", F.coalesce("root", "row").alias("comp"))
+        open_ = stored(now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n"))
+        found = _deal(now, open_).mapInArrow(_pairs_in_buckets(radius, every), "a long, b long, key long, step long")
+        pairs = (found if every else found.groupBy("a", "key").agg(F.min(F.struct("step", "b")).alias("x")).select("a", "x.b")).select("a", "b").distinct()
+        for old in tested:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = stored(pairs)
+        near = verified(pairs)
+        tested.append(pairs)
+        links.append(near)
+        grown = not near.isEmpty()
+        if grown:
+            whole = links[0]
+            for more in links[1:]:
+                whole = whole.union(more)
+            roots = stored(components(whole))
+        if every:
+            return roots.withColumnRenamed("node", "row")
+        every = not grown

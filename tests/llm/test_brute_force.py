@@ -163,13 +163,48 @@ def test_packing(spark, folder, frame):
 
 
 def test_sum_of_squares_rule():
-    packer = packing.SumOfSquares(window=8)
-    for n in (3, 3, 5, 5, 2, 1, 7, 8, 20):
-        packer.add("d", b"\0\0\0\0" * n)
-    packer.close()
-    windows = packer.drain()
-    lengths = [sum(len(p[2]) // 4 for p in w) for w in windows]
-    assert sum(lengths) == 54 and all(n <= 8 and n & (n - 1) == 0 for n in lengths) and lengths.count(8) >= 6
+    """Each document goes where the sum of squared counts becomes smallest, of equals to the fullest level."""
+    rng = np.random.default_rng(4)
+    packer = packing.SumOfSquares(window=64, steps=8)
+    packer.add("donor", bytes(4 * 63))
+    for _ in range(400):
+        if packer.donor is None:
+            packer.add("donor", bytes(4 * 63))
+        n = int(rng.integers(1, 64))
+        units, before = -(-n // 8), list(packer.counts)
+        sums = {}
+        for h in [h for h in range(1, 8) if before[h] and h + units <= 8] + [0] * (units < 8):
+            after = list(before)
+            after[h] -= h > 0
+            after[h + units] += h + units < 8
+            sums[h] = sum(x * x for x in after)
+        best = max((h for h, x in sums.items() if x == min(sums.values())), default=None)
+        packer.add("d", bytes(4 * n))
+        if best is None:  # as long as a window: nothing to choose
+            continue
+        want = list(before)
+        want[best] -= best > 0
+        want[best + units] += best + units < 8
+        assert packer.counts[:8] == want[:8] and packer.n_open == sum(packer.counts)
+    packer.finish()
+    lengths = [sum(p[2] for p in w) for w in packer.drain()]
+    assert all(n <= 64 and n & (n - 1) == 0 for n in lengths) and sum(n < 64 for n in lengths) <= 6
+    assert packer.placed > 0.9 * (packer.placed + packer.merged)
+
+
+def test_open_windows_are_bounded():
+    """Documents of which no two fit a window are cut once too many windows are open."""
+    packer = packing.SumOfSquares(limit=40)
+    for k in range(2000):
+        packer.add(k, bytes(4 * 1100))
+        assert packer.n_open <= 42
+    packer.finish()
+    pieces = sorted((p[0], p[1], p[2]) for w in packer.drain() for p in w)
+    at = {}
+    for d, start, n in pieces:
+        assert at.get(d, 0) == start
+        at[d] = start + n
+    assert at == dict.fromkeys(range(2000), 1100)
 
 
 def test_colliding_digests_are_told_apart(one_text, frame):
