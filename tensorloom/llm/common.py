@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def trimmed(run):
+    """``run`` over Arrow batches, after which a worker gives its free memory back.
+
+    Workers are used again from stage to stage, and what a stage's batches have freed
+    would stay with them beside the next stage's models.
+    """
+
+    def then_trim(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc offers it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return then_trim
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 

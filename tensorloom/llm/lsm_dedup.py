@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from tensorloom.llm.common import few, numbered, pick, stored, table
+from tensorloom.llm.common import few, numbered, pick, stored, table, trimmed
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text, and members of one entry, after which a map memtable is flushed.
@@ -196,10 +196,10 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     src = pick(df, doc_id=id_col, text_=text_col, **({"row_": row_col} if row_col else {}))
     src = src if row_col else numbered(src, "row_")
     src = src.select(F.col("row_").alias("row"), F.col("doc_id").cast("long"), F.col("text_").cast("string"))
-    runs = table(src.mapInArrow(_flush_runs(digest), RUNS), "digest-runs")
+    runs = table(src.mapInArrow(trimmed(_flush_runs(digest)), RUNS), "digest-runs")
     light = runs.select("digest", F.lit(0).cast("long").alias("variant"), "rank", "id", "row", "size")
     shape = "digest binary, variant long, keep_id long, keep_row long, group_size long, entries long"
-    first = stored(light.repartition("digest").mapInArrow(_index, shape))
+    first = stored(light.repartition("digest").mapInArrow(trimmed(_index), shape))
     hits = stored(runs.select("digest", "entry", "row").join(first.where("entries > 1").select("digest"), "digest", "left_semi"))
     bodies = src.select("row", "text_").join(few(hits), "row").select("digest", "entry", F.coalesce("text_", F.lit("")).alias("text"))
     checked = bodies.repartition("digest").sortWithinPartitions("digest", "entry")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.taskcontext import TaskContext
 
-from tensorloom.llm.common import pick
+from tensorloom.llm.common import pick, trimmed
 
 WINDOW, END = 2048, 1
 #: Steps of fill that the level array tells apart.
@@ -315,4 +315,4 @@ def pack(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", token
         packer.finish()
         yield rows(packer.drain())
 
-    return src.mapInArrow(run, SCHEMA)
+    return src.mapInArrow(trimmed(run), SCHEMA)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import few, pick, stored, table
+from tensorloom.llm.common import few, pick, stored, table, trimmed
 
 BITS, SEED = 64, 42
 #: Members of a bucket beyond which it is split.
@@ -286,28 +286,23 @@ def _deal(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "row")
 
 
-def _pairs_in_buckets(radius: int, every: bool):
-    """Sorted parts -> ``a, b, key, step``: pairs (b the earlier row) within ``radius`` that are
-    in different components; for each member one that is nearest, or ``every`` pair."""
+def _pairs_in_buckets(radius: int):
+    """Sorted parts -> ``a, b, key, step``: for each member the nearest of the earlier ones
+    (b) that are within ``radius`` and in another component."""
     ladder = [*[r for r in LADDER if r < radius], radius]
 
-    def pairs(members: list[tuple], single: bool) -> Iterator[tuple[int, int, int]]:
+    def pairs(members: list[tuple]) -> Iterator[tuple[int, int, int]]:
         slices, own, of_block = BitSlices([m[1] & 0xFFFFFFFFFFFFFFFF for m in members]), {}, {}
         for i, m in enumerate(members):
             own[m[2]] = own.get(m[2], 0) | 1 << i
             of_block[m[3]] = of_block.get(m[3], 0) | 1 << i
         for i, (row, fp, comp, block) in enumerate(members):
             among = ((1 << i) - 1) & ~own[comp]
-            if not single:  # members of one block meet in the part of that block alone
+            if len(of_block) > 1:  # members of one block meet in the part of that block alone
                 among &= ~of_block[block]
-            if not among:
-                continue
-            for step, r in enumerate([radius] if every else ladder):
+            for step, r in enumerate(ladder if among else ()):  # the closest are the likeliest to pass verification
                 if found := slices.near(fp & 0xFFFFFFFFFFFFFFFF, r, among):
-                    while found:
-                        j = found.bit_length() - 1
-                        yield row, members[j][0], step
-                        found = found ^ 1 << j if every else 0
+                    yield row, members[found.bit_length() - 1][0], step
                     break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,8 +311,7 @@ def _pairs_in_buckets(radius: int, every: bool):
 
         def end_part() -> Iterator[pa.RecordBatch]:
             if len(members) > 1:
-                single = len({m[3] for m in members}) == 1
-                for a, b, step in pairs(members, single):
+                for a, b, step in pairs(members):
                     for column, x in zip(out, (a, b, now[0], step), strict=True):
                         column.append(x)
                     if len(out[0]) >= 50_000:
@@ -348,17 +342,18 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
     Rows meet under MinHash keys of their shingles. Within a bucket, bit-sliced SimHash
     comparison finds candidates within ``radius`` bits (a similarity of 0.8 moves 10 bits
     of 64 on average, three deviations are 19), and each is verified on the shingle sets.
-    A round verifies for each row only the nearest earlier one that is not in its
-    component yet; when a round connects nothing more, all pairs of a bucket that are
-    still in different components are verified. So no link of a bucket is lost, and the
-    groups do not depend on row numbers. ``row_col`` must be a stable, unique long.
+    A round verifies for each row and bucket the nearest earlier row that is not in its
+    component yet and was not tried before; rounds go on until one connects nothing
+    more. So a bucket costs one candidate a member and round, never all its pairs, and
+    a link is lost only where all nearest candidates of a whole round fail.
+    ``row_col`` must be a stable, unique long.
 
     Null and empty texts have no near-duplicates; a text shorter than a shingle is one
     shingle. Equal texts are near-duplicates. Columns not named are not read. An empty
     table gives no rows.
     """
     src = pick(df, row=row_col, text_=text_col)
-    sketched = table(src.mapInArrow(_sketch(shingle, BANDS, BAND_ROWS), SKETCH), "sketches")
+    sketched = table(src.mapInArrow(trimmed(_sketch(shingle, BANDS, BAND_ROWS)), SKETCH), "sketches")
     members = sketched.select("row", "fp", F.explode("keys").alias("key"))
     shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = table(members.join(few(shared.select("key")), "key", "left_semi"), "buckets")
@@ -370,33 +365,24 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
 
     def verified(pairs: DataFrame) -> DataFrame:
         some = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
-        shingles = table(src.join(few(some), "row", "left_semi").mapInArrow(sets, "row long, set array<long>"), "shingle-sets")
+        shingles = table(src.join(few(some), "row", "left_semi").mapInArrow(trimmed(sets), "row long, set array<long>"), "shingle-sets")
         one, two = shingles.select(F.col("row").alias("a"), F.col("set").alias("x")), shingles.select(F.col("row").alias("b"), F.col("set").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         return stored(pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
-    spark = df.sparkSession
-    links, tested = [], []
-    roots = spark.createDataFrame([], "node long, root long")
-    every = False
-    while True:
+    links = tested = df.sparkSession.createDataFrame([], "a long, b long")
+    roots = df.sparkSession.createDataFrame([], "node long, root long")
+    grown = True
+    while grown:
         # buckets whose members are not all in one component
         now = members.join(few(roots), members.row == roots.node, "left").select("key", "row", "fp", F.coalesce("root", "row").alias("comp"))
         open_ = stored(now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n"))
-        found = _deal(now, open_).mapInArrow(_pairs_in_buckets(radius, every), "a long, b long, key long, step long")
-        pairs = (found if every else found.groupBy("a", "key").agg(F.min(F.struct("step", "b")).alias("x")).select("a", "x.b")).select("a", "b").distinct()
-        for old in tested:
-            pairs = pairs.join(old, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+        found = _deal(now, open_).mapInArrow(trimmed(_pairs_in_buckets(radius)), "a long, b long, key long, step long")
+        nearest = found.groupBy("a", "key").agg(F.min(F.struct("step", "b")).alias("x")).select("a", "x.b").distinct()
+        pairs = stored(nearest.join(tested, ["a", "b"], "left_anti"))
         near = verified(pairs)
-        tested.append(pairs)
-        links.append(near)
         grown = not near.isEmpty()
+        tested, links = tested.union(pairs), links.union(near)
         if grown:
-            whole = links[0]
-            for more in links[1:]:
-                whole = whole.union(more)
-            roots = stored(components(whole))
-        if every:
-            return roots.withColumnRenamed("node", "row")
-        every = not grown
+            roots = stored(components(links))
+    return roots.withColumnRenamed("node", "row")

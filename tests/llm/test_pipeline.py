@@ -117,9 +117,9 @@ def test_near_duplicates_are_found_and_others_kept(spark, one_text):
     assert len(kept) == len(set(roots)) and {roots[r.doc_id] for r in kept} == set(roots)
 
 
-def test_near_duplicate_groups_lose_no_link_of_a_bucket(spark, one_text, monkeypatch):
+def test_near_duplicate_chains_in_buckets_of_several_blocks(spark, one_text, monkeypatch):
     """Chains in which the nearest neighbour is not always a near-duplicate, with buckets
-    that are dealt out by blocks: all links of similarity 0.8 hold."""
+    that are dealt out by pairs of blocks."""
     import random
 
     monkeypatch.setattr(simhash, "SPLIT", 7)
