@@ -6,6 +6,11 @@ strings its anchor stands for, and only fragments whose anchor occurs more than
 are dealt out, by anchor. Strings that repeat meet in one task there, and equal
 fragments were counted and merged before.
 
+Passages of more than ``WORDS`` words that stand in another text too are told apart by
+the same sort, as a passage may be shorter than ``LENGTH`` bytes: units of 51 words,
+which start at a word, have anchors as well, and where two neighbours in the order
+agree over a whole unit, it is repeated.
+
 A task joins fragments to blocks of bounded size and sorts each block's suffixes:
 those smaller than their successor directly, all others by scanning the buckets of
 first symbols in order and placing each entry's predecessor. Common prefixes of
@@ -16,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import pick, stored, table
+from tensorloom.llm.common import pick, stored, table, trimmed
 
 LENGTH, GRAM = 400, 64
+#: A passage has more words than this.
+WORDS = 50
 #: Bytes of texts hashed at once, and of fragments in a suffix array.
 CHUNK, BLOCK = 2 << 20, 1 << 20
 #: Occurrences of an anchor beyond which its fragments are dealt out by more of their bytes.
 HOT = 2000
+#: Occurrences beyond which each string of a fragment is dealt out by itself, by its hash.
+HOTTER = 100_000
+#: Hashes with more than this part of all anchors are looked up in a broadcast table, of as many rows at most.
+HEAVY = 10_000
 #: Steps in which a fragment is cut finer: strings that start within so many bytes share a core.
 CORES = (48, 6, 1)
 
@@ -51,32 +63,77 @@ def _doubled(symbols: np.ndarray, top: int) -> list[np.ndarray]:
     return out
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors: grams that are least, rightmost of equals, in some ``length``-byte
-    string within a text; ``ends``: where each text ends in ``data``. Returns their
-    places, the first and last start of the strings they stand for, and their hashes.
-    Each string has one anchor."""
-    starts = np.concatenate(([0], ends[:-1]))
-    left = np.repeat(ends, ends - starts) - np.arange(len(data))
-    good = left >= length
-    if not good.any():
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def word_units(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, edges: np.ndarray, length: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the units in the segments ``begins`` to ``ends`` of ``raw``.
+
+    A unit starts at a word and has ``words + 1`` words, or ``length`` bytes if those are
+    fewer. ``edges``: bit 1 if a segment's first byte cannot continue a word, bit 2 if its
+    last byte cannot be continued.
+    """
+    solid = np.zeros(len(raw) + 2, dtype=bool)
+    for_segment = np.zeros(len(raw) + 1, dtype=np.int64)
+    np.add.at(for_segment, begins, 1)
+    np.add.at(for_segment, ends, -1)
+    solid[1:-1] = ~_SPACE[raw] & (np.cumsum(for_segment)[:-1] > 0)
+    head, tail = np.zeros(len(raw) + 1, dtype=bool), np.zeros(len(raw) + 1, dtype=bool)
+    head[begins] = tail[ends] = True
+    starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | head[:-1]))
+    stops = np.flatnonzero(solid[1:-1] & (~solid[2:] | tail[1:])) + 1
+    if not len(starts):
+        return starts, starts
+    segment = np.searchsorted(ends, starts, side="right")
+    last = np.minimum(np.arange(len(starts)) + words, len(starts) - 1)
+    whole = (np.arange(len(starts)) + words < len(starts)) & (segment[last] == segment) & ((stops[last] < ends[segment]) | (edges[segment] & 2 > 0))
+    span = np.where(whole, stops[last] - starts, length + 1)
+    size = np.where(span <= length, span, np.where(ends[segment] - starts >= length, length, 0))
+    ok = (size > 0) & ((starts > begins[segment]) | (edges[segment] & 1 > 0))
+    return starts[ok], size[ok]
+
+
+def _least_in(least: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """Minimum of ``least[start : start + width]`` for each."""
+    out, now = np.empty(len(starts), dtype=least.dtype), least.copy()
+    level, k = np.log2(widths).astype(np.int64), 0
+    while True:
+        here = np.flatnonzero(level == k)
+        out[here] = np.minimum(now[starts[here]], now[starts[here] + widths[here] - (1 << k)])
+        if not (level > k).any():
+            return out
+        now[: -(1 << k)] = np.minimum(now[: -(1 << k)], now[1 << k :])
+        k += 1
+
+
+def anchors(data: np.ndarray, ends: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: int = GRAM, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors: grams that are least, rightmost of equals, in some ``length``-byte string
+    or word unit within a text; ``ends``: where each text ends in ``data``. Returns their
+    places, where the strings they stand for begin and end, and their hashes. Each
+    string and each unit has one anchor."""
+    begins = np.concatenate(([0], ends[:-1]))
+    left = np.repeat(ends, ends - begins) - np.arange(len(data))
+    start = np.flatnonzero(left >= length)
+    unit, size = word_units(data, begins, ends, edges, length, words)
+    if not len(start) and not len(unit):
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none.astype(np.uint64)
     h = _doubled(data, gram.bit_length() - 1)[-1]
     mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    bits = np.uint64(24)
+    bits, low = np.uint64(24), np.uint64((1 << 24) - 1)
     assert len(data) < 1 << 24
-    least = (mixed >> bits << bits) | (np.uint64((1 << 24) - 1) - np.arange(len(data), dtype=np.uint64))
-    width, at = length - gram + 1, 1
-    while 2 * at <= width:
-        least[:-at] = np.minimum(least[:-at], least[at:])
-        at *= 2
-    if at < width:
-        least = np.minimum(least[: len(least) - (width - at)], least[width - at :])
-    start = np.flatnonzero(good[: len(least)])
-    place = (np.uint64((1 << 24) - 1) - (least[start] & np.uint64((1 << 24) - 1))).astype(np.int64)
-    new = np.concatenate((np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))), [len(place)]))
-    return place[new[:-1]], start[new[:-1]], start[new[1:] - 1], h[place[new[:-1]]]
+    least = (mixed >> bits << bits) | (low - np.arange(len(data), dtype=np.uint64))
+    found = []
+    for first, n in ((start, np.full(len(start), length)), (unit, size)):
+        if len(first):
+            place = (low - (_least_in(least, first, n - gram + 1) & low)).astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+            found.append((place[new], first[new], np.maximum.reduceat(first + n, new)))
+    place, lo, end = (np.concatenate([x[k] for x in found]) for k in range(3))
+    order = np.argsort(place, kind="stable")
+    place, lo, end = place[order], lo[order], end[order]
+    new = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+    return place[new], np.minimum.reduceat(lo, new), np.maximum.reduceat(end, new), h[place[new]]
 
 
 def suffix_array(symbols: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -168,40 +225,87 @@ def _ranks(symbols: np.ndarray, reach: np.ndarray, places: np.ndarray) -> np.nda
     return rank[same]
 
 
-def repeated(fragments: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each fragment and start: whether its ``length`` bytes occur at another place too.
+class Fragment(NamedTuple):
+    """A distinct fragment: its bytes, where its anchor is, how often it occurs, ``edges``
+    as in ``word_units``, and the text it is of, or None if it is of several."""
 
-    ``counts``: how often a fragment stands for an equal one.
-    """
-    sizes = np.array([len(f) for f in fragments])
-    marks = [np.full(max(0, s - length + 1), c > 1) for s, c in zip(sizes.tolist(), counts, strict=True)]
+    body: bytes
+    lead: int
+    times: int
+    edges: int
+    owner: int | None
+
+
+#: For each start whether its ``length`` bytes are repeated, and the repeated units' starts and ends.
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def all_of(f: Fragment, length: int, words: int) -> Found:
+    """What is known of a fragment by itself: all of it is repeated if it occurs more than once."""
+    mark = np.full(max(0, len(f.body) - length + 1), f.times > 1)
+    none = np.zeros(0, dtype=np.int64)
+    if f.owner is not None:
+        return mark, none, none
+    start, size = word_units(np.frombuffer(f.body, dtype=np.uint8), np.array([0]), np.array([len(f.body)]), np.array([f.edges]), length, words)
+    return mark, start, start + size
+
+
+def repeated(fragments: list[Fragment], length: int = LENGTH, words: int = WORDS) -> list[Found]:
+    """For each fragment which starts have ``length`` bytes that occur at another place
+    too, and which units occur in another text."""
+    sizes = np.array([len(f.body) for f in fragments])
+    marks = [np.full(max(0, len(f.body) - length + 1), f.times > 1) for f in fragments]
     n = int(sizes.sum()) + len(fragments)
-    symbols = np.zeros(n, dtype=np.int64)
     begins = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    raw = np.frombuffer(b"\0".join(fragments) + b"\0", dtype=np.uint8)
-    symbols[:] = raw.astype(np.int64) + 1
+    raw = np.frombuffer(b"\0".join([f.body for f in fragments]) + b"\0", dtype=np.uint8)
+    symbols = raw.astype(np.int64) + 1
     symbols[begins + sizes] = 0
     left = np.repeat(begins + sizes, sizes + 1) - np.arange(n)
     with np.errstate(over="ignore"):
         order = suffix_array(symbols, np.minimum(left, length))
     # common prefixes of neighbours, eight bytes at a time
-    words = np.zeros(n, dtype=np.uint64)
+    eight = np.zeros(n, dtype=np.uint64)
     for k in range(8):
-        words = words << np.uint64(8) | np.concatenate((raw[k:], np.zeros(k, dtype=np.uint8)))[:n].astype(np.uint64)
+        eight = eight << np.uint64(8) | np.concatenate((raw[k:], np.zeros(k, dtype=np.uint8)))[:n].astype(np.uint64)
+
+    def agree(a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs whose first ``size`` bytes (eight at least) are equal."""
+        pair = np.arange(len(a))
+        for k in range(0, length, 8):
+            step = np.minimum(k, size[pair] - 8)
+            pair = pair[eight[a[pair] + step] == eight[b[pair] + step]]
+        return pair
+
     a, b = order[:-1], order[1:]
     ok = (left[a] >= length) & (left[b] >= length)
     a, b = a[ok], b[ok]
-    for k in range(0, length - 7, 8):
-        same = words[a + k] == words[b + k]
-        a, b = a[same], b[same]
-    if length % 8:
-        same = words[a + length - 8] == words[b + length - 8]
-        a, b = a[same], b[same]
+    same = agree(a, b, np.full(len(a), length))
     found = np.zeros(n, dtype=bool)
-    found[a] = found[b] = True
+    found[a[same]] = found[b[same]] = True
     for k, mark in enumerate(marks):
         mark |= found[begins[k] : begins[k] + len(mark)]
-    return marks
+
+    start, size = word_units(raw, begins, begins + sizes, np.array([f.edges for f in fragments]), length, words)
+    need = np.zeros(n, dtype=np.int64)
+    need[start] = size
+    unit = order[need[order] > 0]
+    owner = np.array([0 if f.owner is None else f.owner for f in fragments], dtype=np.int64)
+    several = np.array([f.owner is None for f in fragments])
+    hit = np.zeros(n, dtype=bool)
+    if len(unit):
+        a, b = unit[:-1], unit[1:]
+        level = np.flatnonzero(need[a] == need[b])
+        linked = np.zeros(len(unit), dtype=bool)
+        linked[1 + level[agree(a[level], b[level], need[a[level]])]] = True
+        first = np.flatnonzero(~linked)
+        of = np.searchsorted(begins, unit, side="right") - 1
+        shared = (np.minimum.reduceat(owner[of], first) != np.maximum.reduceat(owner[of], first)) | np.maximum.reduceat(several[of], first)
+        hit[unit] = shared[np.cumsum(~linked) - 1]
+    out = []
+    for k, mark in enumerate(marks):
+        at = np.flatnonzero(hit[begins[k] : begins[k] + sizes[k]])
+        out.append((mark, at, at + need[begins[k] + at]))
+    return out
 
 
 def cores(fragment: bytes, lead: int, step: int, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, bytes, bytes]]:
@@ -212,34 +316,56 @@ def cores(fragment: bytes, lead: int, step: int, length: int = LENGTH, gram: int
     """
     shift = length - gram - lead  # 0 for a fragment that no text end has shortened
     last = len(fragment) - length
+    if last < 0:  # it holds units only
+        return
     for k in range(shift // step, (last + shift) // step + 1):
         begin, end = k * step - shift, k * step + step - 1 - shift
         at = max(0, begin)
         yield at, fragment[at : min(end, last) + length], k.to_bytes(4, "little", signed=True) + fragment[end : begin + length]
 
 
-def repeated_in_group(fragments: list[bytes], leads: list[int], counts: list[int], length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, steps: tuple[int, ...] = CORES) -> list[np.ndarray]:
-    """As ``repeated``, for fragments of one anchor, which is at ``leads`` in them.
+def repeated_in_group(fragments: list[Fragment], length: int = LENGTH, gram: int = GRAM, words: int = WORDS, block: int = BLOCK, steps: tuple[int, ...] = CORES) -> list[Found]:
+    """As ``repeated``, for fragments of one anchor.
 
     A group larger than a block is first dealt into groups of one core each, whose
-    equal parts are merged; after the last step a part is one string.
+    equal parts are merged; after the last step a part is one string. Units are then
+    looked up by their bytes.
     """
     if len(fragments) == 1:  # its strings have their anchor at different distances, so no two are equal
-        return [np.full(max(0, len(fragments[0]) - length + 1), counts[0] > 1)]
-    if sum(map(len, fragments)) <= block or not steps:
-        return repeated(fragments, counts, length)
-    marks = [np.full(max(0, len(f) - length + 1), c > 1) for f, c in zip(fragments, counts, strict=True)]
+        return [all_of(fragments[0], length, words)]
+    if sum(len(f.body) for f in fragments) <= block:
+        return repeated(fragments, length, words)
+    out = [all_of(f, length, words) for f in fragments]
+    owners: dict[bytes, set] = {}
+    units = []
+    for f in fragments:
+        start, size = word_units(np.frombuffer(f.body, dtype=np.uint8), np.array([0]), np.array([len(f.body)]), np.array([f.edges]), length, words)
+        units.append([(a, a + n, xxhash.xxh3_128_digest(f.body[a : a + n])) for a, n in zip(start.tolist(), size.tolist(), strict=True)])
+        for _, _, key in units[-1]:
+            owners.setdefault(key, set()).add(f.owner)
+    for k, own in enumerate(units):
+        some = [(a, b) for a, b, key in own if len(owners[key]) > 1 or None in owners[key]]
+        out[k] = (out[k][0], np.array([a for a, _ in some], dtype=np.int64), np.array([b for _, b in some], dtype=np.int64))
+    _mark_strings(fragments, [f[0] for f in out], length, gram, block, steps)
+    return out
+
+
+def _mark_strings(fragments: list[Fragment], marks: list[np.ndarray], length: int, gram: int, block: int, steps: tuple[int, ...]) -> None:
+    """Mark the repeated strings of fragments of one anchor, dealt into groups of one core each."""
     groups: dict[bytes, dict[tuple[bytes, int], list[tuple[int, int]]]] = {}
-    for k, (f, lead) in enumerate(zip(fragments, leads, strict=True)):
-        for at, part, core in cores(f, lead, steps[0], length, gram):
-            groups.setdefault(xxhash.xxh3_128_digest(core), {}).setdefault((part, lead - at), []).append((k, at))
+    for k, f in enumerate(fragments):
+        for at, part, core in cores(f.body, f.lead, steps[0], length, gram):
+            groups.setdefault(xxhash.xxh3_128_digest(core), {}).setdefault((part, f.lead - at), []).append((k, at))
     for same in groups.values():
-        times = [2 if len(v) > 1 or counts[v[0][0]] > 1 else 1 for v in same.values()]
-        found = repeated_in_group([p for p, _ in same], [x for _, x in same], times, length, gram, block, steps[1:])
+        parts = [Fragment(p, lead, 2 if len(v) > 1 or fragments[v[0][0]].times > 1 else 1, 0, 0) for (p, lead), v in same.items()]
+        found = [np.full(len(p.body) - length + 1, p.times > 1) for p in parts]
+        if len(parts) > 1 and sum(len(p.body) for p in parts) > block and len(steps) > 1:
+            _mark_strings(parts, found, length, gram, block, steps[1:])
+        elif len(parts) > 1:
+            found = [x[0] for x in repeated(parts, length, 1 << 30)]
         for where, mark in zip(same.values(), found, strict=True):
             for k, at in where:
                 marks[k][at : at + len(mark)] |= mark
-    return marks
 
 
 def _runs(mark: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -248,83 +374,93 @@ def _runs(mark: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1 + length) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-ANCHORS = ["k1", "k2", "id", "lo", "hi", "lead", "hashes"]
+ANCHORS = ["k1", "k2", "id", "lo", "end", "lead", "hashes"]
+#: Kinds of rows: a fragment with its two edge bits, a single string, a single unit.
+STRING, UNIT = 4, 8
+
 
+def _edges(body: bytes, lo: int, end: int) -> int:
+    return int(lo == 0 or _SPACE[body[lo - 1]]) | 2 * int(end == len(body) or _SPACE[body[end]] or _SPACE[body[end - 1]])
 
-def _find_anchors(length: int, gram: int):
-    """Rows ``k1, k2, id, text`` -> ``k1, k2, id`` and arrays of first and last start, anchor from there, and hash; texts without an anchor give none."""
+
+def _find_anchors(length: int, gram: int, words: int):
+    """Rows ``k1, k2, id, text`` -> ``k1, k2, id`` and arrays of start, end, anchor from there, and hash; texts without an anchor give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(keys: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
+        def found(keys: list[tuple], texts: list[bytes], edges: list[int], move: int = 0) -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts])
             ends = np.cumsum(sizes)
             with np.errstate(over="ignore"):
-                place, lo, hi, h = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8).astype(np.int64), ends, length, gram)
+                place, lo, end, h = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), ends, np.array(edges), length, gram, words)
             owner = np.searchsorted(ends, place, side="right")
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-            base = (ends - sizes)[owner]
+            base = (ends - sizes)[owner] - move
             some = [k for k in range(len(texts)) if cut[k + 1] > cut[k]]
             columns = [pa.array([keys[k][i] for k in some], pa.int64()) for i in range(3)]
-            columns += [pa.array([x[cut[k] : cut[k + 1]] for k in some], pa.list_(pa.int64())) for x in (lo - base, hi - base, place - lo, h.view(np.int64))]
+            columns += [pa.array([x[cut[k] : cut[k + 1]] for k in some], pa.list_(pa.int64())) for x in (lo - base, end - base, place - lo, h.view(np.int64))]
             return pa.RecordBatch.from_arrays(columns, ANCHORS)
 
         for batch in batches:
             keys, texts, held = [], [], 0
             for k1, k2, doc_id, text in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3), strict=True):
                 body = text.as_py().encode()
-                if len(body) < length:
-                    continue
-                for at in range(0, len(body), CHUNK):  # a very long text in pieces that overlap by one string
-                    piece = body[at : at + CHUNK + length - 1]
-                    if at:
-                        yield from _long(k1, k2, doc_id, at, piece, found) if len(piece) >= length else ()
-                        continue
+                if len(body) <= CHUNK:
                     keys.append((k1, k2, doc_id))
-                    texts.append(piece)
-                    held += len(piece)
+                    texts.append(body)
+                    held += len(body)
+                else:
+                    for at in range(0, len(body), CHUNK):  # a very long text in pieces that overlap by one string
+                        end = min(len(body), at + CHUNK + length - 1)
+                        yield found([(k1, k2, doc_id)], [body[at:end]], [_edges(body, at, end)], at)
                 if held > CHUNK:
-                    yield found(keys, texts)
+                    yield found(keys, texts, [3] * len(texts))
                     keys, texts, held = [], [], 0
             if texts:
-                yield found(keys, texts)
-
-    def _long(k1, k2, doc_id, at, piece, found) -> Iterator[pa.RecordBatch]:
-        batch = found([(k1, k2, doc_id)], [piece])
-        if batch.num_rows:
-            moved = [pa.array([[x + at for x in batch.column(k)[0].as_py()]], pa.list_(pa.int64())) for k in (3, 4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *moved, *batch.columns[5:]], ANCHORS)
+                yield found(keys, texts, [3] * len(texts))
 
     return run
 
 
-FRAGMENTS = "group binary, digest binary, lead int, body binary, k1 long, k2 long, starts array<long>"
+FRAGMENTS = "group binary, digest binary, lead int, body binary, edges int, k1 long, k2 long, starts array<long>"
 
 
-def _cut_fragments(length: int, gram: int):
+def _cut_fragments(length: int, gram: int, words: int):
     """Rows ``k1, k2, text, found`` (array of anchors) -> fragments, each once a text."""
+    names = [x.split()[0] for x in FRAGMENTS.split(", ")]
+    types = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+    def rows(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+
+    def fragments_of(body: bytes, x: dict) -> Iterator[tuple[tuple, int]]:
+        """(group, body, lead, edges) and the place of each row of an anchor."""
+        at, lead, h = x["lo"], x["lead"], x["hash"].to_bytes(8, "little", signed=True)
+        fragment, edges = body[at : x["end"]], _edges(body, at, x["end"])
+        if x["n"] <= HOT:
+            yield (h, fragment, lead, edges), at
+            return
+        if x["n"] <= HOTTER:
+            for more, part, core in cores(fragment, lead, CORES[0], length, gram):
+                yield (xxhash.xxh3_128_digest(h + core), part, lead - more, 0), at + more
+        else:
+            for k in range(len(fragment) - length + 1):
+                yield (xxhash.xxh3_128_digest(fragment[k : k + length]), b"", length, STRING), at + k
+        start, size = word_units(np.frombuffer(fragment, dtype=np.uint8), np.array([0]), np.array([len(fragment)]), np.array([edges]), length, words)
+        for k, n in zip(start.tolist(), size.tolist(), strict=True):
+            yield (xxhash.xxh3_128_digest(b"unit " + fragment[k : k + n]), b"", n, UNIT), at + k
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in FRAGMENTS.split(", ")]
-        types = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-
-        def rows(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
-
         out, held = [], 0
         for batch in batches:
             for k1, k2, text, found in zip(*[batch.column(k) for k in range(4)], strict=True):
                 body, own = text.as_py().encode(), {}
                 for x in found.as_py():
-                    at, lead, h = x["lo"], x["lead"], x["hash"].to_bytes(8, "little", signed=True)
-                    fragment = body[at : x["hi"] + length]
-                    if x["n"] <= HOT:
-                        own.setdefault((h, fragment, lead), set()).add(at)
-                    else:
-                        for more, part, core in cores(fragment, lead, CORES[0], length, gram):
-                            own.setdefault((xxhash.xxh3_128_digest(h + core), part, lead - more), set()).add(at + more)
-                for (group, fragment, lead), starts in own.items():
-                    out.append((group, xxhash.xxh3_128_digest(fragment), lead, fragment, k1.as_py(), k2.as_py(), sorted(starts)))
-                    held += len(fragment)
+                    for key, at in fragments_of(body, x):
+                        own.setdefault(key, set()).add(at)
+                for (group, fragment, lead, edges), starts in own.items():
+                    digest = xxhash.xxh3_128_digest(fragment + bytes([edges])) if fragment else group
+                    out.append((group, digest, lead, fragment, edges, k1.as_py(), k2.as_py(), sorted(starts)))
+                    held += len(fragment) + 100
                 if held > 8 << 20:
                     yield rows(out)
                     out, held = [], 0
@@ -333,30 +469,48 @@ def _cut_fragments(length: int, gram: int):
     return run
 
 
-def _mark(length: int, gram: int):
-    """Distinct fragments sorted by group -> ``group, digest, lead, spans``."""
+MARKED = "group binary, digest binary, lead int, spans array<struct<lo:long,hi:long,passage:boolean>>"
+
+
+def _mark(length: int, gram: int, words: int):
+    """Distinct fragments ``group, digest, lead, body, edges, times, owner`` sorted by group
+    -> ``group, digest, lead, spans``.
+
+    A group has at most ``HOTTER`` fragments, as the anchors beyond are dealt out by string.
+    """
+    kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("passage", pa.bool_())]))
+
+    def rows(some: list[tuple], found: list[Found]) -> pa.RecordBatch:
+        spans = [
+            [{"lo": a, "hi": b, "passage": False} for a, b in _runs(mark, length)] + [{"lo": a, "hi": b, "passage": True} for a, b in _joined(zip(start.tolist(), end.tolist(), strict=True))]
+            for mark, start, end in found
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.binary()), pa.array([r[1] for r in some], pa.binary()), pa.array([r[2] for r in some], pa.int32()), pa.array(spans, kind)], ["group", "digest", "lead", "spans"])
+
+    def single(row: tuple) -> Found:
+        none = np.zeros(0, dtype=np.int64)
+        if row[4] == STRING:
+            return np.full(1, row[5] > 1), none, none
+        return np.zeros(0, dtype=bool), np.zeros(int(row[6] is None), dtype=np.int64), np.full(int(row[6] is None), row[2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
         block: list[tuple] = []
         group: list[tuple] = []
+        singles: list[tuple] = []
         held = size = 0
-
-        def rows(some: list[tuple], marks: list[np.ndarray]) -> pa.RecordBatch:
-            spans = [[{"lo": a, "hi": b} for a, b in _runs(m, length)] for m in marks]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in some], pa.binary()), pa.array([r[1] for r in some], pa.binary()), pa.array([r[2] for r in some], pa.int32()), pa.array(spans, kind)], ["group", "digest", "lead", "spans"])
+        fragments = lambda some: [Fragment(r[3], r[2], r[5], r[4], r[6]) for r in some]
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal block, held
             if block:
-                yield rows(block, repeated([r[3] for r in block], [r[4] for r in block], length))
+                yield rows(block, repeated(fragments(block), length, words))
             block, held = [], 0
 
         def end_group() -> Iterator[pa.RecordBatch]:
             nonlocal block, held, group, size
             if size > BLOCK or len(group) == 1:  # large groups are split until they fit
-                yield rows(group, repeated_in_group([r[3] for r in group], [r[2] for r in group], [r[4] for r in group], length, gram))
-            else:
+                yield rows(group, repeated_in_group(fragments(group), length, gram, words))
+            elif group:
                 block, held = block + group, held + size
                 if held > BLOCK:
                     yield from flush()
@@ -364,38 +518,62 @@ def _mark(length: int, gram: int):
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[4] >= STRING:
+                    singles.append(row)
+                    continue
                 if group and row[0] != group[0][0]:
                     yield from end_group()
                 group.append(row)
                 size += len(row[3])
+            if singles:
+                yield rows(singles, [single(r) for r in singles])
+                singles = []
         yield from end_group()
         yield from flush()
 
     return run
 
 
-def _remove(with_bytes: bool):
+def _joined(spans) -> list[list[int]]:
+    """Spans as the fewest that cover the same."""
+    merged: list[list[int]] = []
+    for a, b in sorted(spans):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        elif b > a:
+            merged.append([a, b])
+    return merged
+
+
+#: End of the span that stands for a text with copies.
+ALL = 1 << 62
+
+
+def _remove(length: int, words: int, with_bytes: bool):
     """Rows ``doc_id, text, spans`` -> the digest of what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "n_passage_words", "kept"]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                body, merged = text.as_py().encode(), []
-                for x in sorted((s["lo"], min(s["hi"], len(body))) for s in spans.as_py() or ()):
-                    if merged and x[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], x[1])
-                    elif x[1] > x[0]:
-                        merged.append([*x])
+            out: list[list] = [[] for _ in types]
+            for text, found in zip(batch.column(1), batch.column(2), strict=True):
+                body, spans = text.as_py().encode(), found.as_py() or ()
+                merged, passages = ([(s["lo"], s["hi"]) for s in spans if s["passage"] == p] for p in (False, True))
+                if (0, ALL) in merged:
+                    merged = [(0, len(body))] if len(body) >= length else []
+                    passages = [(0, len(body))] if merged or len(body.split()) > words else []
+                merged, passages = _joined(merged), _joined(passages)
                 kept, at = [], 0
                 for a, b in merged:
                     kept.append(body[at:a])
                     at = b
                 left = b"".join([*kept, body[at:]])
-                for column, x in zip(out, (len(body), len(body) - len(left), len(merged), hashlib.sha256(left).hexdigest(), left), strict=True):
+                row = (len(body), len(body) - len(left), len(merged), hashlib.sha256(left).hexdigest(), len(passages), sum(len(body[a:b].split()) for a, b in passages), left)
+                for column, x in zip(out, row, strict=True):
                     column.append(x)
-            columns = [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns[: 4 + with_bytes]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + with_bytes])
+            columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns[: 6 + with_bytes]], names[: 7 + with_bytes])
 
     return run
 
@@ -404,39 +582,59 @@ def _remove(with_bytes: bool):
 SALTS = 32
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, with_bytes: bool = False) -> DataFrame:
-    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and,
-    ``with_bytes``, what is ``kept`` (bytes, as a cut may fall inside a character).
+def _counted(flat: DataFrame) -> DataFrame:
+    """Anchors whose hash occurs more than once, with how often.
+
+    A hash with more than 1 / ``HEAVY`` of all anchors would gather in one task of a join;
+    there are at most ``HEAVY`` such hashes, and those are looked up in a broadcast table.
+    """
+    often = stored(flat.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"))
+    floor = (often.agg(F.sum("n")).first()[0] or 0) / HEAVY
+    heavy = F.broadcast(often.where(F.col("n") > max(HOT, floor)))
+    rest = flat.join(heavy, "hash", "left_anti").join(often.where(F.col("n") <= max(HOT, floor)), "hash")
+    return flat.join(heavy, "hash").unionByName(rest)
+
+
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, words: int = WORDS, with_bytes: bool = False) -> DataFrame:
+    """One row per input row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256,
+    n_passages, n_passage_words`` and, ``with_bytes``, what is ``kept`` (bytes, as a cut may
+    fall inside a character).
 
     Every byte is removed that lies in a string of ``length`` bytes which also starts at
     another place of the input, in the same text or in another; strings do not reach
-    over the ends of texts.
+    over the ends of texts. ``n_passages``: maximal stretches covered by units that also
+    stand in another row; a unit starts at a word and has more than ``words`` words (one
+    more), or ``length`` bytes where those are fewer. ``n_passage_words``: the words in
+    them. Passages are told, not removed.
 
     Null text counts as empty; texts shorter than ``length`` bytes are kept. Texts that
-    occur in several rows are removed from all of them if they are long enough. Null
-    and repeated ids do no harm: texts are told apart by 128 bits of their hash. An
-    empty table gives no rows; columns not named are not read.
+    occur in several rows are removed from all of them if they are long enough, and are
+    one passage if they have a unit's size. Null and repeated ids do no harm, and an id
+    may have any type: texts are told apart by 128 bits of their hash. An empty table
+    gives no rows; columns not named are not read.
     """
+    least = min(length, 2 * words + 1)
+    assert least >= gram, "a string and a unit must have room for a gram"
     src = pick(df, doc_id=id_col, text_=text_col)
-    src = src.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.coalesce(F.col("text_").cast("string"), F.lit("")).alias("text"))
+    src = src.select("doc_id", F.xxhash64("doc_id").alias("id"), F.coalesce(F.col("text_").cast("string"), F.lit("")).alias("text"))
     src = src.select("doc_id", "id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
     # one row stands for all with its text
-    contents = stored(src.where(F.octet_length("text") >= length).groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    kind = "k1 long, k2 long, id long, lo array<long>, hi array<long>, lead array<long>, hashes array<long>"
-    found = table(src.where(F.octet_length("text") >= length).select("k1", "k2", "id", "text").mapInArrow(_find_anchors(length, gram), kind), "anchors")
+    contents = stored(src.where(F.octet_length("text") >= least).groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    kind = "k1 long, k2 long, id long, lo array<long>, end array<long>, lead array<long>, hashes array<long>"
+    found = table(src.where(F.octet_length("text") >= least).select("k1", "k2", "id", "text").mapInArrow(trimmed(_find_anchors(length, gram, words)), kind), "anchors")
     own = found.join(contents.select("k1", "k2", "id"), ["k1", "k2", "id"], "left_semi").dropDuplicates(["k1", "k2", "lo"])
-    flat = own.select("k1", "k2", "id", F.explode(F.arrays_zip("lo", "hi", "lead", F.col("hashes").alias("hash"))).alias("x")).select("k1", "k2", "id", "x.*")
-    often = flat.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    places = flat.join(often, "hash").groupBy("k1", "k2", "id").agg(F.collect_list(F.struct("lo", "hi", "lead", "hash", "n")).alias("found"))
+    flat = own.select("k1", "k2", "id", F.explode(F.arrays_zip("lo", "end", "lead", F.col("hashes").alias("hash"))).alias("x")).select("k1", "k2", "id", "x.*")
+    places = _counted(flat).groupBy("k1", "k2", "id").agg(F.collect_list(F.struct("lo", "end", "lead", "hash", "n")).alias("found"))
     cut = src.select("k1", "k2", "id", "text").join(places, ["k1", "k2", "id"]).select("k1", "k2", "text", "found")
-    fragments = table(cut.mapInArrow(_cut_fragments(length, gram), FRAGMENTS), "fragments")
-    distinct = fragments.groupBy("group", "digest", "lead").agg(F.first("body").alias("body"), F.sum(F.size("starts")).alias("times"))
-    sorted_ = distinct.repartition("group").sortWithinPartitions("group")
-    marked = sorted_.mapInArrow(_mark(length, gram), "group binary, digest binary, lead int, spans array<struct<lo:long,hi:long>>").where(F.size("spans") > 0)
+    fragments = table(cut.mapInArrow(trimmed(_cut_fragments(length, gram, words)), FRAGMENTS), "fragments")
+    distinct = fragments.groupBy("group", "digest", "lead").agg(F.first("body").alias("body"), F.first("edges").alias("edges"), F.sum(F.size("starts")).alias("times"), F.min("k1").alias("lo"), F.max("k1").alias("hi"))
+    distinct = distinct.select("group", "digest", "lead", "body", "edges", "times", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("owner"))
+    marked = distinct.repartition("group").sortWithinPartitions("group").mapInArrow(trimmed(_mark(length, gram, words)), MARKED).where(F.size("spans") > 0)
     spans = fragments.select("group", "digest", "lead", "k1", "k2", "starts").join(marked, ["group", "digest", "lead"])
-    spans = spans.select("k1", "k2", F.explode("starts").alias("at"), "spans").select("k1", "k2", F.explode(F.transform("spans", lambda s: F.struct((s["lo"] + F.col("at")).alias("lo"), (s["hi"] + F.col("at")).alias("hi")))).alias("s"))
+    spans = spans.select("k1", "k2", F.explode("starts").alias("at"), "spans").select("k1", "k2", F.explode(F.transform("spans", lambda s: F.struct((s["lo"] + F.col("at")).alias("lo"), (s["hi"] + F.col("at")).alias("hi"), s["passage"].alias("passage")))).alias("s"))
     single = spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")).join(contents.where("copies = 1"), ["k1", "k2"]).select("k1", "k2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"), "spans")
-    whole = contents.where("copies > 1").select("k1", "k2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(1 << 62).alias("hi"))).alias("spans"))
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(ALL).alias("hi"), F.lit(False).alias("passage")))
+    whole = contents.where("copies > 1").select("k1", "k2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), all_of_it.alias("spans"))
     rows = src.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(single.unionByName(whole), ["k1", "k2", "salt"], "left")
-    shape = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes
-    return rows.select("doc_id", "text", "spans").mapInArrow(_remove(with_bytes), shape)
+    shape = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long" + ", kept binary" * with_bytes
+    return rows.select("doc_id", "text", "spans").mapInArrow(trimmed(_remove(length, words, with_bytes)), shape)

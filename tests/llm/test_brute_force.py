@@ -29,22 +29,38 @@ def fold(doc_id, n, k):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % n == k
 
 
-def removed(texts, length):
-    """Digest columns of suffix_dedup by counting all strings."""
+def removed(texts, length, n_words):
+    """Digest columns of suffix_dedup by counting all strings, and all units of over ``n_words`` words."""
     bodies = [(t or "").encode() for t in texts]
     found = Counter(b[i : i + length] for b in bodies for i in range(len(b) - length + 1))
-    out = []
+    spans = []
     for b in bodies:
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        ends = [at[k + n_words][1] if k + n_words < len(at) else len(b) + length for k in range(len(at))]
+        spans.append([(a, min(e, a + length)) for (a, _), e in zip(at, ends, strict=True) if min(e, a + length) <= len(b)])
+    rows = Counter(u for b, own in zip(bodies, spans, strict=True) for u in {b[i:j] for i, j in own})
+    out = []
+    for b, own in zip(bodies, spans, strict=True):
         mark = np.zeros(len(b) + 1, dtype=bool)
         for i in range(len(b) - length + 1):
             if found[b[i : i + length]] > 1:
                 mark[i : i + length] = True
+        passages = []
+        for i, j in own:
+            if rows[b[i:j]] > 1:
+                if passages and i <= passages[-1][1]:
+                    passages[-1][1] = max(passages[-1][1], j)
+                else:
+                    passages.append([i, j])
+        if bodies.count(b) > 1 and own:  # a copy is one passage from end to end
+            passages = [[0, len(b)]]
         left = bytes(x for x, m in zip(b, mark[:-1], strict=True) if not m)
-        out.append((len(b), int(mark.sum()), int((mark[:-1] & ~np.concatenate(([False], mark[:-2]))).sum()) if b else 0, hashlib.sha256(left).hexdigest()))
+        runs = int((mark[:-1] & ~np.concatenate(([False], mark[:-2]))).sum()) if b else 0
+        out.append((len(b), int(mark.sum()), runs, hashlib.sha256(left).hexdigest(), len(passages), sum(len(b[i:j].split()) for i, j in passages)))
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"HOT": 2, "BLOCK": 300, "CORES": (8, 2, 1), "CHUNK": 512}])
+@pytest.mark.parametrize("limits", [{}, {"HOT": 2, "BLOCK": 300, "CORES": (8, 2, 1), "CHUNK": 512}, {"HOT": 2, "HOTTER": 4, "HEAVY": 8}])
 def test_repeated_passages(one_text, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(suffix_dedup, name, value)
@@ -52,18 +68,27 @@ def test_repeated_passages(one_text, monkeypatch, limits):
     letters = np.array(list("abcde é"))
     text = lambda n: "".join(rng.choice(letters, n))
     shared = [text(n) for n in (30, 40, 45, 60, 120)]
+    phrase = "a be c de fg h ij k lm n o"
     found = [text(rng.integers(60)) + shared[rng.integers(5)] + text(rng.integers(60)) + shared[rng.integers(5)] for _ in range(80)]
-    found += ["a" * 100, "ab" * 400, "a" * 101, None, "", shared[4], shared[4], text(20), *[text(1500)] * 2, "x" + text(900) * 2]
-    got = suffix_dedup.remove_repeats(one_text(*found).repartition(3), length=40, gram=16).collect()
-    assert [tuple(r)[1:] for r in sorted(got)] == removed(found, 40)
+    found += [f"{text(20)} {phrase} {text(rng.integers(30))}" for _ in range(9)] + [phrase, phrase + "x", "x" + phrase, f"{phrase}\n{phrase}"]
+    found += ["a" * 100, "ab" * 400, "a" * 101, None, "", shared[4], shared[4], text(20), *[text(1500)] * 2, "x" + text(900) * 2, "a b c d e f g h i", "a b c d e f g h i"]
+    got = suffix_dedup.remove_repeats(one_text(*found).repartition(3), length=40, gram=16, words=8).collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == removed(found, 40, 8)
 
 
 def test_repeated_passages_of_the_query(spark, folder, frame):
     rows = table(frame)
-    want = Counter((d, *x) for (d, _), x in zip(rows, removed([t for _, t in rows], 400), strict=True))
+    want = Counter((d, *x) for (d, _), x in zip(rows, removed([t for _, t in rows], 400, 50), strict=True))
     assert Counter(tuple(r) for r in QUERIES["op4_suffix_dedup"](spark, folder).collect()) == want
 
 
+def test_repeated_passages_of_given_documents(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = Counter((d, *x) for (d, _), x in zip(rows, removed([t for _, t in rows], 400, 50), strict=True))
+    assert Counter(tuple(r) for r in QUERIES["op4_suffix_dedup"](spark, sf).collect()) == want
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(2)
     for top in (1, 2, 3, 256):
