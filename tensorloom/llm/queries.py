@@ -42,8 +42,8 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = documents(spark, sf_dir), _in_fold(10, 0)
-    scored = pst.score(docs, *pst.train(docs.where(~held_out)))
-    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    scored = pst.score(docs, ~held_out)
+    return scored.select("doc_id", F.col("fold").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
