@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -37,9 +38,9 @@ WORDS = 50
 #: Bytes of texts hashed at once, and of fragments in a suffix array.
 CHUNK, BLOCK = 2 << 20, 1 << 20
 #: Occurrences of an anchor beyond which its fragments are dealt out by more of their bytes.
-HOT = 2000
+HOT = 20_000
 #: Occurrences beyond which each string of a fragment is dealt out by itself, by its hash.
-HOTTER = 100_000
+HOTTER = 1_000_000
 #: Hashes with more than this part of all anchors are looked up in a broadcast table, of as many rows at most.
 HEAVY = 10_000
 #: Steps in which a fragment is cut finer: strings that start within so many bytes share a core.
@@ -75,8 +76,8 @@ def word_units(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, edges: np.
     """
     solid = np.zeros(len(raw) + 2, dtype=bool)
     for_segment = np.zeros(len(raw) + 1, dtype=np.int64)
-    np.add.at(for_segment, begins, 1)
-    np.add.at(for_segment, ends, -1)
+    for_segment[begins] += 1
+    for_segment[ends] -= 1
     solid[1:-1] = ~_SPACE[raw] & (np.cumsum(for_segment)[:-1] > 0)
     head, tail = np.zeros(len(raw) + 1, dtype=bool), np.zeros(len(raw) + 1, dtype=bool)
     head[begins] = tail[ends] = True
@@ -93,47 +94,67 @@ def word_units(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, edges: np.
     return starts[ok], size[ok]
 
 
-def _least_in(least: np.ndarray, starts: np.ndarray, widths: np.ndarray) -> np.ndarray:
-    """Minimum of ``least[start : start + width]`` for each."""
-    out, now = np.empty(len(starts), dtype=least.dtype), least.copy()
+def _least_in(least: np.ndarray, starts: np.ndarray, width: int, others: np.ndarray, widths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Minima of ``least`` over ``width`` places from each of ``starts``, and over ``widths`` from ``others``."""
+    one, two, now = starts[:0].astype(least.dtype), np.empty(len(others), dtype=least.dtype), least.copy()
     level, k = np.log2(widths).astype(np.int64), 0
+    top = max(int(np.log2(width)), int(level.max(initial=0)))
     while True:
+        if k == int(np.log2(width)):
+            one = np.minimum(now[starts], now[starts + (width - (1 << k))])
         here = np.flatnonzero(level == k)
-        out[here] = np.minimum(now[starts[here]], now[starts[here] + widths[here] - (1 << k)])
-        if not (level > k).any():
-            return out
+        two[here] = np.minimum(now[others[here]], now[others[here] + widths[here] - (1 << k)])
+        if k == top:
+            return one, two
         now[: -(1 << k)] = np.minimum(now[: -(1 << k)], now[1 << k :])
         k += 1
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: int = GRAM, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, ends: np.ndarray, edges: np.ndarray, length: int = LENGTH, gram: int = GRAM, words: int = WORDS, before: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchors: grams that are least, rightmost of equals, in some ``length``-byte string
     or word unit within a text; ``ends``: where each text ends in ``data``. Returns their
-    places, where the strings they stand for begin and end, and their hashes. Each
-    string and each unit has one anchor."""
+    places, where the strings and units they stand for begin and end, their hashes, and
+    the ``Starts`` of the strings alone. Each string and each unit has one anchor. Only
+    those that start ``before`` a place are looked at, if one is given."""
     begins = np.concatenate(([0], ends[:-1]))
     left = np.repeat(ends, ends - begins) - np.arange(len(data))
     start = np.flatnonzero(left >= length)
     unit, size = word_units(data, begins, ends, edges, length, words)
+    if before is not None:
+        start, unit, size = start[start < before], unit[unit < before], size[unit < before]
     if not len(start) and not len(unit):
         none = np.zeros(0, dtype=np.int64)
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     h = _doubled(data, gram.bit_length() - 1)[-1]
     mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     bits, low = np.uint64(24), np.uint64((1 << 24) - 1)
     assert len(data) < 1 << 24
     least = (mixed >> bits << bits) | (low - np.arange(len(data), dtype=np.uint64))
     found = []
-    for first, n in ((start, np.full(len(start), length)), (unit, size)):
+    for kind, first, n, minimum in zip((0, 1), (start, unit), (length, size), _least_in(least, start, length - gram + 1, unit, size - gram + 1), strict=True):
         if len(first):
-            place = (low - (_least_in(least, first, n - gram + 1) & low)).astype(np.int64)
+            place = (low - (minimum & low)).astype(np.int64)
             new = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            found.append((place[new], first[new], np.maximum.reduceat(first + n, new)))
-    place, lo, end = (np.concatenate([x[k] for x in found]) for k in range(3))
+            lo, hi = first[new], np.maximum.reduceat(first, new) + 1
+            found.append((place[new], lo, np.maximum.reduceat(first + n, new), np.full(len(new), len(data)) if kind else lo, np.zeros(len(new), dtype=np.int64) if kind else hi))
+    place, lo, end, one, stop = (np.concatenate([x[k] for x in found]) for k in range(5))
     order = np.argsort(place, kind="stable")
-    place, lo, end = place[order], lo[order], end[order]
+    place, lo, end, one, stop = (x[order] for x in (place, lo, end, one, stop))
     new = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    return place[new], np.minimum.reduceat(lo, new), np.maximum.reduceat(end, new), h[place[new]]
+    place, lo, end = place[new], np.minimum.reduceat(lo, new), np.maximum.reduceat(end, new)
+    one, stop = np.minimum.reduceat(one, new), np.maximum.reduceat(stop, new)
+    return place, lo, end, h[place], np.where(stop > 0, packed(one - lo, stop - one), 0)
+
+
+def packed(first, n):
+    """``Starts``: the first of the ``n`` places of a fragment whose strings it stands for, above four edge bits."""
+    return (first << 4) | (n << 17)
+
+
+def unpacked(edges: int) -> tuple[int, int]:
+    """First and end of the starts."""
+    first = edges >> 4 & 0x1FFF
+    return first, first + (edges >> 17)
 
 
 def suffix_array(symbols: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -204,13 +225,14 @@ def _ranks(symbols: np.ndarray, reach: np.ndarray, places: np.ndarray) -> np.nda
     rank = np.empty(len(places), dtype=np.int64)
     rank[order] = np.searchsorted(group, group)  # place of the group's first
     tied = order[np.bincount(rank, minlength=len(rank))[rank[order]] > 1]
-    deep = np.full(len(tied), 7)
+    deep, rounds = np.full(len(tied), 7), 0
     while len(tied):
         r = rank[tied]
         fresh = np.concatenate(([True], r[1:] != r[:-1]))
         starts = np.flatnonzero(fresh)
         sizes = np.diff(np.concatenate((starts, [len(r)])))
-        for k in range(8, 2, -1):
+        # most ties are of a few suffixes and end soon; large ones lose single members, and rarely have more in common
+        for k in range(8, 2, -1) if rounds < 4 or rounds % 8 == 0 else ():
             h = hashes[k][np.minimum(places[tied] + deep, len(pad) - 1)]
             equal = np.minimum.reduceat(h, starts) == np.maximum.reduceat(h, starts)
             deep = deep + (np.repeat(equal, sizes).astype(np.int64) << k)
@@ -221,13 +243,15 @@ def _ranks(symbols: np.ndarray, reach: np.ndarray, places: np.ndarray) -> np.nda
         here = np.arange(len(r))
         rank[tied] = r + (np.maximum.accumulate(np.where(new, here, 0)) - np.maximum.accumulate(np.where(fresh, here, 0)))
         more = ~(new & np.concatenate((new[1:], [True]))) & (deep < 512)
-        tied, deep = tied[more], deep[more] + 7
+        tied, deep, rounds = tied[more], deep[more] + 7, rounds + 1
     return rank[same]
 
 
 class Fragment(NamedTuple):
     """A distinct fragment: its bytes, where its anchor is, how often it occurs, ``edges``
-    as in ``word_units``, and the text it is of, or None if it is of several."""
+    as in ``word_units`` with the ``Starts`` packed above them, and the text it is of, or
+    None if it is of several. Strings that start elsewhere in it belong to other anchors,
+    where they are counted; here they would meet themselves."""
 
     body: bytes
     lead: int
@@ -276,9 +300,13 @@ def repeated(fragments: list[Fragment], length: int = LENGTH, words: int = WORDS
             pair = pair[eight[a[pair] + step] == eight[b[pair] + step]]
         return pair
 
-    a, b = order[:-1], order[1:]
-    ok = (left[a] >= length) & (left[b] >= length)
-    a, b = a[ok], b[ok]
+    own = np.zeros(n + 1, dtype=np.int64)
+    for at, f in zip(begins.tolist(), fragments, strict=True):
+        first, stop = unpacked(f.edges)
+        own[at + first] += 1
+        own[at + stop] -= 1
+    mine = order[np.cumsum(own)[order] > 0]
+    a, b = mine[:-1], mine[1:]
     same = agree(a, b, np.full(len(a), length))
     found = np.zeros(n, dtype=bool)
     found[a[same]] = found[b[same]] = True
@@ -308,20 +336,20 @@ def repeated(fragments: list[Fragment], length: int = LENGTH, words: int = WORDS
     return out
 
 
-def cores(fragment: bytes, lead: int, step: int, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, bytes, bytes]]:
+def cores(fragment: bytes, lead: int, step: int, starts: tuple[int, int], length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, bytes, bytes]]:
     """Parts of a fragment as (offset, part, core).
 
-    The strings that start at ``step`` consecutive places, counted from the anchor at
-    ``lead``, make up a part; all of them contain its core.
+    The strings that start at ``step`` consecutive places of ``starts``, counted from the
+    anchor at ``lead``, make up a part; all of them contain its core.
     """
     shift = length - gram - lead  # 0 for a fragment that no text end has shortened
-    last = len(fragment) - length
-    if last < 0:  # it holds units only
+    first, stop = starts
+    if stop <= first:  # it holds units only
         return
-    for k in range(shift // step, (last + shift) // step + 1):
+    for k in range((first + shift) // step, (stop - 1 + shift) // step + 1):
         begin, end = k * step - shift, k * step + step - 1 - shift
-        at = max(0, begin)
-        yield at, fragment[at : min(end, last) + length], k.to_bytes(4, "little", signed=True) + fragment[end : begin + length]
+        at = max(first, begin)
+        yield at, fragment[at : min(end, stop - 1) + length], k.to_bytes(4, "little", signed=True) + fragment[max(0, end) : begin + length]
 
 
 def repeated_in_group(fragments: list[Fragment], length: int = LENGTH, gram: int = GRAM, words: int = WORDS, block: int = BLOCK, steps: tuple[int, ...] = CORES) -> list[Found]:
@@ -354,10 +382,10 @@ def _mark_strings(fragments: list[Fragment], marks: list[np.ndarray], length: in
     """Mark the repeated strings of fragments of one anchor, dealt into groups of one core each."""
     groups: dict[bytes, dict[tuple[bytes, int], list[tuple[int, int]]]] = {}
     for k, f in enumerate(fragments):
-        for at, part, core in cores(f.body, f.lead, steps[0], length, gram):
+        for at, part, core in cores(f.body, f.lead, steps[0], unpacked(f.edges), length, gram):
             groups.setdefault(xxhash.xxh3_128_digest(core), {}).setdefault((part, f.lead - at), []).append((k, at))
     for same in groups.values():
-        parts = [Fragment(p, lead, 2 if len(v) > 1 or fragments[v[0][0]].times > 1 else 1, 0, 0) for (p, lead), v in same.items()]
+        parts = [Fragment(p, lead, 2 if len(v) > 1 or fragments[v[0][0]].times > 1 else 1, packed(0, len(p) - length + 1), 0) for (p, lead), v in same.items()]
         found = [np.full(len(p.body) - length + 1, p.times > 1) for p in parts]
         if len(parts) > 1 and sum(len(p.body) for p in parts) > block and len(steps) > 1:
             _mark_strings(parts, found, length, gram, block, steps[1:])
@@ -374,7 +402,7 @@ def _runs(mark: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1 + length) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-ANCHORS = ["k1", "k2", "id", "lo", "end", "lead", "hashes"]
+ANCHORS = ["k1", "k2", "id", "lo", "end", "lead", "hashes", "starts"]
 #: Kinds of rows: a fragment with its two edge bits, a single string, a single unit.
 STRING, UNIT = 4, 8
 
@@ -387,17 +415,17 @@ def _find_anchors(length: int, gram: int, words: int):
     """Rows ``k1, k2, id, text`` -> ``k1, k2, id`` and arrays of start, end, anchor from there, and hash; texts without an anchor give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(keys: list[tuple], texts: list[bytes], edges: list[int], move: int = 0) -> pa.RecordBatch:
+        def found(keys: list[tuple], texts: list[bytes], edges: list[int], move: int = 0, before: int | None = None) -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts])
             ends = np.cumsum(sizes)
             with np.errstate(over="ignore"):
-                place, lo, end, h = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), ends, np.array(edges), length, gram, words)
+                place, lo, end, h, starts = anchors(np.frombuffer(b"".join(texts), dtype=np.uint8), ends, np.array(edges), length, gram, words, before)
             owner = np.searchsorted(ends, place, side="right")
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
             base = (ends - sizes)[owner] - move
             some = [k for k in range(len(texts)) if cut[k + 1] > cut[k]]
             columns = [pa.array([keys[k][i] for k in some], pa.int64()) for i in range(3)]
-            columns += [pa.array([x[cut[k] : cut[k + 1]] for k in some], pa.list_(pa.int64())) for x in (lo - base, end - base, place - lo, h.view(np.int64))]
+            columns += [pa.array([x[cut[k] : cut[k + 1]] for k in some], pa.list_(pa.int64())) for x in (lo - base, end - base, place - lo, h.view(np.int64), starts)]
             return pa.RecordBatch.from_arrays(columns, ANCHORS)
 
         for batch in batches:
@@ -411,7 +439,7 @@ def _find_anchors(length: int, gram: int, words: int):
                 else:
                     for at in range(0, len(body), CHUNK):  # a very long text in pieces that overlap by one string
                         end = min(len(body), at + CHUNK + length - 1)
-                        yield found([(k1, k2, doc_id)], [body[at:end]], [_edges(body, at, end)], at)
+                        yield found([(k1, k2, doc_id)], [body[at:end]], [_edges(body, at, end)], at, CHUNK if end < len(body) else None)
                 if held > CHUNK:
                     yield found(keys, texts, [3] * len(texts))
                     keys, texts, held = [], [], 0
@@ -435,19 +463,28 @@ def _cut_fragments(length: int, gram: int, words: int):
     def fragments_of(body: bytes, x: dict) -> Iterator[tuple[tuple, int]]:
         """(group, body, lead, edges) and the place of each row of an anchor."""
         at, lead, h = x["lo"], x["lead"], x["hash"].to_bytes(8, "little", signed=True)
-        fragment, edges = body[at : x["end"]], _edges(body, at, x["end"])
+        fragment, edges = body[at : x["end"]], _edges(body, at, x["end"]) | x["starts"]
         if x["n"] <= HOT:
             yield (h, fragment, lead, edges), at
             return
         if x["n"] <= HOTTER:
-            for more, part, core in cores(fragment, lead, CORES[0], length, gram):
-                yield (xxhash.xxh3_128_digest(h + core), part, lead - more, 0), at + more
+            for more, part, core in cores(fragment, lead, CORES[0], unpacked(edges), length, gram):
+                yield (xxhash.xxh3_128_digest(h + core), part, lead - more, packed(0, len(part) - length + 1)), at + more
         else:
-            for k in range(len(fragment) - length + 1):
+            for k in range(*unpacked(edges)):
                 yield (xxhash.xxh3_128_digest(fragment[k : k + length]), b"", length, STRING), at + k
         start, size = word_units(np.frombuffer(fragment, dtype=np.uint8), np.array([0]), np.array([len(fragment)]), np.array([edges]), length, words)
-        for k, n in zip(start.tolist(), size.tolist(), strict=True):
-            yield (xxhash.xxh3_128_digest(b"unit " + fragment[k : k + n]), b"", n, UNIT), at + k
+        ours = [(k, k + n) for k, n in zip(start.tolist(), size.tolist(), strict=True) if k <= lead and lead + gram <= k + n]
+        if x["n"] > HOTTER:
+            for a, b in ours:
+                yield (xxhash.xxh3_128_digest(b"unit " + fragment[a:b]), b"", b - a, UNIT), at + a
+            return
+        # units by steps of their start; all of a step reach from its end over the anchor
+        for step, some in groupby(ours, lambda u: (u[0] - lead) // CORES[0]):
+            part = list(some)
+            a, b = part[0][0], max(e for _, e in part)
+            core = fragment[lead + min(0, step * CORES[0] + CORES[0] - 1) : lead + gram]
+            yield (xxhash.xxh3_128_digest(b"unit %d " % step + h + core), fragment[a:b], lead - a, 3), at + a
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
@@ -458,7 +495,7 @@ def _cut_fragments(length: int, gram: int, words: int):
                     for key, at in fragments_of(body, x):
                         own.setdefault(key, set()).add(at)
                 for (group, fragment, lead, edges), starts in own.items():
-                    digest = xxhash.xxh3_128_digest(fragment + bytes([edges])) if fragment else group
+                    digest = xxhash.xxh3_128_digest(fragment + edges.to_bytes(4, "little")) if fragment else group
                     out.append((group, digest, lead, fragment, edges, k1.as_py(), k2.as_py(), sorted(starts)))
                     held += len(fragment) + 100
                 if held > 8 << 20:
@@ -489,7 +526,7 @@ def _mark(length: int, gram: int, words: int):
 
     def single(row: tuple) -> Found:
         none = np.zeros(0, dtype=np.int64)
-        if row[4] == STRING:
+        if row[4] & STRING:
             return np.full(1, row[5] > 1), none, none
         return np.zeros(0, dtype=bool), np.zeros(int(row[6] is None), dtype=np.int64), np.full(int(row[6] is None), row[2])
 
@@ -508,7 +545,10 @@ def _mark(length: int, gram: int, words: int):
 
         def end_group() -> Iterator[pa.RecordBatch]:
             nonlocal block, held, group, size
-            if size > BLOCK or len(group) == 1:  # large groups are split until they fit
+            known = all(r[5] > 1 and r[6] is None for r in group)  # of each fragment all is repeated
+            if known:
+                yield rows(group, [all_of(f, length, words) for f in fragments(group)] if group else [])
+            elif size > BLOCK or len(group) == 1:  # large groups are split until they fit
                 yield rows(group, repeated_in_group(fragments(group), length, gram, words))
             elif group:
                 block, held = block + group, held + size
@@ -518,7 +558,7 @@ def _mark(length: int, gram: int, words: int):
 
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if row[4] >= STRING:
+                if row[4] & (STRING | UNIT):
                     singles.append(row)
                     continue
                 if group and row[0] != group[0][0]:
@@ -614,17 +654,18 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     gives no rows; columns not named are not read.
     """
     least = min(length, 2 * words + 1)
-    assert least >= gram, "a string and a unit must have room for a gram"
+    if least < gram or length > 511:
+        raise ValueError("a string and a unit must have room for a gram, and a string has 511 bytes at most")
     src = pick(df, doc_id=id_col, text_=text_col)
     src = src.select("doc_id", F.xxhash64("doc_id").alias("id"), F.coalesce(F.col("text_").cast("string"), F.lit("")).alias("text"))
     src = src.select("doc_id", "id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
     # one row stands for all with its text
     contents = stored(src.where(F.octet_length("text") >= least).groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    kind = "k1 long, k2 long, id long, lo array<long>, end array<long>, lead array<long>, hashes array<long>"
+    kind = "k1 long, k2 long, id long, lo array<long>, end array<long>, lead array<long>, hashes array<long>, starts array<long>"
     found = table(src.where(F.octet_length("text") >= least).select("k1", "k2", "id", "text").mapInArrow(trimmed(_find_anchors(length, gram, words)), kind), "anchors")
     own = found.join(contents.select("k1", "k2", "id"), ["k1", "k2", "id"], "left_semi").dropDuplicates(["k1", "k2", "lo"])
-    flat = own.select("k1", "k2", "id", F.explode(F.arrays_zip("lo", "end", "lead", F.col("hashes").alias("hash"))).alias("x")).select("k1", "k2", "id", "x.*")
-    places = _counted(flat).groupBy("k1", "k2", "id").agg(F.collect_list(F.struct("lo", "end", "lead", "hash", "n")).alias("found"))
+    flat = own.select("k1", "k2", "id", F.explode(F.arrays_zip("lo", "end", "lead", F.col("hashes").alias("hash"), "starts")).alias("x")).select("k1", "k2", "id", "x.*")
+    places = _counted(flat).groupBy("k1", "k2", "id").agg(F.collect_list(F.struct("lo", "end", "lead", "hash", "n", "starts")).alias("found"))
     cut = src.select("k1", "k2", "id", "text").join(places, ["k1", "k2", "id"]).select("k1", "k2", "text", "found")
     fragments = table(cut.mapInArrow(trimmed(_cut_fragments(length, gram, words)), FRAGMENTS), "fragments")
     distinct = fragments.groupBy("group", "digest", "lead").agg(F.first("body").alias("body"), F.first("edges").alias("edges"), F.sum(F.size("starts")).alias("times"), F.min("k1").alias("lo"), F.max("k1").alias("hi"))

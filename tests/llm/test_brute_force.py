@@ -71,7 +71,7 @@ def test_repeated_passages(one_text, monkeypatch, limits):
     phrase = "a be c de fg h ij k lm n o"
     found = [text(rng.integers(60)) + shared[rng.integers(5)] + text(rng.integers(60)) + shared[rng.integers(5)] for _ in range(80)]
     found += [f"{text(20)} {phrase} {text(rng.integers(30))}" for _ in range(9)] + [phrase, phrase + "x", "x" + phrase, f"{phrase}\n{phrase}"]
-    found += ["a" * 100, "ab" * 400, "a" * 101, None, "", shared[4], shared[4], text(20), *[text(1500)] * 2, "x" + text(900) * 2, "a b c d e f g h i", "a b c d e f g h i"]
+    found += ["a" * 100, "ab" * 400, "a" * 101, None, "", shared[4], shared[4], text(20), *[text(1500)] * 2, "x" + text(900) * 2, *[f"{x} {x[:70]} {x[:60]} {text(9)} {x[20:]}" for x in (text(90), text(110))], "a b c d e f g h i", "a b c d e f g h i"]
     got = suffix_dedup.remove_repeats(one_text(*found).repartition(3), length=40, gram=16, words=8).collect()
     assert [tuple(r)[1:] for r in sorted(got)] == removed(found, 40, 8)
 
@@ -136,6 +136,11 @@ def test_forward_sums_all_segmentations():
         return out
 
     some = ["▁the", "▁garden", "▁été", "▁ⓐx", "▁"]
+    long = "▁" + "unbelievablytheweatherings" * 3  # over the length of any piece, by a plain recurrence
+    steps = [np.ones(2)]
+    for k in range(1, len(long) + 1):
+        steps.append(sum(np.exp(logs[pieces.ids[long[i:k]]]) * steps[i] for i in range(max(0, k - 16), k) if long[i:k] in pieces.ids))
+    np.testing.assert_allclose(langid.forward([long, "▁the"], pieces, logs)[0], np.log(steps[-1]))
     np.testing.assert_allclose(langid.forward(some, pieces, logs), [np.log(brute(w)) for w in some])
 
 
@@ -152,19 +157,85 @@ def test_language_model(spark, folder, frame):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
-def test_suffix_tree_is_a_distribution(one_text):
-    """In every state the probabilities of all words, and of the one unseen, sum to one."""
-    text = "a b c a b d a b c e a b " * 60
-    tree, counts, total, distinct = pst.train(one_text(text, "c c d " * 50), least=5, divergence=1e-4)
-    m = len(tree.words)
-    assert m == distinct and not np.isnan(tree.node1).all() and not np.isnan(tree.node2).all()
-    unseen = math.log10(0.1 / (total + 0.1 * (distinct + 1)))
-    for context in [[a] for a in range(m)] + [[a, b] for a in range(m) for b in range(m)]:
-        mass = 0.0
-        for w in range(m):
-            mass += 10 ** pst.score_ids(np.array([*context, w]), tree)[-1]
-        mass += 10 ** (pst.score_ids(np.array([*context, -1]), tree)[-1] + unseen)
-        assert mass == pytest.approx(1.0, abs=1e-6)
+def plain_suffix_tree(training, depth, least, discount, divergence):
+    """Score of a word after a history, by dictionaries of tuples."""
+    counts = Counter(w for t in training for w in t)
+    total, distinct = sum(counts.values()), len(counts)
+    with_id = {w for w, n in counts.items() if n >= 2 or w == " "}
+    base = lambda w: (counts[w] + 0.1) / (total + 0.1 * (distinct + 1))
+    grams = [Counter({(w,): n for w, n in counts.items() if n >= least and w in with_id})]
+    nodes = [{}]
+    best = [{g: base(g[0]) for g in grams[0]}]
+    for d in range(1, depth + 1):
+        found = Counter(tuple(t[k : k + d + 1]) for t in training for k in range(len(t) - d))
+        grams.append(Counter({g: n for g, n in found.items() if n >= least and g[:-1] in grams[-1] and g[1:] in grams[-1]}))
+        nodes.append({})
+        for c, n in grams[-2].items():
+            after = {g[-1]: (k - discount) / n for g, k in grams[-1].items() if g[:-1] == c}
+            if not after:
+                continue
+            parent = {w: best[-1][(*c[1:], w)] for w in after}
+            left, rest = (max(1e-12, 1 - sum(x.values())) for x in (after, parent))
+            if sum(p * math.log(p / parent[w]) for w, p in after.items()) + left * math.log(left / rest) >= divergence:
+                nodes[-1][c] = (after, left / rest)
+        if not nodes[-1]:
+            break
+        best.append({g: nodes[-1][g[:-1]][0][g[-1]] if g[:-1] in nodes[-1] else best[-1][g[1:]] for g in grams[-1]})
+
+    def p(history, w):
+        out = base(w)
+        for d in range(1, len(nodes)):
+            after, weight = nodes[d].get(tuple(history[-d:]) if len(history) >= d else None, (None, None))
+            if after is not None:
+                out = after[w] if w in after else weight * out
+        return out
+
+    return p, nodes
+
+
+def test_suffix_tree_scores(spark, one_text):
+    """Scores equal those of a plain program, with contexts of up to three words; each state is a distribution."""
+    rng = np.random.default_rng(3)
+    lines = ["a b c a b d a b c e a b ", "c c d ", "x a b c y ", "q a b c z ", "x a b d "]
+    found = ["".join(lines[k] for k in rng.integers(0, len(lines), 40)) for _ in range(25)] + ["once twice", None, "a b c", "x a b c Y new"]
+    split = lambda t: [*words(t), " "]
+    p, nodes = plain_suffix_tree([split(t) for t in found], 3, 5, 0.5, 1e-3)
+    assert all(nodes[d] for d in (1, 2, 3))
+    got = pst.score(one_text(*found), pst.F.lit(True), depth=3, least=5, divergence=1e-3, word_part=0.0, context_part=0.0).collect()
+    for r in got:
+        t = split(found[r.doc_id])
+        assert r.score == pytest.approx(sum(math.log10(p(t[:k], w)) for k, w in enumerate(t)), abs=1e-6)
+    counts = Counter(w for t in found for w in split(t))
+    for c in [c for level in nodes for c in level]:
+        assert sum(p(list(c), w) for w in [*counts, "unseen"]) == pytest.approx(1.0, abs=1e-6)
+
+
+def test_workers_need_not_have_the_package(folder, tmp_path):
+    """Queries whose functions and models go to workers that cannot import this repository."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(__file__).resolve().parents[2])
+    script = f"""
+import sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+sys.path.insert(0, {root!r})
+from tensorloom.llm.queries import QUERIES
+def hidden(batches):
+    import importlib.util
+    assert importlib.util.find_spec("tensorloom") is None
+    yield from batches
+spark.range(3).mapInArrow(hidden, "id long").count()
+for name in ("op4_suffix_dedup", "op5_langid", "op6_lm_score", "op8_packing", "op9_exact_dedup", "op10_simhash"):
+    QUERIES[name](spark, {folder!r}).count()
+print("all ran")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert "all ran" in done.stdout, done.stderr[-3000:]
 
 
 def test_packing(spark, folder, frame):

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tensorloom.llm import quality
 from tensorloom.llm.queries import ORACLES, QUERIES
 
 
@@ -26,6 +27,11 @@ def test_given_documents(spark, name):
     assert key(got) == key(want)
 
 
+def test_more_words_than_positions_fit(spark, folder, duck, monkeypatch):
+    monkeypatch.setattr(quality, "PACKED", 64)
+    test_odd_rows(spark, folder, duck, "op3_quality")
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_table(spark, empty, name):
     assert QUERIES[name](spark, empty).count() == 0
