@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 from tensorloom.llm.common import pick
 
 UNKNOWN = "und"
-#: Longest piece, and longest part of a word, that the forward algorithm takes; longer words are cut.
-PIECE, PART = 16, 32
-#: Words that a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 800_000
+#: Letters of the longest piece of the vocabulary that is used.
+PIECE = 16
+#: Words that a worker remembers at most, and numbers for them; the memory starts anew beyond either.
+REMEMBERED, NUMBERS = 800_000, 8_000_000
+#: Numbers that the forward algorithm holds at once.
+AT_ONCE = 4_000_000
 #: Labelled rows of one language that are learned from at most, chosen by a hash of the text.
 TRAIN_ROWS = 5_000
 SMOOTHING = 0.1
-#: Languages learned at most: the model is languages x pieces numbers, sent to each worker.
-MAX_LANGUAGES = 500
 
 
 def letters(word: str) -> str:
@@ -37,12 +37,6 @@ def letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
 
-def parts(word: str) -> list[str]:
-    """A word of letters, marked as a word's start, in parts of bounded length."""
-    marked = "▁" + word
-    return [marked[k : k + PART] for k in range(0, len(marked), PART)]
-
-
 class Pieces:
     """The vocabulary: id by piece; letters outside it are spelled by their bytes."""
 
@@ -67,7 +61,7 @@ class Pieces:
 
 
 def forward(words: list[str], pieces: Pieces, logs: np.ndarray) -> np.ndarray:
-    """Log-probability of each part under each language (columns of ``logs``), over all segmentations."""
+    """Log-probability of each marked word under each language (columns of ``logs``), over all segmentations."""
     n = len(words)
     if not n:
         return np.zeros((0, logs.shape[1]))
@@ -99,15 +93,23 @@ def forward(words: list[str], pieces: Pieces, logs: np.ndarray) -> np.ndarray:
     table = np.vstack([logs, *[logs[[pieces.bytes[b] for b in chr(c).encode()]].sum(axis=0) for c in letters_.tolist()]])
     edges.append((start[odd] + 1, start[odd], word[odd], len(logs) + which))
     j, i, w, p = (np.concatenate([e[k] for e in edges]) for k in range(4))
-    order = np.argsort(j << 6 | i, kind="stable")
+    order = np.argsort(j * (PIECE + 1) + (j - i), kind="stable")
     j, i, w, p = j[order], i[order], w[order], p[order]
-    alpha = np.full((int(sizes.max()) + 1, n, logs.shape[1]), -np.inf)
-    alpha[0] = 0.0
+    # a piece reaches back by its letters only, so that many steps are held, in turn
+    alpha, out = np.full((PIECE + 1, n, logs.shape[1]), -np.inf), np.zeros((n, logs.shape[1]))
+    alpha[0], now = 0.0, 0
+    by_size = np.argsort(sizes, kind="stable")
     cuts = np.flatnonzero(np.concatenate(([True], (j[1:] != j[:-1]) | (i[1:] != i[:-1]))))
-    for a, b in zip(cuts, [*cuts[1:], len(j)], strict=True):  # a word has one edge from i to j
-        to, at = alpha[j[a]], w[a:b]
-        to[at] = np.logaddexp(to[at], alpha[i[a], at] + table[p[a:b]])
-    return alpha[sizes, np.arange(n)]
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(j)], strict=True):  # a word has one edge from i to j
+        if j[a] != now:
+            out[ended] = alpha[now % (PIECE + 1), ended] if (ended := by_size[np.searchsorted(sizes, now, sorter=by_size) : np.searchsorted(sizes, now, "right", sorter=by_size)]).size else 0.0
+            now = int(j[a])
+            alpha[now % (PIECE + 1)] = -np.inf
+        to, at = alpha[now % (PIECE + 1)], w[a:b]
+        to[at] = np.logaddexp(to[at], alpha[i[a] % (PIECE + 1), at] + table[p[a:b]])
+    ended = by_size[np.searchsorted(sizes, now, sorter=by_size) :]
+    out[ended] = alpha[now % (PIECE + 1), ended]
+    return out
 
 
 def _count(model: str):
@@ -141,18 +143,18 @@ def train(df: DataFrame, *, text_col: str = "text", lang_col: str = "lang", mode
 
     Learned from about ``rows`` rows of each language, those whose text has the
     smallest hashes; all rows of a language that has fewer. At most vocabulary x
-    languages numbers come to the driver.
+    languages numbers come to the driver, 256 kB a language. Rows without a language
+    are not learned from; null text has no words; rows of equal text are taken or left
+    together. An empty table gives no languages.
     """
     src = pick(df, lang=lang_col, text_=text_col).where("lang is not null").select(F.col("lang").cast("string"), F.col("text_").cast("string"))
-    many = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > rows).limit(MAX_LANGUAGES + 1).collect()}
+    many = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") > rows).collect()}
     if many:
         part = F.coalesce(F.element_at(F.create_map(*[x for lang, n in many.items() for x in (F.lit(lang), F.lit(rows / n))]), F.col("lang")), F.lit(1.0))
         src = src.where(F.pmod(F.xxhash64("text_"), F.lit(1 << 20)) < part * (1 << 20))
     counts = src.mapInArrow(_count(model), "lang string, piece long, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     langs = sorted(set(found["lang"].to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES} are expected")
     table = np.full((Pieces(model).size, len(langs)), SMOOTHING)
     column = {x: k for k, x in enumerate(langs)}
     table[found["piece"].to_numpy(), [column[x] for x in found["lang"].to_pylist()]] += found["n"].to_numpy()
@@ -179,17 +181,17 @@ def predict(df: DataFrame, langs: list[str], logs: np.ndarray, *, id_col: str =
         pieces = memory["pieces"]
         for batch in batches:
             texts = [(t.as_py() or "").split() for t in batch.column(1)]
-            if len(memory["known"]) > REMEMBERED:
+            if len(memory["known"]) > REMEMBERED or memory["scores"].size > NUMBERS:
                 memory |= {"known": {}, "clean": {}, "scores": np.zeros((1, logs.shape[1] + 1))}
             known, clean = memory["known"], memory["clean"]
             fresh = {w: letters(w) for words in texts for w in words if w not in known}
             new = list({c for c in fresh.values() if c and c not in clean})
-            for at in range(0, len(new), 20_000):
-                some = new[at : at + 20_000]
-                cut = [parts(c) for c in some]
-                flat = [p for c in cut for p in c]
+            step = max(1, AT_ONCE // ((PIECE + 1) * max(1, logs.shape[1])))
+            new.sort(key=len)
+            for at in range(0, len(new), step):
+                some = new[at : at + step]
                 value = np.zeros((len(some), logs.shape[1] + 1))
-                np.add.at(value[:, :-1], np.repeat(np.arange(len(some)), [len(c) for c in cut]), forward(flat, pieces, logs))
+                value[:, :-1] = forward(["▁" + c for c in some], pieces, logs)
                 value[:, -1] = 1.0  # it has a letter
                 clean.update(zip(some, range(len(memory["scores"]), len(memory["scores"]) + len(some)), strict=True))
                 memory["scores"] = np.concatenate([memory["scores"], value])

@@ -2,14 +2,15 @@
 
 Of each window of consecutive line hashes the minimum is selected, the rightmost of
 equal ones, so any run of a window's length that two places share gives both the
-same fingerprint. Only windows whose fingerprint occurs more than once go on: each
-match is extended both ways over all windows that the fingerprint stands for, every
-window's first place is found, and what repeats it later is deleted.
+same fingerprint. Places of equal fingerprints meet: of the windows that a repeated
+fingerprint stands for, each is matched with the first place of the same lines.
+Matches with one source row and offset that follow each other are one match, extended
+both ways as far as the lines agree; such later runs are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import SPACE, let, pick, table, whole_text
@@ -51,9 +52,14 @@ def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     candidates = places.join(repeated, "print")
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("row").alias("row"), F.col("at").alias("at"))
     first = candidates.groupBy("run").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
-    later = candidates.join(first, "run").where(order > F.col("first")).groupBy("row").agg(F.collect_set("at").alias("starts"))
-    joined = rows.join(later, "row", "left").select("doc_id", lines_of(F.col("text")).alias("lines"), "starts")
-    gone = F.when(F.col("starts").isNull(), F.array().cast("array<int>")).otherwise(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + w - 1)))))
+    seeds = candidates.join(first, "run").where(order > F.col("first")).select("row", "at", F.col("first.row").alias("source"), (F.col("at") - F.col("first.at")).alias("offset"))
+    # seeds side by side on one diagonal extend each other
+    diagonal = Window.partitionBy("row", "source", "offset").orderBy("at")
+    ranked = seeds.repartition("row").withColumn("side", F.col("at") - F.row_number().over(diagonal))
+    runs_ = ranked.groupBy("row", "source", "offset", "side").agg(F.min("at").alias("begin"), (F.max("at") + (w - 1)).alias("last"))
+    later = runs_.groupBy("row").agg(F.collect_list(F.struct("begin", "last")).alias("runs"))
+    joined = rows.join(later, "row", "left").select("doc_id", lines_of(F.col("text")).alias("lines"), "runs")
+    gone = F.when(F.col("runs").isNull(), F.array().cast("array<int>")).otherwise(F.array_distinct(F.flatten(F.transform("runs", lambda s: F.sequence(s["begin"], s["last"])))))
     marked = joined.select("doc_id", "lines", gone.alias("gone"))
     n = F.size("lines")
     left = F.array_except(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), F.col("gone"))

@@ -22,6 +22,9 @@ BOILERPLATE = (
     "lorem ipsum", "click here", "sign in", "log in to", "subscribe to our", "read more", "skip to content", "follow us on", "share on",
 )
 
+#: Words up to which a position is packed beside a window's hash.
+PACKED = 1 << 23
+
 #: Bullets and arrows of menus.
 NAVIGATION = "[»›·•]"
 
@@ -56,9 +59,10 @@ def repeated_words(words: Column) -> Column:
     Windows are first paired by 40 bits of their hash, packed with the position
     into one long so that a primitive sort brings equal ones together; those that
     have a neighbour are compared as strings, so the count does not rest on hashes.
+    Texts with more words than positions fit (``PACKED``) sort pairs instead.
     """
     n = F.size(words)
-    at = F.lit((1 << 23) - 1).cast("long")  # positions up to 8 million words
+    at = F.lit(PACKED - 1).cast("long")
 
     def packed(w: Column) -> Column:
         grams = F.zip_with(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b)), F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0))), lambda h, c: F.xxhash64(h, c))
@@ -69,10 +73,17 @@ def repeated_words(words: Column) -> Column:
         pairs = F.zip_with(F.slice(sorted_, 1, F.greatest(F.size(sorted_) - 1, F.lit(0))), F.slice(sorted_, 2, F.greatest(F.size(sorted_) - 1, F.lit(0))), lambda a, b: F.when(same(a, b), F.array(value(a), value(b))))
         return F.array_distinct(F.flatten(F.array_compact(pairs)))
 
+    def paired(w: Column) -> Column:
+        keyed = F.sort_array(F.transform(packed(w), lambda h, i: h.bitwiseAND(F.bitwise_not(at)).bitwiseOR(i.cast("long"))))
+        return let(keyed, lambda s: twins(s, lambda a, b: a.bitwiseOR(at) == b.bitwiseOR(at), lambda x: x.bitwiseAND(at).cast("int")))
+
+    def paired_apart(w: Column) -> Column:
+        keyed = F.sort_array(F.transform(packed(w), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return let(keyed, lambda s: twins(s, lambda a, b: a["h"] == b["h"], lambda x: x["i"]))
+
     def covered(w: Column) -> Column:
-        keyed = F.sort_array(F.transform(packed(w), lambda h, i: h.bitwiseAND(~((1 << 23) - 1)).bitwiseOR(i.cast("long"))))
-        maybe = let(keyed, lambda s: twins(s, lambda a, b: F.shiftright(a.bitwiseXOR(b), 23) == 0))
-        named = let(maybe, lambda s: F.sort_array(F.transform(s, lambda x: let(x.bitwiseAND(at).cast("int"), lambda p: F.struct(F.concat_ws(" ", F.slice(w, p + 1, 3)).alias("g"), p.alias("p"))))))
+        maybe = F.when(F.size(w) <= PACKED, paired(w)).otherwise(paired_apart(w))
+        named = let(maybe, lambda s: F.sort_array(F.transform(s, lambda p: F.struct(F.concat_ws(" ", F.slice(w, p + 1, 3)).alias("g"), p.alias("p")))))
         found = let(named, lambda s: F.sort_array(twins(s, lambda a, b: a["g"] == b["g"], lambda x: x["p"])))
         # each repeated window adds its three words, less what the next one covers again
         return let(found, lambda s: F.aggregate(F.transform(s, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(s, i + 1) - p, F.lit(3)))), F.lit(0).cast("long"), lambda a, b: a + b))
