@@ -73,8 +73,12 @@ def labelled(t: Tensor, labels: Sequence[Hashable], names: dict, value: Callable
 def contract_pair(a: Labelled, b: Labelled, out: Sequence[Hashable], semiring: Semiring = PLUS_TIMES) -> Labelled:
     """Contract two operands to the labels ``out``, which all are in one of them."""
     plan = plan_pair(a.labels, b.labels, list(out))
-    a = a.summed([x for x in a.labels if x not in plan.left_trace], semiring)
-    b = b.summed([x for x in b.labels if x not in plan.right_trace], semiring)
+    last = list(plan.summed)
+    if semiring.distributes:
+        a = a.summed([x for x in a.labels if x not in plan.left_trace], semiring)
+        b = b.summed([x for x in b.labels if x not in plan.right_trace], semiring)
+    else:
+        last += [*plan.left_trace, *plan.right_trace]
     if a.dtype != b.dtype:
         a, b = a.promoted(), b.promoted()
     keys = a.columns([*plan.batch, *plan.summed])
@@ -85,11 +89,11 @@ def contract_pair(a: Labelled, b: Labelled, out: Sequence[Hashable], semiring: S
         products = [F.col("l_re") * F.col("r_re") - F.col("l_im") * F.col("r_im"), F.col("l_re") * F.col("r_im") + F.col("l_im") * F.col("r_re")]
     else:
         products = [semiring.times(F.col("l_v"), F.col("r_v"))]
-    every = [*plan.order, *plan.summed]
+    every = [*plan.order, *last]
     df = joined.select(*a.columns(every), *[p.alias(n) for p, n in zip(products, a.values, strict=True)])
     found = Labelled(df, every, a.names, a.dtype, None)
     found = found.summed(plan.order, semiring)
-    if not plan.order and not plan.summed:  # scalars: a row each, so a product without a grouping
+    if not plan.order and not last:  # scalars: a row each, so a product without a grouping
         found = Labelled(found.df, [], a.names, a.dtype, 1.0)
     return found
 
@@ -131,14 +135,24 @@ def as_tensor(found: Labelled, out: Sequence[Hashable], sizes: dict) -> Tensor:
     return Tensor(df, [sizes.get(x) for x in out], found.dtype, cells=found.cells)
 
 
+def dense_for(t: Tensor, value: Callable[[Column], Column] | None) -> Tensor:
+    """``t`` with a row for every cell if ``value`` makes something else than zero of zero."""
+    if value is None:
+        return t
+    at_zero = t.df.sparkSession.range(1).select(value(F.lit(0.0))).first()[0]
+    return t if at_zero == 0 else t.densify()
+
+
 def einsum2(
     a: Tensor, b: Tensor, ia: Sequence[Hashable], ib: Sequence[Hashable], ic: Sequence[Hashable], *, out: Tensor | None = None, alpha: complex = 1.0, beta: complex = 0.0,
     conj_a: bool = False, conj_b: bool = False, map_a: Callable[[Column], Column] | None = None, map_b: Callable[[Column], Column] | None = None, semiring: Semiring = PLUS_TIMES,
 ) -> Tensor:
     """``alpha * contract(a, b) + beta * out`` with labels of any hashable type.
 
-    ``map_a`` and ``map_b`` are applied to values before the product. With a semiring
-    other than plus and times, alpha and beta must be left out.
+    ``map_a`` and ``map_b`` are applied to values before the product, to absent cells
+    too: where a map of zero is not zero, the operand is made dense, so its sizes are
+    found or known. With a semiring other than plus and times, alpha and beta must be
+    left out.
     """
     if len(set(ic)) < len(ic):
         raise DuplicateAxis(f"an output label stands twice in {list(ic)}")
@@ -147,6 +161,7 @@ def einsum2(
             raise OrphanOutputAxis(f"{x!r} is in no operand")
     sizes = label_sizes([(ia, a.dims), (ib, b.dims)] + ([(ic, out.dims)] if out is not None else []))
     names = label_columns([*ia, *ib, *ic])
+    a, b = dense_for(a, map_a), dense_for(b, map_b)
     left = labelled(a.conj() if conj_a else a, ia, names, map_a)
     right = labelled(b.conj() if conj_b else b, ib, names, map_b)
     found = as_tensor(contract_pair(left, right, ic, semiring), ic, sizes)

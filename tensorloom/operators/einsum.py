@@ -94,6 +94,15 @@ def einsum_into(notation: str | EinsumCode, *operands: Tensor, out: Tensor, alph
     return code.evaluate_into(operands, out, alpha, beta, sizes)
 
 
+def einsum_numpy_into(spark, notation: str, *arrays, out, alpha: complex = 1.0, beta: complex = 0.0, sizes: Mapping[str, int] | None = None):
+    """``alpha * einsum(...) + beta * out`` over NumPy arrays; the result is written to ``out`` and returned."""
+    from tensorloom.sources.tensors import from_numpy, to_numpy
+
+    found = einsum_into(notation, *[from_numpy(spark, a) for a in arrays], out=from_numpy(spark, out), alpha=alpha, beta=beta, sizes=sizes)
+    out[...] = to_numpy(found)
+    return out
+
+
 def einsum_numpy(spark, notation: str, *arrays, sizes: Mapping[str, int] | None = None):
     """NumPy arrays of any layout in, a NumPy array out."""
     from tensorloom.sources.tensors import from_numpy, to_numpy

@@ -23,9 +23,9 @@ TILE = 256
 BLOCKS_FROM = 50_000_000
 
 
-def gram_rows(df: DataFrame, key: str, array: str) -> Tensor:
-    """``ik,jk->ij`` of an array column with itself, one dot product a pair of rows."""
-    left = df.select(F.col(key).cast("long").alias("a0"), F.col(array).alias("x"))
+def gram_rows(df: DataFrame, key: str, array: str, queries: DataFrame | None = None) -> Tensor:
+    """``ik,jk->ij`` of an array column of ``queries`` (by default ``df`` too) with that of ``df``, one dot product a pair of rows."""
+    left = (df if queries is None else queries).select(F.col(key).cast("long").alias("a0"), F.col(array).alias("x"))
     right = df.select(F.col(key).cast("long").alias("a1"), F.col(array).alias("y"))
     zero = F.lit(0).cast(df.schema[array].dataType.elementType)
     dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), zero, lambda s, v: s + v)

@@ -5,6 +5,8 @@ import pytest
 
 from tensorloom import MAX_PLUS, EinsumCode, Tensor, einsum, einsum2, einsum_into
 from tensorloom.errors import DimensionMismatch, DuplicateAxis, OperandCountMismatch, OrphanOutputAxis, OutputShapeMismatch, ParseError, RankMismatch, TypeMismatch
+from tensorloom.functions.semiring import MAX_TIMES
+from tensorloom.operators.einsum import einsum_numpy_into
 from tensorloom.sources.tensors import from_numpy, to_numpy
 
 CASES = [
@@ -136,3 +138,23 @@ def test_early_sums_and_no_cross_joins(spark):
     plan = plan_of(einsum("ij,jk->k", a, a))
     assert plan.count("Aggregate") == 2  # one below the join
     assert "Cross" not in plan_of(einsum("ij,jk,kl->il", a, a, a))
+
+
+def test_maps_see_absent_cells(spark):
+    a, b = np.array([[0.0, 2.0], [3.0, 0.0]]), np.array([[1.0, 0.0], [0.0, 4.0]])
+    got = einsum2(from_numpy(spark, a), from_numpy(spark, b), "ij", "jk", "ik", map_a=lambda v: v + 1)
+    np.testing.assert_allclose(to_numpy(got), (a + 1) @ b)
+
+
+def test_max_times_with_negative_factors(spark):
+    a, b = np.array([[1.0, 5.0], [2.0, 3.0]]), np.array([-2.0, -1.0])
+    got = to_numpy(einsum("ij,k->ik", from_numpy(spark, a), from_numpy(spark, b), semiring=MAX_TIMES))
+    np.testing.assert_allclose(got, (a[:, :, None] * b[None, None, :]).max(axis=1))
+
+
+def test_numpy_into(spark):
+    rng = np.random.default_rng(0)
+    a, b, out = rng.random((2, 3)), rng.random((3, 4)), np.asfortranarray(rng.random((2, 4)))
+    want = 2.0 * a @ b + 0.5 * out
+    assert einsum_numpy_into(spark, "ij,jk->ik", a, b, out=out, alpha=2.0, beta=0.5) is out
+    np.testing.assert_allclose(out, want)
