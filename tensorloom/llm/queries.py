@@ -6,8 +6,6 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from tensorloom.llm import langid, licenses, line_dedup, lsm_dedup, mixing, packing, pst, quality, simhash, suffix_dedup
 from tensorloom.llm.common import documents
 
@@ -63,5 +61,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality, op4_suffix_dedup, op5_langid, op6_lm_score, op7_line_dedup, op8_packing, op9_exact_dedup, op10_simhash)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality, op4_suffix_dedup, op5_langid, op6_lm_score, op7_line_dedup, op8_packing, op9_exact_dedup, op10_simhash)}
 ORACLES = {"op1_mixing": mixing.ORACLE, "op2_licenses": licenses.ORACLE, "op3_quality": quality.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE}

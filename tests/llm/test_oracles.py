@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+import corpus_pipeline
+
 from tensorloom.llm import quality
 from tensorloom.llm.queries import ORACLES, QUERIES
 
@@ -32,6 +34,7 @@ def test_more_words_than_positions_fit(spark, folder, duck, monkeypatch):
     test_odd_rows(spark, folder, duck, "op3_quality")
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+@pytest.mark.parametrize("name", [*QUERIES, "pipeline"])
 def test_empty_table(spark, empty, name):
-    assert QUERIES[name](spark, empty).count() == 0
+    query = corpus_pipeline.run if name == "pipeline" else QUERIES[name]
+    assert query(spark, empty).count() == 0
