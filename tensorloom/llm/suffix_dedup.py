@@ -35,8 +35,10 @@ from tensorloom.llm.common import pick, stored, table, trimmed
 LENGTH, GRAM = 400, 64
 #: A passage has more words than this.
 WORDS = 50
-#: Bytes of texts hashed at once, and of fragments in a suffix array.
-CHUNK, BLOCK = 2 << 20, 1 << 20
+#: Bytes of texts hashed at once, of fragments in a suffix array at most, and of small groups joined to one.
+CHUNK, BLOCK, JOINED = 1 << 17, 1 << 20, 1 << 18
+#: Fragments whose results are returned together.
+READY = 2000
 #: Occurrences of an anchor beyond which its fragments are dealt out by more of their bytes.
 HOT = 20_000
 #: Occurrences beyond which each string of a fragment is dealt out by itself, by its hash.
@@ -212,30 +214,41 @@ def suffix_array(symbols: np.ndarray, reach: np.ndarray) -> np.ndarray:
 
 
 def _ranks(symbols: np.ndarray, reach: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Rank of each place's suffix, by sorting fourteen symbols at a time where earlier ones are equal.
+    """Rank of each place's suffix, by sorting two keys of symbols at a time where earlier ones are equal.
 
     Suffixes equal over their whole reach are sorted once, as one. What all suffixes of
     a tie have in common is skipped, by hashes of 256, 128, ... 8 symbols.
     """
-    pad = np.concatenate((symbols, np.zeros(520, dtype=symbols.dtype)))
+    pad = np.concatenate((symbols, np.zeros(528, dtype=symbols.dtype)))
     hashes = _doubled(pad, 8)
     value, at, left = reach[places].astype(np.uint64), places.copy(), reach[places]
     for k in range(8, -1, -1):
         take = (left >> k & 1).astype(bool)
         value[take] = value[take] * _power(1 << k) + hashes[k][at[take]]
         at = at + (take.astype(np.int64) << k)
-    _, chosen, same = np.unique(value, return_index=True, return_inverse=True)
-    places = places[chosen]
-    seven = np.zeros(len(symbols) + 513, dtype=np.uint64)
-    for k in range(7):
-        seven = seven << np.uint64(9) | pad[k : k + len(seven)].astype(np.uint64)
-    order = np.argsort(seven[places], kind="stable")
-    key = seven[places[order]]
+    by_value = np.argsort(value)
+    fresh = np.concatenate(([True], value[by_value[1:]] != value[by_value[:-1]]))
+    same = np.empty(len(places), dtype=np.int64)
+    same[by_value] = np.cumsum(fresh) - 1
+    places = places[by_value[fresh]]
+    # as many symbols in a key as fit, by their numbers among those that occur
+    used = np.bincount(symbols, minlength=257) > 0
+    used[0] = True
+    code = (np.cumsum(used) - 1).astype(np.uint64)
+    bits = max(1, int(code[-1]).bit_length())
+    per = min(16, 64 // bits)
+    packed_key, coded = np.zeros(len(symbols) + 513, dtype=np.uint64), code[pad]
+    for k in range(per):
+        packed_key <<= np.uint64(bits)
+        packed_key |= coded[k : k + len(packed_key)]
+    first = packed_key[places]
+    order = np.argsort(first)
+    key = first[order]
     group = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
     rank = np.empty(len(places), dtype=np.int64)
     rank[order] = np.searchsorted(group, group)  # place of the group's first
     tied = order[np.bincount(rank, minlength=len(rank))[rank[order]] > 1]
-    deep, rounds = np.full(len(tied), 7), 0
+    deep, rounds = np.full(len(tied), per), 0
     while len(tied):
         r = rank[tied]
         fresh = np.concatenate(([True], r[1:] != r[:-1]))
@@ -247,7 +260,7 @@ def _ranks(symbols: np.ndarray, reach: np.ndarray, places: np.ndarray) -> np.nda
             equal = np.minimum.reduceat(h, starts) == np.maximum.reduceat(h, starts)
             deep = deep + (np.repeat(equal, sizes).astype(np.int64) << k)
         at = places[tied] + deep
-        key, more_key = seven[np.minimum(at, len(seven) - 1)], seven[np.minimum(at + 7, len(seven) - 1)]
+        key, more_key = packed_key[np.minimum(at, len(packed_key) - 1)], packed_key[np.minimum(at + per, len(packed_key) - 1)]
         differ = [np.minimum.reduceat(x, starts) != np.maximum.reduceat(x, starts) for x in (key, more_key)]
         varied = np.flatnonzero(np.repeat(differ[0] | differ[1], sizes))
         by = varied[np.lexsort((more_key[varied], key[varied], r[varied]))]
@@ -257,7 +270,7 @@ def _ranks(symbols: np.ndarray, reach: np.ndarray, places: np.ndarray) -> np.nda
         here = np.arange(len(r))
         rank[tied] = r + (np.maximum.accumulate(np.where(new, here, 0)) - np.maximum.accumulate(np.where(fresh, here, 0)))
         more = ~(new & np.concatenate((new[1:], [True]))) & (deep < 512)
-        tied, deep, rounds = tied[more], deep[more] + 14, rounds + 1
+        tied, deep, rounds = tied[more], deep[more] + 2 * per, rounds + 1
     return rank[same]
 
 
@@ -412,6 +425,10 @@ def _mark_strings(fragments: list[Fragment], marks: list[np.ndarray], length: in
 
 def _runs(mark: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Maximal runs of marked starts as byte spans."""
+    if not mark.any():
+        return []
+    if mark.all():
+        return [(0, len(mark) - 1 + length)]
     edge = np.diff(np.concatenate(([0], mark.astype(np.int8), [0])))
     return [(int(a), int(b) - 1 + length) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
@@ -548,6 +565,7 @@ def _mark(length: int, gram: int, words: int):
         block: list[tuple] = []
         group: list[tuple] = []
         singles: list[tuple] = []
+        ready: list[tuple[tuple, Found]] = []
         held = size = 0
         fragments = lambda some: [Fragment(r[3], r[2], r[5], r[4], r[6]) for r in some]
 
@@ -557,17 +575,24 @@ def _mark(length: int, gram: int, words: int):
                 yield rows(block, repeated(fragments(block), length, words))
             block, held = [], 0
 
+        def send(least: int = 1) -> Iterator[pa.RecordBatch]:
+            nonlocal ready
+            if len(ready) >= least:
+                yield rows([r for r, _ in ready], [f for _, f in ready])
+                ready = []
+
         def end_group() -> Iterator[pa.RecordBatch]:
             nonlocal block, held, group, size
-            known = all(r[5] > 1 and r[6] is None for r in group)  # of each fragment all is repeated
-            if known:
-                yield rows(group, [all_of(f, length, words) for f in fragments(group)] if group else [])
+            if all(r[5] > 1 and r[6] is None for r in group):  # of each fragment all is repeated
+                ready.extend(zip(group, [all_of(f, length, words) for f in fragments(group)], strict=True))
             elif size > BLOCK or len(group) == 1:  # large groups are split until they fit
-                yield rows(group, repeated_in_group(fragments(group), length, gram, words))
-            elif group:
-                block, held = block + group, held + size
-                if held > BLOCK:
+                ready.extend(zip(group, repeated_in_group(fragments(group), length, gram, words), strict=True))
+            else:
+                block.extend(group)
+                held += size
+                if held > JOINED:
                     yield from flush()
+            yield from send(READY)
             group, size = [], 0
 
         for batch in batches:
@@ -584,6 +609,7 @@ def _mark(length: int, gram: int, words: int):
                 singles = []
         yield from end_group()
         yield from flush()
+        yield from send()
 
     return run
 
