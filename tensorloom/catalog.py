@@ -17,7 +17,7 @@ from tensorloom.operators import elementwise as ew
 from tensorloom.operators import reduce as rd
 from tensorloom.operators.contract import einsum2
 from tensorloom.operators.einsum import EinsumCode, einsum, einsum_into
-from tensorloom.operators.tiers import block_matmul, gram_rows
+from tensorloom.operators.tiers import block_matmul, block_product, gram_rows
 from tensorloom.plans.planner import row_major_strides
 from tensorloom.sources import tensors as src
 from tensorloom.tensor import Tensor
@@ -119,6 +119,18 @@ _query("matmul_gram", lambda x: _out(einsum("ik,jk->ij", x.embeddings(20), x.emb
 _query("matmul_rect", lambda x: _out(einsum("sp,pb->sb", x.sales("l_suppkey"), x.part_brand()), "s b"), "SELECT s, b, SUM(v) AS value FROM sp JOIN pb USING (p) GROUP BY 1, 2", "sp", "pb")
 _query("matmul_blocks", lambda x: _out(block_matmul(x.trade(), x.trade(), tile=8), "i k"), "SELECT a.i, b.j AS k, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
 
+_query("matmul_blocks_complex", lambda x: _out(block_matmul(x.trade_complex(), x.trade_complex(), tile=8), "i k"), "SELECT a.i, b.j AS k, SUM(a.re * b.re - a.im * b.im) AS value_re, SUM(a.re * b.im + a.im * b.re) AS value_im FROM z a JOIN z b ON a.j = b.i GROUP BY 1, 2", "z")
+
+
+def _batch_blocks(x: Tables) -> DataFrame:
+    c = _cube(x)
+    left, right = c.df.select(F.col("a0").alias("i"), F.col("a1").alias("j"), F.col("a2").alias("k"), "v"), c.df.select(F.col("a0").alias("j"), F.col("a1").alias("l"), F.col("a2").alias("k"), "v")
+    found = block_product(left, right, [("k", 5)], [("i", NATIONS)], [("l", NATIONS)], [("j", NATIONS)], ["v"], tile=8)
+    return found.select("i", "l", "k", F.col("v").alias("value"))
+
+
+_query("batch_matmul_blocks", _batch_blocks, "SELECT a.i, b.j AS l, a.k, SUM(a.v * b.v) AS value FROM c a JOIN c b ON a.j = b.i AND a.k = b.k GROUP BY 1, 2, 3", "t")
+
 
 def _rows(x: Tables) -> DataFrame:
     df = x.table("embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * 10000).cast("long")).alias("row"))
@@ -152,7 +164,7 @@ def _cube(x: Tables) -> Tensor:
 
 
 _CUBE = "c AS (SELECT CAST(c_nationkey AS BIGINT) AS i, CAST(s_nationkey AS BIGINT) AS j, CAST(FLOOR((l_quantity - 1) / 10) AS BIGINT) AS k, SUM(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3)"
-for _name in ("tcontract", "batch_matmul_last"):
+for _name in ("tcontract", "batch_matmul_last", "batch_matmul_blocks"):
     _FOUND[_name] = (_FOUND[_name][0], _FOUND[_name][1].replace(_CTE["t"], _CUBE))
 
 # many tensors

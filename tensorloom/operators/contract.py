@@ -2,18 +2,20 @@
 
 Axes that only one operand has and the output lacks are summed before the join, and
 no grouping is planned where nothing is summed. Complex values are two columns, so
-all arithmetic stays in generated code.
+all arithmetic stays in generated code. Large products of dense operands go by tiles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Hashable, Sequence
+from collections.abc import Callable, Hashable, Mapping, Sequence
+from math import prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.errors import DuplicateAxis, OrphanOutputAxis, OutputShapeMismatch, RankMismatch, TypeMismatch
 from tensorloom.functions.semiring import PLUS_TIMES, Semiring
+from tensorloom.operators.tiers import block_product, by_blocks
 from tensorloom.plans.planner import label_sizes, plan_pair
 from tensorloom.tensor import Tensor, axis
 
@@ -70,8 +72,12 @@ def labelled(t: Tensor, labels: Sequence[Hashable], names: dict, value: Callable
     return Labelled(df.select(*columns, *[p.alias(n) for p, n in zip(parts, t.values, strict=True)]), list(seen), names, t.dtype, t.cells)
 
 
-def contract_pair(a: Labelled, b: Labelled, out: Sequence[Hashable], semiring: Semiring = PLUS_TIMES) -> Labelled:
-    """Contract two operands to the labels ``out``, which all are in one of them."""
+def contract_pair(a: Labelled, b: Labelled, out: Sequence[Hashable], semiring: Semiring = PLUS_TIMES, sizes: Mapping[Hashable, int | None] | None = None) -> Labelled:
+    """Contract two operands to the labels ``out``, which all are in one of them.
+
+    By tiles if ``sizes`` and the numbers of cells tell that both are dense and large
+    (values other than doubles stay with cells, so that their type never depends on size).
+    """
     plan = plan_pair(a.labels, b.labels, list(out))
     last = list(plan.summed)
     if semiring.distributes:
@@ -81,6 +87,11 @@ def contract_pair(a: Labelled, b: Labelled, out: Sequence[Hashable], semiring: S
         last += [*plan.left_trace, *plan.right_trace]
     if a.dtype != b.dtype:
         a, b = a.promoted(), b.promoted()
+    sides = [[(a.names[x], (sizes or {}).get(x)) for x in some] for some in (plan.batch, plan.left, plan.right, plan.summed)]
+    plain = semiring is PLUS_TIMES and last == list(plan.summed)
+    if plain and by_blocks([[n for _, n in side] for side in sides], (a.cells, b.cells)) and all(dict(x.df.dtypes)[n] == "double" for x in (a, b) for n in x.values):
+        df = block_product(a.df, b.df, *sides, a.values)
+        return Labelled(df, plan.order, a.names, a.dtype, float(prod(sizes[x] for x in plan.order)))
     keys = a.columns([*plan.batch, *plan.summed])
     left = a.df.select(*a.columns(a.labels), *[F.col(n).alias(f"l_{n}") for n in a.values])
     right = b.df.select(*b.columns(b.labels), *[F.col(n).alias(f"r_{n}") for n in b.values])
@@ -164,5 +175,5 @@ def einsum2(
     a, b = dense_for(a, map_a), dense_for(b, map_b)
     left = labelled(a.conj() if conj_a else a, ia, names, map_a)
     right = labelled(b.conj() if conj_b else b, ib, names, map_b)
-    found = as_tensor(contract_pair(left, right, ic, semiring), ic, sizes)
+    found = as_tensor(contract_pair(left, right, ic, semiring, sizes), ic, sizes)
     return found if semiring is not PLUS_TIMES else accumulated(found, out, alpha, beta)

@@ -63,7 +63,7 @@ class EinsumCode:
         for i, j in greedy_order([(p.labels, p.cells) for p in parts], needed, sizes):
             others = set(needed).union(*[p.labels for k, p in enumerate(parts) if p is not None and k not in (i, j)])
             kept = [x for x in dict.fromkeys([*parts[i].labels, *parts[j].labels]) if x in others]
-            parts.append(contract_pair(parts[i], parts[j], kept, semiring))
+            parts.append(contract_pair(parts[i], parts[j], kept, semiring, sizes))
             parts[i] = parts[j] = None
         return parts[-1].summed(list(needed), semiring)
 

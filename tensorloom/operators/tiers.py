@@ -1,17 +1,19 @@
 """Other physical forms of the same contractions, for dense operands.
 
 Row arrays: the last axis is an array, multiplied by higher-order functions. Blocks:
-tiles of a matrix, multiplied by NumPy; a dense product of m x k x n cells joins
-(m k n) / tile**3 pairs of tiles in place of m k n pairs of cells.
+tiles of matrices, multiplied by NumPy; a dense product of m x k x n cells joins
+(m k n) / tile**3 pairs of tiles in place of m k n pairs of cells. Pairs are multiplied
+where they meet, and only products are shuffled, to be summed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.errors import DimensionMismatch
@@ -21,6 +23,13 @@ from tensorloom.tensor import Tensor
 TILE = 256
 #: Pairs of cells above which a dense product goes by blocks.
 BLOCKS_FROM = 50_000_000
+#: Part of its cells that an operand must store to count as dense.
+DENSE = 0.1
+#: Products that a task sums before it sends them on.
+HELD = 64
+
+#: A column and its size.
+Axis = tuple[str, int]
 
 
 def gram_rows(df: DataFrame, key: str, array: str, queries: DataFrame | None = None) -> Tensor:
@@ -32,62 +41,130 @@ def gram_rows(df: DataFrame, key: str, array: str, queries: DataFrame | None = N
     return Tensor(left.crossJoin(right).select("a0", "a1", dot.alias("v")), (None, None))
 
 
-def _tiles(t: Tensor, tile: int) -> DataFrame:
-    """``bi, bj, data``: row-major tiles, built where their cells meet."""
-    rows = t.resolved().df.select(F.expr(f"a0 div {tile}").alias("bi"), F.expr(f"a1 div {tile}").alias("bj"), (F.col("a0") % tile * tile + F.col("a1") % tile).cast("int").alias("at"), F.col("v").cast("double"))
-    grouped = rows.groupBy("bi", "bj").agg(F.collect_list("at").alias("at"), F.collect_list("v").alias("v"))
+def _number(axes: Sequence[Axis]) -> Column:
+    """Axes as one number, the last running fastest."""
+    at = F.lit(0).cast("long")
+    for name, n in axes:
+        at = at * F.lit(n) + F.col(name)
+    return at
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data = []
-            for at, v in zip(b.column(2), b.column(3), strict=True):
-                block = np.zeros(tile * tile)
-                block[at.values.to_numpy()] = v.values.to_numpy()
-                data.append(block.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(data, pa.binary())], ["bi", "bj", "data"])
 
-    return grouped.select("bi", "bj", "at", "v").mapInArrow(fill, "bi long, bj long, data binary")
+def _axes_of(number: str, axes: Sequence[Axis]) -> list[Column]:
+    """``_number`` undone."""
+    steps = [prod(n for _, n in axes[k + 1 :]) for k in range(len(axes))]
+    return [F.expr(f"({number} div {s}) % {n}").alias(name) for s, (name, n) in zip(steps, axes, strict=True)]
 
 
-def block_matmul(a: Tensor, b: Tensor, tile: int = TILE) -> Tensor:
-    """``ij,jk->ik`` by tiles: join on the common block index, multiply, sum tiles as they come."""
-    a.need_rank(2)
-    b.need_rank(2)
-    if None not in (a.dims[1], b.dims[0]) and a.dims[1] != b.dims[0]:
-        raise DimensionMismatch(f"{a.dims[1]} and {b.dims[0]}")
-    left = _tiles(a, tile).select("bi", F.col("bj").alias("bk"), F.col("data").alias("x"))
-    right = _tiles(b, tile).select(F.col("bi").alias("bk"), "bj", F.col("data").alias("y"))
+def _tiles(df: DataFrame, batch: Sequence[Axis], rows: Sequence[Axis], cols: Sequence[Axis], values: Sequence[str], tile: int) -> DataFrame:
+    """``b, bi, bj, data``: row-major tiles, built where their cells meet; a complex cell is its two parts."""
+    numbered = df.select(_number(batch).alias("b"), _number(rows).alias("r"), _number(cols).alias("c"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
+    cell = F.struct((F.col("r") % tile * tile + F.col("c") % tile).cast("int").alias("at"), *values)
+    grouped = numbered.groupBy("b", F.expr(f"r div {tile}").alias("bi"), F.expr(f"c div {tile}").alias("bj")).agg(F.collect_list(cell).alias("cells"))
+    parts = len(values)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for one in batches:
+            for k in range(one.num_rows):
+                cells = one.column(3)[k].values
+                block = np.zeros((tile * tile, parts))
+                block[cells.field(0).to_numpy()] = np.stack([cells.field(1 + p).to_numpy() for p in range(parts)], axis=1)
+                yield pa.RecordBatch.from_arrays([*[one.column(n).slice(k, 1) for n in range(3)], pa.array([block.tobytes()], pa.binary())], ["b", "bi", "bj", "data"])
+
+    return grouped.mapInArrow(fill, "b long, bi long, bj long, data binary")
+
+
+def block_product(left: DataFrame, right: DataFrame, batch: Sequence[Axis], rows: Sequence[Axis], cols: Sequence[Axis], inner: Sequence[Axis], values: Sequence[str], tile: int = TILE) -> DataFrame:
+    """Sum over ``inner`` of ``left`` times ``right``, both with the columns ``values`` and
+    axes by name; cells that are zero are left out.
+
+    Absent cells inside a tile are zero, so times an infinite value they give NaN. Where
+    the inner axes have fewer blocks than there are tasks, left tiles are dealt out by
+    row block too, and right tiles are copied to each part.
+    """
+    kind, side = np.complex128 if len(values) == 2 else np.float64, left.sparkSession.sparkContext.defaultParallelism
+    deep = max(1, -(-prod(n for _, n in inner) // tile) * prod(n for _, n in batch))
+    parts = max(1, min(-(-prod(n for _, n in rows) // tile), -(-side // deep)))
+    a = _tiles(left, batch, rows, inner, values, tile).select("b", "bi", F.col("bj").alias("bk"), F.col("data").alias("x"), (F.col("bi") % parts).alias("part"))
+    b = _tiles(right, batch, inner, cols, values, tile).select("b", F.col("bi").alias("bk"), "bj", F.col("data").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Products of one output tile are summed while they follow each other."""
+        """Products summed by tile of the result as long as few tiles are held."""
+        held: dict[tuple, np.ndarray] = {}
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for key, total in held.items():
+                yield pa.RecordBatch.from_arrays([*[pa.array([k], pa.int64()) for k in key], pa.array([total.tobytes()], pa.binary())], ["b", "bi", "bj", "data"])
+            held.clear()
+
+        for one in batches:
+            for k in range(one.num_rows):
+                key = tuple(one.column(n)[k].as_py() for n in range(3))
+                x, y = (np.frombuffer(one.column(n)[k].as_buffer(), dtype=kind).reshape(tile, tile) for n in (3, 4))
+                if key in held:
+                    held[key] += x @ y
+                else:
+                    if len(held) == HELD:
+                        yield from send()
+                    held[key] = x @ y
+        yield from send()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Products of one tile, which follow each other, summed; then its cells."""
         now, total = None, None
 
         def cells() -> pa.RecordBatch:
             i, j = np.nonzero(total)
-            return pa.RecordBatch.from_arrays([pa.array(i + now[0] * tile), pa.array(j + now[1] * tile), pa.array(total[i, j])], ["a0", "a1", "v"])
-
-        for batch in batches:
-            for bi, bj, x, y in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                product = np.frombuffer(x).reshape(tile, tile) @ np.frombuffer(y).reshape(tile, tile)
-                if (bi, bj) != now:
+            found = total[i, j]
+            numbers = [np.full(len(i), now[0]), i + now[1] * tile, j + now[2] * tile]
+            out = [found] if kind is np.float64 else [found.real, found.imag]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in [*numbers, *out]], ["b", "r", "c", *values])
+
+        for one in batches:
+            for k in range(one.num_rows):
+                key = tuple(one.column(n)[k].as_py() for n in range(3))
+                more = np.frombuffer(one.column(3)[k].as_buffer(), dtype=kind).reshape(tile, tile)
+                if key == now:
+                    total += more
+                else:
                     if now is not None:
                         yield cells()
-                    now, total = (bi, bj), product
-                else:
-                    total = total + product
+                    now, total = key, more.copy()
         if now is not None:
             yield cells()
 
-    pairs = left.join(right, "bk").select("bi", "bj", "x", "y").repartition("bi", "bj").sortWithinPartitions("bi", "bj")
-    return Tensor(pairs.mapInArrow(multiply, "a0 long, a1 long, v double"), (a.dims[0], b.dims[1]))
+    products = a.join(b, ["b", "bk", "part"]).select("b", "bi", "bj", "x", "y").mapInArrow(multiply, "b long, bi long, bj long, data binary")
+    summed = products.repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj").mapInArrow(add, "b long, r long, c long, " + ", ".join(f"{v} double" for v in values))
+    return summed.select(*_axes_of("b", batch), *_axes_of("r", rows), *_axes_of("c", cols), *values)
+
+
+def block_matmul(a: Tensor, b: Tensor, tile: int = TILE) -> Tensor:
+    """``ij,jk->ik`` by tiles, real or complex; sizes that are not known are found by one aggregate."""
+    a.need_rank(2)
+    b.need_rank(2)
+    if None not in (a.dims[1], b.dims[0]) and a.dims[1] != b.dims[0]:
+        raise DimensionMismatch(f"{a.dims[1]} and {b.dims[0]}")
+    if a.is_complex() or b.is_complex():
+        a, b = a.to_complex(), b.to_complex()
+    size = lambda t, k: t.dims[k] if t.dims[k] is not None else (t.df.agg(F.max(f"a{k}")).first()[0] or 0) + 1
+    m, k, n = size(a, 0), max(size(a, 1), size(b, 0)), size(b, 1)
+    left = a.resolved().df.withColumnRenamed("a1", "k")
+    right = b.resolved().df.withColumnRenamed("a0", "k")
+    df = block_product(left, right, [], [("a0", m)], [("a1", n)], [("k", k)], a.values, tile)
+    return Tensor(df, (a.dims[0], b.dims[1]), a.dtype)
+
+
+def by_blocks(sizes: Sequence[Sequence[int | None]], cells: Sequence[float | None]) -> bool:
+    """Whether a product pays by blocks: the axes ``batch, rows, cols, inner`` have known
+    sizes and make up enough pairs, and both operands are dense."""
+    batch, rows, cols, inner = sizes
+    if not rows or not cols or not inner or None in (*batch, *rows, *cols, *inner, *cells):
+        return False
+    grids = prod((*batch, *rows, *inner)), prod((*batch, *inner, *cols))
+    return prod((*batch, *rows, *cols, *inner)) >= BLOCKS_FROM and all(c > DENSE * g for c, g in zip(cells, grids, strict=True))
 
 
 def matmul(a: Tensor, b: Tensor) -> Tensor:
-    """``ij,jk->ik`` by blocks if both operands are real, dense and large, else by cells."""
+    """``ij,jk->ik``, by blocks if that pays (see ``by_blocks``)."""
     from tensorloom.operators.einsum import einsum
 
-    sizes = (*a.dims, b.dims[-1])
-    dense = None not in sizes and a.cells is not None and b.cells is not None and min(a.cells / max(1, len(a)), b.cells / max(1, len(b))) > 0.1
-    if dense and not (a.is_complex() or b.is_complex()) and sizes[0] * sizes[1] * sizes[2] >= BLOCKS_FROM:
-        return block_matmul(a, b)
     return einsum("ij,jk->ik", a, b)

@@ -9,6 +9,8 @@ from tensorloom.errors import InvalidAxis, NonSquare, OffsetOverflow, RankMismat
 from tensorloom.functions.monoids import MAX, PRODUCT
 from tensorloom.operators import elementwise as ew
 from tensorloom.operators import reduce as rd
+from tensorloom.operators import tiers
+from tensorloom.operators.einsum import einsum
 from tensorloom.operators.tiers import block_matmul, gram_rows, matmul
 from tensorloom.sources.tensors import from_array_column, from_buffer, from_fn, from_numpy, from_parts, from_table, read_parquet, to_buffer, to_numpy, write_parquet, zeros
 from tensorloom.streaming.accumulate import stream_contract
@@ -116,11 +118,34 @@ def test_tiers_agree(spark):
     ta, tb = from_numpy(spark, a), from_numpy(spark, b)
     np.testing.assert_array_equal(to_numpy(block_matmul(ta, tb, tile=4)), a @ b)
     np.testing.assert_array_equal(to_numpy(matmul(ta, tb)), a @ b)
+    z, w = a + 1j * a[::-1], b - 2j * b
+    np.testing.assert_array_equal(to_numpy(block_matmul(from_numpy(spark, z).conj(), from_numpy(spark, w), tile=4)), z.conj() @ w)
+    np.testing.assert_array_equal(to_numpy(block_matmul(ta, from_numpy(spark, w), tile=32)), a @ w)
     rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(a)], "k long, row array<double>")
     got = gram_rows(rows, "k", "row")
     np.testing.assert_array_equal(to_numpy(Tensor(got.df, (13, 13))), a @ a.T)
 
 
+@pytest.mark.parametrize("complex_", [False, True])
+def test_einsum_takes_blocks_for_dense_operands(spark, monkeypatch, complex_):
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(-9, 9, (3, 4, 5, 6)).astype(float), rng.integers(-9, 9, (6, 3, 7, 5)).astype(float)
+    if complex_:
+        a = a * (1 + 2j)
+    ta, tb = from_numpy(spark, a), from_numpy(spark, b)
+    planned = lambda t: "MapInArrow" in t.df._jdf.queryExecution().optimizedPlan().toString()
+    assert not planned(einsum("xijk,kxlj->lxi", ta, tb))
+    monkeypatch.setattr(tiers, "BLOCKS_FROM", 100)
+    found = einsum("xijk,kxlj->lxi", ta, tb)
+    assert planned(found)
+    np.testing.assert_array_equal(to_numpy(found), np.einsum("xijk,kxlj->lxi", a, b))
+    whole = from_numpy(spark, a.real.astype(int))
+    assert not planned(einsum("xijk,kxlj->lxi", whole, from_numpy(spark, b.astype(int))))
+    assert not planned(einsum("xijk,kxlj->xj", ta, tb))
+    chain = [from_numpy(spark, rng.integers(-9, 9, (12, 12)).astype(float)) for _ in range(3)]
+    np.testing.assert_array_equal(to_numpy(einsum("ij,jk,kl->il", *chain)), np.linalg.multi_dot([to_numpy(t) for t in chain]))
+
+
 def test_stream_contraction(spark, tmp_path):
     spark.createDataFrame([(0, 1, 2.0), (1, 1, 3.0), (0, 0, 1.0)], "i long, j long, w double").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("i long, j long, w double").parquet(str(tmp_path / "in"))
