@@ -5,7 +5,8 @@ same gram in a fixed set of licence templates. A hit at document word ``p`` and
 template word ``o`` votes for the diagonal ``p - o``: the place where the whole
 template would start. Votes are gathered by document, template and diagonal;
 neighbouring diagonals, which an inserted or a missing word tears apart, are
-merged; and spans with enough votes are verified against the template's words.
+merged; and spans with enough votes are verified word after word: the merged span, or
+the place of its best diagonal alone, must become the template with few edits.
 
 The template side is a few hundred rows fixed in this file, so broadcasting it
 is bounded whatever the table's size. Only hits are shuffled.
@@ -36,20 +37,40 @@ PHRASES = (
     ("mit", "mit license"),
 )
 
-#: Sentences that are found although words are added, changed or missing.
+#: Clauses of public licences and of the notices that name them, as fixed values; they are
+#: found although words are added, changed or missing.
 SENTENCES = (
+    ("agpl", "gnu affero general public license as published by the free software foundation"),
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", "see the license for the specific language governing permissions and limitations under the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed"),
     ("cc-by", "this work is licensed under a creative commons attribution license"),
+    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work"),
     ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "provided that the above copyright notice and this permission notice appear in all copies"),
     ("lgpl", "gnu lesser general public license as published by the free software foundation"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library if not see"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("mit", "released under the mit license"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"),
 )
 
 #: Words that are no evidence by themselves: a gram of two of them casts no vote.
@@ -57,8 +78,11 @@ COMMON = frozenset("a and any are as at be by for from in is it may not of on or
 
 #: Diagonals this close belong to one alignment.
 NEIGHBOUR = 3
-#: Part of a sentence's votes, and of its words, that a span must hold.
-MIN_VOTES, MIN_WORDS = 0.6, 0.75
+#: Part of a sentence's votes that a span must hold, and edits a span may need for each of
+#: the sentence's characters to become the sentence.
+MIN_VOTES, MAX_EDITS = 0.6, 0.3
+#: Words by which a merged span may reach beyond its best diagonal on either side.
+MARGIN = 2 * NEIGHBOUR
 
 WORD_SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -120,7 +144,10 @@ def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     hits = rolled.select("doc_id", "text_hash", "words", F.posexplode_outer("grams").alias("pos", "gram")).join(F.broadcast(seeds), "gram")
     hits = hits.where(F.when(F.col("t") < 0, F.col("pos") == 0).otherwise(F.col("pos") > 0))
     start = F.when(F.col("t") < 0, F.lit(0)).otherwise(F.col("pos") - 1 - F.col("o"))
-    place = F.slice("words", F.greatest(start, F.lit(0)) + 1, F.when(F.col("t") < 0, 0).when(start < 0, F.greatest(F.col("len") + start, F.lit(0))).otherwise(F.col("len")))
+    # the words of the template's place, and for sentences a margin on either side
+    margin = F.when(F.col("exact"), 0).otherwise(MARGIN)
+    first = F.greatest(start - margin, F.lit(0))
+    place = F.slice("words", first + 1, F.when(F.col("t") < 0, 0).otherwise(F.greatest(start + F.col("len") + margin - first, F.lit(0))))
     hits = hits.select(
         "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), "t", "label", "len", "exact", "body", start.alias("diagonal"),
         "vote", F.array_join(place, " ").alias("place"),
@@ -140,13 +167,20 @@ def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
         .groupBy(*key, "t", "band", "len", "label", "exact", "body")
         .agg(
             F.bit_or("votes").alias("votes"), F.min("diagonal").alias("lo"), F.max("diagonal").alias("hi"), F.max("rows").alias("rows"),
-            F.max_by("place", F.struct(F.bit_count("votes"), -F.col("diagonal"))).alias("place"),
+            F.max(F.struct(F.bit_count("votes").alias("n"), (-F.col("diagonal")).alias("at"), "place")).alias("best"),
         )
     )
     found = F.bit_count("votes") / votes
-    template_words = F.array_distinct(F.split("body", " "))
-    same = F.size(F.array_intersect(template_words, F.split("place", " "))) / F.size(template_words)
-    accepted = F.when(F.col("exact"), F.col("place") == F.col("body")).otherwise((found >= MIN_VOTES) & (same >= MIN_WORDS))
+    best, words = -F.col("best.at"), F.split("best.place", " ")
+
+    def edits(lo: Column, hi: Column) -> Column:
+        """Edits between the template and the words from diagonal ``lo`` to the end of ``hi``."""
+        begin, first = F.greatest(lo, F.lit(0)), F.greatest(best - MARGIN, F.lit(0))
+        span = F.slice(words, begin - first + 1, F.greatest(hi + F.col("len") - begin, F.lit(0)))
+        return F.levenshtein(F.regexp_replace(F.array_join(span, " "), r"[^\x00-\x7F]", "?"), F.col("body"))
+
+    near = F.least(edits(best, best), edits(F.greatest("lo", best - MARGIN), F.least("hi", best + MARGIN)))
+    accepted = F.when(F.col("exact"), F.col("best.place") == F.col("body")).otherwise(F.when(found >= MIN_VOTES, near <= MAX_EDITS * F.length("body")).otherwise(F.lit(False)))
     judged = merged.select(*key, "t", "label", "exact", "rows", "lo", F.greatest("lo", F.lit(0)).alias("begin"), (F.col("hi") + F.col("len")).alias("end"), F.when(F.col("t") >= 0, found).alias("found"), ((F.col("t") >= 0) & accepted).alias("ok"))
     base = F.col("ok") & F.col("exact")
     joined = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ",")
@@ -178,13 +212,18 @@ h AS (SELECT k, t, label, s.len, exact, body, n, p - o AS diagonal, count(DISTIN
 b AS (SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER v > {NEIGHBOUR} THEN 1 ELSE 0 END AS fresh FROM h WINDOW v AS (PARTITION BY k, t ORDER BY diagonal)),
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY k, t ORDER BY diagonal) AS band FROM b),
 m AS (
-  SELECT k, t, label, len, exact, body, n, band, len(list_distinct(flatten(list(os)))) AS votes, min(diagonal) AS lo, arg_max(diagonal, votes * 100000000 - diagonal) AS best
+  SELECT k, t, label, len, exact, body, n, band, len(list_distinct(flatten(list(os)))) AS votes, min(diagonal) AS lo, max(diagonal) AS hi, arg_max(diagonal, votes * 100000000 - diagonal) AS best
   FROM c GROUP BY ALL),
-p AS (SELECT m.*, list_slice(d.w, greatest(best, 0) + 1, best + m.len) AS place, string_split(body, ' ') AS words FROM m JOIN d USING (k)),
+p AS (
+  SELECT m.*, array_to_string(list_slice(d.w, greatest(best, 0) + 1, best + m.len), ' ') AS place,
+         array_to_string(list_slice(d.w, greatest(lo, best - {MARGIN}, 0) + 1, least(hi, best + {MARGIN}) + m.len), ' ') AS span
+  FROM m JOIN d USING (k)),
 j AS (
   SELECT k, label, exact, lo, CAST(votes AS DOUBLE) / n AS found,
-         CASE WHEN exact THEN array_to_string(place, ' ') = body
-              ELSE CAST(votes AS DOUBLE) / n >= {MIN_VOTES} AND CAST(len(list_intersect(list_distinct(words), place)) AS DOUBLE) / len(list_distinct(words)) >= {MIN_WORDS} END AS ok
+         CASE WHEN exact THEN place = body
+              WHEN CAST(votes AS DOUBLE) / n >= {MIN_VOTES}
+              THEN least(levenshtein(regexp_replace(place, '[^\x00-\x7F]', '?', 'g'), body), levenshtein(regexp_replace(span, '[^\x00-\x7F]', '?', 'g'), body)) <= {MAX_EDITS}::DOUBLE * length(body)
+              ELSE false END AS ok
   FROM p),
 r AS (
   SELECT k, count(*) FILTER (ok AND exact) AS n_base, min(lo) FILTER (ok AND exact) AS first_word, max(lo) FILTER (ok AND exact) AS last_word,
