@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.errors import TensorError
 from tensorloom.functions.monoids import COUNT, MAX, MIN, PRODUCT
 from tensorloom.functions.semiring import BOOL_OR_AND, MAX_PLUS, MAX_TIMES, MIN_PLUS
 from tensorloom.operators import elementwise as ew
 from tensorloom.operators import reduce as rd
 from tensorloom.operators.contract import einsum2
-from tensorloom.operators.einsum import EinsumCode, einsum, einsum_into
+from tensorloom.operators.einsum import EinsumCode, einsum, einsum_into, einsum_numpy, einsum_numpy_into
 from tensorloom.operators.tiers import block_matmul, block_product, gram_rows
-from tensorloom.plans.planner import row_major_strides
+from tensorloom.plans.notation import reverse_notation
+from tensorloom.plans.planner import plan_pair, row_major_strides
 from tensorloom.sources import tensors as src
 from tensorloom.tensor import Tensor
 
@@ -310,3 +313,60 @@ _query("densify", lambda x: _out(x.trade().densify(), "i j"), "SELECT a.x AS i,
 _query("table_to_tensor", lambda x: _out(x.sales("l_suppkey"), "s p"), "SELECT s, p, v AS value FROM sp", "sp")
 _query("array_column_to_tensor", lambda x: _out(x.embeddings(), "i k"), "SELECT i, k, v AS value FROM e", "e")
 _query("events_user_type_cooccurrence", lambda x: _out(einsum("ut,uv->tv", x.events(), x.events()), "t v"), "SELECT a.t, b.t AS v, SUM(a.n * b.n) AS value FROM h a JOIN h b USING (u) GROUP BY 1, 2", "h")
+
+# views without a check, buffers and NumPy arrays, empty axes, plans and errors
+
+_GRID = "FROM range({}) a, range({}) b"
+_AT = "CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j"
+
+
+def _wave(rows: int, columns: int) -> np.ndarray:
+    """The array ``3 i - 2 j + 1``, in column-major memory."""
+    return np.asfortranarray(3.0 * np.arange(rows)[:, None] - 2.0 * np.arange(columns) + 1)
+
+
+def _rejected(x: Tables) -> DataFrame:
+    """What is wrong with each of some contractions, by the name of the error."""
+    wide, tall = src.zeros(x.spark, (2, 3)), src.zeros(x.spark, (4, 2))
+    cases = {
+        "inner sizes differ": lambda: einsum("ij,jk->ik", wide, tall),
+        "label of no operand": lambda: einsum2(wide, tall, "ij", "ki", "kz"),
+        "label twice in the output": lambda: einsum2(wide, tall, "ij", "ki", "kk"),
+        "no arrow": lambda: einsum("ij,jk", wide, tall),
+        "one operand too few": lambda: einsum("ij,jk->ik", wide),
+        "more labels than axes": lambda: einsum("ijk->i", wide),
+        "view beyond its buffer": lambda: src.from_buffer(x.spark, [1.0, 2.0], (2, 2), (2, 1)),
+        "strides and sizes": lambda: src.from_buffer(x.spark, [1.0, 2.0], (2,), (2, 1)),
+    }
+    found = []
+    for name, call in cases.items():
+        try:
+            call()
+            found.append((name, "none"))
+        except TensorError as e:
+            found.append((name, type(e).__name__))
+    return x.spark.createDataFrame(found, "case string, error string")
+
+
+def _plan(x: Tables) -> DataFrame:
+    plan = plan_pair("bijp", "bjkq", "bik")
+    return x.spark.createDataFrame([(label, role) for role in ("batch", "left", "right", "summed", "left_trace", "right_trace") for label in getattr(plan, role)], "label string, role string")
+
+
+def _shape(x: Tables) -> DataFrame:
+    t = einsum("ij,k->kji", x.trade_complex(), src.zeros(x.spark, (3,))).conj()
+    rows = [("rank", t.rank), ("cells", len(t)), ("complex", int(t.is_complex())), ("empty", int(t.is_empty)), *[(a, n) for a, n in zip(t.axes, t.dims, strict=True)]]
+    return x.spark.createDataFrame(rows, "what string, n long")
+
+
+_query("buffer_unchecked_view", lambda x: _out(src.from_buffer(x.spark, list(range(24)), (4, 3), (0, 5), 2, checked=False), "i j"), f"SELECT {_AT}, CAST(2 + 5 * b.range AS DOUBLE) AS value {_GRID.format(4, 3)}")
+_query("numpy_to_tensor", lambda x: _out(src.from_numpy(x.spark, _wave(4, 3)[::-1]), "i j"), f"SELECT {_AT}, CAST(3 * (3 - a.range) - 2 * b.range + 1 AS DOUBLE) AS value {_GRID.format(4, 3)}")
+_query("buffer_round_trip", lambda x: _out(src.from_parts(x.spark, src.to_buffer(src.from_numpy(x.spark, _wave(4, 3)), "row"), (4, 3), order="row"), "i j"), f"SELECT {_AT}, CAST(3 * a.range - 2 * b.range + 1 AS DOUBLE) AS value {_GRID.format(4, 3)}")
+_query("numpy_einsum", lambda x: _out(src.from_numpy(x.spark, einsum_numpy(x.spark, "ij,kj->ik", _wave(3, 4), _wave(2, 4))), "i j"), f"SELECT {_AT}, CAST(SUM((3 * a.range - 2 * c.range + 1) * (3 * b.range - 2 * c.range + 1)) AS DOUBLE) AS value {_GRID.format(3, 2)}, range(4) c GROUP BY 1, 2")
+_query("numpy_einsum_into", lambda x: _out(src.from_numpy(x.spark, einsum_numpy_into(x.spark, "ij->ji", _wave(3, 4), out=_wave(4, 3), alpha=2.0, beta=-1.0)), "i j"), f"SELECT {_AT}, CAST(2 * (3 * b.range - 2 * a.range + 1) - (3 * a.range - 2 * b.range + 1) AS DOUBLE) AS value {_GRID.format(4, 3)}")
+_query("reversed_notation_matmul", lambda x: _out(einsum(reverse_notation("ij,jk->ik"), x.trade().transpose_2d(), x.trade().transpose_2d()), "k i"), "SELECT a.i, b.j AS k, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+_query("empty_axis_contraction", lambda x: _out(einsum("ij,jk->ik", src.zeros(x.spark, (2, 0)), src.zeros(x.spark, (0, 3))).densify(), "i j"), f"SELECT {_AT}, 0.0::DOUBLE AS value {_GRID.format(2, 3)}")
+_query("rejected_contractions", _rejected, """SELECT * FROM (VALUES ('inner sizes differ', 'DimensionMismatch'), ('label of no operand', 'OrphanOutputAxis'), ('label twice in the output', 'DuplicateAxis'), ('no arrow', 'ParseError'),
+    ('one operand too few', 'OperandCountMismatch'), ('more labels than axes', 'RankMismatch'), ('view beyond its buffer', 'OffsetOverflow'), ('strides and sizes', 'StrideLengthMismatch')) v("case", error)""")
+_query("contraction_plan", _plan, "SELECT * FROM (VALUES ('b', 'batch'), ('i', 'left'), ('k', 'right'), ('j', 'summed'), ('p', 'left_trace'), ('q', 'right_trace')) v(label, role)")
+_query("tensor_metadata", _shape, "SELECT * FROM (VALUES ('rank', 3::BIGINT), ('cells', 1875), ('complex', 1), ('empty', 0), ('a0', 3), ('a1', 25), ('a2', 25)) v(what, n)")
