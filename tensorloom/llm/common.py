@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType
 
@@ -126,11 +126,47 @@ def table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tensorloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _remove_at_exit(spark, path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
+def in_order(df: DataFrame, *keys: Column, name: str = "pos") -> DataFrame:
+    """``df``, stored, with each row's place (from 0) in the order of ``keys``.
+
+    Rows are dealt out by ranges and sorted there, so no task holds more than its share;
+    what is broadcast is one number a task. ``df`` is worked out twice, to sample ranges
+    and to deal it out.
+    """
+    dealt = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at_", F.monotonically_increasing_id())
+    rows, part = table(dealt, "in-order"), F.shiftright("at_", 33)
+    sizes = rows.groupBy(part.alias("part_")).agg(F.count(F.lit(1)).alias("n_"))
+    before = F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part_", F.coalesce(before, F.lit(0)).alias("before_"))
+    place = (F.col("at_").bitwiseAND((1 << 33) - 1) + F.col("before_")).alias(name)
+    return rows.join(F.broadcast(starts), part == F.col("part_")).select(*df.columns, place)
+
+
+def blocks_of(batches, keys: int):
+    """Successive rows with equal values in the first ``keys`` columns, as one Arrow table each."""
+    import pyarrow as pa
+
+    now, held = None, []
+    for b in batches:
+        start, marks = 0, list(zip(*[b.column(k).to_pylist() for k in range(keys)], strict=True))
+        for k, mark in enumerate(marks):
+            if mark != now:
+                if k > start:
+                    held.append(b.slice(start, k - start))
+                if held:
+                    yield now, pa.Table.from_batches(held).combine_chunks()
+                now, held, start = mark, [], k
+        if len(marks) > start:
+            held.append(b.slice(start))
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm import langid, licenses, line_dedup, lsm_dedup, mixing, packing, pst, quality, simhash, suffix_dedup
-from tensorloom.llm.common import documents
+from tensorloom.llm import conversations, langid, licenses, line_dedup, lsm_dedup, merkle, mixing, packing, pst, quality, simhash, suffix_dedup, token_counts
+from tensorloom.llm.common import documents, numbered, remove_at_exit, shared_dir
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,5 +63,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality, op4_suffix_dedup, op5_langid, op6_lm_score, op7_line_dedup, op8_packing, op9_exact_dedup, op10_simhash)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache that is empty before each run, so all distinct texts are encoded."""
+    path = public_tokenizers.path
+    cache = f"{shared_dir(spark)}/tensorloom/token-cache-{uuid.uuid4().hex}"
+    remove_at_exit(spark, cache)
+    return token_counts.token_counts(documents(spark, sf_dir), cache, tokenizer=path("byte_bpe_50k.json"), ranks=path("byte_bpe_50k.tiktoken")).drop("digest")
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("in_doc_id").cast("string")) % 7 == 0
+    claim = merkle.leaf(F.col("in_doc_id"), F.col("in_source"), F.col("in_lang"), F.try_add(F.col("in_n_chars"), F.lit(1)), F.col("in_text"))
+    found = merkle.manifest(documents(spark, sf_dir), extra={"claimed": F.when(tampered, claim)})
+    found = found.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), merkle.folded(F.coalesce("claimed", "leaf"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows by ``crc32("conv_id:turn") % 20``: dropped, emptied, without ``.!?``, twice, or of role user; nulls in the checksum, role and text are one space."""
+    spaced = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = numbered(conversations.select("conv_id", "turn", "role", "text")).withColumn("c", F.crc32(F.concat(spaced("conv_id"), F.lit(":"), spaced("turn"))) % 20)
+    text = F.when(F.col("c") == 1, F.lit("")).when(F.col("c") == 2, F.translate(spaced("text"), ".!?", "")).otherwise(spaced("text"))
+    role = F.when(F.col("c") == 4, F.lit("user")).otherwise(spaced("role"))
+    copies = F.explode(F.when(F.col("c") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy")
+    rows = rows.where("c <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), "row", copies)
+    return rows.withColumn("row", F.col("row") * 2 + F.col("copy")).drop("copy")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    summary, turns = conversations.repair(damaged(given), row_col="row")
+    ids = given.select("conv_id", conversations.conversation_key(F.col("conv_id")).alias("g")).distinct()
+    found = ids.join(summary, "g", "left").join(conversations.turns_digest(turns), "g", "left")
+    counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality, op4_suffix_dedup, op5_langid, op6_lm_score, op7_line_dedup, op8_packing, op9_exact_dedup, op10_simhash, op11_token_counts, op12_merkle, op13_conversations)}
 ORACLES = {"op1_mixing": mixing.ORACLE, "op2_licenses": licenses.ORACLE, "op3_quality": quality.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE}
