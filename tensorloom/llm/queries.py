@@ -99,5 +99,76 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def _crc32_sql(text: str) -> str:
+    """DuckDB has no crc32: one step a bit, over the characters of an ASCII string."""
+    bits = f"flatten(list_transform(string_split({text}, ''), lambda c: [unicode(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    part = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+    return f"sha256({' || '.join(part.format(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+#: DuckDB: levels by a recursive query, siblings by joins, and the fold over lists.
+OP12_ORACLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS g, {_leaf_sql('n_chars')} AS leaf, {_leaf_sql('(n_chars + 1)')} AS altered, {_crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '1')")} % 7 = 0 AND doc_id IS NOT NULL AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+t AS (SELECT g, 0 AS k, pos, leaf AS h, n FROM l UNION ALL SELECT g, k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM t WHERE n > 1 GROUP BY g, k, pos // 2),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS k, pos, h, n FROM s UNION ALL SELECT k + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM u WHERE n > 1 GROUP BY k, pos // 2),
+e AS (
+  SELECT l.rid, 0 AS tree, v.k, CASE WHEN x.h IS NULL THEN '-' WHEN (l.pos >> v.k) & 1 = 1 THEN 'L' || x.h ELSE 'R' || x.h END AS entry
+  FROM l JOIN (SELECT DISTINCT g, k FROM t WHERE n > 1) v USING (g) LEFT JOIN t x ON x.g = l.g AND x.k = v.k AND x.pos = xor(l.pos >> v.k, 1)
+  UNION ALL
+  SELECT l.rid, 1, v.k, CASE WHEN x.h IS NULL THEN '-' WHEN (s.pos >> v.k) & 1 = 1 THEN 'L' || x.h ELSE 'R' || x.h END
+  FROM l JOIN s USING (g) CROSS JOIN (SELECT DISTINCT k FROM u WHERE n > 1) v LEFT JOIN u x ON x.k = v.k AND x.pos = xor(s.pos >> v.k, 1)),
+p AS (SELECT rid, list(entry ORDER BY tree, k) AS path FROM e GROUP BY rid),
+f AS (
+  SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(path, lambda x: substr(x, 2)), ''), '')) AS proof_sha256,
+         list_reduce(list_concat([CASE WHEN tampered THEN altered ELSE leaf END], coalesce(path, [])), lambda a, x: sha256(CASE WHEN x[1] = 'L' THEN substr(x, 2) || a WHEN x[1] = 'R' THEN a || substr(x, 2) ELSE a END)) AS folded_root
+  FROM l JOIN s USING (g) LEFT JOIN p USING (rid))
+SELECT *, folded_root = root AS verified FROM f
+"""
+
+_SPACED = {c: f"coalesce(CAST({c} AS VARCHAR), ' ')" for c in ("conv_id", "turn", "role", "text")}
+
+#: DuckDB: costs to the end by a recursive query from each conversation's last row, then the least letter step by step.
+OP13_ORACLE = rf"""
+WITH RECURSIVE o AS (
+  SELECT coalesce('=' || conv_id, '') AS g, turn, {_SPACED['role']} AS role, {_SPACED['text']} AS text, {_crc32_sql(f"{_SPACED['conv_id']} || ':' || {_SPACED['turn']}")} % 20 AS c FROM conversations),
+d AS (
+  SELECT g, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role, CASE WHEN c = 1 THEN '' WHEN c = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM o, (SELECT unnest([1, 2]) AS copy) WHERE c <> 0 AND (copy = 1 OR c = 3)),
+w AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text)) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, rtrim(text, e' \t\n\x0b\x0c\r') AS bare FROM d),
+r AS (
+  SELECT *, role[1] AS x, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN NOT regexp_matches(bare, '[.!?]$') THEN 'truncated' ELSE '' END AS fault FROM w),
+m AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS e, CASE WHEN x = 's' THEN 0 ELSE 1000000000 END AS ks, CASE WHEN x = 'u' THEN 0 ELSE 1 END AS ku, CASE WHEN x = 'a' THEN 0 ELSE 1 END AS ka FROM r),
+b AS (
+  SELECT DISTINCT g, n AS i, 0::BIGINT AS b0, 10::BIGINT AS b1, 5::BIGINT AS b2, 0::BIGINT AS b3 FROM m
+  UNION ALL
+  SELECT g, i, least(y0, 5 + y2, 10 + y3), least(y1, 5 + y2, 10 + y3), least(y2, 5 + y3), least(y3, 5 + y2)
+  FROM (SELECT m.g, m.pos AS i, least(2 + b0, e + ks + b1, e + ku + b2) AS y0, least(2 + b1, e + ku + b2) AS y1, least(2 + b2, e + ka + b3) AS y2, least(2 + b3, e + ku + b2) AS y3 FROM b JOIN m ON m.g = b.g AND m.pos = b.i - 1)),
+c AS (SELECT g, i, [b0, b1, b2, b3] AS b FROM b),
+z AS (
+  SELECT DISTINCT g, 0::BIGINT AS i, 0 AS s, '' AS audit, []::VARCHAR[] AS out, false AS done FROM m
+  UNION ALL
+  SELECT g, CASE WHEN letter IN ('', 'I') THEN i ELSE i + 1 END, CASE letter WHEN 'I' THEN turned WHEN 'K' THEN kept WHEN 'R' THEN turned ELSE s END, audit || letter,
+         CASE WHEN letter IN ('', 'D') THEN out ELSE list_append(out, CASE WHEN letter = 'K' THEN role ELSE CASE turned WHEN 2 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END) END, letter = ''
+  FROM (
+    SELECT z.*, m.role, m.text, CASE WHEN s = 2 THEN 3 ELSE 2 END AS turned, CASE WHEN x = 's' THEN 1 WHEN x = 'u' THEN 2 ELSE 3 END AS kept,
+           CASE WHEN m.g IS NULL AND s IN (0, 3) THEN '' WHEN 2 + after.b[s + 1] = here.b[s + 1] THEN 'D' WHEN 5 + here.b[turned + 1] = here.b[s + 1] THEN 'I'
+                WHEN (x = 's' AND s = 0 OR x = 'u' AND s <> 2 OR x = 'a' AND s = 2) AND e + after.b[kept + 1] = here.b[s + 1] THEN 'K' ELSE 'R' END AS letter
+    FROM z JOIN c here ON here.g = z.g AND here.i = z.i LEFT JOIN c after ON after.g = z.g AND after.i = z.i + 1 LEFT JOIN m ON m.g = z.g AND m.pos = z.i WHERE NOT done)),
+k AS (
+  SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before || x NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(x) OVER (PARTITION BY g ORDER BY pos) AS before FROM r) GROUP BY g)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(b0, 0) AS cost, coalesce(audit, '') AS audit,
+       sha256(coalesce(array_to_string(out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS g FROM conversations) ids LEFT JOIN k USING (g) LEFT JOIN (SELECT g, b0 FROM b WHERE i = 0) USING (g) LEFT JOIN (SELECT g, audit, out FROM z WHERE done) USING (g)
+"""
+
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_licenses, op3_quality, op4_suffix_dedup, op5_langid, op6_lm_score, op7_line_dedup, op8_packing, op9_exact_dedup, op10_simhash, op11_token_counts, op12_merkle, op13_conversations)}
-ORACLES = {"op1_mixing": mixing.ORACLE, "op2_licenses": licenses.ORACLE, "op3_quality": quality.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE}
+ORACLES = {"op1_mixing": mixing.ORACLE, "op2_licenses": licenses.ORACLE, "op3_quality": quality.ORACLE, "op7_line_dedup": line_dedup.ORACLE, "op9_exact_dedup": lsm_dedup.ORACLE, "op12_merkle": OP12_ORACLE, "op13_conversations": OP13_ORACLE}
