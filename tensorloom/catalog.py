@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.errors import TensorError
-from tensorloom.functions.monoids import COUNT, MAX, MIN, PRODUCT
+from tensorloom.functions.exact import EXACT_SUM
+from tensorloom.functions.monoids import COUNT, LOGSUMEXP, MAX, MIN, PRODUCT, extreme_place
 from tensorloom.functions.semiring import BOOL_OR_AND, MAX_PLUS, MAX_TIMES, MIN_PLUS
 from tensorloom.operators import elementwise as ew
 from tensorloom.operators import reduce as rd
@@ -26,6 +27,7 @@ from tensorloom.sources import tensors as src
 from tensorloom.tensor import Tensor
 
 NATIONS = 25
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 _FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -79,8 +81,22 @@ class Tables:
         return src.from_array_column(df, ["label", "vec_id"], "embedding", cast=lambda x: F.floor(x.cast("double") * 10000).cast("long"))
 
     def events(self) -> Tensor:
-        """Number of events by user and type, a type going by its first letter's code."""
-        return src.from_table(self.table("events").withColumn("one", F.lit(1.0)), ["user_id", F.ascii("event_type")], "one")
+        """Number of events by user and type, types going by their place among ``EVENT_TYPES``."""
+        place = F.array_position(F.array(*[F.lit(x) for x in EVENT_TYPES]), F.col("event_type"))
+        return src.from_table(self.table("events").withColumn("one", F.lit(1.0)), ["user_id", place], "one")
+
+    def prices(self) -> Tensor:
+        """Total price by order."""
+        return src.from_table(self.table("orders"), ["o_orderkey"], "o_totalprice", unique=True)
+
+    def customer_part(self) -> Tensor:
+        """Quantity by customer and part."""
+        return einsum("op,oc->cp", self.sales("l_orderkey"), self.order_customer())
+
+    def supplier_customer(self) -> Tensor:
+        """Quantity by supplier and customer."""
+        line = src.from_table(self.table("lineitem"), ["l_orderkey", "l_suppkey"], "l_quantity")
+        return einsum("os,oc->sc", line, self.order_customer())
 
 
 #: Tensors as SQL tables: t (i, j, v), z (i, j, re, im), e (i, k, v), sp (s, p, v), rv and nv (marginals).
@@ -90,7 +106,10 @@ _CTE = {
     "e": "e AS (SELECT vec_id AS i, label AS b, CAST(u.k - 1 AS BIGINT) AS k, CAST(FLOOR(CAST(embedding[u.k] AS DOUBLE) * 10000) AS BIGINT) AS v FROM embeddings, (SELECT UNNEST(RANGE(1, 65)) AS k) u)",
     "sp": "sp AS (SELECT l_suppkey AS s, l_partkey AS p, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2)",
     "pb": "pb AS (SELECT p_partkey AS p, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) AS b FROM part)",
-    "h": "h AS (SELECT user_id AS u, CAST(ascii(event_type) AS BIGINT) AS t, CAST(COUNT(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2)",
+    "cp": "cp AS (SELECT o_custkey AS c, l_partkey AS p, SUM(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)",
+    "sc": "sc AS (SELECT l_suppkey AS s, o_custkey AS c, SUM(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)",
+    "op": "op AS (SELECT l_orderkey AS o, l_partkey AS p, SUM(l_quantity) AS v FROM lineitem GROUP BY 1, 2)",
+    "h": "h AS (SELECT user_id AS u, CAST(list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) AS BIGINT) AS t, CAST(COUNT(*) AS DOUBLE) AS n FROM events GROUP BY 1, 2)",
     "n": "n AS (SELECT CAST(range AS BIGINT) AS x FROM range(25))",
 }
 
@@ -179,7 +198,6 @@ _query("nested_chain", lambda x: _out(einsum("((sn,nr),(sp,pb))->rb", x.supplier
 _query("matrix_chain", lambda x: _out(einsum("ij,jk,kl->il", x.trade(), x.trade(), x.trade()), "i l"), "SELECT a.i, c.j AS l, SUM(a.v * b.v * c.v) AS value FROM t a JOIN t b ON a.j = b.i JOIN t c ON b.j = c.i GROUP BY 1, 2", "t")
 _query("matrix_chain_parsed_once", lambda x: _out(EinsumCode("(ij,jk),kl->il").evaluate([x.trade()] * 3), "i l"), "SELECT a.i, c.j AS l, SUM(a.v * b.v * c.v) AS value FROM t a JOIN t b ON a.j = b.i JOIN t c ON b.j = c.i GROUP BY 1, 2", "t")
 _query("star", lambda x: _out(einsum("ij,ik,il->jkl", x.trade(), x.trade(), x.trade()), "j k l"), "SELECT a.j, b.j AS k, c.j AS l, SUM(a.v * b.v * c.v) AS value FROM t a JOIN t b ON a.i = b.i JOIN t c ON a.i = c.i GROUP BY 1, 2, 3", "t")
-_FOUND["star"] = (_FOUND["star"][0], _FOUND["star"][1].replace("GROUP BY 1, 2) SELECT", "GROUP BY 1, 2), f AS (SELECT * FROM t WHERE i < 5 AND j < 5) SELECT"))
 _query("star_contract", lambda x: _out(einsum("ij,ik,ik->j", x.trade(), x.trade(), x.trade()), "j"), "SELECT a.j, SUM(a.v * b.w) AS value FROM t a JOIN (SELECT i, SUM(v * v) AS w FROM t GROUP BY 1) b USING (i) GROUP BY 1", "t")
 _query("scalar_times_vector", lambda x: _out(einsum(",k->k", rd.total(x.trade()), einsum("ij->i", x.trade())), "k"), "SELECT i AS k, SUM(v) * (SELECT SUM(v) FROM t) AS value FROM t GROUP BY 1", "t")
 _query("vector_times_scalar", lambda x: _out(einsum("i,->i", einsum("ij->i", x.trade()), rd.total(x.trade())), "i"), "SELECT i, SUM(v) * (SELECT SUM(v) FROM t) AS value FROM t GROUP BY 1", "t")
@@ -203,6 +221,14 @@ _BITS = ", ".join([f"CAST((l_partkey >> {k}) & 1 AS BIGINT) AS p{k}" for k in ra
 _BIT_AXES = ", ".join([f"a.s{k} AS {n}" for k, n in enumerate("ghijkl")] + [f"b.s{k} AS {n}" for k, n in enumerate("mnopqr")])
 _FOUND["many_indices"] = (_FOUND["many_indices"][0], f"WITH w AS (SELECT {_BITS}, SUM(l_quantity) AS v FROM lineitem GROUP BY ALL) SELECT {_BIT_AXES}, SUM(a.v * b.v) AS value FROM w a JOIN w b USING (p0, p1, p2, p3, p4, p5) GROUP BY ALL")
 
+# cycles, joined all at once
+
+_query("triangle", lambda x: _out(einsum("cp,sp,sc->c", x.customer_part(), x.sales("l_suppkey"), x.supplier_customer()), "c"), "SELECT sc.c, SUM(cp.v * sp.v * sc.v) AS value FROM cp JOIN sp USING (p) JOIN sc ON sc.s = sp.s AND sc.c = cp.c GROUP BY 1", "cp", "sp", "sc")
+_query("triangle_cells", lambda x: _out(einsum("cp,sp,sc->cps", x.customer_part(), x.sales("l_suppkey"), x.supplier_customer()), "c p s"), "SELECT sc.c, sp.p, sp.s, cp.v * sp.v * sc.v AS value FROM cp JOIN sp USING (p) JOIN sc ON sc.s = sp.s AND sc.c = cp.c", "cp", "sp", "sc")
+_query("four_cycle", lambda x: _out(einsum("op,sp,sc,oc->s", x.sales("l_orderkey"), x.sales("l_suppkey"), x.supplier_customer(), x.order_customer()), "s"), "SELECT sc.s, SUM(op.v * sp.v * sc.v) AS value FROM op JOIN orders ON o = o_orderkey JOIN sp USING (p) JOIN sc ON sc.s = sp.s AND sc.c = o_custkey GROUP BY 1", "op", "sp", "sc")
+_query("triangle_with_tail", lambda x: _out(einsum("cp,sp,sc,cn->n", x.customer_part(), x.sales("l_suppkey"), x.supplier_customer(), x.customer_nation()), "n"), "SELECT CAST(c_nationkey AS BIGINT) AS n, SUM(cp.v * sp.v * sc.v) AS value FROM cp JOIN sp USING (p) JOIN sc ON sc.s = sp.s AND sc.c = cp.c JOIN customer ON c_custkey = sc.c GROUP BY 1", "cp", "sp", "sc")
+_query("chain_by_statistics", lambda x: _out(einsum("oc,cn,nr,op,pb->rb", *[t.measured() for t in (x.order_customer(), x.customer_nation(), x.nation_region(), x.sales("l_orderkey"), x.part_brand())]), "r b"), _CHAIN, "pb")
+
 # one tensor
 
 _query("trace", lambda x: _out(einsum("ii->", x.trade()), ""), "SELECT SUM(v) AS value FROM t WHERE i = j", "t")
@@ -265,6 +291,33 @@ _query("demote", lambda x: _out(x.trade().to_complex().try_to_real(), "i j"), "S
 
 # reductions
 
+
+def _rounded(t: Tensor, names: str, digits: int = 6) -> DataFrame:
+    return _out(ew.map_cells(t, lambda v: F.round(v, digits)), names)
+
+
+def _turned(re, im):
+    """1, i, -1 or -i, by the real part's rest modulo 4."""
+    quarter = re.cast("long") % 4
+    return F.when(quarter == 0, 1.0).when(quarter == 2, -1.0).otherwise(0.0), F.when(quarter == 1, 1.0).when(quarter == 3, -1.0).otherwise(0.0)
+
+
+def _unsigned(t: Tensor) -> Tensor:
+    """Zeros without a sign."""
+    return ew.map_cells(t, lambda re, im: (F.when(re == 0, 0.0).otherwise(re), F.when(im == 0, 0.0).otherwise(im)))
+
+
+_TURN = "CASE q WHEN 0 THEN 1.0::DOUBLE WHEN 2 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS value_re, CASE q WHEN 1 THEN 1.0::DOUBLE WHEN 3 THEN -1.0::DOUBLE ELSE 0.0::DOUBLE END AS value_im"
+def _exact_sql(value: str, table: str, bits: int, key: str = "") -> str:
+    """The exact sum of doubles that are whole numbers of ``2 ** -bits``, rounded once: 61 bits
+    go into a double, the lowest of which says whether any lower one is set."""
+    by = f"{key} AS s, " if key else ""
+    sums = f"SELECT {by}SUM(CAST({value} * {2.0**bits:.0f} AS HUGEINT)) AS h FROM {table}{' GROUP BY 1' if key else ''}"
+    cut = "CAST(greatest(0, floor(log2(CAST(h AS DOUBLE))) - 60) AS INTEGER)"
+    power = f"SELECT *, {cut} AS b, CAST(pow(2.0::DOUBLE, {cut}) AS HUGEINT) AS p FROM ({sums})"
+    return f"SELECT {'s, ' if key else ''}CAST(CAST(h // p AS BIGINT) | CASE WHEN h % p <> 0 THEN 1::BIGINT ELSE 0::BIGINT END AS DOUBLE) * pow(2.0::DOUBLE, b - {bits}) AS value FROM ({power})"
+
+
 _query("reduce_sum", lambda x: _out(rd.reduce(x.trade()), ""), "SELECT SUM(v) AS value FROM t", "t")
 _query("reduce_product", lambda x: _out(rd.reduce(x.nation_region(), PRODUCT, lambda v: v + 1), ""), "SELECT CAST(POW(2, COUNT(*)) AS DOUBLE) AS value FROM nation")
 _query("reduce_sumsq", lambda x: _out(rd.reduce(x.trade(), f=lambda v: v * v), ""), "SELECT SUM(v * v) AS value FROM t", "t")
@@ -277,6 +330,17 @@ _query("reduce_axis_mapped", lambda x: _out(rd.reduce_axis(x.trade(), 0, f=lambd
 _query("reduce_trace_axes", lambda x: _out(rd.reduce_axes(_cube(x), rd.trace_axes("ijk", "j", "j")), "j"), "SELECT j, SUM(v) AS value FROM t GROUP BY 1", "t")
 _query("dot", lambda x: _out(rd.dot(x.trade(), x.trade().transpose_2d()), ""), "SELECT COALESCE(SUM(a.v * b.v), 0.0::DOUBLE) AS value FROM t a JOIN t b ON a.i = b.j AND a.j = b.i", "t")
 
+_query("reduce_logsumexp", lambda x: _rounded(rd.reduce_axis(ew.map_cells(x.trade(), lambda v: v / 1000), 1, LOGSUMEXP), "i"), "SELECT i, ROUND(LN(SUM(EXP(v / 1000))), 6) AS value FROM t GROUP BY 1", "t")
+_query("reduce_argmax", lambda x: _out(rd.reduce_axis(x.trade(), 1, extreme_place(1)), "i"), "SELECT i, j AS value FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY v DESC, j) AS n FROM t) WHERE n = 1", "t")
+_query("reduce_argmin_sales", lambda x: _out(rd.reduce_axis(x.sales("l_suppkey"), 1, extreme_place(1, largest=False)), "s"), "SELECT s, p AS value FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY v, p) AS n FROM sp) WHERE n = 1", "sp")
+_query("reduce_complex_product", lambda x: _out(_unsigned(rd.reduce_axis(x.trade_complex(), 1, PRODUCT, _turned)), "i"), f"SELECT i, {_TURN} FROM (SELECT i, SUM(CAST(re AS BIGINT)) % 4 AS q FROM z GROUP BY 1)", "z")
+_query("reduce_complex_product_all", lambda x: _out(_unsigned(rd.reduce(x.trade_complex(), PRODUCT, _turned)), ""), f"SELECT {_TURN} FROM (SELECT SUM(CAST(re AS BIGINT)) % 4 AS q FROM z)", "z")
+_query("reduce_complex_sumsq", lambda x: _out(rd.reduce(x.trade_complex(), f=lambda re, im: (re * re - im * im, re * im * 2)), ""), "SELECT SUM(re * re - im * im) AS value_re, SUM(re * im * 2) AS value_im FROM z", "z")
+_query("reduce_complex_norm", lambda x: _out(rd.reduce_axis(x.trade_complex(), 0, f=lambda re, im: re * re + im * im), "j"), "SELECT j, SUM(re * re + im * im) AS value FROM z GROUP BY 1", "z")
+_query("exact_sum_by_supplier", lambda x: _out(src.from_table(x.table("lineitem"), ["l_suppkey"], "l_extendedprice", exact=True), "s"), _exact_sql("l_extendedprice", "lineitem", 52, "l_suppkey"))
+_query("exact_sum_all", lambda x: _out(rd.reduce(src.from_table(x.table("lineitem"), ["l_orderkey", "l_linenumber"], F.col("l_extendedprice") * F.col("l_discount"), unique=True), EXACT_SUM), ""), _exact_sql("(l_extendedprice * l_discount)", "lineitem", 52))
+_query("exact_dot", lambda x: _out(rd.dot(x.prices(), x.prices(), exact=True), ""), _exact_sql("(o_totalprice * o_totalprice)", "orders", 36))
+
 # complex values and semirings
 
 _PRODUCT = "SELECT a.i, b.j AS k, SUM(a.re * b.re - a.im * b.im) AS value_re, SUM(a.re * b.im + a.im * b.re) AS value_im FROM z a JOIN z b ON a.j = b.i GROUP BY 1, 2"
@@ -285,6 +349,8 @@ _query("complex_conj_matmul", lambda x: _out(einsum2(x.trade_complex(), x.trade_
 _query("complex_conj_hadamard", lambda x: _out(einsum("ij,ij->ij", x.trade_complex().conj(), x.trade_complex()), "i j"), "SELECT i, j, re * re + im * im AS value_re, re * im - im * re AS value_im FROM z", "z")
 _query("adjoint", lambda x: _out(x.trade_complex().adjoint_2d(), "i j"), "SELECT j AS i, i AS j, re AS value_re, -im AS value_im FROM z", "z")
 _query("mixed_matmul", lambda x: _out(einsum("ij,jk->ik", x.trade(), x.trade_complex()), "i k"), "SELECT a.i, b.j AS k, SUM(a.v * b.re) AS value_re, SUM(a.v * b.im) AS value_im FROM t a JOIN z b ON a.j = b.i GROUP BY 1, 2", "t", "z")
+_query("einsum2_mapped_complex", lambda x: _out(einsum2(x.trade_complex(), x.trade_complex(), "ij", "jk", "ik", map_a=lambda re, im: (re + 1, im - 2), map_b=lambda re, im: (im, -re)), "i k"), """SELECT a.x AS i, b.j AS k, SUM((COALESCE(z.re, 0.0::DOUBLE) + 1) * b.im - (COALESCE(z.im, 0.0::DOUBLE) - 2) * -b.re) AS value_re, SUM((COALESCE(z.re, 0.0::DOUBLE) + 1) * -b.re + (COALESCE(z.im, 0.0::DOUBLE) - 2) * b.im) AS value_im
+    FROM n a CROSS JOIN n m LEFT JOIN z ON z.i = a.x AND z.j = m.x JOIN z b ON b.i = m.x GROUP BY 1, 2""", "z", "n")
 _query("complex_trace", lambda x: _out(einsum("ii->", x.trade_complex()), ""), "SELECT SUM(re) AS value_re, SUM(im) AS value_im FROM z WHERE i = j", "z")
 _query("maxplus_matmul", lambda x: _out(einsum("ij,jk->ik", x.trade(), x.trade(), semiring=MAX_PLUS), "i k"), "SELECT a.i, b.j AS k, MAX(a.v + b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
 _query("minplus_matmul", lambda x: _out(einsum("ij,jk->ik", x.trade(), x.trade(), semiring=MIN_PLUS), "i k"), "SELECT a.i, b.j AS k, MIN(a.v + b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")

@@ -27,6 +27,7 @@ class Semiring(NamedTuple):
 PLUS_TIMES = Semiring("plus_times", lambda a, b: a * b, F.sum, 0.0, 1.0)
 MAX_PLUS = Semiring("max_plus", lambda a, b: a + b, F.max, float("-inf"), 0.0)
 MIN_PLUS = Semiring("min_plus", lambda a, b: a + b, F.min, float("inf"), 0.0)
+#: Of values of at least zero: an absent cell is zero, the least of them. Where values are negative, ``densify`` first.
 MAX_TIMES = Semiring("max_times", lambda a, b: a * b, F.max, 0.0, 1.0, distributes=False)  # a negative factor turns the order around
 BOOL_OR_AND = Semiring("bool_or_and", lambda a, b: a & b, F.bool_or, False, True)
 COUNTING = Semiring("counting", lambda a, b: a * b, F.sum, 0, 1)

@@ -20,11 +20,15 @@ from tensorloom.plans.planner import label_sizes, plan_pair
 from tensorloom.tensor import Tensor, axis
 
 
+#: Of a real value, or of real and imaginary part; a pair returned is complex.
+Map = Callable[..., "Column | tuple[Column, Column]"]
+
+
 class Labelled:
     """A tensor whose axis columns carry the names of their labels, for joins by name."""
 
-    def __init__(self, df: DataFrame, labels: Sequence[Hashable], names: dict, dtype: str, cells: float | None) -> None:
-        self.df, self.labels, self.names, self.dtype, self.cells = df, list(labels), names, dtype, cells
+    def __init__(self, df: DataFrame, labels: Sequence[Hashable], names: dict, dtype: str, cells: float | None, stats=None) -> None:
+        self.df, self.labels, self.names, self.dtype, self.cells, self.stats = df, list(labels), names, dtype, cells, stats
 
     @property
     def values(self) -> list[str]:
@@ -36,7 +40,8 @@ class Labelled:
     def summed(self, keep: Sequence[Hashable], semiring: Semiring = PLUS_TIMES) -> Labelled:
         """Only the labels in ``keep``: one grouping, or none if they are all there."""
         if set(keep) == set(self.labels):
-            return Labelled(self.df, keep, self.names, self.dtype, self.cells)
+            stats = self.stats and self.stats.picked([self.labels.index(x) for x in keep])
+            return Labelled(self.df, keep, self.names, self.dtype, self.cells, stats)
         sums = [semiring.plus(F.col(n)).alias(n) for n in self.values]
         if keep:
             df = self.df.groupBy(*self.columns(keep)).agg(*sums)
@@ -56,7 +61,7 @@ def label_columns(labels: Sequence[Hashable]) -> dict[Hashable, str]:
     return {x: f"x{k}" for k, x in enumerate(dict.fromkeys(labels))}
 
 
-def labelled(t: Tensor, labels: Sequence[Hashable], names: dict, value: Callable[[Column], Column] | None = None) -> Labelled:
+def labelled(t: Tensor, labels: Sequence[Hashable], names: dict, value: Map | None = None) -> Labelled:
     """A tensor under labels; a label that stands twice selects the diagonal."""
     if len(labels) != t.rank:
         raise RankMismatch(f"{len(labels)} labels for {t.rank} axes")
@@ -67,9 +72,14 @@ def labelled(t: Tensor, labels: Sequence[Hashable], names: dict, value: Callable
             df = df.where(F.col(axis(seen[x])) == F.col(axis(k)))
         else:
             seen[x] = k
-    parts = t.parts() if value is None else [value(p) for p in t.parts()]
+    parts = t.parts() if value is None else _mapped(value, t.parts())
     columns = [F.col(axis(k)).alias(names[x]) for x, k in seen.items()]
-    return Labelled(df.select(*columns, *[p.alias(n) for p, n in zip(parts, t.values, strict=True)]), list(seen), names, t.dtype, t.cells)
+    return Labelled(df.select(*columns, *[p.alias(n) for p, n in zip(parts, ["re", "im"] if len(parts) == 2 else ["v"], strict=True)]), list(seen), names, "complex" if len(parts) == 2 else "real", t.cells, t.stats if len(seen) == t.rank else None)
+
+
+def _mapped(value: Map, parts: Sequence[Column]) -> list[Column]:
+    found = value(*parts)
+    return list(found) if isinstance(found, list | tuple) else [found]
 
 
 def contract_pair(a: Labelled, b: Labelled, out: Sequence[Hashable], semiring: Semiring = PLUS_TIMES, sizes: Mapping[Hashable, int | None] | None = None) -> Labelled:
@@ -78,6 +88,8 @@ def contract_pair(a: Labelled, b: Labelled, out: Sequence[Hashable], semiring: S
     By tiles if ``sizes`` and the numbers of cells tell that both are dense and large
     (values other than doubles stay with cells, so that their type never depends on size).
     """
+    if semiring is not PLUS_TIMES and "complex" in (a.dtype, b.dtype):
+        raise TypeMismatch(f"complex values have no {semiring.name}")
     plan = plan_pair(a.labels, b.labels, list(out))
     last = list(plan.summed)
     if semiring.distributes:
@@ -146,22 +158,23 @@ def as_tensor(found: Labelled, out: Sequence[Hashable], sizes: dict) -> Tensor:
     return Tensor(df, [sizes.get(x) for x in out], found.dtype, cells=found.cells)
 
 
-def dense_for(t: Tensor, value: Callable[[Column], Column] | None) -> Tensor:
+def dense_for(t: Tensor, value: Map | None) -> Tensor:
     """``t`` with a row for every cell if ``value`` makes something else than zero of zero."""
     if value is None:
         return t
-    at_zero = t.df.sparkSession.range(1).select(value(F.lit(0.0))).first()[0]
-    return t if at_zero == 0 else t.densify()
+    at_zero = t.df.sparkSession.range(1).select(*_mapped(value, [F.lit(0.0) for _ in t.values])).first()
+    return t if all(x == 0 for x in at_zero) else t.densify()
 
 
 def einsum2(
     a: Tensor, b: Tensor, ia: Sequence[Hashable], ib: Sequence[Hashable], ic: Sequence[Hashable], *, out: Tensor | None = None, alpha: complex = 1.0, beta: complex = 0.0,
-    conj_a: bool = False, conj_b: bool = False, map_a: Callable[[Column], Column] | None = None, map_b: Callable[[Column], Column] | None = None, semiring: Semiring = PLUS_TIMES,
+    conj_a: bool = False, conj_b: bool = False, map_a: Map | None = None, map_b: Map | None = None, semiring: Semiring = PLUS_TIMES,
 ) -> Tensor:
     """``alpha * contract(a, b) + beta * out`` with labels of any hashable type.
 
     ``map_a`` and ``map_b`` are applied to values before the product, to absent cells
-    too: where a map of zero is not zero, the operand is made dense, so its sizes are
+    too; of a complex operand they take real and imaginary part and return a pair (or one
+    column, which is real). Where a map of zero is not zero, the operand is made dense, so its sizes are
     found or known. With a semiring other than plus and times, alpha and beta must be
     left out.
     """

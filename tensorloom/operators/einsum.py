@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tensorloom.errors import OperandCountMismatch, OrphanOutputAxis, OutputShapeMismatch, TypeMismatch
 from tensorloom.functions.semiring import PLUS_TIMES, Semiring
 from tensorloom.operators.contract import Labelled, accumulated, contract_pair, label_columns, labelled
+from tensorloom.operators.multiway import contract_cycle
+from tensorloom.plans.multiway import cyclic_core
 from tensorloom.plans.notation import Leaf, Node, Notation, parse_einsum
-from tensorloom.plans.planner import greedy_order, label_sizes
+from tensorloom.plans.planner import MANY, best_order, greedy_order, label_sizes
 from tensorloom.tensor import Tensor, axis
 
 
@@ -60,7 +62,16 @@ class EinsumCode:
                 below[k] = set(parts[-1].labels)
         if len(parts) == 1:
             return parts[0].summed(list(needed), semiring)
-        for i, j in greedy_order([(p.labels, p.cells) for p in parts], needed, sizes):
+        core = cyclic_core([p.labels for p in parts]) if len(parts) > 2 and semiring is PLUS_TIMES else []
+        if core and any(sizes.get(x) is None for k in core for x in parts[k].labels):
+            ring, rest = [parts[k] for k in core], [p for k, p in enumerate(parts) if k not in core]
+            others = set(needed).union(*[p.labels for p in rest])
+            parts = [contract_cycle(ring, [x for x in dict.fromkeys(x for p in ring for x in p.labels) if x in others]), *rest]
+        if all(p.stats for p in parts) and len(parts) <= MANY:
+            order = best_order([(p.labels, p.stats.rows, dict(zip(p.labels, p.stats.distinct, strict=True))) for p in parts], needed)
+        else:
+            order = greedy_order([(p.labels, p.cells) for p in parts], needed, sizes)
+        for i, j in order:
             others = set(needed).union(*[p.labels for k, p in enumerate(parts) if p is not None and k not in (i, j)])
             kept = [x for x in dict.fromkeys([*parts[i].labels, *parts[j].labels]) if x in others]
             parts.append(contract_pair(parts[i], parts[j], kept, semiring, sizes))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from math import prod
+from operator import and_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,17 +16,24 @@ from tensorloom.plans.planner import column_major_strides, row_major_strides
 from tensorloom.tensor import Tensor, axis, index_grid
 
 
-def from_table(df: DataFrame, keys: Sequence[str | Column], value: str | Column, dims: Sequence[int | None] | None = None, *, imag: str | Column | None = None, unique: bool = False, cells: float | None = None) -> Tensor:
+def from_table(df: DataFrame, keys: Sequence[str | Column], value: str | Column, dims: Sequence[int | None] | None = None, *, imag: str | Column | None = None, unique: bool = False, exact: bool = False, cells: float | None = None) -> Tensor:
     """Sum of ``value`` by ``keys``; rows with a null key or value are left out.
 
     Keys become longs. The sum is what makes coordinates unique; it is skipped only
-    where the caller knows they are (``unique``).
+    where the caller knows they are (``unique``). ``exact`` sums doubles without rounding
+    on the way, so that the result is the same for any order of rows.
     """
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
     names = ["re", "im"] if imag is not None else ["v"]
     values = [as_column(value)] + ([as_column(imag)] if imag is not None else [])
-    rows = df.select(*[as_column(k).cast("long").alias(axis(n)) for n, k in enumerate(keys)], *[v.alias(n) for n, v in zip(names, values, strict=True)]).dropna()
+    rows = df.select(*[as_column(k).cast("long").alias(axis(n)) for n, k in enumerate(keys)], *[v.alias(n) for n, v in zip(names, values, strict=True)])
+    rows = rows.where(reduce(and_, [F.col(c).isNotNull() for c in rows.columns]))
     axes = [axis(n) for n in range(len(keys))]
+    if exact and not unique:
+        from tensorloom.functions.exact import exact_total
+
+        cells_ = Tensor(rows, dims or [None] * len(keys), "complex" if imag is not None else "real")
+        return exact_total(cells_, cells_.parts(), range(len(keys)), cells_.dims)
     if not unique:
         rows = rows.groupBy(*axes).agg(*[F.sum(n).alias(n) for n in names])
     return Tensor(rows, dims if dims is not None else [None] * len(keys), "complex" if imag is not None else "real", cells=cells)

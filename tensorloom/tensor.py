@@ -22,10 +22,10 @@ def axis(k: int) -> str:
 
 
 class Tensor:
-    """See the module. ``cells``: about how many rows there are, if known; ``conj``: values count as conjugated."""
+    """See the module. ``cells``: about how many rows there are, if known; ``conj``: values count as conjugated; ``stats``: what ``measured`` found."""
 
-    def __init__(self, df: DataFrame, dims: Sequence[int | None], dtype: str = "real", *, cells: float | None = None, conj: bool = False) -> None:
-        self.df, self.dims, self.dtype, self.cells = df, tuple(dims), dtype, cells
+    def __init__(self, df: DataFrame, dims: Sequence[int | None], dtype: str = "real", *, cells: float | None = None, conj: bool = False, stats=None) -> None:
+        self.df, self.dims, self.dtype, self.cells, self.stats = df, tuple(dims), dtype, cells, stats
         self.conjugated = conj and dtype == "complex"
 
     # what it is
@@ -69,6 +69,13 @@ class Tensor:
             return self
         return Tensor(self.df.select(*self.axes, *[p.alias(n) for p, n in zip(self.parts(), self.values, strict=True)]), self.dims, self.dtype, cells=self.cells)
 
+    def measured(self) -> Tensor:
+        """The same with statistics of its cells, from one pass; contractions are ordered by them."""
+        from tensorloom.operators.statistics import measure
+
+        stats = measure(self)
+        return Tensor(self.df, self.dims, self.dtype, cells=float(stats.rows), conj=self.conjugated, stats=stats)
+
     def _same(self, df: DataFrame, dims: Sequence[int | None] | None = None, cells: float | None = None) -> Tensor:
         return Tensor(df, self.dims if dims is None else dims, self.dtype, cells=self.cells if cells is None else cells, conj=self.conjugated)
 
