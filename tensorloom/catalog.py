@@ -20,7 +20,7 @@ from tensorloom.operators import elementwise as ew
 from tensorloom.operators import reduce as rd
 from tensorloom.operators.contract import einsum2
 from tensorloom.operators.einsum import EinsumCode, einsum, einsum_into, einsum_numpy, einsum_numpy_into
-from tensorloom.operators.tiers import block_matmul, block_product, gram_rows
+from tensorloom.operators.tiers import block_matmul, block_product, gram_rows, tiled, untiled
 from tensorloom.plans.notation import reverse_notation
 from tensorloom.plans.planner import plan_pair, row_major_strides
 from tensorloom.sources import tensors as src
@@ -196,6 +196,8 @@ _query("flagship_region_brand", lambda x: _out(einsum("oc,cn,nr,op,pb->rb", x.or
 _NESTED = "SELECT CAST(n_regionkey AS BIGINT) AS r, b, SUM(v) AS value FROM sp JOIN supplier ON s = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN pb USING (p) GROUP BY 1, 2"
 _query("nested_chain", lambda x: _out(einsum("((sn,nr),(sp,pb))->rb", x.supplier_nation(), x.nation_region(), x.sales("l_suppkey"), x.part_brand()), "r b"), _NESTED, "sp", "pb")
 _query("matrix_chain", lambda x: _out(einsum("ij,jk,kl->il", x.trade(), x.trade(), x.trade()), "i l"), "SELECT a.i, c.j AS l, SUM(a.v * b.v * c.v) AS value FROM t a JOIN t b ON a.j = b.i JOIN t c ON b.j = c.i GROUP BY 1, 2", "t")
+_query("matrix_chain_tiles", lambda x: _out(untiled(tiled(x.trade(), 8).times(tiled(x.trade(), 8)).times(tiled(x.trade(), 8))), "i l"), "SELECT a.i, c.j AS l, SUM(a.v * b.v * c.v) AS value FROM t a JOIN t b ON a.j = b.i JOIN t c ON b.j = c.i GROUP BY 1, 2", "t")
+_query("sales_gram_tiles", lambda x: _out(untiled(tiled(x.sales("l_suppkey")).times(tiled(x.sales("l_suppkey")).transposed())), "s t"), "SELECT a.s, b.s AS t, SUM(a.v * b.v) AS value FROM sp a JOIN sp b USING (p) GROUP BY 1, 2", "sp")
 _query("matrix_chain_parsed_once", lambda x: _out(EinsumCode("(ij,jk),kl->il").evaluate([x.trade()] * 3), "i l"), "SELECT a.i, c.j AS l, SUM(a.v * b.v * c.v) AS value FROM t a JOIN t b ON a.j = b.i JOIN t c ON b.j = c.i GROUP BY 1, 2", "t")
 _query("star", lambda x: _out(einsum("ij,ik,il->jkl", x.trade(), x.trade(), x.trade()), "j k l"), "SELECT a.j, b.j AS k, c.j AS l, SUM(a.v * b.v * c.v) AS value FROM t a JOIN t b ON a.i = b.i JOIN t c ON a.i = c.i GROUP BY 1, 2, 3", "t")
 _query("star_contract", lambda x: _out(einsum("ij,ik,ik->j", x.trade(), x.trade(), x.trade()), "j"), "SELECT a.j, SUM(a.v * b.w) AS value FROM t a JOIN (SELECT i, SUM(v * v) AS w FROM t GROUP BY 1) b USING (i) GROUP BY 1", "t")

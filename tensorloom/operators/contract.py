@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tensorloom.errors import DuplicateAxis, OrphanOutputAxis, OutputShapeMismatch, RankMismatch, TypeMismatch
 from tensorloom.functions.semiring import PLUS_TIMES, Semiring
-from tensorloom.operators.tiers import block_product, by_blocks
+from tensorloom.operators.statistics import Statistics
+from tensorloom.operators.tiers import Tiled, by_blocks, placed
 from tensorloom.plans.planner import label_sizes, plan_pair
 from tensorloom.tensor import Tensor, axis
 
@@ -25,10 +26,17 @@ Map = Callable[..., "Column | tuple[Column, Column]"]
 
 
 class Labelled:
-    """A tensor whose axis columns carry the names of their labels, for joins by name."""
+    """A tensor whose axis columns carry the names of their labels, for joins by name; ``form``: its tiles, if it is one of them."""
 
-    def __init__(self, df: DataFrame, labels: Sequence[Hashable], names: dict, dtype: str, cells: float | None, stats=None) -> None:
-        self.df, self.labels, self.names, self.dtype, self.cells, self.stats = df, list(labels), names, dtype, cells, stats
+    def __init__(self, df: DataFrame | None, labels: Sequence[Hashable], names: dict, dtype: str, cells: float | None, stats: Statistics | None = None, form: Tiled | None = None) -> None:
+        self._df, self.labels, self.names, self.dtype, self.cells, self.stats, self.form = df, list(labels), names, dtype, cells, stats, form
+
+    @property
+    def df(self) -> DataFrame:
+        """The cells; those of tiles are laid open when they are first asked for."""
+        if self._df is None:
+            self._df = self.form.cells()
+        return self._df
 
     @property
     def values(self) -> list[str]:
@@ -41,7 +49,7 @@ class Labelled:
         """Only the labels in ``keep``: one grouping, or none if they are all there."""
         if set(keep) == set(self.labels):
             stats = self.stats and self.stats.picked([self.labels.index(x) for x in keep])
-            return Labelled(self.df, keep, self.names, self.dtype, self.cells, stats)
+            return Labelled(self._df, keep, self.names, self.dtype, self.cells, stats, self.form)
         sums = [semiring.plus(F.col(n)).alias(n) for n in self.values]
         if keep:
             df = self.df.groupBy(*self.columns(keep)).agg(*sums)
@@ -99,11 +107,17 @@ def contract_pair(a: Labelled, b: Labelled, out: Sequence[Hashable], semiring: S
         last += [*plan.left_trace, *plan.right_trace]
     if a.dtype != b.dtype:
         a, b = a.promoted(), b.promoted()
-    sides = [[(a.names[x], (sizes or {}).get(x)) for x in some] for some in (plan.batch, plan.left, plan.right, plan.summed)]
     plain = semiring is PLUS_TIMES and last == list(plan.summed)
-    if plain and by_blocks([[n for _, n in side] for side in sides], (a.cells, b.cells)) and all(dict(x.df.dtypes)[n] == "double" for x in (a, b) for n in x.values):
-        df = block_product(a.df, b.df, *sides, a.values)
-        return Labelled(df, plan.order, a.names, a.dtype, float(prod(sizes[x] for x in plan.order)))
+    known = {x: _size(x, (a, b), sizes or {}) for x in [*plan.order, *plan.summed]}
+    groups = (plan.batch, plan.left, plan.right, plan.summed)
+    if plain and by_blocks([[known[x] for x in g] for g in groups], (a.cells, b.cells)) and all(dict(x.df.dtypes)[n] == "double" for x in (a, b) for n in x.values):
+        # a size that was only measured tells what pays; one axis needs no size, several together do
+        sides = [[(a.names[x], (sizes or {}).get(x)) for x in g] for g in groups]
+        if all(len(side) < 2 or all(n is not None for _, n in side) for side in sides):
+            batch, left, right, inner = sides
+            form = placed(a.form, lambda: a.df, a.names, batch, left, inner, a.values).times(placed(b.form, lambda: b.df, b.names, batch, inner, right, b.values))
+            pairs = float(prod(known[x] for x in plan.order))
+            return Labelled(None, plan.order, a.names, a.dtype, pairs, Statistics(int(pairs), tuple(known[x] for x in plan.order), ({},) * len(plan.order)) if a.stats and b.stats else None, form=form)
     keys = a.columns([*plan.batch, *plan.summed])
     left = a.df.select(*a.columns(a.labels), *[F.col(n).alias(f"l_{n}") for n in a.values])
     right = b.df.select(*b.columns(b.labels), *[F.col(n).alias(f"r_{n}") for n in b.values])
@@ -121,6 +135,14 @@ def contract_pair(a: Labelled, b: Labelled, out: Sequence[Hashable], semiring: S
     return found
 
 
+def _size(x: Hashable, parts: Sequence[Labelled], sizes: Mapping[Hashable, int | None]) -> int | None:
+    """A label's size, or the distinct coordinates that were measured, the most of both operands."""
+    if sizes.get(x) is not None:
+        return sizes[x]
+    seen = [p.stats.distinct[p.labels.index(x)] for p in parts if x in p.labels and p.stats]
+    return max(seen) if seen and len(seen) == sum(x in p.labels for p in parts) else None
+
+
 def accumulated(result: Tensor, out: Tensor | None, alpha: complex = 1.0, beta: complex = 0.0) -> Tensor:
     """``alpha * result + beta * out``; ``out`` is not read for a beta of 0."""
     scaled = scale(result, alpha)

@@ -1,161 +1,353 @@
-"""Other physical forms of the same contractions, for dense operands.
+"""Matrices of tiles, for operands whose cells lie densely.
 
-Row arrays: the last axis is an array, multiplied by higher-order functions. Blocks:
-tiles of matrices, multiplied by NumPy; a dense product of m x k x n cells joins
-(m k n) / tile**3 pairs of tiles in place of m k n pairs of cells. Pairs are multiplied
-where they meet, and only products are shuffled, to be summed.
+A tile is a square block of cells, built where its cells meet and multiplied by NumPy: a
+product of m x k x n cells joins (m k n) / tile ** 3 pairs of tiles in place of m k n pairs
+of cells. Each tile is dense, dense with a mask of its stored cells, or a list of places and
+values, by its own count, so a matrix may be dense in one corner and sparse in others. The
+product of tiles is tiles again: chains stay in this form until cells are asked for.
+
+Which cells are stored is multiplied along: a cell of a product has a row exactly where some
+pair of stored cells met, whatever the sum, and an infinite value meets stored cells alone.
+So tiles and cells give the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
 from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.errors import DimensionMismatch
+from tensorloom.errors import DimensionMismatch, ShapeMismatch
 from tensorloom.tensor import Tensor
 
 #: Side of a tile: 256 x 256 doubles are half a megabyte.
 TILE = 256
-#: Pairs of cells above which a dense product goes by blocks.
+#: Pairs of cells above which a dense product goes by tiles.
 BLOCKS_FROM = 50_000_000
 #: Part of its cells that an operand must store to count as dense.
 DENSE = 0.1
 #: Products that a task sums before it sends them on.
 HELD = 64
-
-#: A column and its size.
-Axis = tuple[str, int]
-
-
-def gram_rows(df: DataFrame, key: str, array: str, queries: DataFrame | None = None) -> Tensor:
-    """``ik,jk->ij`` of an array column of ``queries`` (by default ``df`` too) with that of ``df``, one dot product a pair of rows."""
-    left = (df if queries is None else queries).select(F.col(key).cast("long").alias("a0"), F.col(array).alias("x"))
-    right = df.select(F.col(key).cast("long").alias("a1"), F.col(array).alias("y"))
-    zero = F.lit(0).cast(df.schema[array].dataType.elementType)
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), zero, lambda s, v: s + v)
-    return Tensor(left.crossJoin(right).select("a0", "a1", dot.alias("v")), (None, None))
+#: Part of its cells below which a tile is stored as places and values, and the pairs a stored cell of two such
+#: tiles may make, as a part of the dense product's, for them to be multiplied so.
+SPARSE, PAIRS = 0.25, 0.02
+
+#: A column and its size; a group of one axis may leave its size open (None).
+Axis = tuple[str, "int | None"]
+
+
+class Tile:
+    """Cells of a block, row by row: ``values`` whole with a ``mask`` (None: all are stored), or by ``at`` only those stored."""
+
+    __slots__ = ("at", "mask", "values")
+
+    def __init__(self, at: np.ndarray | None, mask: np.ndarray | None, values: np.ndarray) -> None:
+        self.at, self.mask, self.values = at, mask, values
+
+    @staticmethod
+    def of(at: np.ndarray, values: np.ndarray, area: int) -> Tile:
+        if len(at) < SPARSE * area:
+            order = np.argsort(at, kind="stable")
+            return Tile(at[order].astype(np.int32), None, values[order])
+        whole = np.zeros(area, dtype=values.dtype)
+        whole[at] = values
+        if len(at) == area:
+            return Tile(None, None, whole)
+        mask = np.zeros(area, dtype=bool)
+        mask[at] = True
+        return Tile(None, mask, whole)
+
+    def pack(self) -> tuple[bytes, bytes]:
+        if self.at is not None:
+            return b"s" + self.at.tobytes(), self.values.tobytes()
+        return (b"f" if self.mask is None else b"m" + np.packbits(self.mask).tobytes()), self.values.tobytes()
+
+    @staticmethod
+    def unpack(where: bytes, data, kind: type, area: int) -> Tile:
+        values = np.frombuffer(data, dtype=kind)
+        if where[:1] == b"s":
+            return Tile(np.frombuffer(where, dtype=np.int32, offset=1), None, values)
+        return Tile(None, None if where[:1] == b"f" else np.unpackbits(np.frombuffer(where, dtype=np.uint8, offset=1), count=area).astype(bool), values)
+
+    def stored(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places and values of the stored cells."""
+        if self.at is not None:
+            return self.at.astype(np.int64), self.values
+        at = np.arange(len(self.values)) if self.mask is None else np.flatnonzero(self.mask)
+        return at, self.values[at]
+
+    def flipped(self, side: int) -> Tile:
+        if self.at is not None:
+            at, values = self.stored()
+            return Tile.of(at % side * side + at // side, values, side * side)
+        turn = lambda x: np.ascontiguousarray(x.reshape(side, side).T).reshape(-1)
+        return Tile(None, None if self.mask is None else turn(self.mask), turn(self.values))
+
+    def square(self, side: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """Values and mask as matrices, absent cells being zero."""
+        if self.at is None:
+            return self.values.reshape(side, side), None if self.mask is None else self.mask.reshape(side, side)
+        whole, mask = np.zeros(side * side, dtype=self.values.dtype), np.zeros(side * side, dtype=bool)
+        whole[self.at], mask[self.at] = self.values, True
+        return whole.reshape(side, side), mask.reshape(side, side)
+
+
+class Sum:
+    """A tile of the result while products are added to it."""
+
+    def __init__(self, side: int, kind: type) -> None:
+        self.side, self.total, self.mask = side, np.zeros((side, side), dtype=kind), np.zeros((side, side), dtype=bool)
+
+    def add(self, tile: Tile) -> None:
+        if tile.at is not None:
+            self.total.reshape(-1)[tile.at] += tile.values
+            self.mask.reshape(-1)[tile.at] = True
+            return
+        values, mask = tile.square(self.side)
+        self.total += values
+        self.mask |= True if mask is None else mask
+
+    def add_product(self, x: Tile, y: Tile) -> None:
+        side = self.side
+        if x.at is not None and y.at is not None:
+            first = np.searchsorted(y.at, np.arange(side + 1) * side)
+            n = np.diff(first)[x.at % side]
+            if n.sum() <= PAIRS * side**3:
+                left = np.repeat(np.arange(len(x.at)), n)
+                right = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[x.at % side], n)
+                at = x.at[left].astype(np.int64) // side * side + y.at[right] % side
+                np.add.at(self.total.reshape(-1), at, x.values[left] * y.values[right])
+                self.mask.reshape(-1)[at] = True
+                return
+        (a, stored_a), (b, stored_b) = x.square(side), y.square(side)
+        if stored_a is None and stored_b is None:
+            self.mask[:] = True
+        else:
+            ones = np.ones((side, side), dtype=np.float32)
+            count = lambda m: ones if m is None else m.astype(np.float32)
+            self.mask |= count(stored_a) @ count(stored_b) > 0
+        if (stored_a is None and stored_b is None) or (np.isfinite(a).all() and np.isfinite(b).all()):
+            self.total += a @ b
+            return
+        whole = np.ones((side, side), dtype=bool)
+        stored_a, stored_b = (whole if m is None else m for m in (stored_a, stored_b))
+        for k in range(side):  # an infinite value times an absent cell is no product
+            both = stored_a[:, k, None] & stored_b[None, k]
+            with np.errstate(invalid="ignore"):
+                self.total += np.where(both, a[:, k, None] * b[None, k], 0)
+
+    def tile(self) -> Tile:
+        at = np.flatnonzero(self.mask)
+        return Tile.of(at, self.total.reshape(-1)[at], self.side**2)
 
 
 def _number(axes: Sequence[Axis]) -> Column:
     """Axes as one number, the last running fastest."""
+    if len(axes) == 1:
+        return F.col(axes[0][0])
     at = F.lit(0).cast("long")
     for name, n in axes:
+        if n is None:
+            raise ShapeMismatch(f"the size of {name} must be known beside other axes")
         at = at * F.lit(n) + F.col(name)
     return at
 
 
 def _axes_of(number: str, axes: Sequence[Axis]) -> list[Column]:
     """``_number`` undone."""
+    if len(axes) == 1:
+        return [F.col(number).alias(axes[0][0])]
     steps = [prod(n for _, n in axes[k + 1 :]) for k in range(len(axes))]
     return [F.expr(f"({number} div {s}) % {n}").alias(name) for s, (name, n) in zip(steps, axes, strict=True)]
 
 
-def _tiles(df: DataFrame, batch: Sequence[Axis], rows: Sequence[Axis], cols: Sequence[Axis], values: Sequence[str], tile: int) -> DataFrame:
-    """``b, bi, bj, data``: row-major tiles, built where their cells meet; a complex cell is its two parts."""
-    numbered = df.select(_number(batch).alias("b"), _number(rows).alias("r"), _number(cols).alias("c"), *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
-    cell = F.struct((F.col("r") % tile * tile + F.col("c") % tile).cast("int").alias("at"), *values)
-    grouped = numbered.groupBy("b", F.expr(f"r div {tile}").alias("bi"), F.expr(f"c div {tile}").alias("bj")).agg(F.collect_list(cell).alias("cells"))
-    parts = len(values)
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for one in batches:
-            for k in range(one.num_rows):
-                cells = one.column(3)[k].values
-                block = np.zeros((tile * tile, parts))
-                block[cells.field(0).to_numpy()] = np.stack([cells.field(1 + p).to_numpy() for p in range(parts)], axis=1)
-                yield pa.RecordBatch.from_arrays([*[one.column(n).slice(k, 1) for n in range(3)], pa.array([block.tobytes()], pa.binary())], ["b", "bi", "bj", "data"])
-
-    return grouped.mapInArrow(fill, "b long, bi long, bj long, data binary")
+def _keyed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[pa.RecordBatch]]]:
+    """Successive rows with equal keys, as slices of their batches."""
+    now, held = None, []
+    for one in batches:
+        if not one.num_rows:
+            continue
+        columns = [one.column(k).to_numpy() for k in range(keys)]
+        new = np.zeros(one.num_rows - 1, dtype=bool)
+        for c in columns:
+            new |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist(), one.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            key = tuple(int(c[a]) for c in columns)
+            if key != now and held:
+                yield now, held
+                held = []
+            now = key
+            held.append(one.slice(a, b - a))
+    if held:
+        yield now, held
+
+
+TILES = "b long, bi long, bj long, place binary, data binary"
+
+
+def _row(key: Sequence[int], tile: Tile) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array([k], pa.int64()) for k in key], *[pa.array([x], pa.binary()) for x in tile.pack()]], ["b", "bi", "bj", "place", "data"])
+
+
+class Tiled:
+    """Tiles ``b, bi, bj, place, data`` of matrices: ``rows`` by ``cols``, one for each cell of ``batch``; see the module."""
+
+    def __init__(self, df: DataFrame, batch: Sequence[Axis], rows: Sequence[Axis], cols: Sequence[Axis], kind: str, tile: int = TILE, flipped: bool = False) -> None:
+        self.df, self.batch, self.rows, self.cols, self.kind, self.tile, self.flipped = df, list(batch), list(rows), list(cols), kind, tile, flipped
+
+    @property
+    def values(self) -> list[str]:
+        return ["re", "im"] if self.kind == "complex" else ["v"]
+
+    @property
+    def numpy(self) -> type:
+        return {"complex": np.complex128, "double": np.float64, "long": np.int64}[self.kind]
+
+    @staticmethod
+    def of(df: DataFrame, batch: Sequence[Axis], rows: Sequence[Axis], cols: Sequence[Axis], values: Sequence[str], tile: int = TILE) -> Tiled:
+        """Cells dealt out by tile, in one exchange. Whole numbers stay so."""
+        whole = len(values) == 1 and dict(df.dtypes)[values[0]] in ("bigint", "int", "smallint", "tinyint")
+        kind = "complex" if len(values) == 2 else "long" if whole else "double"
+        numbered = df.select(_number(batch).alias("b") if batch else F.lit(0).cast("long").alias("b"), _number(rows).alias("r"), _number(cols).alias("c"), *[F.coalesce(F.col(v).cast("long" if whole else "double"), F.lit(0)).alias(v) for v in values])
+        cells = numbered.select("b", F.expr(f"r div {tile}").alias("bi"), F.expr(f"c div {tile}").alias("bj"), (F.col("r") % tile * tile + F.col("c") % tile).cast("int").alias("at"), *values)
+        found = Tiled(None, batch, rows, cols, kind, tile)
+        area = tile * tile
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for key, slices in _keyed(batches, 3):
+                column = lambda k, slices=slices: np.concatenate([s.column(k).to_numpy() for s in slices])
+                yield _row(key, Tile.of(column(3), column(4) if len(values) == 1 else column(4) + 1j * column(5), area))
+
+        found.df = cells.repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj").mapInArrow(build, TILES)
+        return found
+
+    def transposed(self) -> Tiled:
+        """No tile is touched until it is multiplied."""
+        df = self.df.select("b", F.col("bj").alias("bi"), F.col("bi").alias("bj"), "place", "data")
+        return Tiled(df, self.batch, self.cols, self.rows, self.kind, self.tile, not self.flipped)
+
+    def times(self, other: Tiled) -> Tiled:
+        """The products of the matrices, as tiles: pairs are multiplied where they meet, and
+        only sums are shuffled. Where the inner axes have few blocks, left tiles are dealt
+        out by row block too, and right ones copied to each part."""
+        if self.tile != other.tile or self.kind != other.kind:
+            raise ShapeMismatch("tiles of one size and type are needed")
+        side, kind, turned = self.tile, self.numpy, (self.flipped, other.flipped)
+        tasks, inner = self.df.sparkSession.sparkContext.defaultParallelism, [n for _, n in self.cols]
+        deep = 1 if None in inner else -(-prod(inner) // side) * prod(n or 1 for _, n in self.batch)
+        parts = max(1, min(tasks, -(-tasks // max(1, deep))))
+        a = self.df.select("b", "bi", F.col("bj").alias("bk"), F.col("place").alias("p"), F.col("data").alias("x"), (F.col("bi") % parts).alias("part"))
+        b = other.df.select("b", F.col("bi").alias("bk"), "bj", F.col("place").alias("q"), F.col("data").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+
+        def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Products summed by tile of the result as long as few tiles are held."""
+            held: dict[tuple, Sum] = {}
+            for one in batches:
+                for k in range(one.num_rows):
+                    key = tuple(one.column(n)[k].as_py() for n in range(3))
+                    x, y = (Tile.unpack(one.column(n)[k].as_py(), one.column(n + 1)[k].as_buffer(), kind, side * side) for n in (3, 5))
+                    x, y = (t.flipped(side) if turn else t for t, turn in zip((x, y), turned, strict=True))
+                    if key not in held:
+                        if len(held) == HELD:
+                            yield from (_row(at, s.tile()) for at, s in held.items())
+                            held.clear()
+                        held[key] = Sum(side, kind)
+                    held[key].add_product(x, y)
+            yield from (_row(at, s.tile()) for at, s in held.items())
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Products of one tile, which follow each other, summed."""
+            now, total = None, None
+            for one in batches:
+                for k in range(one.num_rows):
+                    key = tuple(one.column(n)[k].as_py() for n in range(3))
+                    if key != now:
+                        if now is not None:
+                            yield _row(now, total.tile())
+                        now, total = key, Sum(side, kind)
+                    total.add(Tile.unpack(one.column(3)[k].as_py(), one.column(4)[k].as_buffer(), kind, side * side))
+            if now is not None:
+                yield _row(now, total.tile())
+
+        products = a.join(b, ["b", "bk", "part"]).select("b", "bi", "bj", "p", "x", "q", "y").mapInArrow(multiply, TILES)
+        summed = products.repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj").mapInArrow(add, TILES)
+        return Tiled(summed, self.batch, self.rows, other.cols, self.kind, side)
+
+    def cells(self) -> DataFrame:
+        """Axes by name and values, a row for every stored cell."""
+        side, kind, turned, values = self.tile, self.numpy, self.flipped, self.values
+
+        def open_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for one in batches:
+                for k in range(one.num_rows):
+                    b, i, j = (one.column(n)[k].as_py() for n in range(3))
+                    tile = Tile.unpack(one.column(3)[k].as_py(), one.column(4)[k].as_buffer(), kind, side * side)
+                    at, found = (tile.flipped(side) if turned else tile).stored()
+                    parts = [found] if len(values) == 1 else [found.real, found.imag]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (np.full(len(at), b), at // side + i * side, at % side + j * side, *parts)], ["b", "r", "c", *values])
+
+        rows = self.df.mapInArrow(open_, "b long, r long, c long, " + ", ".join(f"{v} {'long' if self.kind == 'long' else 'double'}" for v in values))
+        return rows.select(*(_axes_of("b", self.batch) if self.batch else []), *_axes_of("r", self.rows), *_axes_of("c", self.cols), *values)
+
+    def write(self, path: str) -> None:
+        """Tiles as Parquet, sorted so that a range of rows is a range of files' row groups."""
+        self.df.repartitionByRange("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj").write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def read(spark: SparkSession, path: str, batch: Sequence[Axis], rows: Sequence[Axis], cols: Sequence[Axis], kind: str = "double", tile: int = TILE) -> Tiled:
+        return Tiled(spark.read.schema(TILES).parquet(path), batch, rows, cols, kind, tile)
+
+
+def tiled(t: Tensor, tile: int = TILE) -> Tiled:
+    """A tensor of two axes as tiles, over axes ``a0`` and ``a1``; sizes need not be known."""
+    t.need_rank(2)
+    return Tiled.of(t.resolved().df, [], [("a0", t.dims[0])], [("a1", t.dims[1])], t.values, tile)
+
+
+def untiled(m: Tiled) -> Tensor:
+    """The tensor of a matrix of tiles."""
+    df = m.cells().toDF("a0", "a1", *m.values)  # both axes may go by one name
+    return Tensor(df, (m.rows[0][1], m.cols[0][1]), "complex" if m.kind == "complex" else "real")
 
 
 def block_product(left: DataFrame, right: DataFrame, batch: Sequence[Axis], rows: Sequence[Axis], cols: Sequence[Axis], inner: Sequence[Axis], values: Sequence[str], tile: int = TILE) -> DataFrame:
-    """Sum over ``inner`` of ``left`` times ``right``, both with the columns ``values`` and
-    axes by name; cells that are zero are left out.
-
-    Absent cells inside a tile are zero, so times an infinite value they give NaN. Where
-    the inner axes have fewer blocks than there are tasks, left tiles are dealt out by
-    row block too, and right tiles are copied to each part.
-    """
-    kind, side = np.complex128 if len(values) == 2 else np.float64, left.sparkSession.sparkContext.defaultParallelism
-    deep = max(1, -(-prod(n for _, n in inner) // tile) * prod(n for _, n in batch))
-    parts = max(1, min(-(-prod(n for _, n in rows) // tile), -(-side // deep)))
-    a = _tiles(left, batch, rows, inner, values, tile).select("b", "bi", F.col("bj").alias("bk"), F.col("data").alias("x"), (F.col("bi") % parts).alias("part"))
-    b = _tiles(right, batch, inner, cols, values, tile).select("b", F.col("bi").alias("bk"), "bj", F.col("data").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Products summed by tile of the result as long as few tiles are held."""
-        held: dict[tuple, np.ndarray] = {}
-
-        def send() -> Iterator[pa.RecordBatch]:
-            for key, total in held.items():
-                yield pa.RecordBatch.from_arrays([*[pa.array([k], pa.int64()) for k in key], pa.array([total.tobytes()], pa.binary())], ["b", "bi", "bj", "data"])
-            held.clear()
-
-        for one in batches:
-            for k in range(one.num_rows):
-                key = tuple(one.column(n)[k].as_py() for n in range(3))
-                x, y = (np.frombuffer(one.column(n)[k].as_buffer(), dtype=kind).reshape(tile, tile) for n in (3, 4))
-                if key in held:
-                    held[key] += x @ y
-                else:
-                    if len(held) == HELD:
-                        yield from send()
-                    held[key] = x @ y
-        yield from send()
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Products of one tile, which follow each other, summed; then its cells."""
-        now, total = None, None
-
-        def cells() -> pa.RecordBatch:
-            i, j = np.nonzero(total)
-            found = total[i, j]
-            numbers = [np.full(len(i), now[0]), i + now[1] * tile, j + now[2] * tile]
-            out = [found] if kind is np.float64 else [found.real, found.imag]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in [*numbers, *out]], ["b", "r", "c", *values])
-
-        for one in batches:
-            for k in range(one.num_rows):
-                key = tuple(one.column(n)[k].as_py() for n in range(3))
-                more = np.frombuffer(one.column(3)[k].as_buffer(), dtype=kind).reshape(tile, tile)
-                if key == now:
-                    total += more
-                else:
-                    if now is not None:
-                        yield cells()
-                    now, total = key, more.copy()
-        if now is not None:
-            yield cells()
-
-    products = a.join(b, ["b", "bk", "part"]).select("b", "bi", "bj", "x", "y").mapInArrow(multiply, "b long, bi long, bj long, data binary")
-    summed = products.repartition("b", "bi", "bj").sortWithinPartitions("b", "bi", "bj").mapInArrow(add, "b long, r long, c long, " + ", ".join(f"{v} double" for v in values))
-    return summed.select(*_axes_of("b", batch), *_axes_of("r", rows), *_axes_of("c", cols), *values)
+    """Sum over ``inner`` of ``left`` times ``right``, both with the columns ``values`` and axes by name."""
+    return Tiled.of(left, batch, rows, inner, values, tile).times(Tiled.of(right, batch, inner, cols, values, tile)).cells()
 
 
 def block_matmul(a: Tensor, b: Tensor, tile: int = TILE) -> Tensor:
-    """``ij,jk->ik`` by tiles, real or complex; sizes that are not known are found by one aggregate."""
+    """``ij,jk->ik`` by tiles, real or complex, of sizes known or not."""
     a.need_rank(2)
     b.need_rank(2)
     if None not in (a.dims[1], b.dims[0]) and a.dims[1] != b.dims[0]:
         raise DimensionMismatch(f"{a.dims[1]} and {b.dims[0]}")
     if a.is_complex() or b.is_complex():
         a, b = a.to_complex(), b.to_complex()
-    size = lambda t, k: t.dims[k] if t.dims[k] is not None else (t.df.agg(F.max(f"a{k}")).first()[0] or 0) + 1
-    m, k, n = size(a, 0), max(size(a, 1), size(b, 0)), size(b, 1)
-    left = a.resolved().df.withColumnRenamed("a1", "k")
-    right = b.resolved().df.withColumnRenamed("a0", "k")
-    df = block_product(left, right, [], [("a0", m)], [("a1", n)], [("k", k)], a.values, tile)
-    return Tensor(df, (a.dims[0], b.dims[1]), a.dtype)
+    return untiled(tiled(a, tile).times(tiled(b, tile)))
+
+
+def gram_rows(df: DataFrame, key: str, array: str, queries: DataFrame | None = None, tile: int = TILE) -> Tensor:
+    """``ik,jk->ij`` of an array column of ``queries`` (by default ``df`` too) with that of ``df``, by tiles.
+
+    Keys are numbers, dense or not; a pair of rows without a common place has no cell.
+    """
+
+    def matrix(rows: DataFrame, name: str) -> Tiled:
+        cells = rows.select(F.col(key).cast("long").alias(name), F.posexplode(array).alias("k", "v")).withColumn("k", F.col("k").cast("long"))
+        return Tiled.of(cells, [], [(name, None)], [("k", None)], ["v"], tile)
+
+    found = matrix(df if queries is None else queries, "a0").times(matrix(df, "a1").transposed())
+    return Tensor(found.cells(), (None, None))
 
 
 def by_blocks(sizes: Sequence[Sequence[int | None]], cells: Sequence[float | None]) -> bool:
-    """Whether a product pays by blocks: the axes ``batch, rows, cols, inner`` have known
-    sizes and make up enough pairs, and both operands are dense."""
+    """Whether a product pays by tiles: the axes ``batch, rows, cols, inner`` have known or
+    measured sizes and make up enough pairs, and both operands are dense."""
     batch, rows, cols, inner = sizes
     if not rows or not cols or not inner or None in (*batch, *rows, *cols, *inner, *cells):
         return False
@@ -163,8 +355,18 @@ def by_blocks(sizes: Sequence[Sequence[int | None]], cells: Sequence[float | Non
     return prod((*batch, *rows, *cols, *inner)) >= BLOCKS_FROM and all(c > DENSE * g for c, g in zip(cells, grids, strict=True))
 
 
+def placed(form: Tiled | None, make: Callable[[], DataFrame], names: dict[Hashable, str], batch: Sequence[Axis], rows: Sequence[Axis], cols: Sequence[Axis], values: Sequence[str]) -> Tiled:
+    """An operand as tiles of ``rows`` by ``cols``: the form it already has, turned if need be, or one built from its cells."""
+    if form is not None and form.batch == list(batch):
+        if (form.rows, form.cols) == (list(rows), list(cols)):
+            return form
+        if (form.cols, form.rows) == (list(rows), list(cols)):
+            return form.transposed()
+    return Tiled.of(make(), batch, rows, cols, values)
+
+
 def matmul(a: Tensor, b: Tensor) -> Tensor:
-    """``ij,jk->ik``, by blocks if that pays (see ``by_blocks``)."""
+    """``ij,jk->ik``, by tiles if that pays (see ``by_blocks``)."""
     from tensorloom.operators.einsum import einsum
 
     return einsum("ij,jk->ik", a, b)
