@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.operators.contract import Labelled
 from tensorloom.operators.statistics import Statistics, measure
-from tensorloom.plans.multiway import patterns, shares
+from tensorloom.plans.multiway import binding_order, patterns, shares
 from tensorloom.tensor import Tensor, axis
 
 #: Rows that a cell is expected to hold at most, and bindings that are extended at once.
@@ -45,9 +45,7 @@ def contract_cycle(parts: Sequence[Labelled], out: Sequence[Hashable], cells: in
         parts = [p.promoted() for p in parts]
     stats = [_measured(p) for p in parts]
     joined = [x for x in dict.fromkeys(x for p in parts for x in p.labels) if count(x) > 1]
-    loose = [x for x in dict.fromkeys(x for p in parts for x in p.labels) if count(x) == 1]
-    fewest = {x: min(s.distinct[p.labels.index(x)] for p, s in zip(parts, stats, strict=True) if x in p.labels) for x in joined}
-    order = [*sorted(joined, key=lambda x: (-count(x), fewest[x])), *loose]
+    order = binding_order([(p.labels, s.rows, dict(zip(p.labels, s.distinct, strict=True))) for p, s in zip(parts, stats, strict=True)], list(dict.fromkeys(x for p in parts for x in p.labels)))
     cells = cells or int(spark.conf.get("spark.sql.shuffle.partitions"))
     heavy = _heavy(parts, stats, joined, cells)
     grids = _grids(parts, stats, joined, heavy, cells)

@@ -11,7 +11,7 @@ from tensorloom.operators import multiway
 from tensorloom.operators.contract import label_columns, labelled
 from tensorloom.operators.multiway import contract_cycle
 from tensorloom.operators.statistics import measure
-from tensorloom.plans.multiway import cyclic_core, patterns, shares
+from tensorloom.plans.multiway import binding_order, cyclic_core, patterns, shares
 from tensorloom.plans.planner import best_order, greedy_order
 from tensorloom.sources.tensors import from_numpy, to_numpy
 
@@ -130,6 +130,14 @@ def test_shares():
     assert patterns("ijk", {"i": [1], "k": [2]}) == [frozenset(), frozenset("i"), frozenset("k"), frozenset("ik")]
 
 
+def test_binding_order():
+    """From orders to their one customer and few parts, not from suppliers to all of theirs."""
+    relations = [("op", 6e5, {"o": 1.5e5, "p": 2e4}), ("sp", 6e5, {"s": 1e3, "p": 2e4}), ("sc", 6e5, {"s": 1e3, "c": 1.5e4}), ("oc", 1.5e5, {"o": 1.5e5, "c": 1.5e4})]
+    order = binding_order(relations, "opsc")
+    assert order.index("s") == 3 and sorted(order) == sorted("opsc")
+    assert sorted(binding_order([("ab", 10, {"a": 3, "b": 5}), *[(x + y, 10, {x: 5, y: 5}) for x, y in zip("bcdefghi", "cdefghia", strict=True)]], "abcdefghi")) == sorted("abcdefghi")
+
+
 def test_statistics(spark):
     t = Tensor(spark.range(1000).select((F.col("id") % 10).alias("a0"), F.when(F.col("id") < 500, 7).otherwise(F.col("id")).cast("long").alias("a1"), F.lit(1.0).alias("v")), (None, None))
     stats = measure(t)
