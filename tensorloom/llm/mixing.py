@@ -103,7 +103,8 @@ def mix_sources(
     targets = stored(source_targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, repeat))
     cuts = stored(thresholds(small, targets)).withColumnRenamed("source", "s_")
     extra = (F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & F.col("at_cut"))
-    copies = F.col("rounds") + F.coalesce(extra, F.lit(False)).cast("long")
+    # where a source's target is all it may give, what lies below the cut has no words and is not taken again
+    copies = F.least(F.col("rounds") + F.coalesce(extra, F.lit(False)).cast("long"), F.lit(repeat))
     rows = sized if keep else small
     return rows.join(few(cuts), F.col("source").eqNullSafe(F.col("s_")), "left").select(
         "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *kept

@@ -1,17 +1,14 @@
 """Sum-of-squares online packing of token sequences into fixed windows.
 
 Each task packs the documents of its own partition as they come. Whole windows are
-cut off a long document. What remains is placed into an open window of that fill
-level for which the sum of squared window counts over all levels becomes smallest,
-or opens a window. An array has the count of open windows of each level.
-
-A level is a step of 1/32 of a window, so that a few hundred documents already meet
-windows that they complete. A window whose last step is taken is filled up with the
-front of a donor, a document that is kept aside for that; so windows close full.
-Where more windows are open than ``OPEN``, the rule may also choose a level that the
-document overfills: that window is completed, and the rest is placed anew. At the
-end of a partition the few open windows are merged, and the last one is cut into
-powers of two.
+cut off a long document. What remains is placed into an open window of that fill for
+which the sum of squared numbers of open windows, over all fills, becomes smallest, or
+opens a window. An array has the number of open windows of each fill, to the token, and
+the choice is one pass over it. The rule keeps windows spread over all fills, so the
+longer a partition goes on, the more documents find a window that they complete.
+
+At the end of a partition the windows still open are merged, pieces being cut to fill the
+fullest from the emptiest, and the last one is cut into powers of two.
 """
 
 from __future__ import annotations
@@ -29,10 +26,8 @@ from pyspark.taskcontext import TaskContext
 from tensorloom.llm.common import pick, trimmed
 
 WINDOW, END = 2048, 1
-#: Steps of fill that the level array tells apart.
-LEVELS = 32
-#: Open windows of a task beyond which documents may be cut to complete one.
-OPEN = 256
+#: Tokens in a task's open windows beyond which these are merged, as at the end of a partition.
+HELD = 8 << 20
 #: Units of text whose ids a worker remembers, and their length; the memory starts anew beyond it.
 REMEMBERED, UNIT = 100_000, 40
 
@@ -136,20 +131,16 @@ class Window:
 
 
 class SumOfSquares:
-    """Open windows by level: the steps of ``window / steps`` tokens that their pieces, each rounded up, take."""
-
-    def __init__(self, window: int = WINDOW, steps: int = LEVELS, limit: int = OPEN) -> None:
-        self.window, self.steps, self.limit = window, min(steps, window), limit
-        self.step = -(-window // self.steps)
-        self.steps = window // self.step
-        self.counts = [0] * (self.steps + 1)
-        self.levels: list[list[Window]] = [[] for _ in range(self.steps)]
-        self.n_open = 0
-        self.donor: Piece | None = None
-        #: windows whose last step is taken, but that no donor has completed yet
-        self.waiting: list[Window] = []
-        #: windows closed so far by placement, and by merging at the end
-        self.placed = self.merged = 0
+    """Open windows by fill, and their numbers in an array."""
+
+    def __init__(self, window: int = WINDOW) -> None:
+        self.window = window
+        self.counts = np.zeros(window + 1, dtype=np.int64)
+        self.fills: dict[int, list[Window]] = {}
+        #: tokens in open windows
+        self.held = 0
+        #: windows closed so far: cut off long documents, completed by a placement, and by merging at the end
+        self.whole = self.placed = self.merged = 0
         self.closed: list[list[tuple]] = []
 
     def add(self, doc_id, ids: bytes) -> None:
@@ -158,81 +149,50 @@ class SumOfSquares:
             whole = Window()
             whole.put(piece.front(self.window))
             self._close(whole)
-            self.placed += 1
-        if not len(piece):
-            return
-        if self.donor is not None:
+            self.whole += 1
+        if len(piece):
             self.place(piece)
-            return
-        self.donor, waiting, self.waiting = piece, self.waiting, []
-        for window in waiting:
-            self._fill(window)
 
-    def choose(self, units: int) -> int:
-        """The level with the smallest sum of squares after a piece of ``units`` steps went
-        there; of equals the fullest. 0 opens a window. A window leaves its level and enters
+    def choose(self, n: int) -> int:
+        """The fill with the smallest sum of squares after a piece of ``n`` tokens went there;
+        of equals the fullest. 0 opens a window. A window leaves its fill and enters
         another; a full one counts no more."""
-        counts = self.counts
-        best, at = 2 * counts[units] + 1 if units < self.steps else 0, 0
-        for h in range(1, self.steps):
-            n = counts[h]
-            if not n:
-                continue
-            if h + units < self.steps:
-                change = 2 * (counts[h + units] - n) + 2
-            elif h + units == self.steps or self.n_open > self.limit:
-                change = 1 - 2 * n
-            else:
-                break
-            if change <= best:
-                best, at = change, h
-        return at
-
-    def place(self, piece: Piece | None) -> None:
-        while piece is not None:
-            units = -(-len(piece) // self.step)
-            level = self.choose(units)
-            if level:
-                window = self.levels[level].pop()
-                self.counts[level] -= 1
-                self.n_open -= 1
-            else:
-                window = Window()
-            room = self.window - window.fill
-            part, piece = (piece, None) if len(piece) <= room else (piece.front(room), piece)
-            window.put(part)
-            if level + units < self.steps:
-                self.levels[level + units].append(window)
-                self.counts[level + units] += 1
-                self.n_open += 1
-            else:
-                self._fill(window)
-
-    def _fill(self, window: Window) -> None:
-        """Complete a window from the donor, or let it wait for the next one."""
-        if window.fill < self.window and self.donor is not None:
-            gap = self.window - window.fill
-            if len(self.donor) > gap:
-                window.put(self.donor.front(gap))
-            else:
-                window.put(self.donor)
-                self.donor = None
+        counts, last = self.counts, self.window - n
+        change = 2 * (counts[n : self.window] - counts[:last]) + 2  # from fill h to h + n
+        change = np.append(change, 1 - 2 * counts[last])
+        change[counts[: last + 1] == 0] = np.iinfo(np.int64).max
+        change[0] = 2 * counts[n] + 1
+        return last - int(np.argmin(change[::-1]))
+
+    def place(self, piece: Piece) -> None:
+        fill = self.choose(len(piece))
+        if fill:
+            window = self.fills[fill].pop()
+            self.counts[fill] -= 1
+        else:
+            window = Window()
+        window.put(piece)
         if window.fill == self.window:
             self._close(window)
             self.placed += 1
-        else:
-            self.waiting.append(window)
-
-    def finish(self) -> None:
-        """Fill the fullest open windows from the emptiest; cut the last into powers of two."""
-        left = [*self.waiting, *[w for level in self.levels for w in level]]
-        if self.donor is not None:
-            alone = Window()
-            alone.put(self.donor)
-            left.append(alone)
-        left.sort(key=lambda w: -w.fill)
-        self.counts, self.levels = [0] * (self.steps + 1), [[] for _ in range(self.steps)]
-        self.n_open, self.donor, self.waiting = 0, None, []
+            self.held -= self.window - len(piece)
+            return
+        self._open(window)
+        self.held += len(piece)
+        if self.held > HELD:
+            window = self.merge()
+            if window is not None:
+                self._open(window)
+                self.held = window.fill
+
+    def _open(self, window: Window) -> None:
+        self.fills.setdefault(window.fill, []).append(window)
+        self.counts[window.fill] += 1
+
+    def merge(self) -> Window | None:
+        """Fill the fullest open windows from the emptiest; at most one is left, which is returned."""
+        left = sorted((w for own in self.fills.values() for w in own), key=lambda w: -w.fill)
+        self.counts[:], self.fills, self.held = 0, {}, 0
         lo, hi = 0, len(left) - 1
         while lo <= hi:
             window = left[lo]
@@ -248,18 +208,25 @@ class SumOfSquares:
                 if not source.fill:
                     hi -= 1
             lo += 1
-            if window.fill == self.window:
-                self._close(window)
-                self.merged += 1
-                continue
-            bits, rest = window.fill, window.pieces
-            for k in range(bits.bit_length() - 1, -1, -1):
-                if bits >> k & 1:
-                    part, room = Window(), 1 << k
-                    while part.fill < room:
-                        gap = room - part.fill
-                        part.put(rest.pop(0) if len(rest[0]) <= gap else rest[0].front(gap))
-                    self._close(part)
+            if window.fill < self.window:
+                return window
+            self._close(window)
+            self.merged += 1
+        return None
+
+    def finish(self) -> None:
+        """Merge what is open, and cut the last window into powers of two."""
+        window = self.merge()
+        if window is None:
+            return
+        bits, rest = window.fill, window.pieces
+        for k in range(bits.bit_length() - 1, -1, -1):
+            if bits >> k & 1:
+                part, room = Window(), 1 << k
+                while part.fill < room:
+                    gap = room - part.fill
+                    part.put(rest.pop(0) if len(rest[0]) <= gap else rest[0].front(gap))
+                self._close(part)
 
     def _close(self, window: Window) -> None:
         """Of a closed window only what is returned is kept."""

@@ -286,9 +286,9 @@ def _deal(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "row")
 
 
-def _pairs_in_buckets(radius: int):
-    """Sorted parts -> ``a, b, key, step``: for each member the nearest of the earlier ones
-    (b) that are within ``radius`` and in another component."""
+def _pairs_in_buckets(radius: int, first: int = 0, n: int = 1):
+    """Sorted parts -> ``a, b, key, step``: for each member, of the earlier ones (b) that are
+    within ``radius`` and in another component, ``n`` from place ``first`` on, the nearest first."""
     ladder = [*[r for r in LADDER if r < radius], radius]
 
     def pairs(members: list[tuple]) -> Iterator[tuple[int, int, int]]:
@@ -300,9 +300,17 @@ def _pairs_in_buckets(radius: int):
             among = ((1 << i) - 1) & ~own[comp]
             if len(of_block) > 1:  # members of one block meet in the part of that block alone
                 among &= ~of_block[block]
+            place = 0
             for step, r in enumerate(ladder if among else ()):  # the closest are the likeliest to pass verification
-                if found := slices.near(fp & 0xFFFFFFFFFFFFFFFF, r, among):
-                    yield row, members[found.bit_length() - 1][0], step
+                found = slices.near(fp & 0xFFFFFFFFFFFFFFFF, r, among)
+                among &= ~found
+                while found and place < first + n:
+                    last = found.bit_length() - 1
+                    found ^= 1 << last
+                    if place >= first:
+                        yield row, members[last][0], step
+                    place += 1
+                if place >= first + n:
                     break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,9 +351,11 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
     comparison finds candidates within ``radius`` bits (a similarity of 0.8 moves 10 bits
     of 64 on average, three deviations are 19), and each is verified on the shingle sets.
     A round verifies for each row and bucket the nearest earlier row that is not in its
-    component yet and was not tried before; rounds go on until one connects nothing
-    more. So a bucket costs one candidate a member and round, never all its pairs, and
-    a link is lost only where all nearest candidates of a whole round fail.
+    component yet. Where a round connects nothing, the next ones take each row's next
+    candidates, twice as many a time, until something is connected, and it starts
+    anew, or no row has a candidate left. So a bucket costs about one candidate a member
+    and round, pairs within one component are never looked at, and of the pairs that meet
+    in a bucket within ``radius`` none is left untried between two components.
     ``row_col`` must be a stable, unique long.
 
     Null and empty texts have no near-duplicates; a text shorter than a shingle is one
@@ -372,17 +382,23 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
 
     links = tested = df.sparkSession.createDataFrame([], "a long, b long")
     roots = df.sparkSession.createDataFrame([], "node long, root long")
-    grown = True
-    while grown:
+    first, n = 0, 1
+    while True:
         # buckets whose members are not all in one component
         now = members.join(few(roots), members.row == roots.node, "left").select("key", "row", "fp", F.coalesce("root", "row").alias("comp"))
         open_ = stored(now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n"))
-        found = _deal(now, open_).mapInArrow(trimmed(_pairs_in_buckets(radius)), "a long, b long, key long, step long")
-        nearest = found.groupBy("a", "key").agg(F.min(F.struct("step", "b")).alias("x")).select("a", "x.b").distinct()
-        pairs = stored(nearest.join(tested, ["a", "b"], "left_anti"))
+        found = _deal(now, open_).mapInArrow(trimmed(_pairs_in_buckets(radius, first, n)), "a long, b long, key long, step long")
+        if n == 1:  # a member of a bucket in several parts has a nearest in each
+            found = found.groupBy("a", "key").agg(F.min(F.struct("step", "b")).alias("x")).select("a", "x.b")
+        candidates = stored(found.select("a", "b").distinct())
+        pairs = stored(candidates.join(tested, ["a", "b"], "left_anti"))
         near = verified(pairs)
-        grown = not near.isEmpty()
-        tested, links = tested.union(pairs), links.union(near)
-        if grown:
+        tested = tested.union(pairs)
+        if not near.isEmpty():
+            links, first, n = links.union(near), 0, 1
             roots = stored(components(links))
+        elif candidates.isEmpty():
+            break
+        else:
+            first, n = (0, 2) if n == 1 else (first + n, 2 * n)
     return roots.withColumnRenamed("node", "row")

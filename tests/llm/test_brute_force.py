@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tensorloom.llm import langid, lsm_dedup, packing, pst, simhash, suffix_dedup
+from tensorloom.llm import langid, lsm_dedup, mixing, packing, pst, simhash, suffix_dedup
 from tensorloom.llm.queries import QUERIES
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -258,42 +258,47 @@ def test_packing(spark, folder, frame):
     assert all(n <= 2048 and n & (n - 1) == 0 for n in sequences.values())
 
 
+def plain_packer(sizes, window):
+    """Fills after each placement by trying every one, of equal sums the fullest; whole windows come off first."""
+    open_, out = Counter(), []
+    for n in sizes:
+        n %= window
+        if n:
+            tried = {}
+            for h in [0, *[h for h in open_ if open_[h] and h + n <= window]]:
+                after = Counter(open_)
+                after[h] -= h > 0
+                after[h + n] += h + n < window
+                tried[h] = sum(x * x for x in after.values())
+            best = max(h for h, x in tried.items() if x == min(tried.values()))
+            open_[best] -= best > 0
+            open_[best + n] += best + n < window
+        out.append({h: k for h, k in open_.items() if k})
+    return out
+
+
 def test_sum_of_squares_rule():
-    """Each document goes where the sum of squared counts becomes smallest, of equals to the fullest level."""
+    """Each document goes where the sum of squared counts becomes smallest, to the token; windows close by placement alone."""
     rng = np.random.default_rng(4)
-    packer = packing.SumOfSquares(window=64, steps=8)
-    packer.add("donor", bytes(4 * 63))
-    for _ in range(400):
-        if packer.donor is None:
-            packer.add("donor", bytes(4 * 63))
-        n = int(rng.integers(1, 64))
-        units, before = -(-n // 8), list(packer.counts)
-        sums = {}
-        for h in [h for h in range(1, 8) if before[h] and h + units <= 8] + [0] * (units < 8):
-            after = list(before)
-            after[h] -= h > 0
-            after[h + units] += h + units < 8
-            sums[h] = sum(x * x for x in after)
-        best = max((h for h, x in sums.items() if x == min(sums.values())), default=None)
+    sizes = [int(n) for n in rng.integers(1, 200, 600)]
+    packer = packing.SumOfSquares(window=64)
+    for n, want in zip(sizes, plain_packer(sizes, 64), strict=True):
         packer.add("d", bytes(4 * n))
-        if best is None:  # as long as a window: nothing to choose
-            continue
-        want = list(before)
-        want[best] -= best > 0
-        want[best + units] += best + units < 8
-        assert packer.counts[:8] == want[:8] and packer.n_open == sum(packer.counts)
+        assert {h: int(k) for h, k in enumerate(packer.counts) if k} == want
+        assert packer.held == sum(h * k for h, k in want.items())
     packer.finish()
     lengths = [sum(p[2] for p in w) for w in packer.drain()]
-    assert all(n <= 64 and n & (n - 1) == 0 for n in lengths) and sum(n < 64 for n in lengths) <= 6
-    assert packer.placed > 0.9 * (packer.placed + packer.merged)
+    assert sum(lengths) == sum(sizes) and all(n <= 64 and n & (n - 1) == 0 for n in lengths) and sum(n < 64 for n in lengths) <= 6
+    assert packer.whole == sum(n // 64 for n in sizes) and packer.placed > 2 * packer.merged
 
 
-def test_open_windows_are_bounded():
-    """Documents of which no two fit a window are cut once too many windows are open."""
-    packer = packing.SumOfSquares(limit=40)
+def test_open_windows_are_merged_beyond_their_tokens(monkeypatch):
+    """Documents of which no two fit a window are cut once too many tokens are held."""
+    monkeypatch.setattr(packing, "HELD", 40 * 1100)
+    packer = packing.SumOfSquares()
     for k in range(2000):
         packer.add(k, bytes(4 * 1100))
-        assert packer.n_open <= 42
+        assert packer.held <= 40 * 1100
     packer.finish()
     pieces = sorted((p[0], p[1], p[2]) for w in packer.drain() for p in w)
     at = {}
@@ -303,6 +308,22 @@ def test_open_windows_are_bounded():
     assert at == dict.fromkeys(range(2000), 1100)
 
 
+def test_packed_sequences_against_a_plain_packer(spark, one_text):
+    """One task's whole result: lengths of sequences by a program that only counts."""
+    rng = np.random.default_rng(9)
+    texts = [" ".join(["word"] * int(n)) for n in rng.integers(1, 3000, 150)]
+    got = packing.pack(one_text(*texts).coalesce(1), window=2048).collect()
+    totals = Counter()
+    for r in got:
+        totals[r.sequence_id] += r.length
+    sizes = [len(t.split(" ")) + 1 for t in texts]
+    left = sum(h * k for h, k in plain_packer(sizes, 2048)[-1].items())
+    assert sum(n == 2048 for n in totals.values()) == (sum(sizes) - left) // 2048 + left // 2048
+    assert sum(n for n in totals.values() if n < 2048) == left % 2048 == sum(sizes) % 2048
+    cut = {r.doc_id for r in got if r.start and r.start % 2048}
+    assert cut <= {r.doc_id for r in got if r.length % 2048}
+
+
 def test_colliding_digests_are_told_apart(one_text, frame):
     df = one_text(*[t for _, t in table(frame)])
     plain = lsm_dedup.exact_dedup(df).drop("digest", "row").collect()
@@ -385,3 +406,11 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(100, 99), (100, 98)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(links).collect()}
     assert got == {**dict.fromkeys(range(41), 0), 98: 98, 99: 98, 100: 98}
+
+
+def test_empty_documents_are_mixed_at_most_twice(spark):
+    """Where a source may give all it has twice, its empty documents go no oftener."""
+    rows = [(k, "" if k % 8 == 0 else "w " * 5, "en", "a" if k < 20 else "b", 0) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    copies = mixing.mix_sources(df, weights=(5, 1)).select("copies", "size").collect()
+    assert max(r.copies for r in copies) == 2 and all(0 <= r.copies <= 2 for r in copies)

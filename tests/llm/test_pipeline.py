@@ -136,3 +136,29 @@ def test_near_duplicate_chains_in_buckets_of_several_blocks(spark, one_text, mon
     roots = grouped([shingles(t) for t in found], near)
     got = {r.row: r.root for r in simhash.near_duplicates(one_text(*found), row_col="doc_id").collect()}
     assert [got.get(k, k) for k in range(len(found))] == roots
+
+
+def test_no_link_is_lost_where_nearest_candidates_fail(spark, one_text, monkeypatch):
+    """All members of a bucket look alike to SimHash, so the nearest is hardly ever the near-duplicate."""
+    import numpy as np
+
+    monkeypatch.setattr(simhash, "fingerprint", lambda hashes: 0)
+    sketch = simhash._sketch
+
+    def one_bucket(*a):
+        run = sketch(*a)
+
+        def keys(batches):
+            import pyarrow as pa
+
+            for b in run(batches):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(b.num_rows, dtype=np.int64)), pa.array([[1]] * b.num_rows, pa.list_(pa.int64()))], ["row", "fp", "keys"])
+
+        return keys
+
+    monkeypatch.setattr(simhash, "_sketch", one_bucket)
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(24)]
+    found = [*texts, *[t + " more" for t in reversed(texts)]]
+    roots = grouped([shingles(t) for t in found], near)
+    got = {r.row: r.root for r in simhash.near_duplicates(one_text(*found), row_col="doc_id").collect()}
+    assert [got.get(k, k) for k in range(len(found))] == roots
