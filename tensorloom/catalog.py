@@ -6,6 +6,7 @@ sums are exact in any order and both engines agree to the last bit.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -21,9 +22,12 @@ from tensorloom.operators import reduce as rd
 from tensorloom.operators.contract import einsum2
 from tensorloom.operators.einsum import EinsumCode, einsum, einsum_into, einsum_numpy, einsum_numpy_into
 from tensorloom.operators.tiers import block_matmul, block_product, gram_rows, tiled, untiled
+from tensorloom.operators.updates import UpdateLog, set_many
+from tensorloom.operators.virtual import constant, identity
 from tensorloom.plans.notation import reverse_notation
 from tensorloom.plans.planner import plan_pair, row_major_strides
 from tensorloom.sources import tensors as src
+from tensorloom.sources.bucketed import write_bucketed
 from tensorloom.tensor import Tensor
 
 NATIONS = 25
@@ -365,6 +369,51 @@ def _reach(x: Tables) -> Tensor:
     return einsum("ij,jk->ik", edge, edge, semiring=BOOL_OR_AND)
 
 
+# symbols, updates and stored forms
+
+
+def _updates(x: Tables) -> DataFrame:
+    """Order lines as updates of the trade's cells: price by nation and part of the supplier key, the last ship date winning."""
+    lines = x.table("lineitem").select((F.col("l_orderkey") % NATIONS).alias("a0"), (F.col("l_suppkey") % NATIONS).alias("a1"), F.col("l_quantity").alias("v"), "l_shipdate")
+    return lines.select("a0", "a1", F.when(F.col("a0") != F.col("a1"), F.col("v")).alias("v"), F.struct("l_shipdate", "v").alias("version"))
+
+
+def _log(x: Tables) -> DataFrame:
+    """The same in two batches, the first of which is compacted away."""
+    log = UpdateLog(x.trade(), f"{_scratch(x.spark)}/log-{uuid.uuid4().hex}")
+    new = _updates(x)
+    log.append(new.where("a0 < 12"))
+    log.compact()
+    log.append(new.where("a0 >= 12"))
+    return _out(log.read(), "i j")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A folder that all tasks share, for tables that a query writes."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def _copartitioned(x: Tables) -> DataFrame:
+    stored = [write_bucketed(t, f"tensor_{uuid.uuid4().hex}", [k], 8) for t, k in ((x.sales("l_suppkey"), 1), (x.part_brand(), 0))]
+    return _out(einsum("sp,pb->sb", *stored), "s b")
+
+
+def _log_sql() -> str:
+    new = "u AS (SELECT i, j, arg_max(CASE WHEN i <> j THEN v END, ROW(l_shipdate, v)) AS v, arg_max(i = j, ROW(l_shipdate, v)) AS gone FROM (SELECT l_orderkey % 25 AS i, l_suppkey % 25 AS j, l_quantity AS v, l_shipdate FROM lineitem) GROUP BY 1, 2)"
+    return f"WITH {_CTE['t']}, {new} SELECT COALESCE(u.i, t.i) AS i, COALESCE(u.j, t.j) AS j, CASE WHEN u.i IS NULL THEN t.v ELSE u.v END AS value FROM t FULL JOIN u ON t.i = u.i AND t.j = u.j WHERE u.i IS NULL OR NOT u.gone"
+
+
+_query("repeat_then_matmul", lambda x: _out(einsum("ij,jk->ik", einsum("i->ij", einsum("ij->i", x.trade()), sizes={"j": NATIONS}), x.trade()), "i k"), "SELECT a.i, b.j AS k, SUM(a.v * b.v) AS value FROM (SELECT i, SUM(v) AS v FROM t GROUP BY 1) a, t b GROUP BY 1, 2", "t")
+_query("repeat_then_sum", lambda x: _out(einsum("ijk->i", einsum("ij->ijk", x.trade(), sizes={"k": 7})), "i"), "SELECT i, 7 * SUM(v) AS value FROM t GROUP BY 1", "t")
+_query("delta_matmul", lambda x: _out(einsum("ij,jk,kl->il", x.trade(), identity(x.spark, NATIONS), x.trade()), "i l"), "SELECT a.i, b.j AS l, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+_query("constant_weights", lambda x: _out(einsum("sp,pb,b->s", x.sales("l_suppkey"), x.part_brand(), constant(x.spark, (30,), 2.0)), "s"), "SELECT s, SUM(2 * v) AS value FROM sp JOIN pb USING (p) WHERE b < 30 GROUP BY 1", "sp", "pb")
+_query("set_many", lambda x: _out(set_many(x.trade(), _updates(x)), "i j"), None)
+_query("update_log", _log, None)
+for _name in ("set_many", "update_log"):
+    _FOUND[_name] = (_FOUND[_name][0], _log_sql())
+_query("copartitioned_matmul", _copartitioned, "SELECT s, b, SUM(v) AS value FROM sp JOIN pb USING (p) GROUP BY 1, 2", "sp", "pb")
+_query("measured_matmul", lambda x: _out(einsum("sp,pc->sc", x.sales("l_suppkey").measured(), x.customer_part().permute((1, 0)).measured()), "s c"), "SELECT s, c, SUM(sp.v * cp.v) AS value FROM sp JOIN cp USING (p) GROUP BY 1, 2", "sp", "cp")
+
 # views, cells and sources
 
 _query("get_element", lambda x: _out(x.trade().get((3, 4)), ""), "SELECT COALESCE(SUM(v), 0.0::DOUBLE) AS value FROM t WHERE i = 3 AND j = 4", "t")

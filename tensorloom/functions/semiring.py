@@ -31,3 +31,5 @@ MIN_PLUS = Semiring("min_plus", lambda a, b: a + b, F.min, float("inf"), 0.0)
 MAX_TIMES = Semiring("max_times", lambda a, b: a * b, F.max, 0.0, 1.0, distributes=False)  # a negative factor turns the order around
 BOOL_OR_AND = Semiring("bool_or_and", lambda a, b: a & b, F.bool_or, False, True)
 COUNTING = Semiring("counting", lambda a, b: a * b, F.sum, 0, 1)
+#: Those whose sum of equal values is known without adding: n times the value, or the value.
+KNOWN = (PLUS_TIMES, MAX_PLUS, MIN_PLUS, MAX_TIMES, BOOL_OR_AND, COUNTING)

@@ -8,7 +8,9 @@ all arithmetic stays in generated code. Large products of dense operands go by t
 from __future__ import annotations
 
 from collections.abc import Callable, Hashable, Mapping, Sequence
+from functools import reduce
 from math import prod
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ from tensorloom.plans.planner import label_sizes, plan_pair
 from tensorloom.tensor import Tensor, axis
 
 
+#: Rows of one coordinate that are never dealt out over several tasks.
+HOT_ROWS = 1 << 17
+
 #: Of a real value, or of real and imaginary part; a pair returned is complex.
 Map = Callable[..., "Column | tuple[Column, Column]"]
 
@@ -121,7 +126,8 @@ def contract_pair(a: Labelled, b: Labelled, out: Sequence[Hashable], semiring: S
     keys = a.columns([*plan.batch, *plan.summed])
     left = a.df.select(*a.columns(a.labels), *[F.col(n).alias(f"l_{n}") for n in a.values])
     right = b.df.select(*b.columns(b.labels), *[F.col(n).alias(f"r_{n}") for n in b.values])
-    joined = left.join(right, keys) if keys else left.crossJoin(right)
+    left, right, salt = _salted(a, b, left, right, [*plan.batch, *plan.summed])
+    joined = left.join(right, [*keys, *salt]) if keys else left.crossJoin(right)
     if a.dtype == "complex":
         products = [F.col("l_re") * F.col("r_re") - F.col("l_im") * F.col("r_im"), F.col("l_re") * F.col("r_im") + F.col("l_im") * F.col("r_re")]
     else:
@@ -143,6 +149,34 @@ def _size(x: Hashable, parts: Sequence[Labelled], sizes: Mapping[Hashable, int |
     return max(seen) if seen and len(seen) == sum(x in p.labels for p in parts) else None
 
 
+def _salted(a: Labelled, b: Labelled, left: DataFrame, right: DataFrame, joined: Sequence[Hashable]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with one more key, if one of them was measured and has frequent coordinates.
+
+    Rows of such a coordinate are dealt out over several tasks by their other axes, and the
+    other side's rows of it go to each of them. What they add up to is summed in each task and
+    then across tasks, as for all rows.
+    """
+    tasks = max(2, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hot: list[tuple[int, Hashable, int, int]] = []
+    for side, p in enumerate((a, b)):
+        for x in joined if p.stats else ():
+            fair = max(p.stats.rows / tasks, HOT_ROWS)
+            hot += [(n, x, v, side) for v, n in p.stats.frequent[p.labels.index(x)].items() if n > 2 * fair]
+    if not hot:
+        return left, right, []
+    of = {(x, v): (n, side) for n, x, v, side in sorted(hot, key=lambda h: (h[0], h[3]))}  # the larger side is dealt out
+    sides = []
+    for side, (df, p) in enumerate(((left, a), (right, b))):
+        rest = [F.col(c) for c in df.columns]
+        mine = {x: [v for (y, v), (_, s) in of.items() if y == x and s == side] for x in joined}
+        theirs = {x: [v for (y, v), (_, s) in of.items() if y == x and s != side] for x in joined}
+        any_of = lambda found, p=p: reduce(or_, [F.col(p.names[x]).isin(v) for x, v in found.items() if v], F.lit(False))
+        own = F.when(any_of(mine), F.pmod(F.xxhash64(*rest), F.lit(tasks)).cast("int")).otherwise(F.lit(-1))
+        copies = F.when(any_of(theirs), F.sequence(F.lit(0), F.lit(tasks - 1))).otherwise(F.array(F.lit(-1)))
+        sides.append(df.withColumn(f"salt{side}", own).withColumn(f"salt{1 - side}", F.explode(copies)))
+    return sides[0], sides[1], ["salt0", "salt1"]
+
+
 def accumulated(result: Tensor, out: Tensor | None, alpha: complex = 1.0, beta: complex = 0.0) -> Tensor:
     """``alpha * result + beta * out``; ``out`` is not read for a beta of 0."""
     scaled = scale(result, alpha)

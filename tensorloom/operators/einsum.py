@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import functions as F
 
 from tensorloom.errors import OperandCountMismatch, OrphanOutputAxis, OutputShapeMismatch, TypeMismatch
-from tensorloom.functions.semiring import PLUS_TIMES, Semiring
-from tensorloom.operators.contract import Labelled, accumulated, contract_pair, label_columns, labelled
+from tensorloom.functions.semiring import COUNTING, KNOWN, PLUS_TIMES, Semiring
+from tensorloom.operators.contract import Labelled, accumulated, contract_pair, label_columns, labelled, scale
 from tensorloom.operators.multiway import contract_cycle
+from tensorloom.operators.virtual import Repeated, eliminated
 from tensorloom.plans.multiway import cyclic_core
 from tensorloom.plans.notation import Leaf, Node, Notation, parse_einsum
 from tensorloom.plans.planner import MANY, best_order, greedy_order, label_sizes
@@ -33,10 +34,14 @@ class EinsumCode:
         for x in output:
             if x not in known and sizes.get(x) is None:
                 raise OrphanOutputAxis(f"{x!r} is in no operand and has no size")
+        if semiring in KNOWN and any(isinstance(t, Repeated) and 0 not in t.dims for t in operands):
+            plain, bases, sizes, factor = eliminated(self.notation, [t if 0 not in t.dims else Tensor(t.df, t.dims, t.dtype) for t in operands], sizes)
+            found = EinsumCode(plain).evaluate(bases, sizes, semiring)
+            return _times(found, factor) if semiring in (PLUS_TIMES, COUNTING) else found  # the others' plus is idempotent
         names = label_columns([*"".join(x.labels for x in leaves), *output])
         needed = [x for x in dict.fromkeys(output) if x in known]
         found = self._node(self.notation.root, needed, operands, names, sizes, semiring)
-        t = _finish(found, output, sizes, operands[0].df.sparkSession)
+        t = _finish(found, output, sizes)
         return t.filled() if not output and semiring is PLUS_TIMES else t
 
     def evaluate_into(self, operands: Sequence[Tensor], out: Tensor, alpha: complex = 1.0, beta: complex = 0.0, size_dict: Mapping[str, int] | None = None) -> Tensor:
@@ -83,14 +88,24 @@ def _labels(node: Node) -> str:
     return node.labels if isinstance(node, Leaf) else "".join(_labels(a) for a in node.args)
 
 
-def _finish(found: Labelled, output: str, sizes: Mapping[str, int | None], spark) -> Tensor:
-    """Order of axes, labels that stand twice, and labels of the output alone, which repeat all cells."""
-    df = found.df
-    for x in dict.fromkeys(output):
-        if x not in found.labels:
-            df = df.crossJoin(spark.range(sizes[x]).select(F.col("id").alias(found.names[x])))
-    df = df.select(*[F.col(found.names[x]).alias(axis(k)) for k, x in enumerate(output)], *found.values)
-    return Tensor(df, [sizes.get(x) for x in output], found.dtype, cells=found.cells if set(output) == set(found.labels) else None)
+def _finish(found: Labelled, output: str, sizes: Mapping[str, int | None]) -> Tensor:
+    """Order of axes; labels that stand twice and labels of the output alone stay symbols (``Repeated``)."""
+    df = found.df.select(*[F.col(found.names[x]).alias(axis(k)) for k, x in enumerate(found.labels)], *found.values)
+    base = Tensor(df, [sizes.get(x) for x in found.labels], found.dtype, cells=found.cells)
+    virtual = [x for x in dict.fromkeys(output) if x not in found.labels]
+    layout = [found.labels.index(x) if x in found.labels else -1 - virtual.index(x) for x in output]
+    if virtual or len(set(output)) < len(output):
+        return Repeated(base, layout, [sizes.get(x) for x in output])
+    return base if layout == list(range(base.rank)) else base.permute(layout)
+
+
+def _times(t: Tensor, factor: int) -> Tensor:
+    if factor == 1:
+        return t
+    if isinstance(t, Repeated):
+        return Repeated(_times(t.base, factor), t.layout, t.dims)
+    whole = not t.is_complex() and dict(t.df.dtypes)["v"] in ("bigint", "int")
+    return scale(t, factor if whole else float(factor))
 
 
 def einsum(notation: str | EinsumCode, *operands: Tensor, sizes: Mapping[str, int] | None = None, semiring: Semiring = PLUS_TIMES) -> Tensor:

@@ -119,17 +119,18 @@ class Tensor:
         return self._same(df.select(*[F.col(axis(o)).alias(axis(k)) for k, o in enumerate(left)], *self.values), [dims[k] for k in left])
 
     def broadcast(self, target: Sequence[int]) -> Tensor:
-        """Axes of size 1 repeated to the target's size."""
+        """Axes of size 1 repeated to the target's size, without a row for any repeat until it is asked for."""
         if len(target) != self.rank:
             raise RankMismatch(f"{len(target)} axes given for {self.rank}")
-        df, spark = self.df, self.df.sparkSession
+        from tensorloom.operators.virtual import Repeated
+
         for k, (have, want) in enumerate(zip(self.dims, target, strict=True)):
-            if have == want:
-                continue
-            if have != 1:
+            if have not in (want, 1):
                 raise ShapeMismatch(f"axis {k} has size {have}; it cannot become {want}")
-            df = df.drop(axis(k)).crossJoin(spark.range(want).select(F.col("id").alias(axis(k))))
-        return self._same(df.select(*self.axes, *self.values), target)
+        kept = [k for k, (have, want) in enumerate(zip(self.dims, target, strict=True)) if have == want]
+        df = self.df.select(*[F.col(axis(k)).alias(axis(n)) for n, k in enumerate(kept)], *self.values)
+        base = Tensor(df, [self.dims[k] for k in kept], self.dtype, cells=self.cells, conj=self.conjugated)
+        return Repeated(base, [kept.index(k) if k in kept else -1 - k for k in range(self.rank)], target)
 
     # cells
 
