@@ -25,9 +25,11 @@ from tensorloom.operators.tiers import block_matmul, block_product, gram_rows, t
 from tensorloom.operators.updates import UpdateLog, set_many
 from tensorloom.operators.virtual import constant, identity
 from tensorloom.plans.notation import reverse_notation
-from tensorloom.plans.planner import plan_pair, row_major_strides
+from tensorloom.plans.planner import plan_pair
 from tensorloom.sources import tensors as src
 from tensorloom.sources.bucketed import write_bucketed
+from tensorloom.sources.files import from_file, write_chunks
+from tensorloom.sources.scratch import scratch_dir
 from tensorloom.tensor import Tensor
 
 NATIONS = 25
@@ -254,7 +256,6 @@ _query("repeat_axis", lambda x: _out(einsum("i->ij", einsum("ij->i", x.trade()),
 _query("scalar_broadcast", lambda x: _out(einsum("->ij", rd.total(x.trade()), sizes={"i": 2, "j": 3}), "i j"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j, (SELECT SUM(v) FROM t) AS value FROM range(2) a, range(3) b", "t")
 _query("duplicate_diag", lambda x: _out(einsum("i->ii", einsum("ij->i", x.trade())), "i i_2"), "SELECT i, i AS i_2, SUM(v) AS value FROM t GROUP BY 1, 2", "t")
 _query("duplicate_diag_dense", lambda x: _out(Tensor(einsum("i->ii", einsum("ij->i", x.trade())).df, (NATIONS, NATIONS)).densify(), "i i_2"), "SELECT a.x AS i, b.x AS i_2, CASE WHEN a.x = b.x THEN COALESCE(w, 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS value FROM n a CROSS JOIN n b LEFT JOIN (SELECT i, SUM(v) AS w FROM t GROUP BY 1) s ON s.i = a.x", "t", "n")
-_query("identity_matrix", lambda x: _out(einsum("->ii", src.from_fn(x.spark, (), lambda: F.lit(1.0)), sizes={"i": 4}).densify(), "i i_2"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS i_2, CASE WHEN a.range = b.range THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM range(4) a, range(4) b")
 _query("duplicate_ijij", lambda x: _out(einsum("ij->ijij", x.trade()), "i j i_2 j_2"), "SELECT i, j, i AS i_2, j AS j_2, v AS value FROM t", "t")
 
 
@@ -380,7 +381,7 @@ def _updates(x: Tables) -> DataFrame:
 
 def _log(x: Tables) -> DataFrame:
     """The same in two batches, the first of which is compacted away."""
-    log = UpdateLog(x.trade(), f"{_scratch(x.spark)}/log-{uuid.uuid4().hex}")
+    log = UpdateLog(x.trade(), f"{scratch_dir(x.spark)}/log-{uuid.uuid4().hex}")
     new = _updates(x)
     log.append(new.where("a0 < 12"))
     log.compact()
@@ -388,13 +389,9 @@ def _log(x: Tables) -> DataFrame:
     return _out(log.read(), "i j")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A folder that all tasks share, for tables that a query writes."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-
-
 def _copartitioned(x: Tables) -> DataFrame:
-    stored = [write_bucketed(t, f"tensor_{uuid.uuid4().hex}", [k], 8) for t, k in ((x.sales("l_suppkey"), 1), (x.part_brand(), 0))]
+    name = f"tensor_{uuid.uuid4().hex}"
+    stored = [write_bucketed(t, f"{name}_{k}", [k], 8, f"{scratch_dir(x.spark)}/{name}_{k}") for t, k in ((x.sales("l_suppkey"), 1), (x.part_brand(), 0))]
     return _out(einsum("sp,pb->sb", *stored), "s b")
 
 
@@ -422,36 +419,52 @@ _query("broadcast_axis", lambda x: _out(einsum("i->iz", einsum("ij->i", x.trade(
 _query("diagonal_view", lambda x: _out(x.trade().diagonal([(0, 1)]), "i"), "SELECT i, v AS value FROM t WHERE i = j", "t")
 _query("permute_view", lambda x: _out(_cube(x).permute((2, 0, 1)), "k i j"), "SELECT i, j, k, v AS value FROM c", "t")
 _FOUND["permute_view"] = (_FOUND["permute_view"][0], _FOUND["permute_view"][1].replace(_CTE["t"], _CUBE))
-_query("from_fn_grid", lambda x: _out(src.from_fn(x.spark, (3, 4), lambda i, j: (i * 10 + j).cast("double")), "i j"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j, CAST(a.range * 10 + b.range AS DOUBLE) AS value FROM range(3) a, range(4) b")
-_query("strided_buffer_view", lambda x: _out(src.from_buffer(x.spark, list(range(24)), (3, 2), (-8, 2), 20), "i j"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j, CAST(20 - 8 * a.range + 2 * b.range AS DOUBLE) AS value FROM range(3) a, range(2) b")
-_query("row_major_buffer", lambda x: _out(src.from_buffer(x.spark, list(range(24)), (2, 3, 4), row_major_strides((2, 3, 4))), "i j k"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j, CAST(c.range AS BIGINT) AS k, CAST(a.range * 12 + b.range * 4 + c.range AS DOUBLE) AS value FROM range(2) a, range(3) b, range(4) c")
-_query("zeros_grid", lambda x: _out(src.zeros(x.spark, (2, 3)), "i j"), "SELECT CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j, 0.0::DOUBLE AS value FROM range(2) a, range(3) b")
 _query("densify", lambda x: _out(x.trade().densify(), "i j"), "SELECT a.x AS i, b.x AS j, COALESCE(v, 0.0::DOUBLE) AS value FROM n a CROSS JOIN n b LEFT JOIN t ON t.i = a.x AND t.j = b.x", "t", "n")
 _query("table_to_tensor", lambda x: _out(x.sales("l_suppkey"), "s p"), "SELECT s, p, v AS value FROM sp", "sp")
 _query("array_column_to_tensor", lambda x: _out(x.embeddings(), "i k"), "SELECT i, k, v AS value FROM e", "e")
 _query("events_user_type_cooccurrence", lambda x: _out(einsum("ut,uv->tv", x.events(), x.events()), "t v"), "SELECT a.t, b.t AS v, SUM(a.n * b.n) AS value FROM h a JOIN h b USING (u) GROUP BY 1, 2", "h")
 
-# views without a check, buffers and NumPy arrays, empty axes, plans and errors
+# files, views of them, arrays in memory, grids, empty axes, plans and errors
+
+_DENSE = "COALESCE(t.v, 0.0::DOUBLE)"
+_EVERY = "FROM n a CROSS JOIN n b LEFT JOIN t ON t.i = a.x AND t.j = b.x"
+
+
+def _stored(x: Tables) -> tuple[str, int]:
+    """The embeddings as an array of chunks, which the executors write, and its number of rows."""
+    t, path = x.embeddings(), f"{scratch_dir(x.spark)}/embeddings-{uuid.uuid4().hex}"
+    last = x.table("embeddings").agg(F.max("vec_id")).first()[0]
+    n = 0 if last is None else last + 1
+    write_chunks(Tensor(t.df, (n, 64)), path)
+    return path, n
 
-_GRID = "FROM range({}) a, range({}) b"
-_AT = "CAST(a.range AS BIGINT) AS i, CAST(b.range AS BIGINT) AS j"
 
+def _view(dims, strides=None, offset=lambda n: 0, *, checked: bool = True) -> Callable[[Tables], Tensor]:
+    """A view of the stored embeddings, by functions of the number of rows."""
 
-def _wave(rows: int, columns: int) -> np.ndarray:
-    """The array ``3 i - 2 j + 1``, in column-major memory."""
-    return np.asfortranarray(3.0 * np.arange(rows)[:, None] - 2.0 * np.arange(columns) + 1)
+    def read(x: Tables) -> Tensor:
+        path, n = _stored(x)
+        return from_file(x.spark, path, dims(n), strides, offset(n), checked=checked)
+
+    return read
+
+
+def _trade_array(x: Tables) -> np.ndarray:
+    return src.to_numpy(x.trade())
 
 
 def _rejected(x: Tables) -> DataFrame:
-    """What is wrong with each of some contractions, by the name of the error."""
-    wide, tall = src.zeros(x.spark, (2, 3)), src.zeros(x.spark, (4, 2))
+    """What is wrong with each of some contractions of a table's tensor, by the name of the error, and the cells of that tensor."""
+    t, tall = x.trade(), src.zeros(x.spark, (4, 2))
     cases = {
-        "inner sizes differ": lambda: einsum("ij,jk->ik", wide, tall),
-        "label of no operand": lambda: einsum2(wide, tall, "ij", "ki", "kz"),
-        "label twice in the output": lambda: einsum2(wide, tall, "ij", "ki", "kk"),
-        "no arrow": lambda: einsum("ij,jk", wide, tall),
-        "one operand too few": lambda: einsum("ij,jk->ik", wide),
-        "more labels than axes": lambda: einsum("ijk->i", wide),
+        "inner sizes differ": lambda: einsum("ij,jk->ik", t, tall),
+        "label of no operand": lambda: einsum2(t, t, "ij", "ki", "kz"),
+        "label twice in the output": lambda: einsum2(t, t, "ij", "ki", "kk"),
+        "no arrow": lambda: einsum("ij,jk", t, t),
+        "one operand too few": lambda: einsum("ij,jk->ik", t),
+        "more labels than axes": lambda: einsum("ijk->i", t),
+        "maximum of complex values": lambda: rd.reduce(x.trade_complex(), MAX),
+        "complex semiring": lambda: einsum("ij,jk->ik", t, x.trade_complex(), semiring=MAX_PLUS),
         "view beyond its buffer": lambda: src.from_buffer(x.spark, [1.0, 2.0], (2, 2), (2, 1)),
         "strides and sizes": lambda: src.from_buffer(x.spark, [1.0, 2.0], (2,), (2, 1)),
     }
@@ -462,28 +475,44 @@ def _rejected(x: Tables) -> DataFrame:
             found.append((name, "none"))
         except TensorError as e:
             found.append((name, type(e).__name__))
-    return x.spark.createDataFrame(found, "case string, error string")
+    return x.spark.createDataFrame(found, "case string, error string").crossJoin(t.df.agg(F.count(F.lit(1)).alias("cells")))
 
 
 def _plan(x: Tables) -> DataFrame:
+    """Roles of the labels of a product of order lines, and how many coordinates each has in the table."""
+    lines = x.table("lineitem").select(F.floor((F.col("l_quantity") - 1) / 10).alias("b"), F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_linenumber").alias("p"), F.col("l_suppkey").alias("k"), F.col("l_discount").alias("q"))
     plan = plan_pair("bijp", "bjkq", "bik")
-    return x.spark.createDataFrame([(label, role) for role in ("batch", "left", "right", "summed", "left_trace", "right_trace") for label in getattr(plan, role)], "label string, role string")
+    roles = [F.struct(F.lit(label).alias("label"), F.lit(role).alias("role"), F.col(label).alias("size")) for role in ("batch", "left", "right", "summed", "left_trace", "right_trace") for label in getattr(plan, role)]
+    return lines.agg(*[F.count_distinct(c).alias(c) for c in lines.columns]).select(F.inline(F.array(*roles)))
 
 
 def _shape(x: Tables) -> DataFrame:
     t = einsum("ij,k->kji", x.trade_complex(), src.zeros(x.spark, (3,))).conj()
     rows = [("rank", t.rank), ("cells", len(t)), ("complex", int(t.is_complex())), ("empty", int(t.is_empty)), *[(a, n) for a, n in zip(t.axes, t.dims, strict=True)]]
-    return x.spark.createDataFrame(rows, "what string, n long")
+    return x.spark.createDataFrame(rows, "what string, n long").unionByName(t.df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("stored").alias("what"), "n"))
+
+
+def _whole_trade(x: Tables) -> Tensor:
+    """Trade as whole numbers."""
+    return ew.map_cells(x.trade(), lambda v: v.cast("long"))
 
 
-_query("buffer_unchecked_view", lambda x: _out(src.from_buffer(x.spark, list(range(24)), (4, 3), (0, 5), 2, checked=False), "i j"), f"SELECT {_AT}, CAST(2 + 5 * b.range AS DOUBLE) AS value {_GRID.format(4, 3)}")
-_query("numpy_to_tensor", lambda x: _out(src.from_numpy(x.spark, _wave(4, 3)[::-1]), "i j"), f"SELECT {_AT}, CAST(3 * (3 - a.range) - 2 * b.range + 1 AS DOUBLE) AS value {_GRID.format(4, 3)}")
-_query("buffer_round_trip", lambda x: _out(src.from_parts(x.spark, src.to_buffer(src.from_numpy(x.spark, _wave(4, 3)), "row"), (4, 3), order="row"), "i j"), f"SELECT {_AT}, CAST(3 * a.range - 2 * b.range + 1 AS DOUBLE) AS value {_GRID.format(4, 3)}")
-_query("numpy_einsum", lambda x: _out(src.from_numpy(x.spark, einsum_numpy(x.spark, "ij,kj->ik", _wave(3, 4), _wave(2, 4))), "i j"), f"SELECT {_AT}, CAST(SUM((3 * a.range - 2 * c.range + 1) * (3 * b.range - 2 * c.range + 1)) AS DOUBLE) AS value {_GRID.format(3, 2)}, range(4) c GROUP BY 1, 2")
-_query("numpy_einsum_into", lambda x: _out(src.from_numpy(x.spark, einsum_numpy_into(x.spark, "ij->ji", _wave(3, 4), out=_wave(4, 3), alpha=2.0, beta=-1.0)), "i j"), f"SELECT {_AT}, CAST(2 * (3 * b.range - 2 * a.range + 1) - (3 * a.range - 2 * b.range + 1) AS DOUBLE) AS value {_GRID.format(4, 3)}")
+_query("npy_round_trip", lambda x: _out(from_file(x.spark, _stored(x)[0]), "i k"), "SELECT i, k, v AS value FROM e", "e")
+_query("strided_buffer_view", lambda x: _out(_view(lambda n: (n, 16), (-64, 4), lambda n: (n - 1) * 64)(x), "i j"), "SELECT (SELECT MAX(i) FROM e) - i AS i, k // 4 AS j, v AS value FROM e WHERE k % 4 = 0", "e")
+_query("row_major_buffer", lambda x: _out(_view(lambda n: (n, 8, 8))(x), "i j k"), "SELECT i, k // 8 AS j, k % 8 AS k, v AS value FROM e", "e")
+_query("buffer_unchecked_view", lambda x: _out(_view(lambda n: (4, n), (0, 64), lambda n: 5, checked=False)(x), "i j"), "SELECT CAST(range AS BIGINT) AS i, i AS j, v AS value FROM e, range(4) WHERE k = 5", "e")
+_query("from_fn_grid", lambda x: _out(ew.zip_map(lambda a, b: a + b, src.from_fn(x.spark, (NATIONS, NATIONS), lambda i, j: (i * 10 + j).cast("double")), x.trade()), "i j"), f"SELECT a.x AS i, b.x AS j, a.x * 10 + b.x + {_DENSE} AS value {_EVERY}", "t", "n")
+_query("zeros_grid", lambda x: _out(ew.add(src.zeros(x.spark, (NATIONS, NATIONS)), x.trade()), "i j"), f"SELECT a.x AS i, b.x AS j, {_DENSE} AS value {_EVERY}", "t", "n")
+_query("identity_matrix", lambda x: _out(ew.add(einsum("->ii", src.from_fn(x.spark, (), lambda: F.lit(1.0)), sizes={"i": NATIONS}).densify(), x.trade()), "i i_2"), f"SELECT a.x AS i, b.x AS i_2, {_DENSE} + CASE WHEN a.x = b.x THEN 1 ELSE 0 END AS value {_EVERY}", "t", "n")
+_query("numpy_to_tensor", lambda x: _out(src.from_numpy(x.spark, np.asfortranarray(_trade_array(x))[::-1]), "i j"), f"SELECT 24 - a.x AS i, b.x AS j, {_DENSE} AS value {_EVERY}", "t", "n")
+_query("buffer_round_trip", lambda x: _out(src.from_parts(x.spark, src.to_buffer(x.trade(), "row"), (NATIONS, NATIONS), order="row"), "i j"), f"SELECT a.x AS i, b.x AS j, {_DENSE} AS value {_EVERY}", "t", "n")
+_query("numpy_einsum", lambda x: _out(src.from_numpy(x.spark, einsum_numpy(x.spark, "ij,kj->ik", _trade_array(x), _trade_array(x))), "i j"), "SELECT a.x AS i, b.x AS j, COALESCE(SUM(t.v * u.v), 0.0::DOUBLE) AS value FROM n a CROSS JOIN n b LEFT JOIN t ON t.i = a.x LEFT JOIN t u ON u.i = b.x AND u.j = t.j GROUP BY 1, 2", "t", "n")
+_query("numpy_einsum_into", lambda x: _out(src.from_numpy(x.spark, einsum_numpy_into(x.spark, "ij->ji", _trade_array(x), out=_trade_array(x), alpha=2.0, beta=-1.0)), "i j"), f"SELECT a.x AS i, b.x AS j, 2 * COALESCE(u.v, 0.0::DOUBLE) - {_DENSE} AS value {_EVERY} LEFT JOIN t u ON u.i = b.x AND u.j = a.x", "t", "n")
 _query("reversed_notation_matmul", lambda x: _out(einsum(reverse_notation("ij,jk->ik"), x.trade().transpose_2d(), x.trade().transpose_2d()), "k i"), "SELECT a.i, b.j AS k, SUM(a.v * b.v) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
-_query("empty_axis_contraction", lambda x: _out(einsum("ij,jk->ik", src.zeros(x.spark, (2, 0)), src.zeros(x.spark, (0, 3))).densify(), "i j"), f"SELECT {_AT}, 0.0::DOUBLE AS value {_GRID.format(2, 3)}")
-_query("rejected_contractions", _rejected, """SELECT * FROM (VALUES ('inner sizes differ', 'DimensionMismatch'), ('label of no operand', 'OrphanOutputAxis'), ('label twice in the output', 'DuplicateAxis'), ('no arrow', 'ParseError'),
-    ('one operand too few', 'OperandCountMismatch'), ('more labels than axes', 'RankMismatch'), ('view beyond its buffer', 'OffsetOverflow'), ('strides and sizes', 'StrideLengthMismatch')) v("case", error)""")
-_query("contraction_plan", _plan, "SELECT * FROM (VALUES ('b', 'batch'), ('i', 'left'), ('k', 'right'), ('j', 'summed'), ('p', 'left_trace'), ('q', 'right_trace')) v(label, role)")
-_query("tensor_metadata", _shape, "SELECT * FROM (VALUES ('rank', 3::BIGINT), ('cells', 1875), ('complex', 1), ('empty', 0), ('a0', 3), ('a1', 25), ('a2', 25)) v(what, n)")
+_query("empty_axis_contraction", lambda x: _out(einsum_into("ij,jk->ik", src.zeros(x.spark, (NATIONS, 0)), src.zeros(x.spark, (0, NATIONS)), out=x.trade(), alpha=2.0, beta=1.0), "i j"), "SELECT i, j, v AS value FROM t", "t")
+_query("mixed_types_chain", lambda x: _out(einsum("ij,jk,kl->il", _whole_trade(x), x.trade(), x.trade_complex()), "i l"), "SELECT a.i, c.j AS l, SUM(a.v * b.v * c.re) AS value_re, SUM(a.v * b.v * c.im) AS value_im FROM t a JOIN t b ON a.j = b.i JOIN z c ON b.j = c.i GROUP BY 1, 2", "t", "z")
+_query("whole_matmul", lambda x: _out(einsum("ij,jk->ik", _whole_trade(x), _whole_trade(x)), "i k"), "SELECT a.i, b.j AS k, CAST(SUM(a.v * b.v) AS BIGINT) AS value FROM t a JOIN t b ON a.j = b.i GROUP BY 1, 2", "t")
+_query("rejected_contractions", _rejected, """SELECT v.*, (SELECT COUNT(*) FROM t) AS cells FROM (VALUES ('inner sizes differ', 'DimensionMismatch'), ('label of no operand', 'OrphanOutputAxis'), ('label twice in the output', 'DuplicateAxis'), ('no arrow', 'ParseError'),
+    ('one operand too few', 'OperandCountMismatch'), ('more labels than axes', 'RankMismatch'), ('maximum of complex values', 'TypeMismatch'), ('complex semiring', 'TypeMismatch'), ('view beyond its buffer', 'OffsetOverflow'), ('strides and sizes', 'StrideLengthMismatch')) v("case", error)""", "t")
+_query("contraction_plan", _plan, "SELECT label, role, size FROM (SELECT COUNT(DISTINCT floor((l_quantity - 1) / 10)) AS b, COUNT(DISTINCT l_orderkey) AS i, COUNT(DISTINCT l_partkey) AS j, COUNT(DISTINCT l_linenumber) AS p, COUNT(DISTINCT l_suppkey) AS k, COUNT(DISTINCT l_discount) AS q FROM lineitem), LATERAL (VALUES ('b', 'batch', b), ('i', 'left', i), ('k', 'right', k), ('j', 'summed', j), ('p', 'left_trace', p), ('q', 'right_trace', q)) v(label, role, size)")
+_query("tensor_metadata", _shape, "SELECT * FROM (VALUES ('rank', 3::BIGINT), ('cells', 1875), ('complex', 1), ('empty', 0), ('a0', 3), ('a1', 25), ('a2', 25)) v(what, n) UNION ALL SELECT 'stored', 3 * COUNT(*) FROM z", "z")

@@ -15,14 +15,18 @@ from tensorloom.errors import InvalidAxis
 from tensorloom.tensor import Tensor, axis
 
 
-def write_bucketed(t: Tensor, name: str, axes: Sequence[int], buckets: int) -> Tensor:
-    """Store ``t`` as the table ``name``, by ``axes``; one exchange, paid once for all contractions over them."""
+def write_bucketed(t: Tensor, name: str, axes: Sequence[int], buckets: int, path: str | None = None) -> Tensor:
+    """Store ``t`` as the table ``name``, by ``axes``; one exchange, paid once for all contractions over them.
+
+    Files go to ``path``, or else to the session's warehouse.
+    """
     if not axes or any(not 0 <= k < t.rank for k in axes):
         raise InvalidAxis(f"axes {list(axes)} of {t.rank}")
     by = [axis(k) for k in axes]
     # dealt out as buckets are, so that each is one file
     rows = t.resolved().df.repartition(buckets, *by)
-    rows.write.mode("overwrite").format("parquet").bucketBy(buckets, *by).sortBy(*by).saveAsTable(name)
+    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, *by).sortBy(*by)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return read_bucketed(t.df.sparkSession, name, t.dims)
 
 
