@@ -286,9 +286,9 @@ def _deal(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "row")
 
 
-def _pairs_in_buckets(radius: int, first: int = 0, n: int = 1):
+def _pairs_in_buckets(radius: int, n: int = 1):
     """Sorted parts -> ``a, b, key, step``: for each member, of the earlier ones (b) that are
-    within ``radius`` and in another component, ``n`` from place ``first`` on, the nearest first."""
+    within ``radius`` and in another component, the ``n`` nearest."""
     ladder = [*[r for r in LADDER if r < radius], radius]
 
     def pairs(members: list[tuple]) -> Iterator[tuple[int, int, int]]:
@@ -304,13 +304,12 @@ def _pairs_in_buckets(radius: int, first: int = 0, n: int = 1):
             for step, r in enumerate(ladder if among else ()):  # the closest are the likeliest to pass verification
                 found = slices.near(fp & 0xFFFFFFFFFFFFFFFF, r, among)
                 among &= ~found
-                while found and place < first + n:
+                while found and place < n:
                     last = found.bit_length() - 1
                     found ^= 1 << last
-                    if place >= first:
-                        yield row, members[last][0], step
+                    yield row, members[last][0], step
                     place += 1
-                if place >= first + n:
+                if place == n:
                     break
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +342,7 @@ def _pairs_in_buckets(radius: int, first: int = 0, n: int = 1):
     return run
 
 
-def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20) -> DataFrame:
+def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, tries: int = 4) -> DataFrame:
     """``row, root`` of every row that has a near-duplicate: word-shingle sets with a
     Jaccard similarity of at least ``similarity``, grouped over chains of links.
 
@@ -351,11 +350,10 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
     comparison finds candidates within ``radius`` bits (a similarity of 0.8 moves 10 bits
     of 64 on average, three deviations are 19), and each is verified on the shingle sets.
     A round verifies for each row and bucket the nearest earlier row that is not in its
-    component yet. Where a round connects nothing, the next ones take each row's next
-    candidates, twice as many a time, until something is connected, and it starts
-    anew, or no row has a candidate left. So a bucket costs about one candidate a member
-    and round, pairs within one component are never looked at, and of the pairs that meet
-    in a bucket within ``radius`` none is left untried between two components.
+    component yet. Where a round connects nothing, the next ones verify the ``tries`` nearest
+    of each, until one connects nothing. So a bucket costs a few candidates a member and
+    round, and a link is lost only where the ``tries`` nearest of all rows between two
+    components fail; with ``tries`` as large as a bucket none is.
     ``row_col`` must be a stable, unique long.
 
     Null and empty texts have no near-duplicates; a text shorter than a shingle is one
@@ -382,12 +380,12 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
 
     links = tested = df.sparkSession.createDataFrame([], "a long, b long")
     roots = df.sparkSession.createDataFrame([], "node long, root long")
-    first, n = 0, 1
+    n = 1
     while True:
         # buckets whose members are not all in one component
         now = members.join(few(roots), members.row == roots.node, "left").select("key", "row", "fp", F.coalesce("root", "row").alias("comp"))
         open_ = stored(now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n"))
-        found = _deal(now, open_).mapInArrow(trimmed(_pairs_in_buckets(radius, first, n)), "a long, b long, key long, step long")
+        found = _deal(now, open_).mapInArrow(trimmed(_pairs_in_buckets(radius, n)), "a long, b long, key long, step long")
         if n == 1:  # a member of a bucket in several parts has a nearest in each
             found = found.groupBy("a", "key").agg(F.min(F.struct("step", "b")).alias("x")).select("a", "x.b")
         candidates = stored(found.select("a", "b").distinct())
@@ -395,10 +393,10 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
         near = verified(pairs)
         tested = tested.union(pairs)
         if not near.isEmpty():
-            links, first, n = links.union(near), 0, 1
+            links = links.union(near)
             roots = stored(components(links))
-        elif candidates.isEmpty():
+        elif n >= tries:
             break
         else:
-            first, n = (0, 2) if n == 1 else (first + n, 2 * n)
+            n = tries
     return roots.withColumnRenamed("node", "row")
