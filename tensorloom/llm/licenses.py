@@ -97,6 +97,24 @@ def grams(template: Template) -> list[int]:
     return [o for o in range(len(w) - 1) if template.exact or not {w[o], w[o + 1]} <= COMMON]
 
 
+#: Votes of a template, which are kept as bits of one long.
+VOTES = 62
+
+
+def clauses(template: Template) -> list[Template]:
+    """A template of any length as clauses that vote for themselves, of about equal lengths.
+
+    An exact one must stand as a whole, so it is not cut: beyond ``VOTES`` grams, and without
+    any gram that votes, it is refused.
+    """
+    n = len(template.words)
+    if template.exact and not 0 < len(grams(template)) <= VOTES or not grams(template):
+        raise ValueError(f"{n} words cannot vote as one exact template" if template.exact else "a template needs two words that stand together and are not both common")
+    parts = -(-n // VOTES)
+    cut = [template._replace(words=template.words[k * n // parts : (k + 1) * n // parts]) for k in range(parts)]
+    return [t for t in cut if grams(t)]
+
+
 def words_of(text: Column) -> Column:
     """Words of letters, digits and everything beyond ASCII, with A-Z lower-cased.
 
@@ -120,16 +138,16 @@ def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Null text counts as empty: no words, no labels (""), score 0. Equal rows give
     equal results, one row each. Overlapping places all count; ties between
     templates cannot occur, as all accepted labels are listed. An empty table
-    gives no rows; columns not named are not read.
+    gives no rows; columns not named are not read. Templates of ``extra`` may be whole
+    licence texts: long ones are cut into clauses, each of which is found by itself.
     """
     spark = df.sparkSession
-    every = templates() + list(extra)
+    every = templates() + [part for t in extra for part in clauses(t)]
     rows = [(-1, 0, None, None, "", "", 0, 1, False)]  # a row that each document hits once
     for k, t in enumerate(every):
         for bit, o in enumerate(grams(t)):
             rows.append((k, o, t.words[o], t.words[o + 1], t.label, " ".join(t.words), len(t.words), 1 << bit, t.exact))
     n_votes = {k: len(grams(t)) for k, t in enumerate(every)}
-    assert max(n_votes.values()) < 63, "a template's votes are kept as bits of one long"
     seeds = spark.createDataFrame(rows, "t int, o int, a string, b string, label string, body string, len int, vote long, exact boolean")
     seeds = seeds.withColumn("gram", F.when(F.col("t") < 0, F.lit(0).cast("long")).otherwise(F.xxhash64("a", "b"))).drop("a", "b")
 

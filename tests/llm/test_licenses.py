@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from tensorloom.llm.licenses import SENTENCES, license_scan, templates
+from tensorloom.llm.licenses import SENTENCES, Template, clauses, license_scan, templates
 
 WORDS = dict((label, body) for label, body in SENTENCES if label in ("isc", "mpl", "zlib"))
 
@@ -41,3 +41,18 @@ def test_two_copies_apart_and_a_copy_among_repeats(one_text):
     text = f"{body} . {body} . the terms " + "public license " * 200
     found = license_scan(one_text(text)).first()
     assert found.labels == "mpl" and len(found.spans) == 2
+
+
+def test_templates_of_any_length(one_text):
+    """A whole licence of 300 words finds its clauses, with words added and missing; what cannot vote is refused."""
+    rng = random.Random(2)
+    body = [f"term{rng.randrange(10_000)}" for _ in range(300)]
+    whole = [Template("own", tuple(body), False)]
+    part = " ".join(body[130:260])
+    texts = [" ".join(body), "before " + " ".join([*body[:40], "extra", *body[40:200], *body[202:]]) + " after", part, " ".join(reversed(body))]
+    found = license_scan(one_text(*texts), extra=whole).orderBy("doc_id").collect()
+    assert [r.labels for r in found] == ["own", "own", "own", ""]
+    assert len(found[0].spans) == len(clauses(whole[0])) and [found[0].spans[0][0], found[0].spans[-1][1]] == [0, 300]
+    for bad in (Template("x", tuple(body), True), Template("x", ("one",), False), Template("x", ("of", "the"), False)):
+        with pytest.raises(ValueError):
+            license_scan(one_text("x"), extra=[bad])
