@@ -185,3 +185,11 @@ def test_best_order_has_all_operands():
         parts.append(parts[i] | parts[j])
     apart = sum(not set("".join(parts[i])) & set("".join(parts[j])) for i, j in steps)
     assert parts[-1] == {"ab", "bc", "cd", "de", "x"} and apart == 1  # only x shares no label
+
+
+def test_empty_operands(spark):
+    rng = np.random.default_rng(7)
+    full, none = sparse(spark, some(rng, 5, 5)), Tensor(sparse(spark, some(rng, 5, 5)).df.where("v > 100"), (None, None))
+    assert einsum("ij,jk,ki->", full, none, full).df.collect() == [(0.0,)]
+    assert einsum("ij,jk,ki->i", full, none, full).df.count() == 0
+    assert einsum("ij,jk,kl->il", *[t.measured() for t in (full, none, full)]).df.count() == 0
