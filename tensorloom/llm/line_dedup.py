@@ -2,8 +2,9 @@
 
 Of each window of consecutive line hashes the minimum is selected, the rightmost of
 equal ones, so any run of a window's length that two places share gives both the
-same fingerprint. Places of equal fingerprints meet: of the windows that a repeated
-fingerprint stands for, each is matched with the first place of the same lines.
+same fingerprint. Only selected places become rows, with the few lines around them. Places
+of equal fingerprints meet, and the lines left and right of them are compared: each
+window that a fingerprint is the minimum of is matched with the first place of its lines.
 Matches with one source row and offset that follow each other are one match, extended
 both ways as far as the lines agree; such later runs are deleted.
 """
@@ -38,18 +39,27 @@ def line_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = table(src.select(F.monotonically_increasing_id().alias("row"), "doc_id", whole_text("text_").alias("text")), "lines")
     hashed = rows.select("row", "doc_id", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= w)
 
-    def windows(h: Column) -> Column:
-        """For each window its start, its lines' hashes, its minimum and where that is."""
+    def prints(h: Column) -> Column:
+        """Each selected place once: its hash, the first window that it is the minimum of, how
+        many windows these are (they follow each other), and the lines they span, left and right of it."""
         ordered = F.transform(h, lambda x, i: F.struct(x.alias("h"), (-i).alias("back")))
         least = lambda o, i: F.array_min(F.slice(o, i + 1, w))
-        return let(ordered, lambda o: F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: let(least(o, i), lambda m: F.struct(m["h"].alias("print"), (-m["back"]).alias("place"), i.alias("at"), F.slice(h, i + 1, w).alias("run")))))
-
-    # windows by the fingerprint that stands for them; a fingerprint with one place has no match
-    places = hashed.select("row", "doc_id", F.explode_outer(let(F.col("h"), windows)).alias("x")).select("row", "doc_id", "x.*")
-    own = (F.col("at") == 0) | (F.col("place") == F.col("at") + w - 1) | (F.col("place") != F.col("before"))
-    prints = hashed.select(F.explode_outer(let(let(F.col("h"), windows), lambda x: F.transform(x, lambda y, i: F.struct(y["print"].alias("print"), y["place"].alias("place"), y["at"].alias("at"), F.when(i > 0, F.get(x, i - 1)["place"]).alias("before"))))).alias("x")).select("x.*").where(own)
-    repeated = prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    candidates = places.join(repeated, "print")
+        minima = let(ordered, lambda o: F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: least(o, i)))
+
+        def selected(m: Column) -> Column:
+            at = lambda k: F.get(m, k)["back"]
+            follow = lambda i: sum((F.when(F.coalesce(at(i + k) == at(i), F.lit(False)), 1).otherwise(0) for k in range(1, w)), F.lit(1))
+            one = F.transform(m, lambda x, i: F.struct(x["h"].alias("print"), i.alias("begin"), follow(i).alias("windows"), ((i == 0) | (at(i - 1) != x["back"])).alias("own")))
+            return F.transform(F.filter(one, lambda x: x["own"]), lambda x: F.struct(x["print"].alias("print"), x["begin"].alias("begin"), x["windows"].alias("windows"), F.slice(h, x["begin"] + 1, x["windows"] + (w - 1)).alias("around")))
+
+        return let(minima, selected)
+
+    # one row a fingerprint; one that stands at a single place has no match
+    places = hashed.select("row", "doc_id", F.explode_outer(let(F.col("h"), prints)).alias("x")).select("row", "doc_id", "x.*")
+    repeated = places.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
+    # where equal fingerprints meet, the lines around them are compared, window by window
+    met = places.join(repeated, "print").select("row", "doc_id", "begin", "around", F.explode(F.sequence(F.lit(0), F.col("windows") - 1)).alias("k"))
+    candidates = met.select("row", "doc_id", (F.col("begin") + F.col("k")).alias("at"), F.slice("around", F.col("k") + 1, w).alias("run"))
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("id"), F.col("row").alias("row"), F.col("at").alias("at"))
     first = candidates.groupBy("run").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("run", "first")
     seeds = candidates.join(first, "run").where(order > F.col("first")).select("row", "at", F.col("first.row").alias("source"), (F.col("at") - F.col("first.at")).alias("offset"))
