@@ -342,7 +342,7 @@ def _pairs_in_buckets(radius: int, n: int = 1):
     return run
 
 
-def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, tries: int = 4) -> DataFrame:
+def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, tries: int = 2) -> DataFrame:
     """``row, root`` of every row that has a near-duplicate: word-shingle sets with a
     Jaccard similarity of at least ``similarity``, grouped over chains of links.
 
@@ -371,9 +371,10 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
             found = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "set"])
 
+    met = stored(members.select("row").distinct())
+    shingles = table(src.join(few(met), "row", "left_semi").mapInArrow(trimmed(sets), "row long, set array<long>"), "shingle-sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
-        some = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct())
-        shingles = table(src.join(few(some), "row", "left_semi").mapInArrow(trimmed(sets), "row long, set array<long>"), "shingle-sets")
         one, two = shingles.select(F.col("row").alias("a"), F.col("set").alias("x")), shingles.select(F.col("row").alias("b"), F.col("set").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         return stored(pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"))
