@@ -15,7 +15,10 @@ is kept of it is one identifier and counts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from heapq import merge
 from itertools import islice
 
 import numpy as np
@@ -29,6 +32,8 @@ from tensorloom.llm.common import few, numbered, pick, stored, table, trimmed
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text, and members of one entry, after which a map memtable is flushed.
 MEMTABLE_BYTES, MEMBERS = 16 << 20, 20_000
+#: Entries an index partition takes at most, about, and with them less than 200 MB.
+INDEXED = 1_000_000
 
 
 def sha256(body: bytes) -> bytes:
@@ -38,11 +43,12 @@ def sha256(body: bytes) -> bytes:
 class BloomFilter:
     """Ten bits a key; the key's own bytes serve as hashes."""
 
-    def __init__(self, keys: list[bytes]) -> None:
+    def __init__(self, keys: Sequence[bytes]) -> None:
         self.bits = max(64, 10 * len(keys))
         self.data = np.zeros(self.bits // 8 + 1, dtype=np.uint8)
-        for at in self._places(keys).T:
-            np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        for k in range(0, len(keys), 50_000):
+            for at in self._places([keys[i] for i in range(k, min(k + 50_000, len(keys)))]).T:
+                np.bitwise_or.at(self.data, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
     def _places(self, keys: list[bytes]) -> np.ndarray:
         packed = b"".join((k * (16 // max(1, len(k)) + 1))[:16] for k in keys)
@@ -55,13 +61,44 @@ class BloomFilter:
         return ((self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
+class Run:
+    """A sorted run: keys end to end in one block of bytes, entries as six longs each."""
+
+    def __init__(self, entries: Iterable[tuple[bytes, tuple]]) -> None:
+        keys, ends, numbers = bytearray(), array("q", [0]), array("q")
+        for key, ((rank, no_id, doc_id, row), size, n) in entries:
+            keys += key
+            ends.append(len(keys))
+            numbers.extend((rank, no_id, doc_id, row, size, n))
+        self.keys, self.ends, self.numbers = bytes(keys), ends, numbers
+        self.live = bytearray(b"\1") * len(self)
+        self.bloom = BloomFilter(self)
+
+    def __len__(self) -> int:
+        return len(self.ends) - 1
+
+    def __getitem__(self, at: int) -> bytes:
+        return self.keys[self.ends[at] : self.ends[at + 1]]
+
+    def entry(self, at: int) -> tuple:
+        rank, no_id, doc_id, row, size, n = self.numbers[6 * at : 6 * at + 6]
+        return (rank, bool(no_id), doc_id, row), size, n
+
+    def entries(self) -> Iterator[tuple[bytes, tuple]]:
+        return ((self[k], self.entry(k)) for k in range(len(self)) if self.live[k])
+
+
 class LsmIndex:
-    """key -> (smallest identifier, size, entries), in a memtable and sorted runs."""
+    """key -> (smallest identifier, size, entries), in a memtable and sorted runs.
+
+    Only the memtable holds Python objects, at most ``memtable`` of them; a run takes
+    some 100 bytes an entry with its filter.
+    """
 
     def __init__(self, memtable: int = 100_000, fanout: int = 4) -> None:
         self.limit, self.fanout = memtable, fanout
         self.memory: dict[bytes, tuple] = {}
-        self.runs: list[tuple[list[bytes], list[tuple], BloomFilter]] = []
+        self.runs: list[Run] = []
 
     @staticmethod
     def merged(a: tuple, b: tuple) -> tuple:
@@ -78,35 +115,32 @@ class LsmIndex:
             return
         keys = sorted(self.memory)
         self._take_hits(keys)
-        self.runs.append((keys, [self.memory[k] for k in keys], BloomFilter(keys)))
+        self.runs.append(Run((k, self.memory[k]) for k in keys))
         self.memory = {}
         if len(self.runs) > self.fanout:
             self.compact()
 
     def _take_hits(self, keys: list[bytes]) -> None:
         """Move what older runs have of the memtable's keys into the memtable."""
-        from bisect import bisect_left
-
-        for old, values, bloom in self.runs:
-            for k in np.flatnonzero(bloom.maybe(keys)).tolist():
+        for old in self.runs:
+            for k in np.flatnonzero(old.bloom.maybe(keys)).tolist():
                 at = bisect_left(old, keys[k])
-                if at < len(old) and old[at] == keys[k] and values[at] is not None:
-                    self.memory[keys[k]] = self.merged(self.memory[keys[k]], values[at])
-                    values[at] = None  # superseded by the newer run
+                if at < len(old) and old[at] == keys[k] and old.live[at]:
+                    self.memory[keys[k]] = self.merged(self.memory[keys[k]], old.entry(at))
+                    old.live[at] = 0  # superseded by the newer run
 
     def compact(self) -> None:
         """One sorted run of all; of equal keys one entry is live."""
-        from heapq import merge
+        if len(self.runs) > 1:
+            self.runs = [Run(self._live())]
 
-        live = [(k, v) for k, v in merge(*[zip(a, b, strict=True) for a, b, _ in self.runs], key=lambda x: x[0]) if v is not None]
-        keys = [k for k, _ in live]
-        self.runs = [(keys, [v for _, v in live], BloomFilter(keys))] if keys else []
+    def _live(self) -> Iterator[tuple[bytes, tuple]]:
+        return merge(*[run.entries() for run in self.runs], key=lambda x: x[0])
 
     def items(self) -> Iterator[tuple[bytes, tuple]]:
+        """All entries by key; the last compaction is read as it is merged."""
         self.flush()
-        self.compact()
-        for keys, values, _ in self.runs:
-            yield from zip(keys, values, strict=True)
+        return self._live()
 
 
 RUNS = "digest binary, entry long, rank long, id long, row long, size long, members array<struct<id:long,row:long>>"
@@ -199,7 +233,8 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     runs = table(src.mapInArrow(trimmed(_flush_runs(digest)), RUNS), "digest-runs")
     light = runs.select("digest", F.lit(0).cast("long").alias("variant"), "rank", "id", "row", "size")
     shape = "digest binary, variant long, keep_id long, keep_row long, group_size long, entries long"
-    first = stored(light.repartition("digest").mapInArrow(trimmed(_index), shape))
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-runs.count() // INDEXED))
+    first = stored(light.repartition(parts, "digest").mapInArrow(trimmed(_index), shape))
     hits = stored(runs.select("digest", "entry", "row").join(first.where("entries > 1").select("digest"), "digest", "left_semi"))
     bodies = src.select("row", "text_").join(few(hits), "row").select("digest", "entry", F.coalesce("text_", F.lit("")).alias("text"))
     checked = bodies.repartition("digest").sortWithinPartitions("digest", "entry")
@@ -209,7 +244,7 @@ def exact_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         entries, groups = entries.withColumn("variant", F.lit(0).cast("long")), first
     else:  # a digest shared by different texts: its entries are grouped again by text
         entries = entries.join(differing, "entry", "left").withColumn("variant", F.coalesce("variant", F.lit(0).cast("long")))
-        groups = entries.select("digest", "variant", "rank", "id", "row", "size").repartition("digest").mapInArrow(_index, shape)
+        groups = entries.select("digest", "variant", "rank", "id", "row", "size").repartition(parts, "digest").mapInArrow(_index, shape)
     pairs = entries.select("digest", "variant", "members").join(groups.drop("entries"), ["digest", "variant"])
     each = pairs.select("digest", "keep_id", "keep_row", "group_size", F.explode("members").alias("m"))
     return each.select(F.col("m.id").alias("doc_id"), "keep_id", "group_size", (F.col("m.row") == F.col("keep_row")).alias("kept"), "digest", F.col("m.row").alias("row"))

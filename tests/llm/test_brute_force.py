@@ -342,6 +342,21 @@ def test_index_keeps_every_key():
     assert dict(index.items()) == want and [k for k, _ in index.items()] == sorted(want)
 
 
+def test_index_runs_hold_no_objects_an_entry():
+    index = lsm_dedup.LsmIndex(memtable=1000)
+    for row in range(20_000):
+        index.put(hashlib.sha256(str(row).encode()).digest(), ((-row, row % 7 == 0, row, row), 1, 1))
+    held = sum(len(r.keys) + 8 * len(r.ends) + 8 * len(r.numbers) + len(r.live) + r.bloom.data.nbytes for r in index.runs)
+    assert sum(len(r) for r in index.runs) == 20_000 and held < 100 * 20_000
+
+
+def test_index_partitions_grow_with_the_entries(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id % 2000) AS text")
+    plain = lsm_dedup.exact_dedup(df).drop("row").collect()
+    monkeypatch.setattr(lsm_dedup, "INDEXED", 100)
+    assert sorted(lsm_dedup.exact_dedup(df).drop("row").collect()) == sorted(plain)
+
+
 def test_index_returns_every_group_over_several_batches(spark):
     df = spark.range(45_000).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
     assert lsm_dedup.exact_dedup(df).count() == 45_000
