@@ -342,6 +342,20 @@ def _pairs_in_buckets(radius: int, n: int = 1):
     return run
 
 
+def _joined_by(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, root`` of components, stored, after further ``links`` ``a, b`` between their nodes or new ones.
+
+    Only the new links are followed, between the components that they join.
+    """
+    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
+    ends = links.join(one, "a", "left").join(two, "b", "left")
+    between = stored(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct())
+    joined = stored(components(between))
+    fresh = joined.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return roots.union(fresh).join(few(moved), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
 def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 20, tries: int = 2) -> DataFrame:
     """``row, root`` of every row that has a near-duplicate: word-shingle sets with a
     Jaccard similarity of at least ``similarity``, grouped over chains of links.
@@ -379,7 +393,7 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
         both = F.size(F.array_intersect("x", "y"))
         return stored(pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"))
 
-    links = tested = df.sparkSession.createDataFrame([], "a long, b long")
+    tested = df.sparkSession.createDataFrame([], "a long, b long")
     roots = df.sparkSession.createDataFrame([], "node long, root long")
     n = 1
     while True:
@@ -394,8 +408,7 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
         near = verified(pairs)
         tested = tested.union(pairs)
         if not near.isEmpty():
-            links = links.union(near)
-            roots = stored(components(links))
+            roots = stored(_joined_by(roots, near))
         elif n >= tries:
             break
         else:

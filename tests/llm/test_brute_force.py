@@ -423,6 +423,17 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(41), 0), 98: 98, 99: 98, 100: 98}
 
 
+def test_components_joined_by_further_links(spark):
+    rng = np.random.default_rng(3)
+    roots, every = spark.createDataFrame([], "node long, root long"), []
+    for n in (40, 25, 1, 30):
+        links = [tuple(sorted(x)) for x in rng.integers(0, 150, (n, 2)).tolist() if x[0] != x[1]] or [(0, 1)]
+        every += links
+        roots = simhash._joined_by(roots, spark.createDataFrame(links, "a long, b long")).checkpoint()
+        want = simhash.components(spark.createDataFrame(every, "a long, b long"))
+        assert sorted(roots.collect()) == sorted(want.collect())
+
+
 def test_empty_documents_are_mixed_at_most_twice(spark):
     """Where a source may give all it has twice, its empty documents go no oftener."""
     rows = [(k, "" if k % 8 == 0 else "w " * 5, "en", "a" if k < 20 else "b", 0) for k in range(200)]
