@@ -403,8 +403,7 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
         found = _deal(now, open_).mapInArrow(trimmed(_pairs_in_buckets(radius, n)), "a long, b long, key long, step long")
         if n == 1:  # a member of a bucket in several parts has a nearest in each
             found = found.groupBy("a", "key").agg(F.min(F.struct("step", "b")).alias("x")).select("a", "x.b")
-        candidates = stored(found.select("a", "b").distinct())
-        pairs = stored(candidates.join(tested, ["a", "b"], "left_anti"))
+        pairs = stored(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
         near = verified(pairs)
         tested = tested.union(pairs)
         if not near.isEmpty():
