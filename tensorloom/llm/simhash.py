@@ -183,6 +183,18 @@ def links_of(prints: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(_link_buckets(radius), "a long, b long").distinct()
 
 
+#: Rows of links that a task should have at least.
+TASK_ROWS = 100_000
+
+
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in no more tasks than these need, but one a core.
+
+    The steps below are many and mostly small; each task of each would write files of its own.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Links ``a, b`` -> ``node, root`` for every node with a link, root its component's smallest.
 
@@ -192,13 +204,15 @@ def components(links: DataFrame) -> DataFrame:
     now = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = print_of(now)
+    most = 2 * before[0]  # the steps below never have more links
+    now = _packed(now, most)
     while before[0]:
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _packed(_packed(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), most).distinct(), most)
         lows = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lows, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        now = stored(small)
+        small = _packed(large.join(lows, "a"), most).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
+        now = stored(_packed(small, most))
         after = print_of(now)
         if after == before:
             break
@@ -342,14 +356,14 @@ def _pairs_in_buckets(radius: int, n: int = 1):
     return run
 
 
-def _joined_by(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _joined_by(roots: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
     """``node, root`` of components, stored, after further ``links`` ``a, b`` between their nodes or new ones.
 
-    Only the new links are followed, between the components that they join.
+    Only the new links, at most ``n_links``, are followed, between the components that they join.
     """
     one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("a", "b"))
-    ends = links.join(one, "a", "left").join(two, "b", "left")
-    between = stored(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct())
+    ends = _packed(_packed(links.join(one, "a", "left"), n_links).join(two, "b", "left"), n_links)
+    between = stored(_packed(ends.select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b")).where("a <> b").distinct(), n_links))
     joined = stored(components(between))
     fresh = joined.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
     moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
@@ -388,10 +402,13 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
     met = stored(members.select("row").distinct())
     shingles = table(src.join(few(met), "row", "left_semi").mapInArrow(trimmed(sets), "row long, set array<long>"), "shingle-sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    n_rows = met.count()
+
+    def verified(pairs: DataFrame, most: int) -> DataFrame:
         one, two = shingles.select(F.col("row").alias("a"), F.col("set").alias("x")), shingles.select(F.col("row").alias("b"), F.col("set").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        return stored(pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b"))
+        found = _packed(pairs.join(one, "a"), most).join(two, "b").where(both >= similarity * (F.size("x") + F.size("y") - both))
+        return stored(_packed(found.select("a", "b"), most))
 
     tested = df.sparkSession.createDataFrame([], "a long, b long")
     roots = df.sparkSession.createDataFrame([], "node long, root long")
@@ -401,13 +418,15 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
         now = members.join(few(roots), members.row == roots.node, "left").select("key", "row", "fp", F.coalesce("root", "row").alias("comp"))
         open_ = stored(now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n"))
         found = _deal(now, open_).mapInArrow(trimmed(_pairs_in_buckets(radius, n)), "a long, b long, key long, step long")
+        most = BANDS * n_rows * n
         if n == 1:  # a member of a bucket in several parts has a nearest in each
             found = found.groupBy("a", "key").agg(F.min(F.struct("step", "b")).alias("x")).select("a", "x.b")
-        pairs = stored(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        near = verified(pairs)
+            found = _packed(found, most)
+        pairs = stored(_packed(found.select("a", "b").distinct(), most).join(few(tested), ["a", "b"], "left_anti"))
+        near = verified(pairs, most)
         tested = tested.union(pairs)
         if not near.isEmpty():
-            roots = stored(_joined_by(roots, near))
+            roots = stored(_packed(_joined_by(roots, near, most), n_rows))
         elif n >= tries:
             break
         else:

@@ -429,7 +429,7 @@ def test_components_joined_by_further_links(spark):
     for n in (40, 25, 1, 30):
         links = [tuple(sorted(x)) for x in rng.integers(0, 150, (n, 2)).tolist() if x[0] != x[1]] or [(0, 1)]
         every += links
-        roots = simhash._joined_by(roots, spark.createDataFrame(links, "a long, b long")).checkpoint()
+        roots = simhash._joined_by(roots, spark.createDataFrame(links, "a long, b long"), len(links)).checkpoint()
         want = simhash.components(spark.createDataFrame(every, "a long, b long"))
         assert sorted(roots.collect()) == sorted(want.collect())
 
