@@ -281,22 +281,27 @@ def _sketch(shingle: int, bands: int, band_rows: int):
     return run
 
 
-DEALT = "key long, part long, row long, fp long, comp long, block int"
+#: Shingles of a block's members beyond which it is split, where these come with their sets.
+SPLIT_SHINGLES = 1 << 21
 #: Distances at which a nearest neighbour is sought, up to the radius.
 LADDER = (0, 2, 4, 8)
 
 
-def _deal(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Members ``key, row, fp, comp`` of buckets of ``n`` -> the same, by bucket and part.
+def _blocks(n: str, most: int) -> Column:
+    """Blocks into which ``n`` are cut."""
+    return F.ceil(F.col(n) / F.lit(most)).cast("int")
 
-    A bucket over ``SPLIT`` is cut into blocks, and each pair of blocks is a part: every
-    two members meet in one, and no task holds more than two blocks.
+
+def _deal(rows: DataFrame, sizes: DataFrame, *more: str) -> DataFrame:
+    """Members ``key, row, fp, comp`` and ``more`` of buckets of so many ``blocks`` -> the same, by bucket and part.
+
+    Each pair of a bucket's blocks is a part: every two members meet in one, and no task
+    holds more than two blocks.
     """
-    n_blocks = F.ceil(F.col("n") / F.lit(SPLIT)).cast("int")
-    held = rows.join(sizes, "key").withColumn("blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
+    held = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int"))
     other = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     part = F.least("block", "other").cast("long") * F.col("blocks") + F.greatest("block", "other")
-    dealt = other.select("key", part.alias("part"), "row", "fp", "comp", "block")
+    dealt = other.select("key", part.alias("part"), "row", "fp", "comp", "block", *more)
     return dealt.repartition("key", "part").sortWithinPartitions("key", "part", "row")
 
 
@@ -356,6 +361,120 @@ def _pairs_in_buckets(radius: int, n: int = 1):
     return run
 
 
+def _with_candidates(radius: int):
+    """Sorted parts -> ``key, row`` of the members with another within ``radius`` in another component, and of those others."""
+
+    def ends(members: list[tuple]) -> list[int]:
+        slices, own, of_block, met = BitSlices([m[1] & 0xFFFFFFFFFFFFFFFF for m in members]), {}, {}, 0
+        for i, m in enumerate(members):
+            own[m[2]] = own.get(m[2], 0) | 1 << i
+            of_block[m[3]] = of_block.get(m[3], 0) | 1 << i
+        for i, (_, fp, comp, block) in enumerate(members):
+            among = ((1 << i) - 1) & ~own[comp]
+            if len(of_block) > 1:
+                among &= ~of_block[block]
+            found = slices.near(fp & 0xFFFFFFFFFFFFFFFF, radius, among) if among else 0
+            met |= found | (1 << i if found else 0)
+        return [members[i][0] for i in _places(met).tolist()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members = None, []
+
+        def end_part() -> Iterator[pa.RecordBatch]:
+            found = ends(members) if len(members) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([now[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], ["key", "row"])
+
+        for batch in batches:
+            for key, part, *member in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, part) != now:
+                    yield from end_part()
+                    now, members = (key, part), []
+                members.append(tuple(member))
+        yield from end_part()
+
+    return run
+
+
+def _places(bits: int) -> np.ndarray:
+    """Places of the bits that are set."""
+    return np.flatnonzero(np.unpackbits(np.frombuffer(bits.to_bytes(bits.bit_length() // 8 + 1, "little"), dtype=np.uint8), bitorder="little"))
+
+
+#: Candidates of a member that are compared at once.
+AT_ONCE = 256
+
+
+def linked_sets(members: list[tuple], sets: list[np.ndarray], radius: int, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links ``a, b`` by which members ``row, fp, comp, block`` of different components hang
+    together as by all pairs within ``radius`` whose sets are similar.
+
+    Every such pair is compared, unless links found here or ``comp`` connect it already.
+    Members of one block are left out if there are others.
+    """
+    slices, own, of_block = BitSlices([m[1] & 0xFFFFFFFFFFFFFFFF for m in members]), {}, {}
+    comps = [m[2] for m in members]
+    for i, m in enumerate(members):
+        own[m[2]] = own.get(m[2], 0) | 1 << i
+        of_block[m[3]] = of_block.get(m[3], 0) | 1 << i
+    joined = {c: c for c in own}
+
+    def find(c: int) -> int:
+        while joined[c] != c:
+            joined[c] = joined[joined[c]]
+            c = joined[c]
+        return c
+
+    sizes = np.array([len(x) for x in sets])
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    number = np.split(shingle, np.cumsum(sizes)[:-1])
+    mark = np.zeros(int(shingle.max()) + 1, dtype=bool)
+    for i, (row, fp, comp, block) in enumerate(members):
+        among = ((1 << i) - 1) & ~own[find(comp)]
+        if len(of_block) > 1:
+            among &= ~of_block[block]
+        found = slices.near(fp & 0xFFFFFFFFFFFFFFFF, radius, among) if among else 0
+        if not found:
+            continue
+        mark[number[i]] = True
+        while found:
+            some = _places(found)[-AT_ONCE:]
+            found &= (1 << int(some[0])) - 1
+            both = np.add.reduceat(mark[np.concatenate([number[j] for j in some])], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            for j in some[both >= similarity * (sizes[i] + sizes[some] - both)].tolist():
+                a, b = find(comp), find(comps[j])
+                if a != b:
+                    joined[b] = a
+                    own[a] |= own.pop(b)
+                    yield row, members[j][0]
+            found &= ~own[find(comp)]
+        mark[number[i]] = False
+
+
+def _links_in_parts(radius: int, similarity: float):
+    """Sorted parts, with the members' sets -> links ``a, b``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, sets = None, [], []
+
+        def end_part() -> Iterator[pa.RecordBatch]:
+            links = list(linked_sets(members, sets, radius, similarity)) if len(members) > 1 else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            flat, at = batch.column(6).values.to_numpy(), batch.column(6).offsets.to_numpy()
+            for k, (key, part, *member) in enumerate(zip(*[c.to_pylist() for c in batch.columns[:6]], strict=True)):
+                if (key, part) != now:
+                    yield from end_part()
+                    now, members, sets = (key, part), [], []
+                members.append(tuple(member))
+                sets.append(flat[at[k] : at[k + 1]].copy())
+        yield from end_part()
+
+    return run
+
+
 def _joined_by(roots: DataFrame, links: DataFrame, n_links: int) -> DataFrame:
     """``node, root`` of components, stored, after further ``links`` ``a, b`` between their nodes or new ones.
 
@@ -379,9 +498,10 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
     of 64 on average, three deviations are 19), and each is verified on the shingle sets.
     A round verifies for each row and bucket the nearest earlier row that is not in its
     component yet. Where a round connects nothing, the next ones verify the ``tries`` nearest
-    of each, until one connects nothing. So a bucket costs a few candidates a member and
-    round, and a link is lost only where the ``tries`` nearest of all rows between two
-    components fail; with ``tries`` as large as a bucket none is.
+    of each, until one connects nothing. So most links cost a few candidates a member and
+    round. The rest is done by whole buckets: members with a candidate in another component
+    get their shingle sets, and there every candidate is compared with every other that no
+    link connects yet, so no candidate is left out, whatever ``tries`` is.
     ``row_col`` must be a stable, unique long.
 
     Null and empty texts have no near-duplicates; a text shorter than a shingle is one
@@ -416,7 +536,7 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
     while True:
         # buckets whose members are not all in one component
         now = members.join(few(roots), members.row == roots.node, "left").select("key", "row", "fp", F.coalesce("root", "row").alias("comp"))
-        open_ = stored(now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n"))
+        open_ = stored(now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", _blocks("n", SPLIT).alias("blocks")))
         found = _deal(now, open_).mapInArrow(trimmed(_pairs_in_buckets(radius, n)), "a long, b long, key long, step long")
         most = BANDS * n_rows * n
         if n == 1:  # a member of a bucket in several parts has a nearest in each
@@ -431,4 +551,15 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
             break
         else:
             n = tries
+
+    # the candidates that no round has tried
+    rest = _deal(now, open_).mapInArrow(trimmed(_with_candidates(radius)), "key long, row long").distinct()
+    rest = stored(_packed(rest, BANDS * n_rows).join(now, ["key", "row"]).select("key", "row", "fp", "comp"))
+    sized = rest.join(shingles.select("row", F.size("set").alias("n_set")), "row").groupBy("key").agg(F.count("*").alias("n"), F.sum("n_set").alias("n_set"))
+    sized = stored(sized.select("key", F.greatest(_blocks("n", SPLIT), _blocks("n_set", SPLIT_SHINGLES)).alias("blocks")))
+    dealt = _deal(rest.join(shingles, "row"), sized, "set")
+    near = stored(dealt.mapInArrow(trimmed(_links_in_parts(radius, similarity)), "a long, b long").distinct())
+    n_near = near.count()
+    if n_near:
+        roots = stored(_packed(_joined_by(roots, near, n_near), n_rows))
     return roots.withColumnRenamed("node", "row")

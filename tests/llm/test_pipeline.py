@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import Row
 from tensorloom.llm import simhash
 from tensorloom.llm.common import documents, table
@@ -162,3 +163,30 @@ def test_no_link_is_lost_where_nearest_candidates_fail(spark, one_text, monkeypa
     roots = grouped([shingles(t) for t in found], near)
     got = {r.row: r.root for r in simhash.near_duplicates(one_text(*found), row_col="doc_id", tries=len(found)).collect()}
     assert [got.get(k, k) for k in range(len(found))] == roots
+
+
+@pytest.mark.parametrize("limits", [{}, {"SPLIT": 7}, {"SPLIT_SHINGLES": 300, "AT_ONCE": 3}])
+def test_no_candidate_is_left_out_by_default(spark, one_text, monkeypatch, limits):
+    """One bucket whose fingerprints are all alike: every row has many nearer candidates that fail."""
+    import numpy as np
+    import pyarrow as pa
+
+    for name, value in limits.items():
+        monkeypatch.setattr(simhash, name, value)
+    sketch = simhash._sketch
+
+    def one_bucket(*a):
+        run = sketch(*a)
+
+        def keys(batches):
+            for b in run(batches):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(b.num_rows, dtype=np.int64)), pa.array([[1]] * b.num_rows, pa.list_(pa.int64()))], ["row", "fp", "keys"])
+
+        return keys
+
+    monkeypatch.setattr(simhash, "_sketch", one_bucket)
+    texts = [" ".join(f"w{k}x{j}" for j in range(40)) for k in range(24)]
+    found = [*texts, *[t + " more" for t in reversed(texts)], *[t + " more and more" for t in texts[::3]]]
+    roots = grouped([shingles(t) for t in found], near)
+    got = {r.row: r.root for r in simhash.near_duplicates(one_text(*found), row_col="doc_id").collect()}
+    assert [got.get(k, k) for k in range(len(found))] == roots
