@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import pick, stored, table, trimmed
+from tensorloom.llm.common import few, numbered, pick, stored, table, trimmed
 
 LENGTH, GRAM = 400, 64
 #: A passage has more words than this.
@@ -433,7 +433,7 @@ def _runs(mark: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) - 1 + length) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
-ANCHORS = ["k1", "k2", "id", "lo", "end", "lead", "hashes", "starts"]
+ANCHORS = "row long, lo array<int>, end array<int>, lead array<int>, hashes array<long>, starts array<int>"
 #: Kinds of rows: a fragment with its two edge bits, a single string, a single unit.
 STRING, UNIT = 4, 8
 
@@ -443,10 +443,10 @@ def _edges(body: bytes, lo: int, end: int) -> int:
 
 
 def _find_anchors(length: int, gram: int, words: int):
-    """Rows ``k1, k2, id, text`` -> ``k1, k2, id`` and arrays of start, end, anchor from there, and hash; texts without an anchor give none."""
+    """Rows ``row, text`` -> ``row`` and arrays of start, end, anchor from there, and hash; texts without an anchor give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(keys: list[tuple], texts: list[bytes], edges: list[int], move: int = 0, before: int | None = None) -> pa.RecordBatch:
+        def found(rows: list[int], texts: list[bytes], edges: list[int], move: int = 0, before: int | None = None) -> pa.RecordBatch:
             sizes = np.array([len(t) for t in texts])
             ends = np.cumsum(sizes)
             with np.errstate(over="ignore"):
@@ -455,38 +455,38 @@ def _find_anchors(length: int, gram: int, words: int):
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
             base = (ends - sizes)[owner] - move
             some = [k for k in range(len(texts)) if cut[k + 1] > cut[k]]
-            columns = [pa.array([keys[k][i] for k in some], pa.int64()) for i in range(3)]
-            columns += [pa.array([x[cut[k] : cut[k + 1]] for k in some], pa.list_(pa.int64())) for x in (lo - base, end - base, place - lo, h.view(np.int64), starts)]
-            return pa.RecordBatch.from_arrays(columns, ANCHORS)
+            arrays = [x.astype(np.int32) for x in (lo - base, end - base, place - lo)] + [h.view(np.int64), starts.astype(np.int32)]
+            columns = [pa.array([x[cut[k] : cut[k + 1]] for k in some], pa.list_(pa.from_numpy_dtype(x.dtype))) for x in arrays]
+            return pa.RecordBatch.from_arrays([pa.array([rows[k] for k in some], pa.int64()), *columns], [x.split()[0] for x in ANCHORS.split(", ")])
 
         for batch in batches:
-            keys, texts, held = [], [], 0
-            for k1, k2, doc_id, text in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3), strict=True):
+            rows, texts, held = [], [], 0
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 body = text.as_py().encode()
                 if len(body) <= CHUNK:
-                    keys.append((k1, k2, doc_id))
+                    rows.append(row)
                     texts.append(body)
                     held += len(body)
                 else:
                     for at in range(0, len(body), CHUNK):  # a very long text in pieces that overlap by one string
                         end = min(len(body), at + CHUNK + length - 1)
-                        yield found([(k1, k2, doc_id)], [body[at:end]], [_edges(body, at, end)], at, CHUNK if end < len(body) else None)
+                        yield found([row], [body[at:end]], [_edges(body, at, end)], at, CHUNK if end < len(body) else None)
                 if held > CHUNK:
-                    yield found(keys, texts, [3] * len(texts))
-                    keys, texts, held = [], [], 0
+                    yield found(rows, texts, [3] * len(texts))
+                    rows, texts, held = [], [], 0
             if texts:
-                yield found(keys, texts, [3] * len(texts))
+                yield found(rows, texts, [3] * len(texts))
 
     return run
 
 
-FRAGMENTS = "group binary, digest binary, lead int, body binary, edges int, k1 long, k2 long, starts array<long>"
+FRAGMENTS = "group binary, digest binary, lead int, body binary, edges int, row long, starts array<int>"
 
 
 def _cut_fragments(length: int, gram: int, words: int):
-    """Rows ``k1, k2, text, found`` (array of anchors) -> fragments, each once a text."""
+    """Rows ``row, text, found`` (array of anchors) -> fragments, each once a text."""
     names = [x.split()[0] for x in FRAGMENTS.split(", ")]
-    types = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    types = [pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
 
     def rows(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
@@ -520,14 +520,14 @@ def _cut_fragments(length: int, gram: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, held = [], 0
         for batch in batches:
-            for k1, k2, text, found in zip(*[batch.column(k) for k in range(4)], strict=True):
+            for row, text, found in zip(*[batch.column(k) for k in range(3)], strict=True):
                 body, own = text.as_py().encode(), {}
                 for x in found.as_py():
                     for key, at in fragments_of(body, x):
                         own.setdefault(key, set()).add(at)
                 for (group, fragment, lead, edges), starts in own.items():
                     digest = xxhash.xxh3_128_digest(fragment + edges.to_bytes(4, "little")) if fragment else group
-                    out.append((group, digest, lead, fragment, edges, k1.as_py(), k2.as_py(), sorted(starts)))
+                    out.append((group, digest, lead, fragment, edges, row.as_py(), sorted(starts)))
                     held += len(fragment) + 100
                 if held > 8 << 20:
                     yield rows(out)
@@ -658,10 +658,6 @@ def _remove(length: int, words: int, with_bytes: bool):
     return run
 
 
-#: Parts among which rows of one text are dealt out.
-SALTS = 32
-
-
 def _counted(flat: DataFrame) -> DataFrame:
     """Anchors whose hash occurs more than once, with how often.
 
@@ -690,32 +686,31 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null text counts as empty; texts shorter than ``length`` bytes are kept. Texts that
     occur in several rows are removed from all of them if they are long enough, and are
     one passage if they have a unit's size. Null and repeated ids do no harm, and an id
-    may have any type: texts are told apart by 128 bits of their hash. An empty table
-    gives no rows; columns not named are not read.
+    may have any type: rows are numbered, and copies are told by 128 bits of their hash.
+    An empty table gives no rows; columns not named are not read.
     """
     least = min(length, 2 * words + 1)
     if least < gram or length > 511:
         raise ValueError("a string and a unit must have room for a gram, and a string has 511 bytes at most")
     src = pick(df, doc_id=id_col, text_=text_col)
-    src = src.select("doc_id", F.xxhash64("doc_id").alias("id"), F.coalesce(F.col("text_").cast("string"), F.lit("")).alias("text"))
-    src = src.select("doc_id", "id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
+    src = numbered(src.select("doc_id", F.coalesce(F.col("text_").cast("string"), F.lit("")).alias("text")))
     # one row stands for all with its text
-    contents = stored(src.where(F.octet_length("text") >= least).groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
-    kind = "k1 long, k2 long, id long, lo array<long>, end array<long>, lead array<long>, hashes array<long>, starts array<long>"
-    found = table(src.where(F.octet_length("text") >= least).select("k1", "k2", "id", "text").mapInArrow(trimmed(_find_anchors(length, gram, words)), kind), "anchors")
-    own = found.join(contents.select("k1", "k2", "id"), ["k1", "k2", "id"], "left_semi").dropDuplicates(["k1", "k2", "lo"])
-    flat = own.select("k1", "k2", "id", F.explode(F.arrays_zip("lo", "end", "lead", F.col("hashes").alias("hash"), "starts")).alias("x")).select("k1", "k2", "id", "x.*")
-    places = _counted(flat).groupBy("k1", "k2", "id").agg(F.collect_list(F.struct("lo", "end", "lead", "hash", "n", "starts")).alias("found"))
-    cut = src.select("k1", "k2", "id", "text").join(places, ["k1", "k2", "id"]).select("k1", "k2", "text", "found")
+    keys = stored(src.where(F.octet_length("text") >= least).select("row", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2")))
+    several = stored(keys.groupBy("k1", "k2").agg(F.min("row").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("k1", "k2", "first"))
+    copied = stored(keys.join(few(several), ["k1", "k2"]).select("row", "first"))
+    once = src.where(F.octet_length("text") >= least).join(few(copied.where("row <> first").select("row")), "row", "left_anti").select("row", "text")
+    found = table(once.mapInArrow(trimmed(_find_anchors(length, gram, words)), ANCHORS), "anchors")
+    flat = found.select("row", F.explode(F.arrays_zip("lo", "end", "lead", F.col("hashes").alias("hash"), "starts")).alias("x")).select("row", "x.*")
+    places = _counted(flat).groupBy("row").agg(F.collect_list(F.struct("lo", "end", "lead", "hash", "n", "starts")).alias("found"))
+    cut = once.join(places, "row").select("row", "text", "found")
     fragments = table(cut.mapInArrow(trimmed(_cut_fragments(length, gram, words)), FRAGMENTS), "fragments")
-    distinct = fragments.groupBy("group", "digest", "lead").agg(F.first("body").alias("body"), F.first("edges").alias("edges"), F.sum(F.size("starts")).alias("times"), F.min("k1").alias("lo"), F.max("k1").alias("hi"))
+    distinct = fragments.groupBy("group", "digest", "lead").agg(F.first("body").alias("body"), F.first("edges").alias("edges"), F.sum(F.size("starts")).alias("times"), F.min("row").alias("lo"), F.max("row").alias("hi"))
     distinct = distinct.select("group", "digest", "lead", "body", "edges", "times", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("owner"))
     marked = distinct.repartition("group").sortWithinPartitions("group").mapInArrow(trimmed(_mark(length, gram, words)), MARKED).where(F.size("spans") > 0)
-    spans = fragments.select("group", "digest", "lead", "k1", "k2", "starts").join(marked, ["group", "digest", "lead"])
-    spans = spans.select("k1", "k2", F.explode("starts").alias("at"), "spans").select("k1", "k2", F.explode(F.transform("spans", lambda s: F.struct((s["lo"] + F.col("at")).alias("lo"), (s["hi"] + F.col("at")).alias("hi"), s["passage"].alias("passage")))).alias("s"))
-    single = spans.groupBy("k1", "k2").agg(F.collect_set("s").alias("spans")).join(contents.where("copies = 1"), ["k1", "k2"]).select("k1", "k2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"), "spans")
-    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(ALL).alias("hi"), F.lit(False).alias("passage")))
-    whole = contents.where("copies > 1").select("k1", "k2", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), all_of_it.alias("spans"))
-    rows = src.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).join(single.unionByName(whole), ["k1", "k2", "salt"], "left")
+    spans = fragments.select("group", "digest", "lead", "row", "starts").join(marked, ["group", "digest", "lead"])
+    spans = spans.select("row", F.explode("starts").alias("at"), "spans").select("row", F.explode(F.transform("spans", lambda s: F.struct((s["lo"] + F.col("at")).alias("lo"), (s["hi"] + F.col("at")).alias("hi"), s["passage"].alias("passage")))).alias("s"))
+    single = spans.groupBy("row").agg(F.collect_set("s").alias("spans")).join(few(copied.select("row")), "row", "left_anti")
+    whole = copied.select("row", F.array(F.struct(F.lit(0).cast("long").alias("lo"), F.lit(ALL).alias("hi"), F.lit(False).alias("passage"))).alias("spans"))
+    rows = src.join(single.unionByName(whole), "row", "left")
     shape = f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long" + ", kept binary" * with_bytes
     return rows.select("doc_id", "text", "spans").mapInArrow(trimmed(_remove(length, words, with_bytes)), shape)

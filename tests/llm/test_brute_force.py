@@ -89,6 +89,23 @@ def test_repeated_passages_of_given_documents(spark):
     assert Counter(tuple(r) for r in QUERIES["op4_suffix_dedup"](spark, sf).collect()) == want
 
 
+def test_copies_are_neither_hashed_nor_cut(one_text, monkeypatch):
+    """Disk: one row of each text goes on to the anchors and fragments."""
+    written = {}
+
+    def kept(df, label, write=suffix_dedup.table):
+        written[label] = write(df, label)
+        return written[label]
+
+    monkeypatch.setattr(suffix_dedup, "table", kept)
+    rng = np.random.default_rng(3)
+    text = "".join(rng.choice(list("abcde "), 300))
+    found = [text] * 5 + [text[50:] + "x", None, text[:20]]
+    got = suffix_dedup.remove_repeats(one_text(*found), length=40, gram=16, words=8).collect()
+    assert [tuple(r)[1:] for r in sorted(got)] == removed(found, 40, 8)
+    assert written["anchors"].count() == 2
+
+
 def test_suffix_array_order():
     rng = np.random.default_rng(2)
     for top in (1, 2, 3, 256):
