@@ -227,6 +227,23 @@ def test_suffix_tree_scores(spark, one_text):
         assert sum(p(list(c), w) for w in [*counts, "unseen"]) == pytest.approx(1.0, abs=1e-6)
 
 
+@pytest.mark.parametrize("parts", [{"word_part": 0.02, "context_part": 0.02}, {"word_part": 1.0, "context_part": 1.0, "block": 60}, {"word_part": 0.1, "context_part": 0.07, "block": 200}])
+def test_suffix_tree_has_the_rare_runs(spark, one_text, parts):
+    """What is a small part of all tokens is in the tree too, whether levels are sent or blocks ask for their keys."""
+    rng = np.random.default_rng(4)
+    lines = ["a b c a b d a b c e a b ", "c c d ", "x a b c y ", "q a b c z ", "x a b d "]
+    found = ["".join(lines[k] for k in rng.integers(0, len(lines), 40)) for _ in range(20)] + ["r s t v s u " * 4, "once twice", None, "a b c", "r s t x a b c Y new"]
+    split = lambda t: [*words(t), " "]
+    held_out = lambda k: k % 7 == 5
+    p, nodes = plain_suffix_tree([split(t) for k, t in enumerate(found) if not held_out(k)], 3, 3, 0.5, 1e-3)
+    assert ("r",) in nodes[1] and ("r", "s") in nodes[2]
+    got = pst.score(one_text(*found), pst.F.col("doc_id") % 7 != 5, depth=3, least=3, divergence=1e-3, **parts).collect()
+    assert sorted(r.doc_id for r in got) == list(range(len(found)))
+    for r in got:
+        t = split(found[r.doc_id])
+        assert r.score == pytest.approx(sum(math.log10(p(t[:k], w)) for k, w in enumerate(t)), abs=1e-6)
+
+
 def test_workers_need_not_have_the_package(folder, tmp_path):
     """Queries whose functions and models go to workers that cannot import this repository."""
     import os
