@@ -283,6 +283,8 @@ def _sketch(shingle: int, bands: int, band_rows: int):
 
 #: Shingles of a block's members beyond which it is split, where these come with their sets.
 SPLIT_SHINGLES = 1 << 21
+#: A round that links fewer than one in so many rows is the last of its kind; the whole buckets find the rest.
+WORTHWHILE = 50
 #: Distances at which a nearest neighbour is sought, up to the radius.
 LADDER = (0, 2, 4, 8)
 
@@ -497,8 +499,8 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
     comparison finds candidates within ``radius`` bits (a similarity of 0.8 moves 10 bits
     of 64 on average, three deviations are 19), and each is verified on the shingle sets.
     A round verifies for each row and bucket the nearest earlier row that is not in its
-    component yet. Where a round connects nothing, the next ones verify the ``tries`` nearest
-    of each, until one connects nothing. So most links cost a few candidates a member and
+    component yet. Where a round connects few, the next ones verify the ``tries`` nearest
+    of each, until one connects few. So most links cost a few candidates a member and
     round. The rest is done by whole buckets: members with a candidate in another component
     get their shingle sets, and there every candidate is compared with every other that no
     link connects yet, so no candidate is left out, whatever ``tries`` is.
@@ -532,11 +534,16 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
 
     tested = df.sparkSession.createDataFrame([], "a long, b long")
     roots = df.sparkSession.createDataFrame([], "node long, root long")
-    n = 1
-    while True:
-        # buckets whose members are not all in one component
+
+    def unfinished(roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the buckets whose members are not all in one, stored."""
         now = members.join(few(roots), members.row == roots.node, "left").select("key", "row", "fp", F.coalesce("root", "row").alias("comp"))
-        open_ = stored(now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", _blocks("n", SPLIT).alias("blocks")))
+        buckets = now.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        return now, stored(_packed(buckets.select("key", _blocks("n", SPLIT).alias("blocks")), BANDS * n_rows))
+
+    n, more = 1, True
+    now, open_ = unfinished(roots)
+    while more:
         found = _deal(now, open_).mapInArrow(trimmed(_pairs_in_buckets(radius, n)), "a long, b long, key long, step long")
         most = BANDS * n_rows * n
         if n == 1:  # a member of a bucket in several parts has a nearest in each
@@ -545,12 +552,12 @@ def near_duplicates(df: DataFrame, *, row_col: str, text_col: str = "text", shin
         pairs = stored(_packed(found.select("a", "b").distinct(), most).join(few(tested), ["a", "b"], "left_anti"))
         near = verified(pairs, most)
         tested = tested.union(pairs)
-        if not near.isEmpty():
-            roots = stored(_packed(_joined_by(roots, near, most), n_rows))
-        elif n >= tries:
-            break
-        else:
-            n = tries
+        n_near = near.count()
+        if n_near:
+            roots = stored(_packed(_joined_by(roots, near, n_near), n_rows))
+            now, open_ = unfinished(roots)
+        if n_near * WORTHWHILE < n_rows or not n_near:
+            n, more = tries, n < tries
 
     # the candidates that no round has tried
     rest = _deal(now, open_).mapInArrow(trimmed(_with_candidates(radius)), "key long, row long").distinct()

@@ -139,6 +139,27 @@ def test_near_duplicate_chains_in_buckets_of_several_blocks(spark, one_text, mon
     assert [got.get(k, k) for k in range(len(found))] == roots
 
 
+def test_rounds_that_link_few_rows_end_and_nothing_is_lost(spark, one_text, monkeypatch):
+    """A long chain links a few rows a round; the whole buckets find what the rounds that are left out would have."""
+    import random
+
+    rng, rounds, pairs = random.Random(9), [], simhash._pairs_in_buckets
+    monkeypatch.setattr(simhash, "WORTHWHILE", 1)
+    monkeypatch.setattr(simhash, "_pairs_in_buckets", lambda *a: rounds.append(a) or pairs(*a))
+    found = []
+    for b in range(3):
+        text = [f"w{b}x{k}" for k in range(120)]
+        for _ in range(30):
+            text = list(text)
+            text[rng.randrange(120)] = f"n{rng.randint(0, 10**6)}"
+            found.append(" ".join(text))
+    rng.shuffle(found)
+    roots = grouped([shingles(t) for t in found], near)
+    got = {r.row: r.root for r in simhash.near_duplicates(one_text(*found, *[f"other {k} of its own kind here" for k in range(9)] * 2), row_col="doc_id").collect()}
+    assert [got.get(k, k) for k in range(len(found))] == roots
+    assert len(rounds) <= 3
+
+
 def test_no_link_is_lost_where_nearest_candidates_fail(spark, one_text, monkeypatch):
     """All members of a bucket look alike to SimHash, so the nearest is hardly ever the near-duplicate."""
     import numpy as np
